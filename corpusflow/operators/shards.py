@@ -127,8 +127,12 @@ def plan_shards(files: DataFrame, budget: int) -> DataFrame:
     """Fresh plan. Returns shard_files (corpus_id, shard_id, prefix, shard_ord, path, tokens).
 
     A corpus whose total fits is one ``__all__`` shard; otherwise it is split from
-    the empty prefix."""
-    f = files.select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens"))
+    the empty prefix.
+
+    The narrow (corpus_id, path, tokens) projection is written once: the plan
+    reads it three times, and recomputing an unmaterialized snapshot would
+    re-read and re-hash file contents each time."""
+    f = materialize(files.select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens")), "plan_input")
     totals = f.groupBy("corpus_id").agg(F.sum("tokens").alias("_total"))
     g = f.join(totals, "corpus_id")
     fits = g.where(F.col("_total") <= F.lit(budget)).select(
@@ -177,8 +181,10 @@ def resolve_plan(files: DataFrame, stored_plan: DataFrame, budget: int) -> DataF
     Claimed groups that fit keep their stored (id, prefix); those that do not are
     split below their prefix; orphans are split from the empty prefix; shards
     without files vanish. Corpora without a stored plan get a fresh plan.
-    Returns shard_files like :func:`plan_shards`."""
-    f = files.select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens"))
+    Returns shard_files like :func:`plan_shards`. Inputs are cut from their
+    lineage first (narrow rows only), so generations of plans never compound."""
+    f = materialize(files.select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens")), "plan_input")
+    stored_plan = materialize(stored_plan.select("corpus_id", "shard_id", "prefix", "shard_ord"), "stored_plan")
     planned = stored_plan.select("corpus_id").distinct()
     fresh = plan_shards(f.join(planned, "corpus_id", "left_anti"), budget)
     mine = f.join(planned, "corpus_id", "left_semi")

@@ -41,17 +41,28 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
             commit_times: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run J8 against the state under ``state_root`` and write the next version.
 
-    ``files``: the snapshot (corpus_id, path, content, hash, tokens, n_lines[,
-    mtime_ms]). Returns the decisions and the written tables."""
+    ``files``: full snapshots of the corpora to refresh (corpus_id, path,
+    content, hash, tokens, n_lines[, mtime_ms]). State of corpora absent from
+    ``files`` is carried over unchanged. Returns the decisions and the version."""
     spark = files.sparkSession
-    stored = ST.read_state(spark, state_root, "shard_plan")
-    old_shards = ST.read_state(spark, state_root, "base_shards")
-    old_files = ST.read_state(spark, state_root, "base_files")
+    corpora = files.select("corpus_id").distinct()
+    stored_all = ST.read_state(spark, state_root, "shard_plan")
+    shards_all = ST.read_state(spark, state_root, "base_shards")
+    files_all = ST.read_state(spark, state_root, "base_files")
+
+    def touched(df):
+        return df.join(corpora, "corpus_id", "left_semi")
+
+    def untouched(df):
+        return df.join(corpora, "corpus_id", "left_anti")
+
+    stored, old_shards, old_files = touched(stored_all), touched(shards_all), touched(files_all)
     # the snapshot feeds five consumers: cut its lineage once
     snap = materialize(files, "snapshot")
     sf = materialize(S.resolve_plan(snap, stored.select("corpus_id", "shard_id", "prefix", "shard_ord"), budget),
                      "shard_files")
-    dec = refresh_decisions(snap, stored, old_shards, old_files, budget, threshold, shard_files=sf)
+    dec = materialize(refresh_decisions(snap, stored, old_shards, old_files, budget, threshold, shard_files=sf),
+                      "decisions")
     timed = CL.attach_commit_time(snap, commit_times) if commit_times is not None else \
         snap.withColumn("commit_time", F.floor(F.col("mtime_ms") / 1000).cast("bigint")
                         if "mtime_ms" in snap.columns else F.lit(0).cast("bigint"))
@@ -66,5 +77,7 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
     plan_rows = dec.select("corpus_id", "shard_id", "prefix", "shard_ord").join(hashes.select("corpus_id", "plan_hash"),
                                                                                "corpus_id") \
                    .withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint"))
-    version = ST.write_state(state_root, won_shards, won_files, plan_rows)
+    version = ST.write_state(state_root, won_shards.unionByName(untouched(shards_all)),
+                             won_files.unionByName(untouched(files_all)),
+                             plan_rows.unionByName(untouched(stored_all)))
     return {"decisions": dec, "version": version, "plan": plan_rows}
