@@ -114,7 +114,11 @@ def _check_reserved_dirs(files: DataFrame) -> DataFrame:
 
 
 def _finish(assigned: DataFrame) -> DataFrame:
-    """Attach shard_ord: stored group rank, then least path inside the group."""
+    """Attach shard_ord: stored group rank, then least path inside the group.
+
+    The assignment (narrow rows) is written once: ranking and attaching the
+    rank both read it, and otherwise the whole split would run twice."""
+    assigned = materialize(assigned, "assigned")
     key = (assigned.groupBy("corpus_id", "shard_id")
            .agg(F.min("grp_rank").alias("_r"), F.min("path").alias("_p")))
     w = Window.partitionBy("corpus_id").orderBy("_r", "_p")

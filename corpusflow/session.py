@@ -68,4 +68,4 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex}") if "://" not in base else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -24,6 +24,10 @@ def scan_files(spark: SparkSession, root: str, corpus_id: str | None = None,
     not read at all (column pruning of the binary source), which is what the
     metadata-reuse step (C2) needs for its unchanged files.
 
+    Spark's file listing skips names that start with '.' or '_' at any depth,
+    so hidden files and directories (the state directory among them) are never
+    returned; a listing (A2) cannot bring them back either.
+
     Returns corpus_id, path, mtime_ms, size[, content BINARY]."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     root_uri = root.rstrip("/")

@@ -6,6 +6,10 @@ far (bounded by one response's output); the response is emitted when the chunk
 carrying usage arrives, and a processing-time timeout emits the missing-usage
 error for a request whose stream stopped without it. The result equals the
 batch form :func:`corpusflow.operators.requests.reassemble_chunks`.
+
+Timeouts are checked by micro-batches; while responses are pending Spark runs
+no-data batches to check them, so an ``availableNow`` run ends only once every
+pending response has completed or timed out.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ def _make_fn(timeout_ms: int):
             yield _emit(rid, parts, n, usage, None)
         else:
             state.update((json.dumps(parts), n, None))
-            state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutDuration(max(1, int(timeout_ms)))
     return fn
 
 
