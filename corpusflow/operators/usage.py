@@ -38,11 +38,36 @@ def usage_summary(usage: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def cumulative_hit_rate(usage: DataFrame, by: Sequence[str] = ("session",),
-                        order: Sequence[str] = ("ts", "request_id")) -> DataFrame:
-    """Running prompt and hit totals per session and the running share."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = usage.withColumn("cum_prompt", F.sum(F.coalesce("prompt_tokens", F.lit(0))).over(w).cast("bigint")) \
-               .withColumn("cum_hit", F.sum(F.coalesce("prompt_cache_hit_tokens", F.lit(0))).over(w).cast("bigint"))
+                        order: Sequence[str] = ("ts", "request_id"),
+                        rows_per_chunk: int = 1 << 20) -> DataFrame:
+    """Running prompt and hit totals per session and the running share.
+
+    A chunked prefix sum, so one very busy session is not one window partition:
+    each session's time span is cut into buckets holding about
+    ``rows_per_chunk`` rows (from the session's row count and time range);
+    running sums are taken inside (session, bucket), and each bucket adds the
+    total of the buckets before it (a window over the few bucket rows)."""
+    keys = list(by)
+    ts = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    stats = usage.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"),
+                                     F.count(F.lit(1)).alias("_n"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1)
+                                        / F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_chunk)))))
+    u = usage.join(stats, keys).withColumn("_chunk", F.floor((ts - F.col("_lo")) / width)) \
+             .drop("_lo", "_hi", "_n")
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = u.withColumn("_p", F.sum(F.coalesce("prompt_tokens", F.lit(0))).over(w)) \
+         .withColumn("_h", F.sum(F.coalesce("prompt_cache_hit_tokens", F.lit(0))).over(w))
+    tot = usage.join(stats, keys).withColumn("_chunk", F.floor((ts - F.col("_lo")) / width)) \
+               .groupBy(*keys, "_chunk").agg(F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("_tp"),
+                                              F.sum(F.coalesce("prompt_cache_hit_tokens", F.lit(0))).alias("_th"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*keys, "_chunk", F.coalesce(F.sum("_tp").over(wc), F.lit(0)).alias("_op"),
+                     F.coalesce(F.sum("_th").over(wc), F.lit(0)).alias("_oh"))
+    out = u.join(off, keys + ["_chunk"]) \
+           .withColumn("cum_prompt", (F.col("_p") + F.col("_op")).cast("bigint")) \
+           .withColumn("cum_hit", (F.col("_h") + F.col("_oh")).cast("bigint")) \
+           .drop("_p", "_h", "_op", "_oh", "_chunk")
     return out.withColumn("cum_hit_ratio", T.hit_ratio("cum_hit", "cum_prompt"))
 
 

@@ -80,3 +80,17 @@ def test_snippets_cut(spark):
     r = spark.createDataFrame([(1, "c", "a.py", 2, 3)], "query_id long, corpus_id string, path string, "
                                                        "start_line long, end_line long")
     assert H.cut_snippets(r, files).first().snippet == "--- a.py:2-3 ---\n2\tl2\n3\tl3"
+
+
+def test_chunked_running_totals_equal_plain_window(spark):
+    from pyspark.sql import Window
+    from conftest import SF_SMALL
+    from corpusflow.fixtures import views as V
+    from corpusflow.operators import usage as U
+    u = V.usage(spark, SF_SMALL)
+    w = Window.partitionBy("session").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    plain = {r.request_id: (r.a, r.b) for r in u.select("request_id", F.sum("prompt_tokens").over(w).alias("a"),
+                                                         F.sum("prompt_cache_hit_tokens").over(w).alias("b")).collect()}
+    for chunk in (3, 50, 1 << 20):
+        got = {r.request_id: (r.cum_prompt, r.cum_hit) for r in U.cumulative_hit_rate(u, rows_per_chunk=chunk).collect()}
+        assert got == plain, chunk
