@@ -147,7 +147,8 @@ def outcome_summary(responses: DataFrame) -> DataFrame:
         F.count_if(F.col("error").isNotNull()).cast("bigint").alias("n_failed"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
             F.col("error").isNotNull(), F.struct(F.col("shard_ord").alias("o"), F.col("_line").alias("t"))))),
-            lambda x: x["t"]), "\n").alias("errors"))
+            lambda x: x["t"]), "\n").alias("errors"),
+        F.max(F.when(F.col("shard_id") == O.ALL_SHARD, F.col("error"))).alias("single_error"))
     return agg.withColumn("is_error", (F.col("n_ok") == 0) & (F.col("n_failed") > 0))
 
 
@@ -158,7 +159,8 @@ def render_outcome(outcome: DataFrame, n_merged: DataFrame, snippets: DataFrame)
 
     ``outcome`` from :func:`outcome_summary`; ``n_merged``: query_id, n_results
     (hits after the shard filter and de-duplication); ``snippets`` from
-    :func:`cut_snippets`."""
+    :func:`cut_snippets`. A failed one-shard (``__all__``) request renders as
+    ``Error: <message>``."""
     text = snippets.groupBy("query_id").agg(
         _ordered_join(F.col("snippet"), "\n\n", F.col("file_rank"), F.col("start_line")).alias("_snip"))
     j = outcome.join(n_merged, "query_id", "left").join(text, "query_id", "left")
@@ -170,4 +172,6 @@ def render_outcome(outcome: DataFrame, n_merged: DataFrame, snippets: DataFrame)
     out = F.concat(F.when(show, extract).otherwise(F.lit("")),
                    F.when(F.col("n_failed") > 0, F.concat(F.lit(O.SHARD_ERRORS_HEADER), F.col("errors")))
                    .otherwise(F.lit("")))
+    # a one-shard (__all__) corpus answers a failure with the bare error
+    out = F.when(F.col("single_error").isNotNull(), F.concat(F.lit("Error: "), F.col("single_error"))).otherwise(out)
     return j.select("query_id", out.alias("text"), "is_error", "n_ok", "n_failed", n.alias("n_results"))

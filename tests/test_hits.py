@@ -63,7 +63,7 @@ def test_outcome_and_render_notices(spark):
     resp = spark.createDataFrame([
         (1, "s1", 1, "s1/", None), (1, "s2", 2, "", "API error 400: bad"),
         (2, "s1", 1, "s1/", "x"), (2, "s2", 2, "s2/", "y"),
-        (3, "s1", 1, "s1/", None), (4, "s1", 1, "s1/", None)],
+        (3, "s1", 1, "s1/", None), (4, "s1", 1, "s1/", None), (5, "__all__", 1, "", "Failed after 3 retries: x")],
         "query_id long, shard_id string, shard_ord int, prefix string, error string")
     oc = H.outcome_summary(resp)
     n_merged = spark.createDataFrame([(1, 0), (3, 2), (4, 0)], "query_id long, n_results long")
@@ -73,6 +73,7 @@ def test_outcome_and_render_notices(spark):
     assert out[2] == ('\n\n--- Shard Errors ---\n[shard "s1" (s1/)]: x\n[shard "s2" (s2/)]: y', True)
     assert out[3] == ("No matching files found in snapshot.", False)
     assert out[4] == ("No matching code found.", False)
+    assert out[5] == ("Error: Failed after 3 retries: x", True)
 
 
 def test_snippets_cut(spark):

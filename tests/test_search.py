@@ -61,3 +61,38 @@ def test_retries_recover(spark):
         {"arguments": None, "usage": None, "attempts": 1, "error": "API error 401: no key"}
     no_tool = lambda m: {"arguments": None, "content": "text", "usage": {"prompt_tokens": 1}}
     assert R.call_with_retries(no_tool, msgs)["error"] == "no tool call after 3 attempts"
+
+
+def test_incremental_search_reuses_bases(spark):
+    """Second search on edited files: shards under the threshold reuse the stored
+    base text plus a change context; answers still equal a scan of current files."""
+    from corpusflow.sources import state as ST
+    v1, v2 = V.files(spark, SF_MID, "v1"), V.files(spark, SF_MID, "v2")
+    req = V.requests(spark, SF_MID)
+    first = search(req, v1, R.PassageLocator(), budget=4000, snapshot_ts=1)
+    stored = first["plan"].select("corpus_id", "shard_id", "prefix", "shard_ord")
+    bs = first["new_base_shards"]
+    bf = first["new_base_files"]
+    second = search(req, v2, R.PassageLocator(), budget=4000, threshold=0.5, stored_plan=stored,
+                    base_shards=bs, base_files=bf, snapshot_ts=2)
+    dec = second["plan"]
+    assert dec.where(~F.col("needs_rebuild")).count() > 0
+    got = sorted(tuple(r) for r in second["ranges"].select("query_id", "path", "start_line", "end_line").collect())
+    # brute force over v2 with the resolved plan's prefixes
+    fp = v2.select("corpus_id", "path", "content").toPandas()
+    pl = S.resolve_plan(v2, stored, 4000).select("corpus_id", "path", "prefix").toPandas()
+    fp = fp.merge(pl, on=["corpus_id", "path"])
+    exp = []
+    for r in req.toPandas().itertuples():
+        for f in fp[fp.corpus_id == r.corpus_id].itertuples():
+            if r.scope:
+                ns = r.scope if r.scope.endswith("/") else r.scope + "/"
+                if not (f.prefix == "" or ns.startswith(f.prefix) or f.prefix.startswith(ns)):
+                    continue
+            i = f.content.find(r.query)
+            if i >= 0:
+                s = f.content.count("\n", 0, i) + 1
+                exp.append((r.query_id, f.path, s, s + r.query.count("\n")))
+    assert got == sorted(exp)
+    # only rebuilt shards get new bases
+    assert second["new_base_shards"].count() == dec.where("needs_rebuild").count()
