@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow import options as O
 from corpusflow.functions import text as T
 from corpusflow.operators.changes import ADDED, DELETED, MODIFIED, status_rank
 
@@ -48,17 +49,26 @@ def file_blocks(files: DataFrame, tag: Column | None = None) -> DataFrame:
 
 
 def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "shard_id"),
-                 budget: int | None = None) -> DataFrame:
+                 budget: int | None = None, max_text_tokens: int = O.CONTEXT_LIMIT_TOKENS) -> DataFrame:
     """All file blocks of a shard, oldest commit first (ties by path),
     separated by a blank line.
 
     ``shard_files``: keys + path, content, n_lines, tokens, commit_time.
-    Returns keys + base_text, base_token_count, n_files, oversize."""
-    blocks = file_blocks(shard_files)
-    agg = blocks.groupBy(*keys).agg(
-        _ordered_join(F.col("block"), "\n\n", F.col("commit_time"), F.col("path")).alias("base_text"),
-        F.sum("tokens").cast("bigint").alias("base_token_count"),
-        F.count(F.lit(1)).cast("bigint").alias("n_files"))
+    Returns keys + base_text, base_token_count, n_files, oversize.
+
+    Shards are bounded by the budget except those that cannot be split (one
+    directory of direct files); ``oversize`` flags them. A text is assembled
+    only up to ``max_text_tokens`` (the model context): beyond it no prompt can
+    be answered, so ``base_text`` is NULL instead of one task collecting an
+    unbounded group (the blocks stay available from :func:`file_blocks`)."""
+    k = list(keys)
+    sizes = shard_files.groupBy(*k).agg(F.sum("tokens").cast("bigint").alias("base_token_count"),
+                                        F.count(F.lit(1)).cast("bigint").alias("n_files"))
+    fit = sizes.where(F.col("base_token_count") <= F.lit(max_text_tokens)).select(*k)
+    blocks = file_blocks(shard_files.join(fit, k, "left_semi"))
+    text = blocks.groupBy(*k).agg(
+        _ordered_join(F.col("block"), "\n\n", F.col("commit_time"), F.col("path")).alias("base_text"))
+    agg = sizes.join(text, k, "left").select(*k, "base_text", "base_token_count", "n_files")
     over = F.lit(False) if budget is None else F.col("base_token_count") > F.lit(budget)
     return agg.withColumn("oversize", over)
 

@@ -150,12 +150,18 @@ def _make_group_fn(responder: Responder, max_attempts: int, sleep: bool):
             return pd.DataFrame(columns=[c.split()[0] for c in RESPONSE_SCHEMA.split(", ")])
         c = ctx.iloc[0]
         instr = SHARDED_INSTRUCTIONS if bool(c["sharded"]) else SINGLE_INSTRUCTIONS
-        shared = [{"role": "user", "content": instr}, {"role": "user", "content": c["base_text"] or ""}]
+        shared = [{"role": "user", "content": instr},
+                  {"role": "user", "content": c["base_text"] if isinstance(c["base_text"], str) else ""}]
         if isinstance(c["change_text"], str) and c["change_text"]:
             shared.append({"role": "user", "content": c["change_text"]})
         tree = c["tree"] if isinstance(c["tree"], str) else ""
         rows = []
+        too_large = not isinstance(c["base_text"], str)
         for r in reqs.sort_values("query_id").itertuples(index=False):
+            if too_large:
+                rows.append((r.query_id, r.corpus_id, r.shard_id, r.shard_ord, 0, None,
+                             "shard context exceeds the model context limit", 0, 0, 0, 0, 0))
+                continue
             msgs = shared + [{"role": "user", "content": r.turn.replace(TREE_MARK, tree)}]
             out = call_with_retries(responder, msgs, max_attempts, sleep)
             u = out["usage"] or {}

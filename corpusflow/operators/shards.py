@@ -215,13 +215,44 @@ def plan_table(shard_files: DataFrame) -> DataFrame:
                  F.sum("tokens").cast("bigint").alias("tokens")))
 
 
+def _hash_sorted_lines(batches):
+    """Streams (corpus_id, line) rows sorted by corpus then line through one
+    incremental SHA-256 per corpus (constant memory)."""
+    import hashlib
+
+    import pandas as pd
+    cur, h, n, first = None, None, 0, True
+    out = []
+    for pdf in batches:
+        for cid, line in zip(pdf["corpus_id"], pdf["line"]):
+            if cid != cur:
+                if cur is not None:
+                    out.append((cur, h.hexdigest()[:16], n))
+                cur, h, n, first = cid, hashlib.sha256(), 0, True
+            h.update((line if first else "\n" + line).encode("utf-8"))
+            first = False
+            n += 1
+        if len(out) > 1000:
+            yield pd.DataFrame(out, columns=["corpus_id", "plan_hash", "n_shards"])
+            out = []
+    if cur is not None:
+        out.append((cur, h.hexdigest()[:16], n))
+    yield pd.DataFrame(out, columns=["corpus_id", "plan_hash", "n_shards"])
+
+
 def plan_hash(plan: DataFrame) -> DataFrame:
     """First 16 hex digits of SHA-256 over the sorted ``id:prefix`` lines of a
-    corpus plan. One line per shard (plan size is corpus tokens / budget)."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat("shard_id", F.lit(":"), "prefix"))), "\n")
-    return (plan.groupBy("corpus_id")
-            .agg(F.substring(F.sha2(lines, 256), 1, 16).alias("plan_hash"),
-                 F.count(F.lit(1)).cast("bigint").alias("n_shards")))
+    corpus plan, joined by newlines.
+
+    Exact and streaming: lines are hash-partitioned by corpus, sorted inside
+    the partition (Spark's external sort), and fed to an incremental SHA-256,
+    so no corpus's lines are ever held together in memory."""
+    lines = plan.select("corpus_id", F.concat("shard_id", F.lit(":"), "prefix").alias("line")).distinct()
+    spark = plan.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartition(n, "corpus_id").sortWithinPartitions("corpus_id", "line")
+    out = ordered.mapInPandas(_hash_sorted_lines, "corpus_id string, plan_hash string, n_shards long")
+    return out.withColumn("n_shards", F.col("n_shards").cast("bigint"))
 
 
 def new_shards(plan: DataFrame, stored_plan: DataFrame) -> DataFrame:
