@@ -866,7 +866,7 @@ def base_prune(spark, sf):
     return ST.prune_base(old, plan).select("corpus_id", "shard_id")
 
 
-_REFRESH_SQL = """
+_REFRESH_CTES = """
 , cur AS (SELECT r.corpus_id, r.shard_id, r.path, f.hash, f.tokens FROM rp r JOIN files_v2 f USING (corpus_id, path)),
 bf AS (SELECT p.corpus_id, p.shard_id, p.path, f.hash FROM plan_v1 p JOIN files_v1 f USING (corpus_id, path)),
 bs AS (SELECT corpus_id, shard_id, CAST(sum(tokens) AS BIGINT) AS base_tokens FROM plan_v1 GROUP BY ALL),
@@ -879,10 +879,10 @@ sh AS (SELECT corpus_id, shard_id, any_value(prefix) AS prefix, any_value(shard_
               CAST(sum(tokens) AS BIGINT) AS tokens, CAST(count(*) AS BIGINT) AS n_files FROM rp GROUP BY ALL),
 dec AS (SELECT s.*, b.base_tokens IS NULL AS is_new,
                CASE WHEN b.base_tokens IS NULL THEN NULL WHEN b.base_tokens > 0 THEN coalesce(c.ct, 0) / b.base_tokens ELSE 1.0 END AS change_ratio
-        FROM sh s LEFT JOIN bs b USING (corpus_id, shard_id) LEFT JOIN cs c USING (corpus_id, shard_id))
-SELECT corpus_id, shard_id, prefix, shard_ord, tokens, n_files, is_new, change_ratio,
-       is_new OR change_ratio > 0.1 AS needs_rebuild
-FROM dec"""
+        FROM sh s LEFT JOIN bs b USING (corpus_id, shard_id) LEFT JOIN cs c USING (corpus_id, shard_id)),
+dec2 AS (SELECT *, is_new OR change_ratio > 0.1 AS needs_rebuild FROM dec)"""
+_REFRESH_SQL = _REFRESH_CTES + """
+SELECT corpus_id, shard_id, prefix, shard_ord, tokens, n_files, is_new, change_ratio, needs_rebuild FROM dec2"""
 
 
 @query("refresh", D.with_(*_STORED, _V2, D.resolve_ctes("rp", "files_v2", "stored", 4000)) + _REFRESH_SQL)
@@ -906,3 +906,59 @@ def search_passages(spark, sf):
     files = V.files(spark, sf)
     out = search(V.requests(spark, sf), files, R.PassageLocator(), budget=4000)
     return out["answers"].select("query_id", *_hash_bytes("text", "text"), "is_error", "n_ok", "n_failed", "n_results")
+
+
+@query("response_checks", D.with_(D.files_cte("files"), D.raw_hits_cte()) + """
+, t AS (SELECT hit_ord,
+               '{"file": "' || path || '", "start_line": ' ||
+               CASE WHEN hit_ord % 19 = 0 THEN '"' || CAST(start_line AS VARCHAR) || '"' ELSE CAST(start_line AS VARCHAR) END ||
+               ', "end_line": ' || CAST(end_line AS VARCHAR) || '}' AS item
+        FROM raw_hits),
+a AS (SELECT hit_ord,
+             CASE WHEN hit_ord % 29 = 0 THEN ''
+                  WHEN hit_ord % 13 = 0 THEN '{"results": [' || item
+                  WHEN hit_ord % 17 = 0 THEN '{"results": {"file": "x"}}'
+                  ELSE '{"results": [' || item || ']}' END AS tool_text,
+             hit_ord % 11 <> 0 AS has_usage
+      FROM t)
+SELECT hit_ord AS request_ord,
+       CASE WHEN NOT has_usage THEN 'missing_usage' WHEN coalesce(tool_text, '') = '' THEN 'no_tool_call'
+            WHEN NOT json_valid(tool_text) THEN 'parse_error' ELSE 'ok' END AS attempt_kind,
+       (CASE WHEN NOT has_usage THEN 'missing_usage' WHEN coalesce(tool_text, '') = '' THEN 'no_tool_call'
+             WHEN NOT json_valid(tool_text) THEN 'parse_error' ELSE 'ok' END) <> 'ok' AS retryable
+FROM a""")
+def response_checks(spark, sf):
+    """Classify streamed attempts (missing usage, no tool call, unparsable, ok)."""
+    a = _arguments_spark(spark, sf)
+    o = F.col("request_ord")
+    tool = F.when(o % 29 == 0, F.lit("")).otherwise(F.col("arguments"))
+    usage = F.when(o % 11 != 0, F.struct(F.lit(1).alias("prompt_tokens")))
+    v = R.validate_response(a.select("request_ord", tool.alias("tool_text"), usage.alias("usage")))
+    return v.select("request_ord", "attempt_kind", "retryable")
+
+
+@query("base_record", D.with_(*_STORED, _V2, D.resolve_ctes("rp", "files_v2", "stored", 4000)) + _REFRESH_CTES + f"""
+SELECT d.corpus_id, d.shard_id, CAST(sum(f.tokens) AS BIGINT) AS base_token_count, CAST(count(*) AS BIGINT) AS n_files,
+       sha256(string_agg({D.render_file('f.path', 'f.content', 'f.n_lines')}, {D.NL2}
+                         ORDER BY CAST(floor(f.mtime_ms / 1000) AS BIGINT), f.path)) AS text_hash,
+       CAST(2 AS BIGINT) AS snapshot_ts
+FROM dec2 d JOIN rp r ON d.corpus_id = r.corpus_id AND d.shard_id = r.shard_id
+JOIN files_v2 f ON f.corpus_id = r.corpus_id AND f.path = r.path
+WHERE d.needs_rebuild GROUP BY d.corpus_id, d.shard_id""")
+def base_record(spark, sf):
+    """D13 (with D7): new bases of the shards a refresh of files_v2 rebuilds."""
+    from corpusflow.plans.refresh import refresh_decisions
+    v1, v2 = V.files(spark, sf, "v1"), V.files(spark, sf, "v2")
+    stored = V.stored_plan(spark, sf, 4000)
+    base_files = S.restrict_to_shard(v1, S.plan_shards(v1, 4000)).select("corpus_id", "shard_id", "path", "hash", "tokens")
+    base_shards = base_files.groupBy("corpus_id", "shard_id").agg(F.sum("tokens").cast("bigint").alias("base_token_count"))
+    sfi = S.resolve_plan(v2, stored, 4000)
+    dec = refresh_decisions(v2, stored, base_shards, base_files.drop("tokens"), 4000, 0.1, shard_files=sfi)
+    timed = v2.withColumn("commit_time", F.floor(F.col("mtime_ms") / 1000).cast("bigint"))
+    rebuild = dec.where("needs_rebuild").select("corpus_id", "shard_id")
+    members = S.restrict_to_shard(timed, sfi.drop("tokens")).join(rebuild, ["corpus_id", "shard_id"], "left_semi")
+    ctx = X.base_context(members, budget=4000)
+    shards, files = ST.base_record(members, ctx, dec, rebuild, snapshot_ts=2)
+    n = files.groupBy("corpus_id", "shard_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
+    return shards.join(n, ["corpus_id", "shard_id"]).select(
+        "corpus_id", "shard_id", "base_token_count", "n_files", F.sha2("base_text", 256).alias("text_hash"), "snapshot_ts")
