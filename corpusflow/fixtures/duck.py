@@ -164,6 +164,17 @@ def requests_cte(name: str = "requests") -> str:
   FROM benchmark)"""
 
 
+def requests_all_cte(name: str = "requests") -> str:
+    return f"""{name}_one AS (
+  SELECT item_id, text AS query,
+         CASE item_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'src1' ELSE 'src1/p2' END AS scope,
+         CASE WHEN item_id % 2 = 0 THEN NULL ELSE ['.py'] END AS file_types
+  FROM benchmark),
+{name} AS (
+  SELECT item_id * 10 + c.i AS query_id, c.corpus_id, query, scope, file_types
+  FROM {name}_one, (VALUES (0, 'en'), (1, 'fr'), (2, 'de'), (3, 'es')) c(i, corpus_id))"""
+
+
 # -- shard planning ---------------------------------------------------------------
 
 def split_ctes(p: str, src: str, budget: int) -> str:

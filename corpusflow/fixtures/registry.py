@@ -962,3 +962,22 @@ def base_record(spark, sf):
     n = files.groupBy("corpus_id", "shard_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
     return shards.join(n, ["corpus_id", "shard_id"]).select(
         "corpus_id", "shard_id", "base_token_count", "n_files", F.sha2("base_text", 256).alias("text_hash"), "snapshot_ts")
+
+
+@query("search_ranges", D.with_(*_F, D.requests_all_cte(), D.plan_ctes("sp", "files", 4000)) + _PRUNE_SQL + """
+, hit AS (SELECT rs.query_id, f.path, strpos(f.content, rs.query) AS pos, f.content, rs.query
+          FROM rs JOIN sp ON sp.corpus_id = rs.corpus_id AND sp.shard_id = rs.shard_id
+          JOIN files f ON f.corpus_id = sp.corpus_id AND f.path = sp.path
+          WHERE strpos(f.content, rs.query) > 0)
+SELECT query_id, path,
+       CAST(1 + length(substr(content, 1, pos - 1)) - length(replace(substr(content, 1, pos - 1), chr(10), '')) AS BIGINT) AS start_line,
+       CAST(1 + length(substr(content, 1, pos - 1)) - length(replace(substr(content, 1, pos - 1), chr(10), ''))
+            + length(query) - length(replace(query, chr(10), '')) AS BIGINT) AS end_line
+FROM hit""")
+def search_ranges(spark, sf):
+    """J7, J2, L2 (with C10, D7, D10, I1-I3, C8, E3, J6, E1): merged ranges of the
+    end-to-end search with the passage-locating responder; the SQL twin scans
+    every scope-matching file for the passage directly."""
+    from corpusflow.plans.search import search
+    out = search(V.requests_all_corpora(spark, sf), V.files(spark, sf), R.PassageLocator(), budget=4000)
+    return out["ranges"].select("query_id", "path", "start_line", "end_line")

@@ -205,6 +205,18 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     scope.alias("scope"), ft.alias("file_types"))
 
 
+#: The corpora of ``files`` (its ``lang`` values), fixed by the data generator.
+CORPORA = ("en", "fr", "de", "es")
+
+
+def requests_all_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage asked of every corpus (scope and types as in
+    :func:`requests`); query_id = item_id * 10 + corpus index."""
+    r = requests(spark, sf_dir).drop("corpus_id")
+    e = r.select("*", F.posexplode(F.array(*[F.lit(c) for c in CORPORA])).alias("_i", "corpus_id"))
+    return e.withColumn("query_id", F.col("query_id") * 10 + F.col("_i")).drop("_i")
+
+
 def stored_plan(spark: SparkSession, sf_dir: str, budget: int = 4000) -> DataFrame:
     """Plan of ``files_v1`` at ``budget``, in stored form (corpus_id, shard_id, prefix, shard_ord)."""
     from corpusflow.operators import shards as S
