@@ -116,22 +116,29 @@ def directory_tree(files: DataFrame, changes: DataFrame | None = None,
                                    F.count(F.lit(1)).cast("bigint").alias("n_dirs"))
 
 
-def shard_directory_tree(files: DataFrame, shard_files: DataFrame) -> DataFrame:
+def shard_directory_tree(files: DataFrame, shard_files: DataFrame,
+                         max_tree_bytes: int = 4 * O.CONTEXT_LIMIT_TOKENS) -> DataFrame:
     """One tree per shard listing every directory of the corpus; own files
     by name, other files only as counts (``N files, other shards`` for a
     directory without own files, ``(N more files, other shards)`` after own names).
 
     Per-directory totals are a small rollup; each shard's text has one line per
-    corpus directory, so (shard, directory) rows are the output itself.
-    Returns corpus_id, shard_id, tree."""
+    corpus directory, so (shard, directory) rows are the output itself. A
+    corpus whose directory lines alone exceed ``max_tree_bytes`` (the model
+    context at about 4 bytes per token) cannot fit any prompt: its trees are not
+    assembled (``tree`` NULL, ``oversize`` true), so no task ever aggregates an
+    unbounded directory list. Returns corpus_id, shard_id, tree, oversize."""
     d = _dir_and_name(files.select("corpus_id", "path"))
     totals = d.groupBy("corpus_id", "dir").agg(F.count(F.lit(1)).alias("_total"))
+    size = totals.groupBy("corpus_id").agg(F.sum(F.length("dir") + F.lit(30)).alias("_bytes"))
+    small = size.where(F.col("_bytes") <= F.lit(max_tree_bytes)).select("corpus_id")
     own = _dir_and_name(shard_files.select("corpus_id", "shard_id", "path"))
     own_dirs = own.groupBy("corpus_id", "shard_id", "dir").agg(
         _ordered_join(F.concat(F.lit("  "), F.col("name")), "\n", F.col("path")).alias("_names"),
         F.count(F.lit(1)).alias("_own"))
     shards = shard_files.select("corpus_id", "shard_id").distinct()
-    grid = shards.join(totals, "corpus_id").join(own_dirs, ["corpus_id", "shard_id", "dir"], "left")
+    grid = shards.join(small, "corpus_id", "left_semi").join(totals, "corpus_id") \
+                 .join(own_dirs, ["corpus_id", "shard_id", "dir"], "left")
     other = F.col("_total") - F.coalesce(F.col("_own"), F.lit(0))
     block = (F.when(F.col("_own").isNull(),
                     F.concat(F.col("dir"), F.lit("/ ("), other.cast("string"), F.lit(" files, other shards)")))
@@ -139,7 +146,9 @@ def shard_directory_tree(files: DataFrame, shard_files: DataFrame) -> DataFrame:
                                  F.when(other > 0, F.concat(F.lit("\n  ("), other.cast("string"),
                                                             F.lit(" more files, other shards)")))
                                  .otherwise(F.lit("")))))
-    return grid.groupBy("corpus_id", "shard_id").agg(_ordered_join(block, "\n", F.col("dir")).alias("tree"))
+    trees = grid.groupBy("corpus_id", "shard_id").agg(_ordered_join(block, "\n", F.col("dir")).alias("tree"))
+    return shards.join(trees, ["corpus_id", "shard_id"], "left") \
+                 .withColumn("oversize", F.col("tree").isNull())
 
 
 def query_turns(request_shards: DataFrame, trees: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def _make_group_fn(responder: Responder, max_attempts: int, sleep: bool):
             shared.append({"role": "user", "content": c["change_text"]})
         tree = c["tree"] if isinstance(c["tree"], str) else ""
         rows = []
-        too_large = not isinstance(c["base_text"], str)
+        too_large = not isinstance(c["base_text"], str) or bool(c["tree_oversize"])
         for r in reqs.sort_values("query_id").itertuples(index=False):
             if too_large:
                 rows.append((r.query_id, r.corpus_id, r.shard_id, r.shard_ord, 0, None,
@@ -196,7 +196,9 @@ def run_requests(request_shards: DataFrame, contexts: DataFrame, trees: DataFram
     rs = rs.join(counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"]) \
            .withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.col("_nb")).cast("int")).drop("_nb")
     ctx = (contexts.select("corpus_id", "shard_id", "sharded", "base_text", "change_text")
-           .join(trees.select("corpus_id", "shard_id", "tree"), ["corpus_id", "shard_id"], "left")
+           .join(trees.select("corpus_id", "shard_id", "tree",
+                              (F.col("oversize") if "oversize" in trees.columns else F.lit(False))
+                              .alias("tree_oversize")), ["corpus_id", "shard_id"], "left")
            .join(counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"])
            .withColumn("bucket", F.explode(F.sequence(F.lit(0), (F.col("_nb") - 1).cast("int"))))
            .drop("_nb"))

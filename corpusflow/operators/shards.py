@@ -106,11 +106,13 @@ def split_groups(groups: DataFrame, budget: int) -> DataFrame:
 
 
 def _check_reserved_dirs(files: DataFrame) -> DataFrame:
-    """A directory really named ``__root__`` would clash with the marker."""
-    bad = F.array_contains(F.slice(F.split("path", "/"), 1, 1 << 20), O.ROOT_SHARD) & \
-        ~F.endswith(F.col("path"), F.lit("/" + O.ROOT_SHARD)) & (F.col("path") != O.ROOT_SHARD)
+    """A directory really named ``__root__`` would clash with the direct-child
+    marker; fail with a clear error instead of producing ambiguous shard ids."""
+    segs = F.split("path", "/")
+    dirs = F.slice(segs, F.lit(1), F.size(segs) - 1)
+    bad = F.array_contains(dirs, O.ROOT_SHARD)
     return files.withColumn("path", F.when(bad, F.raise_error(F.concat(
-        F.lit("directory named __root__ is reserved: "), F.col("path")))).otherwise(F.col("path")))
+        F.lit("a directory named __root__ is reserved: "), F.col("path")))).otherwise(F.col("path")))
 
 
 def _finish(assigned: DataFrame) -> DataFrame:
@@ -136,7 +138,8 @@ def plan_shards(files: DataFrame, budget: int) -> DataFrame:
     The narrow (corpus_id, path, tokens) projection is written once: the plan
     reads it three times, and recomputing an unmaterialized snapshot would
     re-read and re-hash file contents each time."""
-    f = materialize(files.select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens")), "plan_input")
+    f = materialize(_check_reserved_dirs(files.select("corpus_id", "path", F.col("tokens").cast("bigint")
+                                                      .alias("tokens"))), "plan_input")
     totals = f.groupBy("corpus_id").agg(F.sum("tokens").alias("_total"))
     g = f.join(totals, "corpus_id")
     fits = g.where(F.col("_total") <= F.lit(budget)).select(
@@ -187,7 +190,8 @@ def resolve_plan(files: DataFrame, stored_plan: DataFrame, budget: int) -> DataF
     without files vanish. Corpora without a stored plan get a fresh plan.
     Returns shard_files like :func:`plan_shards`. Inputs are cut from their
     lineage first (narrow rows only), so generations of plans never compound."""
-    f = materialize(files.select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens")), "plan_input")
+    f = materialize(_check_reserved_dirs(files.select("corpus_id", "path", F.col("tokens").cast("bigint")
+                                                      .alias("tokens"))), "plan_input")
     stored_plan = materialize(stored_plan.select("corpus_id", "shard_id", "prefix", "shard_ord"), "stored_plan")
     planned = stored_plan.select("corpus_id").distinct()
     fresh = plan_shards(f.join(planned, "corpus_id", "left_anti"), budget)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import options as O
+from corpusflow.operators import changes as C
 from corpusflow.operators import context as X
 from corpusflow.operators import hits as H
 from corpusflow.operators import requests as R
@@ -58,7 +59,6 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
         .select("corpus_id", "shard_id", "base_text", F.lit(None).cast("string").alias("change_text"))
     reuse = dec.where(~F.col("needs_rebuild")).select("corpus_id", "shard_id")
     cur = members.select("corpus_id", "shard_id", "path", "hash", "tokens")
-    from corpusflow.operators import changes as C
     ch = C.detect_changes(cur, base_files.select("corpus_id", "shard_id", "path", "hash")) \
           .join(reuse, ["corpus_id", "shard_id"], "left_semi")
     cc = X.change_context(ch, files)
@@ -70,7 +70,8 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     single = dec.where(F.col("shard_id") == O.ALL_SHARD).select("corpus_id", "shard_id")
     single_files = files.join(single.select("corpus_id"), "corpus_id", "left_semi")
     labels = ch.join(single, ["corpus_id", "shard_id"], "left_semi")
-    single_tree = X.directory_tree(single_files, labels).join(single, "corpus_id").select("corpus_id", "shard_id", "tree")
+    single_tree = X.directory_tree(single_files, labels).join(single, "corpus_id").select(
+        "corpus_id", "shard_id", "tree", F.lit(False).alias("oversize"))
     multi_sf = sf.where(F.col("shard_id") != O.ALL_SHARD)
     trees = X.shard_directory_tree(files.join(multi_sf.select("corpus_id").distinct(), "corpus_id", "left_semi"),
                                    multi_sf).unionByName(single_tree)
@@ -83,7 +84,7 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     hits = H.explode_hits(parsed)
     own = H.hits_in_shard(hits.where(F.col("shard_id") != O.ALL_SHARD), sf) \
         .unionByName(hits.where(F.col("shard_id") == O.ALL_SHARD))
-    dd = H.dedupe_hits(own.withColumn("start_line", F.col("start_line")).withColumn("end_line", F.col("end_line")))
+    dd = H.dedupe_hits(own)
     n_merged = dd.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_results"))
     ranges = H.coalesce_ranges(H.normalize_hits(dd, files))
     snips = H.cut_snippets(ranges, files)

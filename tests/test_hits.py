@@ -95,3 +95,22 @@ def test_chunked_running_totals_equal_plain_window(spark):
     for chunk in (3, 50, 1 << 20):
         got = {r.request_id: (r.cum_prompt, r.cum_hit) for r in U.cumulative_hit_rate(u, rows_per_chunk=chunk).collect()}
         assert got == plain, chunk
+
+
+def test_change_ratio_edges(spark):
+    from corpusflow.operators import changes as C
+    base = spark.createDataFrame([("k", "s", "a", "h1"), ("k", "s", "b", "h2"), ("k", "z", "c", "h3")],
+                                 "corpus_id string, shard_id string, path string, hash string")
+    cur = spark.createDataFrame([("k", "s", "a", "h1", 5)], "corpus_id string, shard_id string, path string, "
+                                                            "hash string, tokens long")
+    ch = C.detect_changes(cur, base)
+    assert sorted((r.path, r.status) for r in ch.collect()) == [("a", "unchanged"), ("b", "deleted"), ("c", "deleted")]
+    bs = spark.createDataFrame([("k", "s", 10), ("k", "z", 0)], "corpus_id string, shard_id string, base_token_count long")
+    s = {r.shard_id: (r.change_ratio, r.needs_rebuild) for r in C.change_summary(ch, bs, 0.1).collect()}
+    # only deletions: ratio 0, no rebuild; base count 0: ratio 1
+    assert s == {"s": (0.0, False), "z": (1.0, True)}
+    # strict comparison at the threshold
+    cur2 = spark.createDataFrame([("k", "s", "a", "hx", 1)], "corpus_id string, shard_id string, path string, "
+                                                             "hash string, tokens long")
+    s2 = C.change_summary(C.detect_changes(cur2, base.where("shard_id = 's'")), bs.where("shard_id = 's'"), 0.1).first()
+    assert s2.change_ratio == 0.1 and not s2.needs_rebuild

@@ -137,3 +137,26 @@ def test_claim_longest_prefix(spark):
     assert c == {"a.py": "__root__", "src/x.py": "src", "src/sub/y.py": "src/sub"}
     orphans = [r.path for r in S.orphan_files(to_df(spark, {"k": files}), st).collect()]
     assert orphans == ["lib/z.py"]
+
+
+def test_nested_direct_child_shard_adopts_new_subdirectory(spark):
+    # stored 'src/__root__' (prefix 'src/') claims a new 'src/new/' directory; the
+    # top-level '__root__' only takes slash-free paths
+    stored = [("k", "__root__", "", 1), ("k", "src/__root__", "src/", 2), ("k", "src/a", "src/a/", 3)]
+    st = spark.createDataFrame(stored, "corpus_id string, shard_id string, prefix string, shard_ord int")
+    files = {"top.py": 1, "src/x.py": 1, "src/a/y.py": 1, "src/new/z.py": 1, "lib/w.py": 1}
+    res = S.resolve_plan(to_df(spark, {"k": files}), st, 100)
+    got = {r.path: r.shard_id for r in res.collect()}
+    assert got == {"top.py": "__root__", "src/x.py": "src/__root__", "src/a/y.py": "src/a",
+                   "src/new/z.py": "src/__root__", "lib/w.py": "lib"}
+    assert spec_map(resolve_plan(files, 100, [(s, p) for _, s, p, _ in stored])) == \
+        {p: (got[p], [r.prefix for r in res.collect() if r.path == p][0]) for p in files}
+
+
+def test_directory_named_root_is_rejected(spark):
+    import pytest
+    df = to_df(spark, {"k": {"a/__root__/x.py": 1, "b.py": 1}})
+    with pytest.raises(Exception, match="__root__ is reserved"):
+        S.plan_shards(df, 10).count()
+    ok = to_df(spark, {"k": {"a/__root__": 1}})  # a file with that name is fine
+    assert S.plan_shards(ok, 10).count() == 1
