@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
-from corpusflow.sources.files import snapshot
 
 MODIFIED, ADDED, DELETED, UNCHANGED = "modified", "added", "deleted", "unchanged"
 #: Order of change classes in a change context: modified, then added, then deleted.
@@ -76,17 +75,23 @@ def change_summary(changes: DataFrame, base_shards: DataFrame, threshold: float,
 
 
 def reuse_metadata(raw: DataFrame, cache: DataFrame, counter: Column | None = None) -> DataFrame:
-    """Skip decoding, hashing and counting when (mtime, size) are unchanged.
-
-    ``raw``: corpus_id, path, mtime_ms, size, content (content is only read for
-    misses when ``raw`` comes from a pruning-capable source). ``cache``: the
-    previous result (corpus_id, path, mtime_ms, size, content, hash, tokens,
-    n_lines). Hits come from the cache by an inner join, misses are computed;
-    the union is both the snapshot and the next cache, so cache rows of vanished
-    paths disappear. Adds ``reused``."""
+    """Skip hashing and counting when (mtime, size) are unchanged.
+
+    ``raw``: corpus_id, path, mtime_ms, size, content. ``cache``: the previous
+    result's metadata (corpus_id, path, mtime_ms, size, hash, tokens, n_lines;
+    no content). One left join on (corpus_id, path, mtime_ms, size) with only
+    the raw side carrying text; ``coalesce`` evaluates the hash and the count
+    only where the cache has no row (codegen'd lazily). The output is both the
+    snapshot and the next cache, so rows of vanished paths disappear. Adds
+    ``reused``. A Python-UDF counter is evaluated on all rows by Spark; pass
+    such a counter for misses only by calling this twice if that matters."""
     k = ["corpus_id", "path", "mtime_ms", "size"]
-    cols = ["content", "hash", "tokens", "n_lines"]
-    hits = raw.select(*k).join(cache.select(*k, *cols), k, "inner").withColumn("reused", F.lit(True))
-    misses = raw.join(cache.select(*k), k, "left_anti")
-    fresh = snapshot(misses, counter).select(*k, *cols).withColumn("reused", F.lit(False))
-    return hits.unionByName(fresh)
+    meta = cache.select(*k, F.col("hash").alias("_ch"), F.col("tokens").alias("_ct"),
+                        F.col("n_lines").alias("_cn"), F.lit(True).alias("_hit"))
+    j = raw.join(meta, k, "left").withColumn("content", T.normalize_text(F.col("content")))
+    tok = T.proxy_tokens("content") if counter is None else counter
+    return j.select(*k, "content",
+                    F.coalesce("_ch", T.content_hash("content")).alias("hash"),
+                    F.coalesce("_ct", tok.cast("bigint")).alias("tokens"),
+                    F.coalesce("_cn", T.line_count("content")).alias("n_lines"),
+                    F.coalesce("_hit", F.lit(False)).alias("reused"))

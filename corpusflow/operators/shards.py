@@ -193,6 +193,8 @@ def resolve_plan(files: DataFrame, stored_plan: DataFrame, budget: int) -> DataF
     f = materialize(_check_reserved_dirs(files.select("corpus_id", "path", F.col("tokens").cast("bigint")
                                                       .alias("tokens"))), "plan_input")
     stored_plan = materialize(stored_plan.select("corpus_id", "shard_id", "prefix", "shard_ord"), "stored_plan")
+    if stored_plan.isEmpty():  # cold start: nothing to claim
+        return plan_shards(f, budget)
     planned = stored_plan.select("corpus_id").distinct()
     fresh = plan_shards(f.join(planned, "corpus_id", "left_anti"), budget)
     mine = f.join(planned, "corpus_id", "left_semi")

@@ -78,7 +78,8 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
 
     plan = dec.select("corpus_id", "shard_id", "prefix", "shard_ord")
     rs = R.prune_by_scope(requests, plan)
-    responses = materialize(R.run_requests(rs, ctx, trees, responder, max_attempts, requests_per_group), "responses")
+    responses = materialize(R.run_requests(rs, ctx, trees, responder, max_attempts, requests_per_group), "responses",
+                            force=True)
 
     parsed = H.parse_arguments(responses.where(F.col("error").isNull()))
     hits = H.explode_hits(parsed)

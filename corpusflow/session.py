@@ -63,10 +63,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def _is_scan(df: DataFrame) -> bool:
+    """True when ``df`` only selects, renames or filters columns of a file scan
+    (re-reading it is as cheap as reading a copy); computed columns do not count."""
+    def plain(e) -> bool:
+        name = e.getClass().getSimpleName()
+        if name == "AttributeReference":
+            return True
+        return name == "Alias" and e.child().getClass().getSimpleName() == "AttributeReference"
+
+    try:
+        node = df._jdf.queryExecution().optimizedPlan()
+        while True:
+            kind = node.getClass().getSimpleName()
+            if kind == "Project":
+                exprs = node.projectList()
+                if not all(plain(exprs.apply(i)) for i in range(exprs.size())):
+                    return False
+            elif kind != "Filter":
+                break
+            node = node.child()
+        return node.getClass().getSimpleName() == "LogicalRelation"
+    except Exception:  # noqa: BLE001 - plan introspection is best effort
+        return False
+
+
+def materialize(df: DataFrame, name: str, force: bool = False) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint directory and read it
     back, cutting the lineage. Survives executor loss (files are on shared storage)
-    and makes non-repeatable stages (model calls) run exactly once per row set."""
+    and makes non-repeatable stages (model calls) run exactly once per row set
+    (use ``force=True`` for those). A plain file scan is returned as is."""
+    if not force and _is_scan(df):
+        return df
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = os.path.join(base, f"{name}-{uuid.uuid4().hex}") if "://" not in base else f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
