@@ -95,11 +95,14 @@ def _dir_and_name(df: DataFrame) -> DataFrame:
 
 
 def directory_tree(files: DataFrame, changes: DataFrame | None = None,
-                   keys: Sequence[str] = ("corpus_id",)) -> DataFrame:
+                   keys: Sequence[str] = ("corpus_id",),
+                   max_tree_bytes: int = 4 * O.CONTEXT_LIMIT_TOKENS) -> DataFrame:
     """Sorted directories, each with its sorted file names and
     change labels (deleted files listed in their directory).
 
     Two-level aggregation: names into a directory block, blocks into a tree.
+    A tree larger than ``max_tree_bytes`` (about the model context) is not
+    assembled (``tree`` NULL): it could not be sent in any prompt.
     Returns keys + tree, n_dirs."""
     k = list(keys)
     f = files.select(*k, "path", F.lit(None).cast("string").alias("status"))
@@ -112,8 +115,13 @@ def directory_tree(files: DataFrame, changes: DataFrame | None = None,
     line = F.concat(F.lit("  "), F.col("name"), T.tree_status("status"))
     per_dir = f.groupBy(*k, "dir").agg(_ordered_join(line, "\n", F.col("path")).alias("_lines"))
     block = F.concat(F.col("dir"), F.lit("/\n"), F.col("_lines"))
-    return per_dir.groupBy(*k).agg(_ordered_join(block, "\n", F.col("dir")).alias("tree"),
+    per_dir = per_dir.withColumn("_block", block)
+    size = per_dir.groupBy(*k).agg(F.sum(F.octet_length("_block") + 1).alias("_bytes"),
                                    F.count(F.lit(1)).cast("bigint").alias("n_dirs"))
+    small = size.where(F.col("_bytes") <= F.lit(max_tree_bytes)).select(*k)
+    trees = per_dir.join(small, k, "left_semi").groupBy(*k).agg(
+        _ordered_join(F.col("_block"), "\n", F.col("dir")).alias("tree"))
+    return size.join(trees, k, "left").select(*k, "tree", "n_dirs")
 
 
 def shard_directory_tree(files: DataFrame, shard_files: DataFrame,
