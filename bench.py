@@ -22,7 +22,6 @@ from pyspark.sql import functions as F  # noqa: E402
 from corpusflow.fixtures import registry as REG  # noqa: E402
 from corpusflow.fixtures import views as V  # noqa: E402
 from corpusflow.operators import context as X  # noqa: E402
-from corpusflow.operators import hits as H  # noqa: E402
 from corpusflow.operators import requests as R  # noqa: E402
 from corpusflow.operators import shards as S  # noqa: E402
 from corpusflow.plans.refresh import refresh  # noqa: E402

@@ -93,20 +93,18 @@ def render_file(path, content, n_lines, tag=None) -> Column:
     """File block: header with path, optional tag and line span, then numbered lines."""
     label = F.lit("") if tag is None else F.when(_c(tag).isNull(), F.lit("")).otherwise(
         F.concat(F.lit(" ["), _c(tag), F.lit("]")))
-    return F.concat(
-        F.lit("--- "), _c(path), label, F.lit(" (lines 1-"), _c(n_lines).cast("string"),
-        F.lit(") ---\n"), number_lines(content),
-    )
+    head = F.format_string(O.FMT_FILE_HEADER, _c(path), label, _c(n_lines).cast("string"))
+    return F.concat(head, F.lit("\n"), number_lines(content))
 
 
 def deleted_marker(path) -> Column:
-    return F.concat(F.lit("--- "), _c(path), F.lit(" [DELETED] ---"))
+    return F.format_string(O.FMT_DELETED_MARKER, _c(path))
 
 
 def tree_status(status) -> Column:
     s = _c(status)
-    return (F.when(s.isin("modified", "added"), F.lit(" [CHANGED]"))
-            .when(s == "deleted", F.lit(" [DELETED]"))
+    return (F.when(s.isin("modified", "added"), F.lit(O.LABEL_CHANGED))
+            .when(s == "deleted", F.lit(O.LABEL_DELETED))
             .otherwise(F.lit("")))
 
 

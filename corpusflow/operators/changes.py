@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 
 MODIFIED, ADDED, DELETED, UNCHANGED = "modified", "added", "deleted", "unchanged"
-#: Order of change classes in a change context: modified, then added, then deleted.
-STATUS_ORDER = {MODIFIED: 0, ADDED: 1, DELETED: 2, UNCHANGED: 3}
 
 
 def status_rank(status) -> Column:

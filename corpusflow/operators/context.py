@@ -83,7 +83,7 @@ def change_context(changes: DataFrame, files: DataFrame,
     ch = changes.where(F.col("status").isin(MODIFIED, ADDED, DELETED))
     j = ch.join(files.select("corpus_id", "path", "content", "n_lines"), ["corpus_id", "path"], "left")
     block = F.when(F.col("status") == DELETED, T.deleted_marker("path")) \
-             .otherwise(T.render_file("path", "content", "n_lines", F.lit("UPDATED")))
+             .otherwise(T.render_file("path", "content", "n_lines", F.lit(O.TAG_UPDATED)))
     j = j.where((F.col("status") == DELETED) | F.col("content").isNotNull())
     return j.groupBy(*keys).agg(
         _ordered_join(block, "\n\n", status_rank("status"), F.col("path")).alias("change_text"),
@@ -149,10 +149,10 @@ def shard_directory_tree(files: DataFrame, shard_files: DataFrame,
                  .join(own_dirs, ["corpus_id", "shard_id", "dir"], "left")
     other = F.col("_total") - F.coalesce(F.col("_own"), F.lit(0))
     block = (F.when(F.col("_own").isNull(),
-                    F.concat(F.col("dir"), F.lit("/ ("), other.cast("string"), F.lit(" files, other shards)")))
+                    F.format_string(O.FMT_OTHER_SHARDS_DIR, F.col("dir"), other.cast("string")))
              .otherwise(F.concat(F.col("dir"), F.lit("/\n"), F.col("_names"),
-                                 F.when(other > 0, F.concat(F.lit("\n  ("), other.cast("string"),
-                                                            F.lit(" more files, other shards)")))
+                                 F.when(other > 0, F.concat(F.lit("\n"), F.format_string(
+                                     O.FMT_OTHER_SHARDS_MORE, other.cast("string"))))
                                  .otherwise(F.lit("")))))
     trees = grid.groupBy("corpus_id", "shard_id").agg(_ordered_join(block, "\n", F.col("dir")).alias("tree"))
     return shards.join(trees, ["corpus_id", "shard_id"], "left") \

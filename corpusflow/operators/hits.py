@@ -123,8 +123,9 @@ def cut_snippets(ranges: DataFrame, files: DataFrame) -> DataFrame:
                     (F.col("end_line") - F.col("start_line") + 1).cast("int"))
     body = F.array_join(F.transform(lines, lambda x, i: F.concat((i + F.col("start_line")).cast("string"),
                                                                 F.lit("\t"), x)), "\n")
-    snip = F.concat(F.lit("--- "), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"),
-                    F.col("end_line").cast("string"), F.lit(" ---\n"), body)
+    head = F.format_string(O.FMT_SNIPPET_HEADER, F.col("path"), F.col("start_line").cast("string"),
+                           F.col("end_line").cast("string"))
+    snip = F.concat(head, F.lit("\n"), body)
     return j.withColumn("snippet", snip).drop("content")
 
 
@@ -138,9 +139,9 @@ def outcome_summary(responses: DataFrame) -> DataFrame:
     the overall error flag (set only when every shard failed).
 
     ``responses``: query_id, shard_id, shard_ord, prefix, error (NULL when ok)."""
-    line = F.concat(F.lit('[shard "'), F.col("shard_id"), F.lit('" ('),
-                    F.when(F.coalesce(F.col("prefix"), F.lit("")) == "", F.col("shard_id")).otherwise(F.col("prefix")),
-                    F.lit(")]: "), F.col("error"))
+    line = F.format_string(O.FMT_SHARD_ERROR, F.col("shard_id"),
+                           F.when(F.coalesce(F.col("prefix"), F.lit("")) == "", F.col("shard_id"))
+                           .otherwise(F.col("prefix")), F.col("error"))
     r = responses.withColumn("_line", F.when(F.col("error").isNotNull(), line))
     agg = r.groupBy("query_id").agg(
         F.count_if(F.col("error").isNull()).cast("bigint").alias("n_ok"),
@@ -173,5 +174,6 @@ def render_outcome(outcome: DataFrame, n_merged: DataFrame, snippets: DataFrame)
                    F.when(F.col("n_failed") > 0, F.concat(F.lit(O.SHARD_ERRORS_HEADER), F.col("errors")))
                    .otherwise(F.lit("")))
     # a one-shard (__all__) corpus answers a failure with the bare error
-    out = F.when(F.col("single_error").isNotNull(), F.concat(F.lit("Error: "), F.col("single_error"))).otherwise(out)
+    out = F.when(F.col("single_error").isNotNull(),
+                 F.concat(F.lit(O.ERROR_PREFIX), F.col("single_error"))).otherwise(out)
     return j.select("query_id", out.alias("text"), "is_error", "n_ok", "n_failed", n.alias("n_results"))

@@ -15,7 +15,7 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import options as O
@@ -56,9 +56,9 @@ def resolve_attempts(attempts: DataFrame, max_attempts: int = O.MAX_ATTEMPTS) ->
     j = a.join(agg, "request_id").where(F.col("attempt") == F.coalesce("_t", "_last"))
     ok = F.coalesce(F.col("status_code") == 200, F.lit(False))
     err = (F.when(ok, F.lit(None).cast("string"))
-           .when(F.col("_t").isNotNull(), F.concat(F.lit("API error "), F.col("status_code").cast("string"),
-                                                   F.lit(": "), F.col("message")))
-           .otherwise(F.concat(F.lit(f"Failed after {max_attempts} retries: "), F.col("message"))))
+           .when(F.col("_t").isNotNull(), F.format_string(O.FMT_API_ERROR, F.col("status_code").cast("string"),
+                                                          F.col("message")))
+           .otherwise(F.format_string(O.FMT_RETRIES_EXHAUSTED, F.lit(str(max_attempts)), F.col("message"))))
     return j.select("request_id", F.col("attempt").alias("final_attempt"), "status_code",
                     F.when(ok, "ok").otherwise("failed").alias("outcome"), err.alias("error"),
                     F.when(F.col("_t").isNull() & ~ok, True).otherwise(False).alias("exhausted"))
@@ -88,7 +88,7 @@ def reassemble_chunks(chunks: DataFrame) -> DataFrame:
         cat("tool_delta").alias("tool_text"), cat("content_delta").alias("content_text"),
         F.max_by(F.col("usage"), F.when(F.col("usage").isNotNull(), F.col("chunk_no"))).alias("usage"),
         F.count(F.lit(1)).cast("bigint").alias("n_chunks"))
-    return out.withColumn("error", F.when(F.col("usage").isNull(), F.lit("No usage data in stream response")))
+    return out.withColumn("error", F.when(F.col("usage").isNull(), F.lit(O.MSG_NO_USAGE)))
 
 
 # -- L2: responders ------------------------------------------------------------
@@ -115,28 +115,28 @@ def call_with_retries(responder: Responder, messages: list[dict], max_attempts:
         try:
             out = responder(messages)
             if not out.get("usage"):
-                raise ResponderError("No usage data in stream response")
+                raise ResponderError(O.MSG_NO_USAGE)
             args = out.get("arguments") or ""
             if args:
                 try:
                     json.loads(args)
                 except ValueError:
-                    raise ResponderError(f"Failed to parse tool call arguments: {args[:200]}")
+                    raise ResponderError(O.FMT_PARSE_FAILURE % args[:200])
                 return {"arguments": args, "usage": out["usage"], "attempts": attempt, "error": None}
             last = "no tool call"
         except ResponderError as e:
             if e.status is not None and e.status not in O.RETRYABLE_STATUS:
                 return {"arguments": None, "usage": None, "attempts": attempt,
-                        "error": f"API error {e.status}: {e}"}
+                        "error": O.FMT_API_ERROR % (e.status, e)}
             last = str(e)
             if attempt == max_attempts:
                 return {"arguments": None, "usage": None, "attempts": attempt,
-                        "error": f"Failed after {max_attempts} retries: {e}"}
+                        "error": O.FMT_RETRIES_EXHAUSTED % (max_attempts, e)}
         if sleep and attempt < max_attempts:
             base = min(O.BACKOFF_BASE_MS * 2 ** (attempt - 1), O.BACKOFF_CAP_MS)
             time.sleep(round(base + rng.random() * base * O.BACKOFF_JITTER) / 1000.0)
     return {"arguments": None, "usage": None, "attempts": max_attempts,
-            "error": f"no tool call after {max_attempts} attempts" if last == "no tool call" else last}
+            "error": O.FMT_NO_TOOL_CALL % max_attempts if last == "no tool call" else last}
 
 
 RESPONSE_SCHEMA = ("query_id long, corpus_id string, shard_id string, shard_ord int, attempts int, "

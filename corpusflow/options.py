@@ -90,10 +90,26 @@ PRICES: tuple[tuple[str, float, float, float], ...] = (
     ("deepseek-v4-pro", 0.025, 3.0, 6.0),
 )
 
-#: Status notices of the rendered outcome.
+#: Output texts. They must read the same as the reference's, so they are fixed
+#: values; patterns are printf-style (Spark's ``format_string`` and Python ``%``).
 NOTICE_NO_RESULTS = "No matching code found."
 NOTICE_NONE_KNOWN = "No matching files found in snapshot."
 SHARD_ERRORS_HEADER = "\n\n--- Shard Errors ---\n"
+FMT_FILE_HEADER = "--- %s%s (lines 1-%s) ---"
+FMT_DELETED_MARKER = "--- %s [DELETED] ---"
+TAG_UPDATED = "UPDATED"
+LABEL_CHANGED = " [CHANGED]"
+LABEL_DELETED = " [DELETED]"
+FMT_OTHER_SHARDS_DIR = "%s/ (%s files, other shards)"
+FMT_OTHER_SHARDS_MORE = "  (%s more files, other shards)"
+FMT_SNIPPET_HEADER = "--- %s:%s-%s ---"
+FMT_SHARD_ERROR = '[shard "%s" (%s)]: %s'
+FMT_API_ERROR = "API error %s: %s"
+FMT_RETRIES_EXHAUSTED = "Failed after %s retries: %s"
+FMT_NO_TOOL_CALL = "no tool call after %s attempts"
+FMT_PARSE_FAILURE = "Failed to parse tool call arguments: %s"
+MSG_NO_USAGE = "No usage data in stream response"
+ERROR_PREFIX = "Error: "
 
 
 @dataclass(frozen=True)

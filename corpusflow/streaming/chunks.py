@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusflow import options as O
+
 OUTPUT_SCHEMA = ("request_id long, tool_text string, content_text string, n_chunks long, "
                  "prompt_tokens long, prompt_cache_hit_tokens long, prompt_cache_miss_tokens long, "
                  "completion_tokens long, reasoning_tokens long, error string")
@@ -44,7 +46,7 @@ def _make_fn(timeout_ms: int):
         if state.hasTimedOut:
             parts_s, n, usage_s = state.get
             state.remove()
-            yield _emit(rid, json.loads(parts_s), n, None, "No usage data in stream response")
+            yield _emit(rid, json.loads(parts_s), n, None, O.MSG_NO_USAGE)
             return
         parts, n, usage = [], 0, None
         if state.exists:

@@ -11,7 +11,6 @@ skipped, so a batch never applies twice.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusflow import options as O
 from corpusflow.plans.refresh import refresh

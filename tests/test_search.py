@@ -66,7 +66,6 @@ def test_retries_recover(spark):
 def test_incremental_search_reuses_bases(spark):
     """Second search on edited files: shards under the threshold reuse the stored
     base text plus a change context; answers still equal a scan of current files."""
-    from corpusflow.sources import state as ST
     v1, v2 = V.files(spark, SF_MID, "v1"), V.files(spark, SF_MID, "v2")
     req = V.requests(spark, SF_MID)
     first = search(req, v1, R.PassageLocator(), budget=4000, snapshot_ts=1)
