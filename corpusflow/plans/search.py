@@ -42,6 +42,8 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     spark = files.sparkSession
     if "commit_time" not in files.columns:
         files = files.withColumn("commit_time", F.lit(0).cast("bigint"))
+    # about seven consumers read the snapshot: compute it once (a plain table scan is kept as is)
+    files = materialize(files, "snapshot")
     if stored_plan is None:
         stored_plan = spark.createDataFrame([], "corpus_id string, shard_id string, prefix string, shard_ord int")
     if base_shards is None:

@@ -64,13 +64,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _is_scan(df: DataFrame) -> bool:
-    """True when ``df`` only selects, renames or filters columns of a file scan
-    (re-reading it is as cheap as reading a copy); computed columns do not count."""
+    """True when ``df`` only selects, renames or filters columns of a file scan, or
+    adds constants (re-reading it is as cheap as reading a copy); computed
+    columns do not count."""
     def plain(e) -> bool:
         name = e.getClass().getSimpleName()
         if name == "AttributeReference":
             return True
-        return name == "Alias" and e.child().getClass().getSimpleName() == "AttributeReference"
+        return name == "Alias" and e.child().getClass().getSimpleName() in ("AttributeReference", "Literal")
 
     try:
         node = df._jdf.queryExecution().optimizedPlan()
