@@ -952,12 +952,15 @@ def base_record(spark, sf):
     stored = V.stored_plan(spark, sf, 4000)
     base_files = S.restrict_to_shard(v1, S.plan_shards(v1, 4000)).select("corpus_id", "shard_id", "path", "hash", "tokens")
     base_shards = base_files.groupBy("corpus_id", "shard_id").agg(F.sum("tokens").cast("bigint").alias("base_token_count"))
-    sfi = S.resolve_plan(v2, stored, 4000)
-    dec = refresh_decisions(v2, stored, base_shards, base_files.drop("tokens"), 4000, 0.1, shard_files=sfi)
+    from corpusflow.session import materialize
+    sfi = materialize(S.resolve_plan(v2, stored, 4000), "shard_files")
+    dec = materialize(refresh_decisions(v2, stored, base_shards, base_files.drop("tokens"), 4000, 0.1,
+                                        shard_files=sfi), "decisions")
     timed = v2.withColumn("commit_time", F.floor(F.col("mtime_ms") / 1000).cast("bigint"))
     rebuild = dec.where("needs_rebuild").select("corpus_id", "shard_id")
     members = S.restrict_to_shard(timed, sfi.drop("tokens")).join(rebuild, ["corpus_id", "shard_id"], "left_semi")
-    ctx = X.base_context(members, budget=4000)
+    ctx = X.base_context(members, budget=4000,
+                         shard_tokens=dec.where("needs_rebuild").select("corpus_id", "shard_id", "tokens", "n_files"))
     shards, files = ST.base_record(members, ctx, dec, rebuild, snapshot_ts=2)
     n = files.groupBy("corpus_id", "shard_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
     return shards.join(n, ["corpus_id", "shard_id"]).select(

@@ -50,12 +50,15 @@ def files(spark: SparkSession, sf_dir: str, version: str | None = None) -> DataF
         mtime = F.when(did % 10 == 7, mtime + F.lit(86_400_000)).otherwise(mtime)
     out = d.select(F.col("lang").alias("corpus_id"), doc_path(did, F.col("source")).alias("path"),
                    did.alias("doc_id"), content.alias("content"), mtime.cast("bigint").alias("mtime_ms"))
-    return out.select("corpus_id", "path", "doc_id", "content",
+    snap = out.select("corpus_id", "path", "doc_id", "content",
                       T.content_hash("content").alias("hash"),
                       T.proxy_tokens("content").alias("tokens"),
                       T.line_count("content").alias("n_lines"),
                       "mtime_ms",
                       F.octet_length("content").cast("bigint").alias("size"))
+    # a snapshot is a stored table: write it once so its consumers do not re-hash contents
+    from corpusflow.session import materialize
+    return materialize(snap, f"files_{version or 'all'}")
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,8 @@ def file_blocks(files: DataFrame, tag: Column | None = None) -> DataFrame:
 
 
 def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "shard_id"),
-                 budget: int | None = None, max_text_tokens: int = O.CONTEXT_LIMIT_TOKENS) -> DataFrame:
+                 budget: int | None = None, max_text_tokens: int = O.CONTEXT_LIMIT_TOKENS,
+                 shard_tokens: DataFrame | None = None) -> DataFrame:
     """All file blocks of a shard, oldest commit first (ties by path),
     separated by a blank line.
 
@@ -60,10 +61,16 @@ def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "sh
     directory of direct files); ``oversize`` flags them. A text is assembled
     only up to ``max_text_tokens`` (the model context): beyond it no prompt can
     be answered, so ``base_text`` is NULL instead of one task collecting an
-    unbounded group (the blocks stay available from :func:`file_blocks`)."""
+    unbounded group (the blocks stay available from :func:`file_blocks`).
+    ``shard_tokens`` (keys + tokens, n_files), when the plan already has them,
+    saves a second pass over the content-bearing rows."""
     k = list(keys)
-    sizes = shard_files.groupBy(*k).agg(F.sum("tokens").cast("bigint").alias("base_token_count"),
-                                        F.count(F.lit(1)).cast("bigint").alias("n_files"))
+    if shard_tokens is not None:
+        sizes = shard_tokens.select(*k, F.col("tokens").cast("bigint").alias("base_token_count"),
+                                    F.col("n_files").cast("bigint").alias("n_files"))
+    else:
+        sizes = shard_files.groupBy(*k).agg(F.sum("tokens").cast("bigint").alias("base_token_count"),
+                                            F.count(F.lit(1)).cast("bigint").alias("n_files"))
     fit = sizes.where(F.col("base_token_count") <= F.lit(max_text_tokens)).select(*k)
     blocks = file_blocks(shard_files.join(fit, k, "left_semi"))
     text = blocks.groupBy(*k).agg(

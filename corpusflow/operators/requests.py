@@ -203,6 +203,8 @@ def run_requests(request_shards: DataFrame, contexts: DataFrame, trees: DataFram
            .withColumn("bucket", F.explode(F.sequence(F.lit(0), (F.col("_nb") - 1).cast("int"))))
            .drop("_nb"))
     keys = ["corpus_id", "shard_id", "bucket"]
+    # both sides usually descend from the same plan table: fresh column ids keep the cogroup unambiguous
+    ctx = ctx.select(*[F.col(c).alias(c) for c in ctx.columns])
     fn = _make_group_fn(responder, max_attempts, sleep)
     return rs.groupBy(*keys).cogroup(ctx.groupBy(*keys)).applyInPandas(fn, RESPONSE_SCHEMA)
 

@@ -68,7 +68,9 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
                         if "mtime_ms" in snap.columns else F.lit(0).cast("bigint"))
     rebuild = dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id")
     members = S.restrict_to_shard(timed, sf.drop("tokens")).join(rebuild, ["corpus_id", "shard_id"], "left_semi")
-    ctx = X.base_context(members, budget=budget)
+    ctx = X.base_context(members, budget=budget,
+                         shard_tokens=dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id", "tokens",
+                                                                               "n_files"))
     success = rebuild  # a refresh has no model answer to wait for
     new_shards, new_files = ST.base_record(members, ctx, dec, success, snapshot_ts)
     won_shards, won_files = ST.upsert_base(old_shards, new_shards, old_files, new_files)

@@ -57,7 +57,9 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     members = S.restrict_to_shard(files, sf.drop("tokens"))
 
     rebuild = dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id")
-    fresh_ctx = X.base_context(members.join(rebuild, ["corpus_id", "shard_id"], "left_semi"), budget=budget) \
+    rebuild_tokens = dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id", "tokens", "n_files")
+    fresh_ctx = X.base_context(members.join(rebuild, ["corpus_id", "shard_id"], "left_semi"), budget=budget,
+                               shard_tokens=rebuild_tokens) \
         .select("corpus_id", "shard_id", "base_text", F.lit(None).cast("string").alias("change_text"))
     reuse = dec.where(~F.col("needs_rebuild")).select("corpus_id", "shard_id")
     cur = members.select("corpus_id", "shard_id", "path", "hash", "tokens")
