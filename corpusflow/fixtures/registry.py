@@ -233,9 +233,10 @@ _V12 = [D.files_cte("files_v1", "v1"), D.files_cte("files_v2", "v2")]
 
 
 def _corpus_changes(spark, sf):
+    from corpusflow.session import materialize
     cur = V.files(spark, sf, "v2").withColumn("shard_id", F.lit(O.ALL_SHARD))
     base = V.files(spark, sf, "v1").withColumn("shard_id", F.lit(O.ALL_SHARD))
-    return cur, base, C.detect_changes(cur, base)
+    return cur, base, materialize(C.detect_changes(cur, base), "changes")
 
 
 @query("changes", D.with_(*_V12, _CHANGES) + "SELECT corpus_id, shard_id, path, status, tokens FROM changes")
@@ -419,9 +420,10 @@ FROM (SELECT s.corpus_id, s.shard_id,
       GROUP BY s.corpus_id, s.shard_id)""")
 def base_context_hash(spark, sf):
     """Shard base texts (oldest first, ties by path), as hash and size."""
+    from corpusflow.session import materialize
     f = V.files(spark, sf)
     ct = CL.parse_commit_log(V.commit_lines(spark, sf))  # different corpora: every file falls back to mtime
-    f = CL.attach_commit_time(f, ct)
+    f = materialize(CL.attach_commit_time(f, ct), "timed_files")
     sfi = S.restrict_to_shard(f, S.plan_shards(f, 4000))
     bc = X.base_context(sfi, budget=4000)
     return bc.select("corpus_id", "shard_id", *_hash_bytes("base_text", "text"), "base_token_count", "n_files")
@@ -522,7 +524,9 @@ SELECT rs.query_id, rs.corpus_id, rs.shard_id, CAST(3 AS BIGINT) AS n_messages,
 FROM rs JOIN bt USING (corpus_id, shard_id)""")
 def messages(spark, sf):
     """Message rows; shard turns once per shard, joined per request here for the check."""
-    f = CL.attach_commit_time(V.files(spark, sf), CL.parse_commit_log(V.commit_lines(spark, sf)))
+    from corpusflow.session import materialize
+    f = materialize(CL.attach_commit_time(V.files(spark, sf), CL.parse_commit_log(V.commit_lines(spark, sf))),
+                    "timed_files")
     sfi = S.plan_shards(f, 4000)
     plan = S.plan_table(sfi)
     rs = R.prune_by_scope(V.requests(spark, sf), plan)

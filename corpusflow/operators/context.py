@@ -184,14 +184,15 @@ def assemble_messages(request_shards: DataFrame, contexts: DataFrame, turns: Dat
     shard with query_id NULL and referenced by shard key; only the query turn is
     per request. ``contexts``: corpus_id, shard_id, sharded, base_text, change_text."""
     instr = F.when(F.col("sharded"), F.lit(SHARDED_INSTRUCTIONS)).otherwise(F.lit(SINGLE_INSTRUCTIONS))
-    c = contexts
-    shard_rows = (c.select("corpus_id", "shard_id", F.lit(0).alias("turn"), instr.alias("content"))
-                  .unionByName(c.select("corpus_id", "shard_id", F.lit(1).alias("turn"),
-                                        F.coalesce("base_text", F.lit("")).alias("content")))
-                  .unionByName(c.where(F.coalesce(F.col("change_text"), F.lit("")) != "")
-                               .select("corpus_id", "shard_id", F.lit(2).alias("turn"),
-                                       F.col("change_text").alias("content"))))
-    shard_rows = shard_rows.withColumn("query_id", F.lit(None).cast("bigint"))
+    delta = F.when(F.coalesce(F.col("change_text"), F.lit("")) != "", F.col("change_text"))
+    # one pass over the contexts: the shard-level turns come out of one exploded array
+    parts = F.array(F.struct(F.lit(0).alias("turn"), instr.alias("content")),
+                    F.struct(F.lit(1).alias("turn"), F.coalesce("base_text", F.lit("")).alias("content")),
+                    F.struct(F.lit(2).alias("turn"), delta.alias("content")))
+    shard_rows = (contexts.select("corpus_id", "shard_id", F.explode(parts).alias("m"))
+                  .select("corpus_id", "shard_id", "m.turn", "m.content")
+                  .where((F.col("turn") != 2) | F.col("content").isNotNull())
+                  .withColumn("query_id", F.lit(None).cast("bigint")))
     q = turns.select("query_id", "corpus_id", "shard_id", F.lit(3).alias("turn"),
                      F.col("query_turn").alias("content"))
     return shard_rows.unionByName(q).withColumn("role", F.lit("user"))
