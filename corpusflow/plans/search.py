@@ -33,13 +33,28 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
            threshold: float = O.DEFAULT_CHANGE_THRESHOLD, stored_plan: DataFrame | None = None,
            base_shards: DataFrame | None = None, base_files: DataFrame | None = None,
            snapshot_ts: int = 0, max_attempts: int = O.MAX_ATTEMPTS,
-           requests_per_group: int = 64) -> dict[str, DataFrame]:
+           requests_per_group: int = 64, state_root: str | None = None) -> dict[str, DataFrame]:
     """``requests``: query_id, corpus_id, query, scope, file_types.
     ``files``: corpus_id, path, content, hash, tokens, n_lines[, commit_time].
     Returns answers (query_id, text, is_error, n_ok, n_failed, n_results) and the
-    intermediate tables (plan, responses, ranges, usage, new bases)."""
+    intermediate tables (plan, responses, ranges, usage, new bases).
+
+    With ``state_root`` the stored plan and bases are read from there (unless
+    given) and the next state version is written after the answers: the new
+    plan always, new bases only for rebuilt shards that answered (newest wins),
+    bases of shards no longer planned dropped; corpora not in ``files`` keep
+    their state."""
     from corpusflow.plans.refresh import refresh_decisions
     spark = files.sparkSession
+    if state_root is not None:
+        corpora = files.select("corpus_id").distinct()
+        if stored_plan is None:
+            stored_plan = ST.read_state(spark, state_root, "shard_plan") \
+                .select("corpus_id", "shard_id", "prefix", "shard_ord").join(corpora, "corpus_id", "left_semi")
+        if base_shards is None:
+            base_shards = ST.read_state(spark, state_root, "base_shards").join(corpora, "corpus_id", "left_semi")
+        if base_files is None:
+            base_files = ST.read_state(spark, state_root, "base_files").join(corpora, "corpus_id", "left_semi")
     if "commit_time" not in files.columns:
         files = files.withColumn("commit_time", F.lit(0).cast("bigint"))
     # about seven consumers read the snapshot: compute it once (a plain table scan is kept as is)
@@ -99,5 +114,22 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     usage = U.usage_summary(responses, ["query_id"])
     ok = responses.where(F.col("error").isNull()).select("corpus_id", "shard_id").distinct()
     new_shards, new_files = ST.base_record(members, fresh_ctx, dec, ok, snapshot_ts)
+    if state_root is not None:
+        _save_state(state_root, files, dec, base_shards, base_files, new_shards, new_files, snapshot_ts)
     return {"answers": answers, "plan": dec, "responses": responses, "ranges": ranges, "usage": usage,
             "new_base_shards": new_shards, "new_base_files": new_files}
+
+
+def _save_state(state_root, files, dec, old_shards, old_files, new_shards, new_files, snapshot_ts):
+    """A9 upsert, A11 prune, A10 plan write, as one new state version."""
+    spark = files.sparkSession
+    corpora = files.select("corpus_id").distinct()
+    won_shards, won_files = ST.upsert_base(old_shards, new_shards, old_files, new_files)
+    won_shards, won_files = ST.prune_base(won_shards, dec), ST.prune_base(won_files, dec)
+    hashes = S.plan_hash(dec)
+    plan_rows = dec.select("corpus_id", "shard_id", "prefix", "shard_ord") \
+        .join(hashes.select("corpus_id", "plan_hash"), "corpus_id") \
+        .withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint"))
+    keep = {t: ST.read_state(spark, state_root, t).join(corpora, "corpus_id", "left_anti") for t in ST.TABLES}
+    ST.write_state(state_root, won_shards.unionByName(keep["base_shards"]),
+                   won_files.unionByName(keep["base_files"]), plan_rows.unionByName(keep["shard_plan"]))

@@ -95,3 +95,27 @@ def test_incremental_search_reuses_bases(spark):
     assert got == sorted(exp)
     # only rebuilt shards get new bases
     assert second["new_base_shards"].count() == dec.where("needs_rebuild").count()
+
+
+def test_search_persists_state(spark, tmpdir_path):
+    import os
+    from corpusflow.sources import state as ST
+    root = os.path.join(tmpdir_path, "state")
+    files = V.files(spark, SF_SMALL)
+    req = V.requests(spark, SF_SMALL)
+    first = search(req, files, R.PassageLocator(), budget=1500, state_root=root, snapshot_ts=1)
+    first["answers"].count()
+    assert ST.versions(spark, root) == [1]
+    plan = ST.read_state(spark, root, "shard_plan")
+    bases = ST.read_state(spark, root, "base_shards")
+    # bases only for shards that were asked and answered (scope pruning skips some)
+    asked = first["responses"].where("error IS NULL").select("corpus_id", "shard_id").distinct()
+    assert bases.count() == asked.count() <= plan.count()
+    second = search(req, files, R.PassageLocator(), budget=1500, state_root=root, snapshot_ts=2)
+    dec = second["plan"]
+    reused = dec.where(~F.col("needs_rebuild")).select("corpus_id", "shard_id")
+    # every shard that has a base and kept its id is reused, not rebuilt
+    kept = bases.join(dec.select("corpus_id", "shard_id"), ["corpus_id", "shard_id"], "left_semi")
+    assert reused.count() == kept.count() > 0
+    assert sorted(tuple(r) for r in second["ranges"].collect()) == sorted(tuple(r) for r in first["ranges"].collect())
+    assert ST.versions(spark, root) == [1, 2]
