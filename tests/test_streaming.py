@@ -56,3 +56,30 @@ def test_refresh_stream_replay_is_noop(spark, tmpdir_path):
     refresh_batch(root, 1500, 0.1)(v1, 0)
     assert ST.versions(spark, root) == [1]
     assert ST.read_state(spark, root, "shard_plan").count() > 0
+
+
+def test_stream_timeout_reports_missing_usage(spark, tmpdir_path):
+    chunks = V.chunks(spark, SF_SMALL)
+    src = os.path.join(tmpdir_path, "chunks")
+    chunks.where(F.col("chunk_no") < 2).coalesce(1).write.parquet(os.path.join(src, "a"))
+    chunks.where(F.col("chunk_no") >= 2).coalesce(1).write.parquet(os.path.join(src, "b"))
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1) \
+                  .option("recursiveFileLookup", "true").parquet(src)
+    out = reassemble_stream(stream, timeout_ms=1)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    sink = os.path.join(tmpdir_path, "out")
+    q = out.writeStream.format("parquet").option("path", sink) \
+           .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    got = {r.request_id: r for r in spark.read.parquet(sink).collect()}
+    last = {r.request_id: r.m for r in chunks.groupBy("request_id").agg(F.max("chunk_no").alias("m")).collect()}
+    want = {r.request_id: r for r in R.reassemble_chunks(chunks).collect()}
+    # finished in the first batch: emitted with usage; stopped in the first batch without
+    # usage: timed out in the second batch with the error; still sending at the end: pending
+    for k, w in want.items():
+        if last[k] < 2 and w.usage is not None:
+            assert got[k].error is None and got[k].tool_text == w.tool_text
+        elif last[k] < 2:
+            assert got[k].error == "No usage data in stream response" and got[k].n_chunks == w.n_chunks
+    assert any(w.usage is None and last[k] < 2 for k, w in want.items())
