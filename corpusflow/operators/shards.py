@@ -36,6 +36,21 @@ _ORPHAN_GRP = "\u0000orphans"
 _FRESH_GRP = "\u0000fresh"
 
 
+#: Buckets for joins whose small side has one row per corpus or per shard while
+#: one key may hold a large share of the files.
+SALTS = 32
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join ``big`` (one row per file) to ``small`` (one row per key) when a key
+    may be hot: file rows are spread over ``salts`` buckets by a hash of the
+    path and the small side is replicated to every bucket (``salts`` times its
+    own size), so no single key's files meet in one task."""
+    b = big.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
+    sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return b.join(sm, list(keys) + ["_salt"], how).drop("_salt")
+
+
 def _segments(path, parent):
     rel = F.substring(path, F.length(parent) + 1, 1 << 30)
     return F.split(rel, "/")
@@ -125,7 +140,7 @@ def _finish(assigned: DataFrame) -> DataFrame:
            .agg(F.min("grp_rank").alias("_r"), F.min("path").alias("_p")))
     w = Window.partitionBy("corpus_id").orderBy("_r", "_p")
     ords = key.select("corpus_id", "shard_id", F.row_number().over(w).cast("int").alias("shard_ord"))
-    return assigned.join(ords, ["corpus_id", "shard_id"]).select(
+    return salted_join(assigned, ords, ["corpus_id", "shard_id"]).select(
         "corpus_id", "shard_id", "prefix", "shard_ord", "path", "tokens")
 
 
@@ -141,7 +156,7 @@ def plan_shards(files: DataFrame, budget: int) -> DataFrame:
     f = materialize(_check_reserved_dirs(files.select("corpus_id", "path", F.col("tokens").cast("bigint")
                                                       .alias("tokens"))), "plan_input")
     totals = f.groupBy("corpus_id").agg(F.sum("tokens").alias("_total"))
-    g = f.join(totals, "corpus_id")
+    g = salted_join(f, totals, ["corpus_id"])
     fits = g.where(F.col("_total") <= F.lit(budget)).select(
         "corpus_id", F.lit(0).cast("long").alias("grp_rank"), "path", "tokens",
         F.lit(O.ALL_SHARD).alias("shard_id"), F.lit("").alias("prefix"))
@@ -166,11 +181,13 @@ def claim_files(files: DataFrame, stored_plan: DataFrame) -> DataFrame:
     order = stored_claim_order(stored_plan)
     f = files.select("corpus_id", "path", F.col("tokens").cast("bigint").alias("tokens"))
     anc = explode_ancestors(f).select("corpus_id", "path", "tokens", "n_dirs", "prefix")
-    top = f.select("corpus_id", "path", "tokens", F.size(F.split("path", "/")).alias("_n"),
-                   F.lit("").alias("prefix")).select(
-        "corpus_id", "path", "tokens", (F.col("_n") - 1).cast("int").alias("n_dirs"), "prefix")
-    cand = anc.unionByName(top).join(order, ["corpus_id", "prefix"])
-    cand = cand.where((F.col("prefix") != "") | (F.col("shard_id") == O.ALL_SHARD) | (F.col("n_dirs") == 0))
+    dirs = anc.join(order.where(F.col("prefix") != ""), ["corpus_id", "prefix"])
+    # every file is a candidate of the empty prefix, a corpus-wide hot key: salt it
+    top = f.select("corpus_id", "path", "tokens", (F.size(F.split("path", "/")) - 1).cast("int").alias("n_dirs"))
+    roots = order.where(F.col("prefix") == "").select("corpus_id", "shard_id", "claim_rank")
+    tops = salted_join(top, roots, ["corpus_id"]).withColumn("prefix", F.lit("")) \
+        .where((F.col("shard_id") == O.ALL_SHARD) | (F.col("n_dirs") == 0))
+    cand = dirs.unionByName(tops)
     best = cand.groupBy("corpus_id", "path").agg(
         F.min_by(F.struct("shard_id", "prefix", "claim_rank", "tokens"), F.col("claim_rank")).alias("c"))
     return best.select("corpus_id", "path", "c.tokens", "c.shard_id", "c.prefix", "c.claim_rank")
@@ -201,7 +218,7 @@ def resolve_plan(files: DataFrame, stored_plan: DataFrame, budget: int) -> DataF
     # four consumers below: compute the claim (an exploded join) once
     claimed = materialize(claim_files(mine, stored_plan), "claimed")
     gtok = claimed.groupBy("corpus_id", "shard_id").agg(F.sum("tokens").alias("_gt"))
-    claimed = claimed.join(gtok, ["corpus_id", "shard_id"])
+    claimed = salted_join(claimed, gtok, ["corpus_id", "shard_id"])
     keep = claimed.where(F.col("_gt") <= F.lit(budget)).select(
         "corpus_id", F.col("claim_rank").alias("grp_rank"), "path", "tokens", "shard_id", "prefix")
     over = claimed.where(F.col("_gt") > F.lit(budget)).select(
