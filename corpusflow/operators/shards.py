@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow import options as O
+from corpusflow.operators.joins import salted_join
 from corpusflow.session import materialize
 
 #: Rank of the orphan group: after every stored shard.
@@ -36,21 +37,6 @@ _ORPHAN_GRP = "\u0000orphans"
 _FRESH_GRP = "\u0000fresh"
 
 
-#: Buckets for joins whose small side has one row per corpus or per shard while
-#: one key may hold a large share of the files.
-SALTS = 32
-
-
-def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join ``big`` (one row per file) to ``small`` (one row per key) when a key
-    may be hot: file rows are spread over ``salts`` buckets by a hash of the
-    path and the small side is replicated to every bucket (``salts`` times its
-    own size), so no single key's files meet in one task."""
-    b = big.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
-    sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(sm, list(keys) + ["_salt"], how).drop("_salt")
-
-
 def _segments(path, parent):
     rel = F.substring(path, F.length(parent) + 1, 1 << 30)
     return F.split(rel, "/")

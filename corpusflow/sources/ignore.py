@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
 from corpusflow import options as O
+from corpusflow.operators.joins import salted_join
 
 
 def glob_to_regex(pattern: str) -> tuple[str | None, bool, bool]:
@@ -113,7 +114,8 @@ def ignore_verdicts(files: DataFrame, rules: DataFrame) -> DataFrame:
     cand = files.select("corpus_id", "path", F.explode(F.sequence(F.lit(1), n)).alias("k"), segs.alias("_s"), n.alias("_n"))
     cand = cand.select("corpus_id", "path", F.array_join(F.slice("_s", F.lit(1), F.col("k")), "/").alias("cand"),
                        (F.col("k") < F.col("_n")).alias("is_dir"))
-    m = cand.join(compiled, "corpus_id").where(F.regexp_like(F.col("cand"), F.col("regex")) & (~F.col("dir_only") | F.col("is_dir")))
+    # many candidates per corpus against a few rules per corpus: salt the corpus key
+    m = salted_join(cand, compiled, ["corpus_id"]).where(F.regexp_like(F.col("cand"), F.col("regex")) & (~F.col("dir_only") | F.col("is_dir")))
     last = m.groupBy("corpus_id", "path", "cand").agg(F.max_by("negated", "ord").alias("neg"))
     hit = last.where(~F.col("neg")).groupBy("corpus_id", "path").agg(F.min("cand").alias("ignored_by"))
     return files.select("corpus_id", "path").join(hit, ["corpus_id", "path"], "left") \
