@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join ``big`` (one row per file) to ``small`` (one row per key) when a key
-    may be hot: file rows are spread over ``salts`` buckets by a hash of the
-    path and the small side is replicated to every bucket (``salts`` times its
-    own size), so no single key's files meet in one task."""
-    b = big.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
+def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", salts: int = SALTS,
+                spread: str = "path") -> DataFrame:
+    """Join ``big`` (many rows per key) to ``small`` (one row per key) when a key
+    may be hot: ``big`` rows are spread over ``salts`` buckets by a hash of the
+    ``spread`` column and the small side is replicated to every bucket
+    (``salts`` times its own size), so no single key's rows meet in one task."""
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(sm, list(keys) + ["_salt"], how).drop("_salt")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import options as O
 from corpusflow.functions import text as T
+from corpusflow.operators.joins import salted_join
 from corpusflow.operators.context import SHARDED_INSTRUCTIONS, SINGLE_INSTRUCTIONS
 
 TREE_MARK = "\u0000TREE\u0000"
@@ -34,7 +35,7 @@ def prune_by_scope(requests: DataFrame, plan: DataFrame) -> DataFrame:
     planned as one ``__all__`` shard (the single-shard path)."""
     n = plan.groupBy("corpus_id").agg(F.count(F.lit(1)).cast("bigint").alias("_n"),
                                       F.max(F.col("shard_id") == O.ALL_SHARD).alias("_single"))
-    p = plan.select("corpus_id", "shard_id", "prefix", "shard_ord").join(n, "corpus_id")
+    p = salted_join(plan.select("corpus_id", "shard_id", "prefix", "shard_ord"), n, ["corpus_id"], spread="shard_id")
     j = requests.join(p, (requests["corpus_id"] == p["corpus_id"])
                       & T.scope_matches(p["prefix"], requests["scope"]))
     return j.select(requests["*"], p["shard_id"], p["prefix"], p["shard_ord"],
@@ -193,8 +194,8 @@ def run_requests(request_shards: DataFrame, contexts: DataFrame, trees: DataFram
                             F.when(sharded, F.col("shard_id")), "n_shards").alias("turn"))
     counts = rs.groupBy("corpus_id", "shard_id").agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_c") / F.lit(requests_per_group))))
-    rs = rs.join(counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"]) \
-           .withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.col("_nb")).cast("int")).drop("_nb")
+    rs = salted_join(rs, counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"], spread="query_id") \
+        .withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.col("_nb")).cast("int")).drop("_nb")
     ctx = (contexts.select("corpus_id", "shard_id", "sharded", "base_text", "change_text")
            .join(trees.select("corpus_id", "shard_id", "tree",
                               (F.col("oversize") if "oversize" in trees.columns else F.lit(False))
