@@ -86,14 +86,19 @@ def split_groups(groups: DataFrame, budget: int) -> DataFrame:
     so direct children of the parent flow through the same aggregation."""
     keep = ("corpus_id", "grp", "grp_rank", "parent", "path", "tokens")
     anc = explode_ancestors(groups, parent="parent", keep=keep, with_self=True)
-    verdict = (anc.where(F.col("level") > 0).groupBy("corpus_id", "grp", "prefix")
-               .agg(F.sum("tokens").alias("_tok"), F.max("n_dirs").alias("_maxd"),
-                    F.min("level").alias("_lvl"))
-               .where((F.col("_tok") <= F.lit(budget)) | (F.col("_maxd") <= F.col("_lvl")))
-               .select("corpus_id", "grp", "prefix", F.col("_lvl").alias("ok_level")))
-    rows = (anc.join(verdict, ["corpus_id", "grp", "prefix"], "left")
+    ok = (anc.where(F.col("level") > 0).groupBy("corpus_id", "grp", "prefix")
+          .agg(F.sum("tokens").alias("_tok"), F.max("n_dirs").alias("_maxd"), F.min("level").alias("_lvl"))
+          .where((F.col("_tok") <= F.lit(budget)) | (F.col("_maxd") <= F.col("_lvl")))
+          .select("corpus_id", "grp", "prefix", F.col("_lvl").alias("ok_level")))
+    # acceptability is monotone along a path, so a file's shard is its one ancestor that
+    # is acceptable while its parent is not: keep only those roots (about one per shard)
+    up = F.when(F.col("ok_level") > 1, F.regexp_replace("prefix", r"[^/]*/$", ""))
+    with_up = ok.withColumn("_up", up)
+    parents = ok.select("corpus_id", "grp", F.col("prefix").alias("_up"))
+    roots = with_up.join(parents, ["corpus_id", "grp", "_up"], "left_anti").drop("_up")
+    rows = (salted_join(anc, roots, ["corpus_id", "grp", "prefix"], how="left")
             .groupBy("corpus_id", "grp", "path")
-            .agg(F.min("ok_level").alias("ok_level"), F.max("n_dirs").alias("n_dirs"),
+            .agg(F.max("ok_level").alias("ok_level"), F.max("n_dirs").alias("n_dirs"),
                  F.first("tokens").alias("tokens"), F.first("parent").alias("parent"),
                  F.first("grp_rank").alias("grp_rank")))
     segs = _segments(F.col("path"), F.col("parent"))
