@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusflow import options as O
 from corpusflow.functions import text as T
 from corpusflow.operators.changes import ADDED, DELETED, MODIFIED, status_rank
+from corpusflow.operators.joins import prefilter
 
 # Our own instruction wording for the first message of every request.
 SINGLE_INSTRUCTIONS = (
@@ -88,7 +89,8 @@ def change_context(changes: DataFrame, files: DataFrame,
     ``changes``: keys + path, status; ``files``: current files (corpus_id, path,
     content, n_lines). Returns keys + change_text, n_changes."""
     ch = changes.where(F.col("status").isin(MODIFIED, ADDED, DELETED))
-    j = ch.join(files.select("corpus_id", "path", "content", "n_lines"), ["corpus_id", "path"], "left")
+    live = prefilter(files.select("corpus_id", "path", "content", "n_lines"), ch, ["corpus_id", "path"])
+    j = ch.join(live, ["corpus_id", "path"], "left")
     block = F.when(F.col("status") == DELETED, T.deleted_marker("path")) \
              .otherwise(T.render_file("path", "content", "n_lines", F.lit(O.TAG_UPDATED)))
     j = j.where((F.col("status") == DELETED) | F.col("content").isNotNull())
