@@ -87,19 +87,19 @@ def path_parts(spark, sf):
                     T.normalize_path(messy).alias("normalized"))
 
 
-_RES = ("CASE WHEN doc_id % 7 = 0 THEN '.flashlight/' || path WHEN doc_id % 7 = 1 THEN 'x/.flashlight/' || path "
+_RES = ("CASE WHEN doc_id % 7 = 0 THEN '.corpusflow/' || path WHEN doc_id % 7 = 1 THEN 'x/.corpusflow/' || path "
         "ELSE path END")
 
 
 @query("reserved_files", D.with_(D.files_cte("files")) +
-       f"""SELECT corpus_id, p AS path, NOT (p LIKE '%/.flashlight/%') AS kept_walk
-       FROM (SELECT corpus_id, {_RES} AS p FROM files) WHERE NOT starts_with(p, '.flashlight/')""")
+       f"""SELECT corpus_id, p AS path, NOT (p LIKE '%/.corpusflow/%') AS kept_walk
+       FROM (SELECT corpus_id, {_RES} AS p FROM files) WHERE NOT starts_with(p, '.corpusflow/')""")
 def reserved_files(spark, sf):
     """A5: listing mode drops top-level state paths; walk mode any depth."""
     f = V.files(spark, sf)
     did = F.col("doc_id")
-    p = (F.when(did % 7 == 0, F.concat(F.lit(".flashlight/"), "path"))
-         .when(did % 7 == 1, F.concat(F.lit("x/.flashlight/"), "path")).otherwise(F.col("path")))
+    p = (F.when(did % 7 == 0, F.concat(F.lit(".corpusflow/"), "path"))
+         .when(did % 7 == 1, F.concat(F.lit("x/.corpusflow/"), "path")).otherwise(F.col("path")))
     f = f.select("corpus_id", p.alias("path"))
     listing = SF.exclude_reserved(f, anywhere=False)
     walk = SF.exclude_reserved(f, anywhere=True).select("corpus_id", "path", F.lit(True).alias("kept_walk"))

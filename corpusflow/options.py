@@ -60,9 +60,9 @@ DEFAULT_ALLOW_LIST: tuple[str, ...] = (
 )
 
 #: Directory holding the engine's own state inside a workspace (never indexed).
-RESERVED_PREFIXES: tuple[str, ...] = (".flashlight/",)
+RESERVED_PREFIXES: tuple[str, ...] = (".corpusflow/",)
 #: Directories always ignored by the directory walk.
-ALWAYS_IGNORED: tuple[str, ...] = (".git", ".flashlight")
+ALWAYS_IGNORED: tuple[str, ...] = (".git", ".corpusflow")
 
 DEFAULT_CHANGE_THRESHOLD = 0.1
 DEFAULT_MAX_CONTEXT_TOKENS = 900_000

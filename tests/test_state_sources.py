@@ -24,7 +24,7 @@ def test_scan_listing_snapshot(spark, tmpdir_path):
     write(root, "src/a.py", b"x = 1\r\ny = 2\n")
     write(root, "src/b.md", b"# doc")
     write(root, "README", b"none")
-    write(root, ".flashlight/base.json", b"{}")
+    write(root, ".corpusflow/base.json", b"{}")
     write(root, "lib/c.ts", b"\xff\xfe")
     raw = SF.scan_files(spark, root, "ws")
     got = sorted(r.path for r in raw.collect())
@@ -36,7 +36,7 @@ def test_scan_listing_snapshot(spark, tmpdir_path):
     assert sorted(rows) == ["lib/c.ts", "src/a.py"]
     assert rows["src/a.py"].content == "x = 1\ny = 2\n" and rows["src/a.py"].n_lines == 3
     # listing: trimmed, blanks dropped, state dir dropped, missing files skipped
-    listing = spark.createDataFrame([("ws", " src/a.py "), ("ws", ""), ("ws", ".flashlight/base.json"),
+    listing = spark.createDataFrame([("ws", " src/a.py "), ("ws", ""), ("ws", ".corpusflow/base.json"),
                                      ("ws", "gone.py"), ("ws", "src/a.py")], "corpus_id string, line string")
     assert sorted(r.path for r in SF.scan_listing(listing, raw).collect()) == ["src/a.py"]
 
