@@ -40,6 +40,10 @@ def _rows(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+          "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
 def compare(spark, sf_dir, names=None, verbose=True):
     import __spark_entry__ as E
     con = duckdb.connect()
@@ -54,6 +58,8 @@ def compare(spark, sf_dir, names=None, verbose=True):
         try:
             df = qs[name](spark, sf_dir)
             scols = df.columns
+            stypes = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                      for f in df.schema.fields}
             srows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
             results[name] = ("SPARK-ERROR", str(e)[:400])
@@ -67,19 +73,20 @@ def compare(spark, sf_dir, names=None, verbose=True):
         try:
             rel = con.sql(sqls[name])
             dcols = rel.columns
+            dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
             drows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             results[name] = ("SQL-ERROR", str(e)[:400])
             print(name, "SQL-ERROR", str(e)[:2000], flush=True)
             continue
-        ok_cols = sorted(scols) == sorted(dcols)
+        ok_cols = sorted(scols) == sorted(dcols) and stypes == dtypes
         a, b = _rows(scols, srows), _rows(dcols, drows)
         ok = ok_cols and a == b
         results[name] = ("OK" if ok else "MISMATCH", len(srows), len(drows))
         print(f"{name}: {'OK' if ok else 'MISMATCH'} spark={len(srows)} duck={len(drows)} ({ts:.1f}s)", flush=True)
         if not ok and verbose:
             if not ok_cols:
-                print("  cols spark", sorted(scols), "duck", sorted(dcols))
+                print("  schema spark", sorted(stypes.items()), "duck", sorted(dtypes.items()))
             else:
                 sa, sb = set(a), set(b)
                 print("  spark-only", list(sa - sb)[:3])
