@@ -7,6 +7,7 @@ them, so that small test tables can still be sharded with tiny budgets.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 # ---------------------------------------------------------------------------
@@ -126,18 +127,14 @@ class Options:
 
     @staticmethod
     def from_values(change_threshold=None, max_context_tokens=None, **kw) -> "Options":
+        """Settings given as text read their leading number (``"0.2x"`` is 0.2,
+        ``"500000.7"`` is 500000); anything out of range keeps the default."""
         ct = DEFAULT_CHANGE_THRESHOLD
-        try:
-            v = float(change_threshold)
-            if 0 < v < 1:
-                ct = v
-        except (TypeError, ValueError):
-            pass
+        m = re.match(r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", str(change_threshold))
+        if change_threshold is not None and m and 0 < float(m.group(0)) < 1:
+            ct = float(m.group(0))
         mct = DEFAULT_MAX_CONTEXT_TOKENS
-        try:
-            v = int(max_context_tokens)
-            if MIN_MAX_CONTEXT_TOKENS <= v <= MAX_MAX_CONTEXT_TOKENS:
-                mct = v
-        except (TypeError, ValueError):
-            pass
+        m = re.match(r"\s*[+-]?\d+", str(max_context_tokens))
+        if max_context_tokens is not None and m and MIN_MAX_CONTEXT_TOKENS <= int(m.group(0)) <= MAX_MAX_CONTEXT_TOKENS:
+            mct = int(m.group(0))
         return Options(change_threshold=ct, max_context_tokens=mct, **kw)

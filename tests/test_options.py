@@ -11,6 +11,8 @@ def test_option_ranges():
     assert O.Options.from_values(max_context_tokens="500000").max_context_tokens == 500_000
     assert O.Options.from_values(max_context_tokens=100_000).max_context_tokens == 100_000
     assert O.Options.from_values(max_context_tokens=1_000_000).max_context_tokens == 1_000_000
+    assert O.Options.from_values(max_context_tokens="500000.7").max_context_tokens == 500_000
+    assert O.Options.from_values(change_threshold="0.2x").change_threshold == 0.2
     for bad in (99_999, 1_000_001, "big", None):
         assert O.Options.from_values(max_context_tokens=bad).max_context_tokens == 900_000
 
