@@ -78,8 +78,9 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
         .select("corpus_id", "shard_id", "base_text", F.lit(None).cast("string").alias("change_text"))
     reuse = dec.where(~F.col("needs_rebuild")).select("corpus_id", "shard_id")
     cur = members.select("corpus_id", "shard_id", "path", "hash", "tokens")
-    ch = C.detect_changes(cur, base_files.select("corpus_id", "shard_id", "path", "hash")) \
-          .join(reuse, ["corpus_id", "shard_id"], "left_semi")
+    # narrow, read by the change context (count + join) and the tree labels
+    ch = materialize(C.detect_changes(cur, base_files.select("corpus_id", "shard_id", "path", "hash"))
+                     .join(reuse, ["corpus_id", "shard_id"], "left_semi"), "changes")
     cc = X.change_context(ch, files)
     kept_ctx = base_shards.join(reuse, ["corpus_id", "shard_id"], "left_semi") \
         .select("corpus_id", "shard_id", "base_text").join(cc.select("corpus_id", "shard_id", "change_text"),
@@ -104,9 +105,10 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     hits = H.explode_hits(parsed)
     own = H.hits_in_shard(hits.where(F.col("shard_id") != O.ALL_SHARD), sf) \
         .unionByName(hits.where(F.col("shard_id") == O.ALL_SHARD))
-    dd = H.dedupe_hits(own)
+    # narrow hit tables with several consumers each: computed once
+    dd = materialize(H.dedupe_hits(own), "hits")
     n_merged = dd.groupBy("query_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_results"))
-    ranges = H.coalesce_ranges(H.normalize_hits(dd, files))
+    ranges = materialize(H.coalesce_ranges(H.normalize_hits(dd, files)), "ranges")
     snips = H.cut_snippets(ranges, files)
     resp_rows = responses.join(plan.select("corpus_id", "shard_id", "prefix"), ["corpus_id", "shard_id"], "left")
     outcome = H.outcome_summary(resp_rows)
