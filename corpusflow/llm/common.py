@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["CHUNK_BYTES", "Words", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows"]
+__all__ = ["CHUNK_BYTES", "Words", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows", "with_key"]
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -27,6 +27,8 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: ASCII bytes that are neither letters nor digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _pow: dict[str, np.ndarray] = {}
 
 
@@ -42,6 +44,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
+def with_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells all its rows apart: the id column if its
+    values are distinct and none is null, else a row number that is written with the rows."""
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(id_col).alias("ids")).first()
+    if n["rows"] == n["ids"]:
+        return docs, id_col
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", force=True), "__row"
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread all bits of 64-bit integers (splitmix finisher)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -97,17 +108,28 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """A-Z and the two-byte capitals U+00C0 to U+00DE as small letters."""
+    out = LOWER[data]
+    if len(data) > 1:
+        second = data[1:]
+        out[1:][(data[:-1] == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)] += 0x20
+    return out
+
+
 class Words:
     """Words of a run of texts: ``start``, ``end`` (bytes), ``doc`` (row in the run), ``per_doc`` counts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.data, self.offsets, n = (LOWER[data] if lower else data), offsets, len(data)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False):
+        """``lower``: A-Z as a-z. ``plain``: words are runs of ASCII letters and digits and of other
+        code points, with Latin capitals as small letters: case and punctuation don't tell words apart."""
+        self.data, self.offsets, n = (fold(data) if plain else LOWER[data] if lower else data), offsets, len(data)
         self.n_docs = len(offsets) - 1
         if not n:
             self.start = self.end = self.doc = np.zeros(0, np.int64)
             self.per_doc = np.zeros(self.n_docs, np.int64)
             return
-        white = WHITE[data]
+        white = (MARKS if plain else WHITE)[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
         before[0] = after[-1] = True
         before[1:], after[:-1] = white[:-1], white[1:]

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_key
 
 # The patterns of the base kinds and the least length of what they match.
 ASSIGN = (
@@ -118,10 +118,11 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = None, repo: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every found span of their texts replaced by ``mark`` (overlapping spans once)."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "secret-docs", force=True)
-    found = scan(rows, owner, repo, id_col="__row", text_col=text_col).where(F.size("spans") > 0).select(F.col("doc_id").alias("__row"), "spans")
+    rows, key = with_key(docs, id_col)
+    found = scan(rows, owner, repo, id_col=key, text_col=text_col).where(F.size("spans") > 0)
+    found = found.select(F.col("doc_id").alias("__key"), F.col("spans").alias("__spans"))
     cut = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
@@ -131,5 +132,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = None,
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))),
     )
-    both = rows.join(found, "__row", "left")
-    return both.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cut)).select(docs.columns)
+    both = rows.join(found, rows[key] == found["__key"], "left")
+    return both.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(docs.columns)
