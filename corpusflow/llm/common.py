@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["CHUNK_BYTES", "Words", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows", "with_key"]
+__all__ = ["CHUNK_BYTES", "Words", "bitmap", "in_bitmap", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows", "with_key"]
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -44,12 +44,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
-def with_key(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+def with_key(docs: DataFrame, id_col: str = "doc_id", ordered: bool = False) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column that tells all its rows apart: the id column if its
-    values are distinct and none is null, else a row number that is written with the rows."""
+    values are distinct and none is null, else a row number that is written with the rows.
+    ``ordered``: the key is an integer in the order of the ids (null first)."""
     n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(id_col).alias("ids")).first()
-    if n["rows"] == n["ids"]:
+    if n["rows"] == n["ids"] and (not ordered or docs.schema[id_col].dataType.simpleString() in ("bigint", "int")):
         return docs, id_col
+    if ordered:
+        docs = docs.orderBy(F.col(id_col).asc_nulls_first())
     return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", force=True), "__row"
 
 
@@ -99,10 +102,12 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 class Prefix:
     """Polynomial prefix sums of bytes: the hash of any slice in O(1)."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray | None = None):
+        """``values``: what stands for each byte (default: the byte and 1), for a hash independent of another."""
         up, self.down = powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.sums[1:])
+        items = data.astype(np.uint64) + np.uint64(1) if values is None else values[data]
+        np.cumsum(items * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -158,3 +163,19 @@ def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
         total = total * np.uint64(MULT) + hashes[j : j + n]
     at = np.flatnonzero(doc[:n] == doc[k - 1 :])
     return mix(total[at]), at
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits as bytes, one set for each ``hash`` (64-bit): of one size whatever the rows."""
+    slot = F.shiftrightunsigned("hash", 64 - bits)
+    one = F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))
+    found = hashes.select(F.shiftright(slot, 3).cast("int").alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for batch in found.toArrow().to_batches():  # 2**(bits - 3) rows of two integers at most
+        out[batch.column("at").to_numpy()] = batch.column("bits").to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1

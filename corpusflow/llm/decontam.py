@@ -6,7 +6,7 @@ test item whose probability under the corpus's word frequencies is at most ``RAR
 from single words, so a passage that a third of the corpus has copied keeps its seeds.
 
 Texts are read once for the counts of the items' words and once for the seeds: a bitmap
-of fixed size (``BITS`` bits) passes the seeds' hashes, and what passes is cut out with
+of fixed size (``2**BITS`` bits) passes the seeds' hashes, and what passes is cut out with
 the longest item's words on either side, as a passage. Passages meet items in a join on
 the seed, each pair once, and are aligned: a word's match gains 1, a mismatch or a gap
 costs 1. A pair is reported if its score reaches ``share`` of the item's words, or
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, keyed, materialize, small_batches, windows
+from .common import Words, bitmap, chunks, in_bitmap, keyed, materialize, small_batches, windows
 
 SEED, RARE, LEAST = 3, 1e-8, 6
-BITS = 1 << 24
+BITS = 22
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def _word_counts(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
             for _, _, data, offsets in chunks(batch.column("text")):
                 found = Words(data, offsets, plain=True).hashes()
                 total += len(found)
-                w, n = np.unique(found[_test(bits.value, found)], return_counts=True)
+                w, n = np.unique(found[in_bitmap(bits.value, found)], return_counts=True)
                 words.append(w)
                 counts.append(n)
                 if len(words) > 64:
@@ -80,21 +80,6 @@ def _summed(words: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
     return w, np.bincount(at, np.concatenate(counts), minlength=len(w)).astype(np.int64)
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """BITS bits as bytes, one set for each 64-bit hash: of one size whatever the rows."""
-    slot = F.shiftrightunsigned("hash", 64 - int(math.log2(BITS)))
-    found = hashes.select((F.shiftright(slot, 3)).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int")).alias("bit"))
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in found.groupBy("at").agg(F.bit_or("bit").alias("bits")).toLocalIterator():  # BITS / 8 rows at most
-        out[r["at"]] = r["bits"]
-    return out
-
-
-def _test(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes >> np.uint64(64 - int(math.log2(BITS)))
-    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
 def _seeds(items: DataFrame, counts: DataFrame) -> DataFrame:
     """(seed, item) of the rare seeds of each item. ``counts``: with all texts' total at word null."""
     total = counts.where("word IS NULL").agg(F.sum("n")).first()[0] or 1
@@ -130,7 +115,7 @@ def _passages(rows: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
                 words = Words(data, offsets, plain=True)
                 hashes = words.hashes()
                 seeds, at = windows(hashes, words.doc, SEED)
-                hit = _test(shared.value, seeds)
+                hit = in_bitmap(shared.value, seeds)
                 seeds, at = seeds[hit], at[hit]
                 if not len(at):
                     continue
@@ -206,9 +191,9 @@ def leaks(
             for words in batch.column("words").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(words, np.int64)))], ["hash"])
 
-    counts = materialize(_word_counts(rows, bitmap(tests.select("words").mapInArrow(each, "hash long"))), "test-words")
+    counts = materialize(_word_counts(rows, bitmap(tests.select("words").mapInArrow(each, "hash long"), BITS)), "test-words")
     seeds = materialize(_seeds(tests, counts), "seeds")
-    passages = _passages(rows, bitmap(seeds.select(F.col("seed").alias("hash"))), int(longest))
+    passages = _passages(rows, bitmap(seeds.select(F.col("seed").alias("hash")), BITS), int(longest))
     pairs = passages.select("passage", F.explode("seeds").alias("seed")).join(seeds, "seed").select("passage", "item").distinct()
     met = pairs.join(passages.drop("seeds"), "passage").join(tests.withColumnRenamed("words", "item_words_"), "item")
 

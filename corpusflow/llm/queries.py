@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, importance, isolation, order_minhash, packing, pretoken, secrets, token_count
+from . import chat, decontam, importance, isolation, maxent, order_minhash, packing, pretoken, secrets, token_count
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_maxent_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scores(table(spark, sf_dir, "documents"))
+
+
 @query("op2_isolation_rules")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
