@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, importance, isolation, maxent, order_minhash, packing, pretoken, secrets, token_count
+from . import chat, decontam, importance, isolation, maxent, order_minhash, packing, pretoken, run_index, secrets, token_count
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,3 +129,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
     more = more.select(*(F.col(c).cast(chats.schema[c].dataType) for c in chats.columns))
     return chat.digests(chat.format_chats(chats.unionByName(more), pretoken.default_path("byte_bpe_50k.json")))
+
+
+@query("op10_repeated_bytes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_index.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
