@@ -1,13 +1,47 @@
-"""The training-data pipeline over ``documents``: STAGES in order, and run()."""
+"""The training-data pipeline over ``documents``: STAGES in order, and run().
+
+Rows with null or repeated ids go through as rows of their own; empty tables stay empty;
+all stages but the last return the columns of ``documents``, without changing those that
+they don't name.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from corpusflow.llm import packing, pretoken, secrets
-from corpusflow.llm.common import materialize
 from pyspark.sql import functions as F
 
+from corpusflow.llm import decontam, isolation, order_minhash, packing, pretoken, secrets
+from corpusflow.llm.common import materialize, with_key
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _matched(docs: DataFrame, rows: DataFrame, key: str, found: DataFrame, column: str, how: str) -> DataFrame:
+    """The columns of ``docs`` of those ``rows`` whose key is (left_semi) or isn't (left_anti) in a column of ``found``."""
+    wanted = found.select(F.col(column).alias("__found"))
+    return rows.join(wanted, rows[key] == F.col("__found"), how).select(docs.columns)
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the isolation forest."""
+    rows, key = with_key(docs)
+    verdicts = isolation.judge(rows, _table(spark, sf_dir, "labels"), row_col=key)
+    return _matched(docs, rows, key, verdicts.where("kept"), "row", "left_semi")
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each near-duplicate class."""
+    rows, key = with_key(docs)
+    return _matched(docs, rows, key, order_minhash.classes(rows, id_col=key).where("kept"), "doc_id", "left_semi")
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage that copies a benchmark item."""
+    rows, key = with_key(docs)
+    return _matched(docs, rows, key, decontam.leaks(rows, _table(spark, sf_dir, "benchmark"), id_col=key), "doc_id", "left_anti")
+
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced; n_chars follows the text."""
@@ -16,18 +50,25 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
-    return packing.pack(docs, pretoken.default_path("word_bpe_49k.json"))
+    """Pieces of the documents in sequences of 2048 tokens, without the ids themselves."""
+    pieces = packing.pack(docs, pretoken.default_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("secret scans", hide_secrets), ("packing", pack)]
-#: Packing is not expressible in SQL; tests/llm holds the stages against brute force.
+STAGES = [
+    ("quality rules", reject_low_quality),
+    ("near-duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("secret scans", hide_secrets),
+    ("packing", pack),
+]
+#: A forest and an alignment are not expressible in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), force=True)
     return STAGES[-1][1](spark, docs, sf_dir)

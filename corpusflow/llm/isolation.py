@@ -95,20 +95,23 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id and :data:`COUNTS` (long)."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row (of ``row_col``) and :data:`COUNTS` (long)."""
     small_batches(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, docs[row_col or id_col].alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for first, last, data, offsets in chunks(batch.column("text")):
                 found = rule_counts(data, offsets)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], ["doc_id", *COUNTS])
+                ids = batch.select(["doc_id", "row"]).slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([*ids.columns, *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], ["doc_id", "row", *COUNTS])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, _ids(rows) + ", ".join(f"{c} long" for c in COUNTS))
+
+
+def _ids(rows: DataFrame) -> str:
+    return "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in ("doc_id", "row"))
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
@@ -185,7 +188,7 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 17
 def pool(stats: DataFrame, size: int = POOL) -> dict[str, np.ndarray]:
     """At most ``size`` rows of the statistics, chosen by a hash of all their columns: the trees' bounded sample."""
     n = stats.count()
-    spread = F.pmod(F.xxhash64(*stats.columns), F.lit(1 << 30))
+    spread = F.pmod(F.xxhash64("doc_id", *COUNTS), F.lit(1 << 30))
     chosen = stats if n <= size else stats.where(spread < int((1 << 30) * 0.9 * size / n))
     rows = chosen.select(*COUNTS, spread.alias("spread")).orderBy("spread", *COUNTS).limit(size).toPandas()
     return {c: rows[c].to_numpy() for c in COUNTS}
@@ -194,14 +197,13 @@ def pool(stats: DataFrame, size: int = POOL) -> dict[str, np.ndarray]:
 def scored(stats: DataFrame, forest: Forest) -> DataFrame:
     """``stats`` with a column ``anomaly``."""
     trees = stats.sparkSession.sparkContext.broadcast(forest)  # TREES x 2 * SAMPLE nodes at most
-    kind = stats.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features({c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.value.scores(x))], [*batch.schema.names, "anomaly"])
 
-    return stats.select("doc_id", *COUNTS).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double")
+    return stats.select("doc_id", "row", *COUNTS).mapInArrow(run, _ids(stats) + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double")
 
 
 def base_failed() -> Column:
@@ -236,9 +238,11 @@ def judge(
     keep_share: float = 0.995,
     id_col: str = "doc_id",
     text_col: str = "text",
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, :data:`COUNTS`, anomaly, base_failed, kept."""
-    stats = materialize(statistics(docs, id_col, text_col), "rule-statistics")
+    """Per row of ``docs``: doc_id, row (of ``row_col``, the id if none is named), :data:`COUNTS`,
+    anomaly, base_failed, kept."""
+    stats = materialize(statistics(docs, id_col, text_col, row_col), "rule-statistics")
     rows = scored(stats, grow(features(pool(stats))))
     limit = threshold(rows, labels, keep_share)
     failed = base_failed()
