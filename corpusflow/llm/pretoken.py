@@ -3,7 +3,7 @@
 The tokenizer drops white space and never merges across pre-tokens, so a text's ids
 are those of its white-space runs in order, and a run's ids those of its pre-tokens.
 Both levels are cached in the worker. Whatever the small splitter here may see
-differently from the library (code points above U+024F, U+0130, the four separators
+differently from the library (code points above U+017F, U+0130, the four separators
 U+001C to U+001F) is encoded by the library itself.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 
 #: Entries of a worker's cache; it is emptied when full.
 CACHE = 300_000
-_LIMIT = 0x250
+_LIMIT = 0x180
 # Fixed value: the split pattern that the tokenizer's file names.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
