@@ -118,7 +118,7 @@ def resample(
             for first, last, data, offsets in chunks(batch.column("text")):
                 bucket, doc = hashed(data, offsets)
                 size = last - first
-                weight = np.bincount(doc, table.value[bucket], minlength=size)
+                weight = np.bincount(doc, table.value[bucket], minlength=size).astype(float)
                 part = batch.slice(first, size)
                 u = (part.column("noise").to_numpy().astype(np.uint64) >> np.uint64(11)).astype(float)
                 gumbel = -np.log(-np.log((u + 0.5) / 2.0**53))

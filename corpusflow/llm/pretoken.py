@@ -16,8 +16,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Entries of a worker's cache; it is emptied when full.
-CACHE = 300_000
+#: Entries of a generation of a worker's cache, of which there are two.
+CACHE = 400_000
 _LIMIT = 0x180
 # Fixed value: the split pattern that the tokenizer's file names.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -61,14 +61,20 @@ def _drops_white_space(spec: dict) -> bool:
 
 
 class _Cache(dict):
+    """Values by key; when full, it becomes the old generation, from which keys in use come back."""
+
     def __init__(self, make: Callable, size: int = CACHE):
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
         if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
