@@ -21,6 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from corpusflow.fixtures import registry as REG  # noqa: E402
 from corpusflow.fixtures import views as V  # noqa: E402
+from corpusflow.fixtures import responders as RS
 from corpusflow.operators import changes as C  # noqa: E402
 from corpusflow.operators import context as X  # noqa: E402
 from corpusflow.operators import hits as H  # noqa: E402
@@ -91,7 +92,7 @@ def main():
     root = tempfile.mkdtemp(prefix="bench-state-")
     timed("refresh_cold", lambda: refresh(v1, root, budget=budget, snapshot_ts=1))
     timed("refresh_edit", lambda: refresh(v2, root, budget=budget, snapshot_ts=2))
-    timed("search", lambda: run(search(V.requests(spark, sf_dir), v1, R.PassageLocator(), budget=budget)["answers"]))
+    timed("search", lambda: run(search(V.requests(spark, sf_dir), v1, RS.PassageLocator(), budget=budget)["answers"]))
 
     cleanup_materialized(spark)
     total = round(sum(times.values()), 3)

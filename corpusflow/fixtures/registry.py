@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusflow import options as O
 from corpusflow.fixtures import duck as D
 from corpusflow.fixtures import views as V
+from corpusflow.fixtures import responders as RS
 from corpusflow.functions import text as T
 from corpusflow.operators import changes as C
 from corpusflow.operators import context as X
@@ -908,7 +909,7 @@ def search_passages(spark, sf):
     the passage-locating responder; the rows are the rendered answers."""
     from corpusflow.plans.search import search
     files = V.files(spark, sf)
-    out = search(V.requests(spark, sf), files, R.PassageLocator(), budget=4000)
+    out = search(V.requests(spark, sf), files, RS.PassageLocator(), budget=4000)
     return out["answers"].select("query_id", *_hash_bytes("text", "text"), "is_error", "n_ok", "n_failed", "n_results")
 
 
@@ -986,5 +987,5 @@ def search_ranges(spark, sf):
     end-to-end search with the passage-locating responder; the SQL twin scans
     every scope-matching file for the passage directly."""
     from corpusflow.plans.search import search
-    out = search(V.requests_all_corpora(spark, sf), V.files(spark, sf), R.PassageLocator(), budget=4000)
+    out = search(V.requests_all_corpora(spark, sf), V.files(spark, sf), RS.PassageLocator(), budget=4000)
     return out["ranges"].select("query_id", "path", "start_line", "end_line")

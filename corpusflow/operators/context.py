@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from corpusflow import options as O
 from corpusflow.functions import text as T
 from corpusflow.operators.changes import ADDED, DELETED, MODIFIED, status_rank
-from corpusflow.operators.joins import prefilter
 
 # Our own instruction wording for the first message of every request.
 SINGLE_INSTRUCTIONS = (
@@ -50,8 +49,7 @@ def file_blocks(files: DataFrame, tag: Column | None = None) -> DataFrame:
 
 
 def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "shard_id"),
-                 budget: int | None = None, max_text_tokens: int = O.CONTEXT_LIMIT_TOKENS,
-                 shard_tokens: DataFrame | None = None) -> DataFrame:
+                 budget: int | None = None, shard_tokens: DataFrame | None = None) -> DataFrame:
     """All file blocks of a shard, oldest commit first (ties by path),
     separated by a blank line.
 
@@ -59,10 +57,9 @@ def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "sh
     Returns keys + base_text, base_token_count, n_files, oversize.
 
     Shards are bounded by the budget except those that cannot be split (one
-    directory of direct files); ``oversize`` flags them. A text is assembled
-    only up to ``max_text_tokens`` (the model context): beyond it no prompt can
-    be answered, so ``base_text`` is NULL instead of one task collecting an
-    unbounded group (the blocks stay available from :func:`file_blocks`).
+    directory of direct files); ``oversize`` flags them, and their text is
+    assembled like any other: it is one message of one model call, so some task
+    has to hold it, and only the model's own answer says that it is too long.
     ``shard_tokens`` (keys + tokens, n_files), when the plan already has them,
     saves a second pass over the content-bearing rows."""
     k = list(keys)
@@ -72,9 +69,7 @@ def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "sh
     else:
         sizes = shard_files.groupBy(*k).agg(F.sum("tokens").cast("bigint").alias("base_token_count"),
                                             F.count(F.lit(1)).cast("bigint").alias("n_files"))
-    fit = sizes.where(F.col("base_token_count") <= F.lit(max_text_tokens)).select(*k)
-    blocks = file_blocks(shard_files.join(fit, k, "left_semi"))
-    text = blocks.groupBy(*k).agg(
+    text = file_blocks(shard_files).groupBy(*k).agg(
         _ordered_join(F.col("block"), "\n\n", F.col("commit_time"), F.col("path")).alias("base_text"))
     agg = sizes.join(text, k, "left").select(*k, "base_text", "base_token_count", "n_files")
     over = F.lit(False) if budget is None else F.col("base_token_count") > F.lit(budget)
@@ -89,7 +84,7 @@ def change_context(changes: DataFrame, files: DataFrame,
     ``changes``: keys + path, status; ``files``: current files (corpus_id, path,
     content, n_lines). Returns keys + change_text, n_changes."""
     ch = changes.where(F.col("status").isin(MODIFIED, ADDED, DELETED))
-    live = prefilter(files.select("corpus_id", "path", "content", "n_lines"), ch, ["corpus_id", "path"])
+    live = files.select("corpus_id", "path", "content", "n_lines")
     j = ch.join(live, ["corpus_id", "path"], "left")
     block = F.when(F.col("status") == DELETED, T.deleted_marker("path")) \
              .otherwise(T.render_file("path", "content", "n_lines", F.lit(O.TAG_UPDATED)))
@@ -104,14 +99,11 @@ def _dir_and_name(df: DataFrame) -> DataFrame:
 
 
 def directory_tree(files: DataFrame, changes: DataFrame | None = None,
-                   keys: Sequence[str] = ("corpus_id",),
-                   max_tree_bytes: int = 4 * O.CONTEXT_LIMIT_TOKENS) -> DataFrame:
+                   keys: Sequence[str] = ("corpus_id",)) -> DataFrame:
     """Sorted directories, each with its sorted file names and
     change labels (deleted files listed in their directory).
 
     Two-level aggregation: names into a directory block, blocks into a tree.
-    A tree larger than ``max_tree_bytes`` (about the model context) is not
-    assembled (``tree`` NULL): it could not be sent in any prompt.
     Returns keys + tree, n_dirs."""
     k = list(keys)
     f = files.select(*k, "path", F.lit(None).cast("string").alias("status"))
@@ -125,36 +117,26 @@ def directory_tree(files: DataFrame, changes: DataFrame | None = None,
     per_dir = f.groupBy(*k, "dir").agg(_ordered_join(line, "\n", F.col("path")).alias("_lines"))
     block = F.concat(F.col("dir"), F.lit("/\n"), F.col("_lines"))
     per_dir = per_dir.withColumn("_block", block)
-    size = per_dir.groupBy(*k).agg(F.sum(F.octet_length("_block") + 1).alias("_bytes"),
+    return per_dir.groupBy(*k).agg(_ordered_join(F.col("_block"), "\n", F.col("dir")).alias("tree"),
                                    F.count(F.lit(1)).cast("bigint").alias("n_dirs"))
-    small = size.where(F.col("_bytes") <= F.lit(max_tree_bytes)).select(*k)
-    trees = per_dir.join(small, k, "left_semi").groupBy(*k).agg(
-        _ordered_join(F.col("_block"), "\n", F.col("dir")).alias("tree"))
-    return size.join(trees, k, "left").select(*k, "tree", "n_dirs")
 
 
-def shard_directory_tree(files: DataFrame, shard_files: DataFrame,
-                         max_tree_bytes: int = 4 * O.CONTEXT_LIMIT_TOKENS) -> DataFrame:
+def shard_directory_tree(files: DataFrame, shard_files: DataFrame) -> DataFrame:
     """One tree per shard listing every directory of the corpus; own files
     by name, other files only as counts (``N files, other shards`` for a
     directory without own files, ``(N more files, other shards)`` after own names).
 
     Per-directory totals are a small rollup; each shard's text has one line per
-    corpus directory, so (shard, directory) rows are the output itself. A
-    corpus whose directory lines alone exceed ``max_tree_bytes`` (the model
-    context at about 4 bytes per token) cannot fit any prompt: its trees are not
-    assembled (``tree`` NULL, ``oversize`` true), so no task ever aggregates an
-    unbounded directory list. Returns corpus_id, shard_id, tree, oversize."""
+    corpus directory, so (shard, directory) rows are the output itself.
+    Returns corpus_id, shard_id, tree."""
     d = _dir_and_name(files.select("corpus_id", "path"))
     totals = d.groupBy("corpus_id", "dir").agg(F.count(F.lit(1)).alias("_total"))
-    size = totals.groupBy("corpus_id").agg(F.sum(F.length("dir") + F.lit(30)).alias("_bytes"))
-    small = size.where(F.col("_bytes") <= F.lit(max_tree_bytes)).select("corpus_id")
     own = _dir_and_name(shard_files.select("corpus_id", "shard_id", "path"))
     own_dirs = own.groupBy("corpus_id", "shard_id", "dir").agg(
         _ordered_join(F.concat(F.lit("  "), F.col("name")), "\n", F.col("path")).alias("_names"),
         F.count(F.lit(1)).alias("_own"))
     shards = shard_files.select("corpus_id", "shard_id").distinct()
-    grid = shards.join(small, "corpus_id", "left_semi").join(totals, "corpus_id") \
+    grid = shards.join(totals, "corpus_id") \
                  .join(own_dirs, ["corpus_id", "shard_id", "dir"], "left")
     other = F.col("_total") - F.coalesce(F.col("_own"), F.lit(0))
     block = (F.when(F.col("_own").isNull(),
@@ -163,9 +145,7 @@ def shard_directory_tree(files: DataFrame, shard_files: DataFrame,
                                  F.when(other > 0, F.concat(F.lit("\n"), F.format_string(
                                      O.FMT_OTHER_SHARDS_MORE, other.cast("string"))))
                                  .otherwise(F.lit("")))))
-    trees = grid.groupBy("corpus_id", "shard_id").agg(_ordered_join(block, "\n", F.col("dir")).alias("tree"))
-    return shards.join(trees, ["corpus_id", "shard_id"], "left") \
-                 .withColumn("oversize", F.col("tree").isNull())
+    return grid.groupBy("corpus_id", "shard_id").agg(_ordered_join(block, "\n", F.col("dir")).alias("tree"))
 
 
 def query_turns(request_shards: DataFrame, trees: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from corpusflow import options as O
 from corpusflow.functions import text as T
-from corpusflow.operators.joins import prefilter
 
 _NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
@@ -72,7 +71,7 @@ def classify_hits(hits: DataFrame, files: DataFrame) -> DataFrame:
     """C7 + I3 + B10 with the reason kept: adds n_lines, clean start/end (BIGINT)
     and ``reason`` (NULL for a valid hit)."""
     # hits name few files: narrow the snapshot map-side first (checked-size broadcast)
-    f = prefilter(files, hits, ["corpus_id", "path"]).select("corpus_id", "path", F.col("n_lines").alias("_n"))
+    f = files.select("corpus_id", "path", F.col("n_lines").alias("_n"))
     j = hits.join(f, ["corpus_id", "path"], "left")
     type_ok = F.col("type_ok") if "type_ok" in hits.columns else (
         F.col("start_line").isNotNull() & F.col("end_line").isNotNull())
@@ -121,7 +120,7 @@ def cut_snippets(ranges: DataFrame, files: DataFrame) -> DataFrame:
     """C11: lines of each range, numbered, under a ``--- path:start-end ---``
     header. Equi-join on the file; lines are sliced from the split content."""
     # only the files named by a range are read into the shuffle
-    f = prefilter(files.select("corpus_id", "path", "content"), ranges, ["corpus_id", "path"])
+    f = files.select("corpus_id", "path", "content")
     j = ranges.join(f, ["corpus_id", "path"])
     lines = F.slice(F.split("content", "\n"), F.col("start_line").cast("int"),
                     (F.col("end_line") - F.col("start_line") + 1).cast("int"))

@@ -20,17 +20,3 @@ def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", salt
     sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(sm, list(keys) + ["_salt"], how).drop("_salt")
 
-
-#: Largest key set broadcast to prefilter a big table (rows, checked by a count).
-BROADCAST_KEYS = 2_000_000
-
-
-def prefilter(big: DataFrame, small: DataFrame, keys, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """Restrict ``big`` to the keys present in ``small`` before a join, without
-    shuffling ``big``: when the distinct keys of ``small`` number at most
-    ``limit`` (counted), they are broadcast into a map-side semi join; beyond
-    that ``big`` is returned unchanged and the following join shuffles it."""
-    ks = small.select(*keys).distinct()
-    if ks.count() <= limit:
-        return big.join(F.broadcast(ks), list(keys), "left_semi")
-    return big

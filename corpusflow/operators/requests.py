@@ -105,39 +105,72 @@ class ResponderError(Exception):
 Responder = Callable[[list[dict]], dict]
 
 
+def _one_value_a_key(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("duplicate key")
+    return out
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def _parses(text: str) -> bool:
+    """Whether ``text`` is JSON in the strict sense that the answer parser (I1) shares:
+    no duplicate keys, no NaN or Infinity."""
+    try:
+        json.loads(text, object_pairs_hook=_one_value_a_key, parse_constant=_no_constant)
+    except ValueError:
+        return False
+    return True
+
+
+def reply_kind(reply: dict) -> str:
+    """J4 for one reply; every kind but ``ok`` is tried again."""
+    if not reply.get("usage"):
+        return "missing_usage"
+    if not reply.get("arguments"):
+        return "no_tool_call"
+    return "ok" if _parses(reply["arguments"]) else "parse_error"
+
+
+def attempt_once(responder: Responder, messages: list[dict]) -> tuple[str, dict | None, Exception | None]:
+    """(kind, reply, exception) of one call: a kind of :func:`reply_kind`, ``fatal`` for a
+    status that must not be tried again, ``failed`` for any other exception."""
+    try:
+        reply = responder(messages)
+        return reply_kind(reply), reply, None
+    except Exception as e:  # a failure is a row of the result, never a failed task
+        status = getattr(e, "status", None)
+        return "failed" if status is None or status in O.RETRYABLE_STATUS else "fatal", None, e
+
+
 def call_with_retries(responder: Responder, messages: list[dict], max_attempts: int = O.MAX_ATTEMPTS,
                       sleep: bool = False, rng: random.Random | None = None) -> dict:
-    """The retry loop for one request. A responder returns ``{"arguments": str |
-    None, "content": str | None, "usage": dict | None}`` or raises
-    :class:`ResponderError`. Returns arguments, usage counters, attempts, error."""
-    rng = rng or random.Random(0)
-    last = ""
+    """One request. A responder returns ``{"arguments": str | None, "content":
+    str | None, "usage": dict | None}`` or raises; an exception's ``status`` says
+    whether it is tried again (none: it is). Returns arguments, usage, attempts, error."""
+    rng = rng or random.Random()
+    failed = {"arguments": None, "usage": None}
     for attempt in range(1, max_attempts + 1):
-        try:
-            out = responder(messages)
-            if not out.get("usage"):
-                raise ResponderError(O.MSG_NO_USAGE)
-            args = out.get("arguments") or ""
-            if args:
-                try:
-                    json.loads(args)
-                except ValueError:
-                    raise ResponderError(O.FMT_PARSE_FAILURE % args[:200])
-                return {"arguments": args, "usage": out["usage"], "attempts": attempt, "error": None}
-            last = "no tool call"
-        except ResponderError as e:
-            if e.status is not None and e.status not in O.RETRYABLE_STATUS:
-                return {"arguments": None, "usage": None, "attempts": attempt,
-                        "error": O.FMT_API_ERROR % (e.status, e)}
-            last = str(e)
-            if attempt == max_attempts:
-                return {"arguments": None, "usage": None, "attempts": attempt,
-                        "error": O.FMT_RETRIES_EXHAUSTED % (max_attempts, e)}
+        kind, reply, error = attempt_once(responder, messages)
+        if kind == "ok":
+            return {"arguments": reply["arguments"], "usage": reply["usage"], "attempts": attempt, "error": None}
+        if kind == "fatal":
+            return {**failed, "attempts": attempt, "error": O.FMT_API_ERROR % (error.status, error)}
         if sleep and attempt < max_attempts:
             base = min(O.BACKOFF_BASE_MS * 2 ** (attempt - 1), O.BACKOFF_CAP_MS)
             time.sleep(round(base + rng.random() * base * O.BACKOFF_JITTER) / 1000.0)
-    return {"arguments": None, "usage": None, "attempts": max_attempts,
-            "error": O.FMT_NO_TOOL_CALL % max_attempts if last == "no tool call" else last}
+    reason = {"missing_usage": O.MSG_NO_USAGE, "failed": error,
+              "parse_error": reply and O.FMT_PARSE_FAILURE % str(reply.get("arguments"))[:200]}.get(kind)
+    text = O.FMT_NO_TOOL_CALL % max_attempts if kind == "no_tool_call" else O.FMT_RETRIES_EXHAUSTED % (max_attempts, reason)
+    return {**failed, "attempts": max_attempts, "error": text}
+
+
+def _counter(usage: dict, name: str) -> int:
+    value = usage.get(name)
+    return int(value) if isinstance(value, (int, float)) and value == value else 0
 
 
 RESPONSE_SCHEMA = ("query_id long, corpus_id string, shard_id string, shard_ord int, attempts int, "
@@ -145,6 +178,9 @@ RESPONSE_SCHEMA = ("query_id long, corpus_id string, shard_id string, shard_ord
                    "prompt_cache_miss_tokens long, completion_tokens long, reasoning_tokens long")
 
 
+USAGE_NAMES = ("prompt_tokens", "prompt_cache_hit_tokens", "prompt_cache_miss_tokens", "completion_tokens")
+
+
 def _make_group_fn(responder: Responder, max_attempts: int, sleep: bool):
     def fn(reqs: pd.DataFrame, ctx: pd.DataFrame) -> pd.DataFrame:
         if reqs.empty or ctx.empty:
@@ -157,20 +193,14 @@ def _make_group_fn(responder: Responder, max_attempts: int, sleep: bool):
             shared.append({"role": "user", "content": c["change_text"]})
         tree = c["tree"] if isinstance(c["tree"], str) else ""
         rows = []
-        too_large = not isinstance(c["base_text"], str) or bool(c["tree_oversize"])
         for r in reqs.sort_values("query_id").itertuples(index=False):
-            if too_large:
-                rows.append((r.query_id, r.corpus_id, r.shard_id, r.shard_ord, 0, None,
-                             "shard context exceeds the model context limit", 0, 0, 0, 0, 0))
-                continue
             msgs = shared + [{"role": "user", "content": r.turn.replace(TREE_MARK, tree)}]
-            out = call_with_retries(responder, msgs, max_attempts, sleep)
-            u = out["usage"] or {}
-            det = u.get("completion_tokens_details") or {}
+            out = call_with_retries(responder, msgs, max_attempts, sleep, random.Random(f"{r.query_id}/{r.shard_id}"))
+            u = out["usage"] if isinstance(out["usage"], dict) else {}
+            det = u.get("completion_tokens_details")
+            det = {**u, **det} if isinstance(det, dict) else u
             rows.append((r.query_id, r.corpus_id, r.shard_id, r.shard_ord, out["attempts"], out["arguments"],
-                         out["error"], u.get("prompt_tokens", 0) or 0, u.get("prompt_cache_hit_tokens", 0) or 0,
-                         u.get("prompt_cache_miss_tokens", 0) or 0, u.get("completion_tokens", 0) or 0,
-                         det.get("reasoning_tokens", u.get("reasoning_tokens", 0)) or 0))
+                         out["error"], *(_counter(u, n) for n in USAGE_NAMES), _counter(det, "reasoning_tokens")))
         cols = [c.split()[0] for c in RESPONSE_SCHEMA.split(", ")]
         return pd.DataFrame(rows, columns=cols)
     return fn
@@ -178,7 +208,7 @@ def _make_group_fn(responder: Responder, max_attempts: int, sleep: bool):
 
 def run_requests(request_shards: DataFrame, contexts: DataFrame, trees: DataFrame,
                  responder: Responder, max_attempts: int = O.MAX_ATTEMPTS,
-                 requests_per_group: int = 64, sleep: bool = False) -> DataFrame:
+                 requests_per_group: int = 64, sleep: bool = True) -> DataFrame:
     """One model call per (request, shard), all shards in parallel.
 
     ``request_shards`` from :func:`prune_by_scope` (query_id, corpus_id,
@@ -197,9 +227,7 @@ def run_requests(request_shards: DataFrame, contexts: DataFrame, trees: DataFram
     rs = salted_join(rs, counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"], spread="query_id") \
         .withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.col("_nb")).cast("int")).drop("_nb")
     ctx = (contexts.select("corpus_id", "shard_id", "sharded", "base_text", "change_text")
-           .join(trees.select("corpus_id", "shard_id", "tree",
-                              (F.col("oversize") if "oversize" in trees.columns else F.lit(False))
-                              .alias("tree_oversize")), ["corpus_id", "shard_id"], "left")
+           .join(trees.select("corpus_id", "shard_id", "tree"), ["corpus_id", "shard_id"], "left")
            .join(counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"])
            .withColumn("bucket", F.explode(F.sequence(F.lit(0), (F.col("_nb") - 1).cast("int"))))
            .drop("_nb"))
@@ -208,73 +236,3 @@ def run_requests(request_shards: DataFrame, contexts: DataFrame, trees: DataFram
     ctx = ctx.select(*[F.col(c).alias(c) for c in ctx.columns])
     fn = _make_group_fn(responder, max_attempts, sleep)
     return rs.groupBy(*keys).cogroup(ctx.groupBy(*keys)).applyInPandas(fn, RESPONSE_SCHEMA)
-
-
-# -- test responders (offline stand-ins, not semantic search) -------------------
-
-def _parse_blocks(text: str) -> dict[str, list[str]]:
-    files: dict[str, list[str]] = {}
-    if not text:
-        return files
-    for blk in ("\n\n" + text).split("\n\n--- ")[1:]:
-        head, _, body = blk.partition("\n")
-        if head.endswith(" [DELETED] ---") and not body:
-            files.pop(head[: -len(" [DELETED] ---")], None)
-            continue
-        name = head.rsplit(" (lines 1-", 1)[0]
-        if name.endswith(" [UPDATED]"):
-            name = name[: -len(" [UPDATED]")]
-        files[name] = [ln.split("\t", 1)[1] if "\t" in ln else "" for ln in body.split("\n")]
-    return files
-
-
-class PassageLocator:
-    """Finds the query text verbatim in the files of the context and answers
-    with the line span of its first occurrence in each file."""
-
-    def __call__(self, messages: list[dict]) -> dict:
-        files = _parse_blocks(messages[1]["content"])
-        if len(messages) == 4:
-            files.update(_parse_blocks(messages[2]["content"]))
-            for blk in ("\n\n" + messages[2]["content"]).split("\n\n--- ")[1:]:
-                if blk.endswith(" [DELETED] ---"):
-                    files.pop(blk[: -len(" [DELETED] ---")], None)
-        query = messages[-1]["content"].rsplit("\nQuery: ", 1)[-1]
-        results = []
-        for path in sorted(files):
-            content = "\n".join(files[path])
-            i = content.find(query) if query else -1
-            if i >= 0:
-                start = content.count("\n", 0, i) + 1
-                results.append({"file": path, "start_line": start, "end_line": start + query.count("\n")})
-        prompt = sum(len(m["content"]) for m in messages) // 4
-        usage = {"prompt_tokens": prompt, "prompt_cache_hit_tokens": (prompt // 2) // 128 * 128,
-                 "prompt_cache_miss_tokens": prompt - (prompt // 2) // 128 * 128,
-                 "completion_tokens": 10 + 20 * len(results),
-                 "completion_tokens_details": {"reasoning_tokens": 5}}
-        return {"arguments": json.dumps({"results": results}), "content": None, "usage": usage}
-
-
-class FailingResponder:
-    """Always fails with a given status (None = no code, retried)."""
-
-    def __init__(self, status: int | None = 400, message: str = "bad request"):
-        self.status, self.message = status, message
-
-    def __call__(self, messages):
-        raise ResponderError(self.message, self.status)
-
-
-class FlakyResponder:
-    """Fails with 503 on the first ``failures`` calls of each distinct request, then delegates."""
-
-    def __init__(self, inner: Responder, failures: int = 1):
-        self.inner, self.failures, self.seen = inner, failures, {}
-
-    def __call__(self, messages):
-        key = hash(messages[-1]["content"])
-        n = self.seen.get(key, 0)
-        self.seen[key] = n + 1
-        if n < self.failures:
-            raise ResponderError("service unavailable", 503)
-        return self.inner(messages)

@@ -79,7 +79,6 @@ BACKOFF_JITTER = 0.5
 
 #: Model context size (tokens): a prompt beyond it cannot be answered, so a base
 #: text is only assembled for shards up to this size.
-CONTEXT_LIMIT_TOKENS = 1_000_000
 
 #: Shard id markers.
 ALL_SHARD = "__all__"

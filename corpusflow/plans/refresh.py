@@ -38,12 +38,13 @@ def refresh_decisions(files: DataFrame, stored_plan: DataFrame, base_shards: Dat
 
 def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTEXT_TOKENS,
             threshold: float = O.DEFAULT_CHANGE_THRESHOLD, snapshot_ts: int = 0,
-            commit_times: DataFrame | None = None) -> dict[str, DataFrame]:
+            commit_times: DataFrame | None = None, mark: str | None = None) -> dict[str, DataFrame]:
     """Run J8 against the state under ``state_root`` and write the next version.
 
     ``files``: full snapshots of the corpora to refresh (corpus_id, path,
     content, hash, tokens, n_lines[, mtime_ms]). State of corpora absent from
-    ``files`` is carried over unchanged. Returns the decisions and the version."""
+    ``files`` is carried over unchanged. ``mark``: a name that the version carries
+    (see ``state.has_mark``). Returns the decisions and the version."""
     spark = files.sparkSession
     corpora = files.select("corpus_id").distinct()
     stored_all = ST.read_state(spark, state_root, "shard_plan")
@@ -81,5 +82,5 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
                    .withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint"))
     version = ST.write_state(state_root, won_shards.unionByName(untouched(shards_all)),
                              won_files.unionByName(untouched(files_all)),
-                             plan_rows.unionByName(untouched(stored_all)))
+                             plan_rows.unionByName(untouched(stored_all)), mark)
     return {"decisions": dec, "version": version, "plan": plan_rows}

@@ -33,7 +33,7 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
            threshold: float = O.DEFAULT_CHANGE_THRESHOLD, stored_plan: DataFrame | None = None,
            base_shards: DataFrame | None = None, base_files: DataFrame | None = None,
            snapshot_ts: int = 0, max_attempts: int = O.MAX_ATTEMPTS,
-           requests_per_group: int = 64, state_root: str | None = None) -> dict[str, DataFrame]:
+           requests_per_group: int = 64, state_root: str | None = None, sleep: bool = True) -> dict[str, DataFrame]:
     """``requests``: query_id, corpus_id, query, scope, file_types.
     ``files``: corpus_id, path, content, hash, tokens, n_lines[, commit_time].
     Returns answers (query_id, text, is_error, n_ok, n_failed, n_results) and the
@@ -56,7 +56,8 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
         if base_files is None:
             base_files = ST.read_state(spark, state_root, "base_files").join(corpora, "corpus_id", "left_semi")
     if "commit_time" not in files.columns:
-        files = files.withColumn("commit_time", F.lit(0).cast("bigint"))
+        mtime = F.floor(F.col("mtime_ms") / 1000) if "mtime_ms" in files.columns else F.lit(0)
+        files = files.withColumn("commit_time", mtime.cast("bigint"))
     # about seven consumers read the snapshot: compute it once (a plain table scan is kept as is)
     files = materialize(files, "snapshot")
     if stored_plan is None:
@@ -91,15 +92,19 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     single_files = files.join(single.select("corpus_id"), "corpus_id", "left_semi")
     labels = ch.join(single, ["corpus_id", "shard_id"], "left_semi")
     single_tree = X.directory_tree(single_files, labels).join(single, "corpus_id").select(
-        "corpus_id", "shard_id", "tree", F.lit(False).alias("oversize"))
+        "corpus_id", "shard_id", "tree")
     multi_sf = sf.where(F.col("shard_id") != O.ALL_SHARD)
     trees = X.shard_directory_tree(files.join(multi_sf.select("corpus_id").distinct(), "corpus_id", "left_semi"),
                                    multi_sf).unionByName(single_tree)
 
     plan = dec.select("corpus_id", "shard_id", "prefix", "shard_ord")
     rs = R.prune_by_scope(requests, plan)
-    responses = materialize(R.run_requests(rs, ctx, trees, responder, max_attempts, requests_per_group), "responses",
-                            force=True)
+    responses = materialize(R.run_requests(rs, ctx, trees, responder, max_attempts, requests_per_group, sleep),
+                            "responses", force=True)
+    # an answer that I1 can't read is an error, not an empty result
+    unread = F.col("arguments").isNotNull() & F.try_parse_json("arguments").isNull()
+    responses = responses.withColumn("error", F.coalesce("error", F.when(
+        unread, F.format_string(O.FMT_PARSE_FAILURE, F.substring("arguments", 1, 200)))))
 
     parsed = H.parse_arguments(responses.where(F.col("error").isNull()))
     hits = H.explode_hits(parsed)

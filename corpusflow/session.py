@@ -47,11 +47,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int | None = Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory; create a scratch one only when the
-    cluster names none (local tests)."""
+    """Return the shared checkpoint directory; a scratch one is made only on a local
+    master (tests). A cluster has to name a folder that all its machines share."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", d)

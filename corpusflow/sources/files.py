@@ -14,35 +14,79 @@ from pyspark.sql import functions as F
 
 from corpusflow import options as O
 from corpusflow.functions import text as T
+from corpusflow.session import materialize
+
+
+LISTED = "path string, is_dir boolean, mtime_ms long, size long"
+
+
+def _filesystem(root: str):
+    """(pyarrow file system, path on it) of a folder: any URI that pyarrow knows, or a plain path."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def _list_folders(root: str):
+    """Task body: (path) rows of folders relative to ``root`` to :data:`LISTED` rows of their entries."""
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+        system, top = _filesystem(root)
+        top = top.rstrip("/")
+        for batch in batches:
+            rows = []
+            for folder in batch.column("path").to_pylist():
+                for info in system.get_file_info(fs.FileSelector(f"{top}/{folder}".rstrip("/"))):
+                    if info.type not in (fs.FileType.File, fs.FileType.Directory):
+                        continue
+                    if isinstance(system, fs.LocalFileSystem) and os.path.islink(info.path):
+                        continue  # regular files only; a link may also lead in a circle
+                    rows.append({"path": info.path[len(top) + 1:], "is_dir": info.type == fs.FileType.Directory,
+                                 "mtime_ms": info.mtime_ns // 1_000_000 if info.mtime_ns else None,
+                                 "size": info.size if info.type == fs.FileType.File else None})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("is_dir", pa.bool_()),
+                                                                     ("mtime_ms", pa.int64()), ("size", pa.int64())]))
+    return run
+
+
+def _read_bodies(root: str):
+    def run(batches):
+        import pyarrow as pa
+        system, top = _filesystem(root)
+        top = top.rstrip("/")
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):  # one body at a time
+                with system.open_input_stream(f"{top}/{path}") as f:
+                    body = pa.array([f.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, body], [*batch.schema.names, "content"])
+    return run
 
 
 def scan_files(spark: SparkSession, root: str, corpus_id: str | None = None,
                with_content: bool = True) -> DataFrame:
-    """A1: recursive walk of a tree (regular files only) with Spark's binary file
-    source. Paths are made relative to ``root`` with '/' separators. Listing and
-    reading are distributed; when ``with_content`` is false the file bodies are
-    not read at all (column pruning of the binary source), which is what the
-    metadata-reuse step (C2) needs for its unchanged files.
-
-    Spark's file listing skips names that start with '.' or '_' at any depth,
-    so hidden files and directories (the state directory among them) are never
-    returned; a listing (A2) cannot bring them back either.
+    """A1: recursive walk of a tree, all regular files, names starting with '.' or
+    '_' included (Spark's own file sources skip these). Folders are listed level by
+    level, each level's folders spread over tasks; bodies are read in tasks, and
+    only with ``with_content``. ``root``: a plain path or a URI that pyarrow knows,
+    reachable from the executors. Paths are relative to ``root`` with '/' separators.
 
     Returns corpus_id, path, mtime_ms, size[, content BINARY]."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    root_uri = root.rstrip("/")
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + _re_escape(root_uri.split("://")[-1]) + "/", "")
-    cols = [F.lit(corpus_id or root_uri).alias("corpus_id"), T.normalize_path(rel).alias("path"),
-            (F.unix_millis(F.col("modificationTime").cast("timestamp"))).cast("bigint").alias("mtime_ms"),
-            F.col("length").cast("bigint").alias("size")]
+    level = spark.createDataFrame([("",)], "path string")
+    found = spark.createDataFrame([], LISTED)
+    while True:
+        entries = materialize(level.repartition(spark.sparkContext.defaultParallelism, "path")
+                              .mapInArrow(_list_folders(root), LISTED), "listing", force=True)
+        found = found.unionByName(entries.where(~F.col("is_dir")))
+        level = entries.where("is_dir").select("path")
+        if level.isEmpty():
+            break
+    files = found.select("path", "mtime_ms", "size")
     if with_content:
-        cols.append(F.col("content"))
-    return df.select(*cols)
-
-
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
+        files = files.mapInArrow(_read_bodies(root), "path string, mtime_ms long, size long, content binary")
+    return files.select(F.lit(corpus_id or root.rstrip("/")).alias("corpus_id"), T.normalize_path(F.col("path")).alias("path"),
+                        *files.columns[1:])
 
 
 def snapshot(raw: DataFrame, counter: Column | None = None) -> DataFrame:
@@ -77,16 +121,15 @@ def allow_table(spark: SparkSession, entries: Iterable[str] = O.DEFAULT_ALLOW_LI
 def filter_extensions(files: DataFrame, allow: DataFrame) -> DataFrame:
     """A3: keep a path whose lower-cased last extension is allowed.
 
-    ``allow`` is either (ext) - one global list, at most a few hundred entries,
-    broadcast - or (corpus_id, ext) per corpus, joined on both keys (the planner
-    broadcasts it only when its measured size is under the threshold). Entries
+    ``allow`` is either (ext) - one global list - or (corpus_id, ext) per corpus;
+    the planner broadcasts it when its measured size is under the threshold. Entries
     are lower-cased too, so mixed-case entries match (a deliberate fix)."""
     f = files.withColumn("_ext", T.extension("path"))
     if "corpus_id" in allow.columns:
         a = allow.select("corpus_id", F.lower("ext").alias("_ext")).distinct()
         return f.join(a, ["corpus_id", "_ext"], "left_semi").drop("_ext")
     a = allow.select(F.lower("ext").alias("_ext")).distinct()
-    return f.join(F.broadcast(a), "_ext", "left_semi").drop("_ext")
+    return f.join(a, "_ext", "left_semi").drop("_ext")
 
 
 def exclude_reserved(files: DataFrame, prefixes: Iterable[str] = O.RESERVED_PREFIXES,

@@ -69,7 +69,7 @@ def glob_to_regex(pattern: str) -> tuple[str | None, bool, bool]:
                 body = p[i + 1:j]
                 if body.startswith("!"):
                     body = "^" + body[1:]
-                out.append("[" + body.replace("\\", "\\\\") + "]")
+                out.append("[" + re.sub(r"([\\\[&])", r"\\\1", body) + "]")  # no class within a class
                 i = j + 1
         elif c == "\\" and i + 1 < len(p):
             out.append(re.escape(p[i + 1]))
@@ -106,9 +106,11 @@ def default_rules(corpora: DataFrame) -> DataFrame:
                   .withColumn("ord", F.col("ord") - len(O.ALWAYS_IGNORED))
 
 
-def ignore_verdicts(files: DataFrame, rules: DataFrame) -> DataFrame:
+def ignore_verdicts(files: DataFrame, rules: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Per file: ignored flag and the deciding candidate (the file or a directory)."""
     compiled = compile_rules(rules)
+    if ignore_case:
+        compiled = compiled.withColumn("regex", F.concat(F.lit("(?iu)"), "regex"))
     segs = F.split("path", "/")
     n = F.size(segs)
     cand = files.select("corpus_id", "path", F.explode(F.sequence(F.lit(1), n)).alias("k"), segs.alias("_s"), n.alias("_n"))
@@ -122,7 +124,7 @@ def ignore_verdicts(files: DataFrame, rules: DataFrame) -> DataFrame:
                 .withColumn("ignored", F.col("ignored_by").isNotNull())
 
 
-def filter_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+def filter_ignored(files: DataFrame, rules: DataFrame, ignore_case: bool = False) -> DataFrame:
     """Keep files that no rule ignores (directly or through a directory)."""
-    v = ignore_verdicts(files, rules).where(F.col("ignored")).select("corpus_id", "path")
+    v = ignore_verdicts(files, rules, ignore_case).where(F.col("ignored")).select("corpus_id", "path")
     return files.join(v, ["corpus_id", "path"], "left_anti")

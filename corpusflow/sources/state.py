@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions import text as T
+
 BASE_SHARDS_SCHEMA = ("corpus_id string, shard_id string, base_token_count bigint, base_text string, "
                       "snapshot_ts bigint")
 BASE_FILES_SCHEMA = "corpus_id string, shard_id string, path string, hash string, snapshot_ts bigint"
@@ -56,13 +58,24 @@ def read_state(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(TABLES[table]).parquet(f"{root.rstrip('/')}/v={vs[-1]}/{table}")
 
 
-def write_state(root: str, base_shards: DataFrame, base_files: DataFrame, plan: DataFrame) -> int:
+def has_mark(spark: SparkSession, root: str, mark: str) -> bool:
+    """Whether a complete version was written with ``mark``."""
+    fs, _, jvm = _fs(spark, root)
+    return any(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/v={v}/_marks/{mark}"))
+               for v in versions(spark, root))
+
+
+def write_state(root: str, base_shards: DataFrame, base_files: DataFrame, plan: DataFrame, mark: str | None = None) -> int:
     """Write a new version (A10 overwrite of the plan, bases as given). The
-    version becomes visible only when all three tables are committed."""
+    version becomes visible only when all three tables are committed; ``mark``
+    (a name) becomes visible with it."""
     spark = base_shards.sparkSession
     vs = versions(spark, root)
     n = (vs[-1] + 1) if vs else 1
     d = f"{root.rstrip('/')}/v={n}"
+    if mark:
+        fs, _, jvm = _fs(spark, root)
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{d}/_marks/{mark}"), True).close()
     for name, df in (("base_files", base_files), ("shard_plan", plan), ("base_shards", base_shards)):
         cols = [c.split()[0] for c in TABLES[name].split(", ")]
         df.select(*cols).write.mode("overwrite").parquet(f"{d}/{name}")
@@ -108,23 +121,56 @@ def base_record(shard_files: DataFrame, contexts: DataFrame, decisions: DataFram
     return shards, files
 
 
-def import_state(spark: SparkSession, path: str, corpus_id: str | None = None):
-    """Reference-format JSON documents (one per shard: base_token_count,
-    base_request_text, file_hashes map, timestamp) into the state tables.
-    Malformed documents are dropped (PERMISSIVE mode); the shard id is taken
-    from the file name ``shard_<key>.json`` (or ``base.json`` for ``__all__``)."""
+def import_plan(spark: SparkSession, path: str, corpus_id: str | None = None) -> DataFrame:
+    """Plan documents (``shard_meta.json``: an array ``shards`` of objects with id and
+    prefix, in stored order) as corpus_id, shard_id, prefix, shard_ord. Malformed
+    documents are dropped."""
+    schema = "shards array<struct<id:string,prefix:string>>, _corrupt_record string"
+    df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true")
+          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+          .withColumn("corpus_id", _corpus_of_file(corpus_id)))
+    df = df.where(F.col("_corrupt_record").isNull() & F.col("shards").isNotNull())
+    df = df.select("corpus_id", F.posexplode("shards").alias("i", "s"))
+    return df.select("corpus_id", F.col("s.id").alias("shard_id"), F.coalesce("s.prefix", F.lit("")).alias("prefix"),
+                     (F.col("i") + 1).cast("int").alias("shard_ord"))
+
+
+def _corpus_of_file(corpus_id: str | None):
+    return F.lit(corpus_id) if corpus_id else F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+\.json$", 1)
+
+
+def import_state(spark: SparkSession, path: str, corpus_id: str | None = None, plan: DataFrame | None = None):
+    """JSON documents (one per shard: base_token_count, base_request_text,
+    file_hashes map, timestamp) into the state tables. Malformed documents are
+    dropped (PERMISSIVE mode).
+
+    A file ``shard_<key>.json`` holds the shard whose id has that state key (A12;
+    several characters of an id may become one of the key, so the key alone does
+    not tell the id): ids come from ``plan`` (corpus_id, shard_id; see
+    :func:`import_plan`), and files of shards outside it are dropped. Without a
+    plan, a shard's id is the longest folder that its files share: the folder
+    itself, or its ``__root__`` where the key says so. ``base.json`` is ``__all__``."""
     schema = ("base_token_count double, base_request_text string, file_hashes map<string,string>, "
               "timestamp double, _corrupt_record string")
     df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true")
           .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-          .withColumn("_file", F.input_file_name()))
-    df = df.where(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull())
-    name = F.regexp_extract("_file", r"([^/]+)\.json$", 1)
-    sid = F.when(name == "base", F.lit("__all__")).otherwise(
-        F.replace(F.regexp_replace(name, "^shard_", ""), F.lit("__"), F.lit("/")))
-    cid = F.lit(corpus_id) if corpus_id else F.regexp_extract("_file", r"([^/]+)/[^/]+\.json$", 1)
-    df = df.select(cid.alias("corpus_id"), sid.alias("shard_id"),
-                   F.col("base_token_count").cast("bigint").alias("base_token_count"),
+          .withColumn("_key", F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1), "^shard_", ""))
+          .withColumn("corpus_id", _corpus_of_file(corpus_id)))
+    df = df.where(F.col("_corrupt_record").isNull() & F.col("timestamp").isNotNull() & F.col("file_hashes").isNotNull())
+    if plan is not None:
+        ids = plan.select("corpus_id", "shard_id").distinct().withColumn(
+            "_key", F.when(F.col("shard_id") == "__all__", "base").otherwise(T.state_key("shard_id")))
+        df = df.join(ids, ["corpus_id", "_key"])
+    else:
+        # the folder whose key this is, among those of the shard's own paths
+        paths = F.map_keys("file_hashes")
+        folders = F.array_distinct(F.flatten(F.transform(paths, lambda p: F.transform(
+            F.sequence(F.lit(1), F.size(F.split(p, "/"))), lambda n: F.array_join(F.slice(F.split(p, "/"), F.lit(1), n), "/")))))
+        ids = F.flatten(F.transform(folders, lambda d: F.array(d, F.concat(d, F.lit("/__root__")))))
+        named = F.filter(ids, lambda d: F.replace(d, F.lit("/"), F.lit("__")) == F.col("_key"))
+        df = df.withColumn("shard_id", F.when(F.col("_key") == "base", "__all__").when(F.col("_key") == "__root__", "__root__")
+                           .otherwise(F.coalesce(F.get(named, F.lit(0)), F.replace("_key", F.lit("__"), F.lit("/")))))
+    df = df.select("corpus_id", "shard_id", F.col("base_token_count").cast("bigint").alias("base_token_count"),
                    F.col("base_request_text").alias("base_text"),
                    F.col("timestamp").cast("bigint").alias("snapshot_ts"), "file_hashes")
     files = df.select("corpus_id", "shard_id", F.explode("file_hashes").alias("path", "hash"), "snapshot_ts")

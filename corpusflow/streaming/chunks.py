@@ -1,15 +1,16 @@
 """K1: response deltas reassembled as a keyed stateful stream.
 
-Chunks (request_id, chunk_no, tool_delta, content_delta, usage) arrive in any
-grouping across micro-batches. Per request the state keeps the parts seen so
-far (bounded by one response's output); the response is emitted when the chunk
-carrying usage arrives, and a processing-time timeout emits the missing-usage
-error for a request whose stream stopped without it. The result equals the
-batch form :func:`corpusflow.operators.requests.reassemble_chunks`.
+Chunks (request_id, chunk_no from 0, tool_delta, content_delta, usage) arrive in
+any grouping and order across micro-batches. Per request the state keeps the
+parts seen so far (bounded by one response's output); the response is emitted
+once usage and all chunks up to the highest number seen are there, so the rows
+equal the batch form :func:`corpusflow.operators.requests.reassemble_chunks`.
 
-Timeouts are checked by micro-batches; while responses are pending Spark runs
-no-data batches to check them, so an ``availableNow`` run ends only once every
-pending response has completed or timed out.
+With ``timeout_ms`` a processing-time timeout emits what there is of a request
+that went quiet, with the missing-usage error if usage is missing. Spark then
+keeps running no-data batches to look for timeouts, so an ``availableNow`` query
+does not end by itself: pass ``timeout_ms=None`` there. It ends when the input
+does, and unfinished requests stay in the checkpoint for the next run.
 """
 
 from __future__ import annotations
@@ -40,13 +41,14 @@ def _emit(rid, parts, n, usage, error):
                         columns=[c.split()[0] for c in OUTPUT_SCHEMA.split(", ")])
 
 
-def _make_fn(timeout_ms: int):
+def _make_fn(timeout_ms: int | None):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rid = int(key[0])
         if state.hasTimedOut:
             parts_s, n, usage_s = state.get
             state.remove()
-            yield _emit(rid, json.loads(parts_s), n, None, O.MSG_NO_USAGE)
+            usage = json.loads(usage_s) if usage_s else None
+            yield _emit(rid, json.loads(parts_s), n, usage, None if usage else O.MSG_NO_USAGE)
             return
         parts, n, usage = [], 0, None
         if state.exists:
@@ -61,17 +63,20 @@ def _make_fn(timeout_ms: int):
                 u = r.usage
                 if u is not None and not (isinstance(u, float)):
                     usage = {f: (None if u[f] is None else int(u[f])) for f in USAGE_FIELDS}
-        if usage is not None:
-            state.remove()
+        numbers = {p[0] for p in parts}
+        if usage is not None and len(numbers) == max(numbers) + 1:
+            if state.exists:
+                state.remove()
             yield _emit(rid, parts, n, usage, None)
         else:
-            state.update((json.dumps(parts), n, None))
-            state.setTimeoutDuration(max(1, int(timeout_ms)))
+            state.update((json.dumps(parts), n, json.dumps(usage) if usage else None))
+            if timeout_ms is not None:
+                state.setTimeoutDuration(max(1, int(timeout_ms)))
     return fn
 
 
-def reassemble_stream(chunks: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def reassemble_stream(chunks: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
     """Streaming (or batch) DataFrame of chunks to one row per finished response."""
     return chunks.groupBy("request_id").applyInPandasWithState(
         _make_fn(timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

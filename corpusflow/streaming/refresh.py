@@ -1,44 +1,40 @@
 """K2: refresh as a stream of arriving corpus snapshots.
 
 A file source delivers snapshot rows (corpus_id, path, content[, mtime_ms]);
-every micro-batch holds complete snapshots of the corpora it names. Each batch
-runs the batch refresh (J8) through ``foreachBatch``. A batch is idempotent by
-its id: the id is recorded under the state root after the new state version is
-committed, and a replayed id (restart after a failure between the two) is
-skipped, so a batch never applies twice.
+every micro-batch holds complete snapshots of the corpora it names (a corpus of
+which a batch holds a part is read as if its other files were deleted, so a
+producer publishes a corpus in one file or one atomic folder). Each batch runs
+the batch refresh (J8) through ``foreachBatch``. A batch is idempotent: the
+state version that it writes carries a mark of the stream (its checkpoint
+folder) and the batch id, and becomes visible with it; a replayed batch finds
+the mark and is skipped, and another stream's batch of the same id is not.
+The snapshot time of a batch is one more than the newest in the state, so a
+batch is always newer than what it replaces.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusflow import options as O
 from corpusflow.plans.refresh import refresh
+from corpusflow.sources import state as ST
 from corpusflow.sources.files import snapshot
 
 
-def _done(spark, state_root: str, batch_id: int) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{state_root.rstrip('/')}/_batches/{batch_id}")
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _mark(spark, state_root: str, batch_id: int) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{state_root.rstrip('/')}/_batches/{batch_id}")
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.create(p, True).close()
-
-
-def refresh_batch(state_root: str, budget: int, threshold: float):
-    """The ``foreachBatch`` body: skip replayed ids, else refresh and record the id."""
+def refresh_batch(state_root: str, budget: int, threshold: float, stream: str = ""):
+    """The ``foreachBatch`` body: skip replayed batches, else refresh. ``stream`` tells streams apart."""
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        if _done(spark, state_root, batch_id) or df.isEmpty():
+        mark = f"{hashlib.sha256(stream.encode()).hexdigest()[:16]}-{batch_id}"
+        if df.isEmpty() or ST.has_mark(spark, state_root, mark):
             return
         files = df if "hash" in df.columns else snapshot(df)
-        refresh(files, state_root, budget=budget, threshold=threshold, snapshot_ts=int(batch_id))
-        _mark(spark, state_root, batch_id)
+        newest = max((ST.read_state(spark, state_root, t).agg(F.max("snapshot_ts")).first()[0] or 0 for t in ST.TABLES))
+        refresh(files, state_root, budget=budget, threshold=threshold, snapshot_ts=newest + 1, mark=mark)
     return run
 
 
@@ -46,7 +42,7 @@ def refresh_stream(arrivals: DataFrame, state_root: str, checkpoint: str,
                    budget: int = O.DEFAULT_MAX_CONTEXT_TOKENS,
                    threshold: float = O.DEFAULT_CHANGE_THRESHOLD, available_now: bool = False):
     """Start the stream; returns the StreamingQuery."""
-    w = arrivals.writeStream.foreachBatch(refresh_batch(state_root, budget, threshold)) \
+    w = arrivals.writeStream.foreachBatch(refresh_batch(state_root, budget, threshold, checkpoint)) \
                             .option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)

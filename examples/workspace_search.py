@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from corpusflow import options as O  # noqa: E402
-from corpusflow.operators.requests import PassageLocator  # noqa: E402
+from corpusflow.fixtures.responders import PassageLocator  # noqa: E402
 from corpusflow.plans.search import search  # noqa: E402
 from corpusflow.session import build_session  # noqa: E402
 from corpusflow.sources import files as SF  # noqa: E402

@@ -1,4 +1,4 @@
-"""Hit processing: JSON edges (I1-I3), range merging vs the fold (E1), de-duplication (E3),
+"""Hit processing: JSON edges (I1-I3), range merging as sets of lines (E1), de-duplication (E3),
 rendering notices (J5) and the outcome summary (D14)."""
 
 import random
@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusflow.operators import hits as H
-from spec import coalesce
+from spec import lines_within
 
 
 def test_argument_parsing_edges(spark):
@@ -26,20 +26,23 @@ def test_argument_parsing_edges(spark):
         (5, 0, None, 1.0, 1.0, True)]
 
 
-def test_coalesce_equals_fold(spark):
+def test_merged_ranges_are_the_lines_and_their_small_gaps(spark):
     rng = random.Random(3)
     rows, want = [], {}
     for q in range(60):
         for f in range(3):
             rs = [(s, s + rng.randrange(0, 6)) for s in (rng.randrange(1, 60) for _ in range(rng.randrange(1, 9)))]
-            want[(q, f"f{f}")] = coalesce(rs)
+            want[(q, f"f{f}")] = lines_within(rs, 3)
             rows += [(q, "c", f"f{f}", 0, i, s, e) for i, (s, e) in enumerate(rs)]
     df = spark.createDataFrame(rows, "query_id long, corpus_id string, path string, shard_ord int, hit_ord long, "
                                      "start_line long, end_line long")
     got = {}
     for r in H.coalesce_ranges(df).orderBy("query_id", "path", "range_no").collect():
         got.setdefault((r.query_id, r.path), []).append((r.start_line, r.end_line))
-    assert got == want
+    for key, ranges in got.items():
+        lines = [n for a, b in ranges for n in range(a, b + 1)]
+        assert len(lines) == len(set(lines)) and set(lines) == want[key]
+        assert all(b[0] - a[1] > 3 for a, b in zip(ranges, ranges[1:]))
 
 
 def test_gaps_of_three_and_four(spark):

@@ -1,12 +1,12 @@
-"""Planning (D4, D5, D6, C4) against the recursive specification, many random
-trees per Spark job (one corpus per tree)."""
+"""Planning (D4, D5, D6, C4): properties of the plans of many random trees per
+Spark job (one corpus per tree)."""
 
 import random
 
 from pyspark.sql import functions as F
 
 from corpusflow.operators import shards as S
-from spec import fresh_plan, resolve_plan
+from spec import check_fresh, check_resolved
 
 SEGS = ["a", "b", "c", "src", "lib", "x"]
 
@@ -33,11 +33,7 @@ def as_map(plan_rows):
     return out
 
 
-def spec_map(plan):
-    return {f: (sid, prefix) for sid, prefix, fs in plan for f in fs}
-
-
-def test_fresh_plan_matches_recursion(spark):
+def test_fresh_plans_are_the_coarsest_that_fit(spark):
     rng = random.Random(7)
     corpora = {f"c{i}": random_tree(rng, rng.randrange(1, 40)) for i in range(80)}
     budgets = {cid: rng.choice([5, 20, 60, 150, 400]) for cid in corpora}
@@ -47,14 +43,15 @@ def test_fresh_plan_matches_recursion(spark):
         rows = S.plan_shards(to_df(spark, sub), b).select("corpus_id", "shard_id", "prefix", "path").collect()
         got.update(as_map(rows))
     for cid, files in corpora.items():
-        assert got[cid] == spec_map(fresh_plan(files, budgets[cid])), cid
+        check_fresh(files, budgets[cid], got[cid])
 
 
-def test_resolve_matches_sequential_generations(spark):
+def test_resolved_plans_over_generations(spark):
     rng = random.Random(11)
     budget = 60
     corpora = {f"c{i}": random_tree(rng, rng.randrange(5, 40)) for i in range(60)}
-    stored = {cid: [(s, p) for s, p, _ in fresh_plan(f, budget)] for cid, f in corpora.items()}
+    first = as_map(S.plan_shards(to_df(spark, corpora), budget).select("corpus_id", "shard_id", "prefix", "path").collect())
+    stored = {cid: sorted(set(first[cid].values())) for cid in corpora}
     for gen in range(3):
         nxt = {}
         for cid, files in corpora.items():
@@ -75,11 +72,11 @@ def test_resolve_matches_sequential_generations(spark):
             ords.setdefault(cid, {})[sid] = o
         new_stored = {}
         for cid, files in corpora.items():
-            want = resolve_plan(files, budget, stored[cid])
-            assert got[cid] == spec_map(want), (gen, cid)
-            ids = [s for s, _, _ in want]
-            assert len(ids) == len(set(ids))
-            new_stored[cid] = sorted({(s, p) for s, p, _ in want}, key=lambda x: ords[cid][x[0]])
+            check_resolved(files, budget, stored[cid], got[cid])
+            shards = set(got[cid].values())
+            ids = [s for s, _ in shards]
+            assert len(ids) == len(set(ids)), (gen, cid)
+            new_stored[cid] = sorted(shards, key=lambda x: ords[cid][x[0]])
             # shard_ord is dense 1..n
             assert sorted(ords[cid].values()) == list(range(1, len(ids) + 1))
         stored = new_stored
@@ -126,7 +123,6 @@ def test_id_drift_of_unsplittable_directory(spark):
     p2 = S.plan_table(S.resolve_plan(df, p1.select("corpus_id", "shard_id", "prefix", "shard_ord"), 60))
     ids2 = {r.shard_id for r in p2.collect()}
     assert ids2 == {"s/__root__", "t"}
-    assert ids2 == {s for s, _, _ in resolve_plan(files, 60, [("s", "s/"), ("t", "t/")])}
 
 
 def test_claim_longest_prefix(spark):
@@ -149,8 +145,7 @@ def test_nested_direct_child_shard_adopts_new_subdirectory(spark):
     got = {r.path: r.shard_id for r in res.collect()}
     assert got == {"top.py": "__root__", "src/x.py": "src/__root__", "src/a/y.py": "src/a",
                    "src/new/z.py": "src/__root__", "lib/w.py": "lib"}
-    assert spec_map(resolve_plan(files, 100, [(s, p) for _, s, p, _ in stored])) == \
-        {p: (got[p], [r.prefix for r in res.collect() if r.path == p][0]) for p in files}
+    check_resolved(files, 100, [(s, p) for _, s, p, _ in stored], {r.path: (r.shard_id, r.prefix) for r in res.collect()})
 
 
 def test_directory_named_root_is_rejected(spark):

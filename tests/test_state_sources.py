@@ -26,14 +26,17 @@ def test_scan_listing_snapshot(spark, tmpdir_path):
     write(root, "README", b"none")
     write(root, ".corpusflow/base.json", b"{}")
     write(root, "lib/c.ts", b"\xff\xfe")
+    write(root, "lib/__init__.py", b"")
+    write(root, ".eslintrc.js", b"x")
+    write(root, ".github/w.yml", b"y")
     raw = SF.scan_files(spark, root, "ws")
     got = sorted(r.path for r in raw.collect())
-    # Spark's listing skips names starting with '.' or '_' (the state directory included)
-    assert got == ["README", "lib/c.ts", "src/a.py", "src/b.md"]
+    assert got == [".corpusflow/base.json", ".eslintrc.js", ".github/w.yml", "README", "lib/__init__.py", "lib/c.ts", "src/a.py", "src/b.md"]
+    assert {r.path: r.size for r in SF.scan_files(spark, root, with_content=False).collect()}["src/a.py"] == 13
     files = SF.snapshot(SF.exclude_reserved(raw, anywhere=True))
     kept = SF.filter_extensions(files, SF.allow_table(spark))
     rows = {r.path: r for r in kept.collect()}
-    assert sorted(rows) == ["lib/c.ts", "src/a.py"]
+    assert sorted(rows) == [".eslintrc.js", ".github/w.yml", "lib/__init__.py", "lib/c.ts", "src/a.py"]
     assert rows["src/a.py"].content == "x = 1\ny = 2\n" and rows["src/a.py"].n_lines == 3
     # listing: trimmed, blanks dropped, state dir dropped, missing files skipped
     listing = spark.createDataFrame([("ws", " src/a.py "), ("ws", ""), ("ws", ".corpusflow/base.json"),
@@ -104,6 +107,26 @@ def test_state_versions_and_import(spark, tmpdir_path):
     shards, files = ST.import_state(spark, os.path.join(tmpdir_path, "json", "*", "*.json"))
     assert [(r.corpus_id, r.shard_id, r.base_token_count) for r in shards.collect()] == [("proj", "a/b", 7)]
     assert sorted(r.path for r in files.collect()) == ["a/b.py", "c.py"]
+    # state keys that several ids share are told apart by the plan, or by the shard's own paths
+    for key, paths in (("__root__", {"x.py": "h"}), ("src____root__", {"src/x.py": "h"}), ("my__pkg", {"my__pkg/x.py": "h"})):
+        json.dump({"base_token_count": 1, "base_request_text": "t", "file_hashes": paths, "timestamp": 1},
+                  open(os.path.join(jd, f"shard_{key}.json"), "w"))
+    wanted = [("__root__", ""), ("src/__root__", "src/"), ("my__pkg", "my__pkg/")]
+    json.dump({"planHash": "h", "shards": [{"id": i, "prefix": p} for i, p in wanted], "timestamp": 1},
+              open(os.path.join(tmpdir_path, "json", "proj", "shard_meta.json"), "w"))
+    plan = ST.import_plan(spark, os.path.join(tmpdir_path, "json", "*", "shard_meta.json"))
+    assert [(r.corpus_id, r.shard_id, r.prefix, r.shard_ord) for r in plan.orderBy("shard_ord").collect()] == \
+        [("proj", i, p, k + 1) for k, (i, p) in enumerate(wanted)]
+    source = os.path.join(tmpdir_path, "json", "*", "shard_*.json")
+    assert {r.shard_id for r in ST.import_state(spark, source)[0].collect()} == {"a/b"} | {i for i, _ in wanted}
+    assert {r.shard_id for r in ST.import_state(spark, source, plan=plan)[0].collect()} == {i for i, _ in wanted}
+
+
+def test_ignore_case_is_a_parameter(spark):
+    files = spark.createDataFrame([("k", "Build/x.py"), ("k", "a[&&b]/x")], "corpus_id string, path string")
+    rules = spark.createDataFrame([("k", 0, "build/"), ("k", 1, "[a&&b]")], "corpus_id string, ord int, pattern string")
+    assert IG.filter_ignored(files, rules).count() == 2
+    assert [r.path for r in IG.filter_ignored(files, rules, ignore_case=True).collect()] == ["a[&&b]/x"]
 
 
 def test_refresh_twice_is_stable(spark, tmpdir_path):
