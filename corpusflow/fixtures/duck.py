@@ -122,8 +122,9 @@ def log_files_cte(name: str = "log_files", lines: str = "commit_lines") -> str:
 
 def raw_hits_cte(name: str = "raw_hits") -> str:
     return f"""{name}_e AS (
-  SELECT user_id % 100 AS query_id, CAST(event_id % 3 AS INTEGER) AS shard_ord, event_id AS hit_ord,
-         CASE WHEN event_id % 41 = 0 THEN -1 ELSE event_id % 23 END AS doc,
+  SELECT event_id // 100 AS query_id, CAST(event_id % 3 AS INTEGER) AS shard_ord, event_id AS hit_ord,
+         CASE WHEN event_id % 41 = 0 THEN -1
+              ELSE (event_id // 100 * 7 + event_id % 23) % (SELECT count(*) FROM documents) END AS doc,
          value - 30 * floor(value / 30) AS s, event_id
   FROM events),
 {name} AS (

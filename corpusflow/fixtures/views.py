@@ -50,15 +50,13 @@ def files(spark: SparkSession, sf_dir: str, version: str | None = None) -> DataF
         mtime = F.when(did % 10 == 7, mtime + F.lit(86_400_000)).otherwise(mtime)
     out = d.select(F.col("lang").alias("corpus_id"), doc_path(did, F.col("source")).alias("path"),
                    did.alias("doc_id"), content.alias("content"), mtime.cast("bigint").alias("mtime_ms"))
-    snap = out.select("corpus_id", "path", "doc_id", "content",
+    # a lazy projection: a query reads, and hashes, only what it asks for
+    return out.select("corpus_id", "path", "doc_id", "content",
                       T.content_hash("content").alias("hash"),
                       T.proxy_tokens("content").alias("tokens"),
                       T.line_count("content").alias("n_lines"),
                       "mtime_ms",
                       F.octet_length("content").cast("bigint").alias("size"))
-    # a snapshot is a stored table: write it once so its consumers do not re-hash contents
-    from corpusflow.session import materialize
-    return materialize(snap, f"files_{version or 'all'}")
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +107,15 @@ def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers as rows: query_id, shard_ord, hit_ord, corpus_id, path,
     start_line, end_line (raw DOUBLE values, some reversed, zero or past the end).
-    doc -1 names a file that exists nowhere."""
+    A hundred hits a request, in 23 files; the requests' files move over all
+    documents. doc -1 names a file that exists nowhere."""
     e = table(spark, sf_dir, "events")
     eid = F.col("event_id")
-    doc = F.when(eid % 41 == 0, F.lit(-1)).otherwise(eid % 23)
+    query = F.floor(eid / 100)
+    n = table(spark, sf_dir, "documents").count()
+    doc = F.when(eid % 41 == 0, F.lit(-1)).otherwise((query * 7 + eid % 23) % F.lit(max(n, 1)))
     start = F.col("value") - F.lit(30) * F.floor(F.col("value") / 30)
-    h = e.select((F.col("user_id") % 100).alias("query_id"), (eid % 3).cast("int").alias("shard_ord"),
+    h = e.select(query.alias("query_id"), (eid % 3).cast("int").alias("shard_ord"),
                  eid.alias("hit_ord"), doc.alias("doc"), start.alias("start_line"),
                  (start + (eid % 17) - 3).alias("end_line"))
     d = table(spark, sf_dir, "documents").select(
