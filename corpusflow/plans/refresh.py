@@ -43,7 +43,7 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
 
     ``files``: full snapshots of the corpora to refresh (corpus_id, path,
     content, hash, tokens, n_lines[, mtime_ms]). State of corpora absent from
-    ``files`` is carried over unchanged. ``mark``: a name that the version carries
+    ``files`` is neither read nor written. ``mark``: a name that the version carries
     (see ``state.has_mark``). Returns the decisions and the version."""
     spark = files.sparkSession
     corpora = files.select("corpus_id").distinct()
@@ -54,9 +54,6 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
     def touched(df):
         return df.join(corpora, "corpus_id", "left_semi")
 
-    def untouched(df):
-        return df.join(corpora, "corpus_id", "left_anti")
-
     stored, old_shards, old_files = touched(stored_all), touched(shards_all), touched(files_all)
     # the snapshot feeds five consumers: cut its lineage once
     snap = materialize(files, "snapshot")
@@ -80,7 +77,5 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
     plan_rows = dec.select("corpus_id", "shard_id", "prefix", "shard_ord").join(hashes.select("corpus_id", "plan_hash"),
                                                                                "corpus_id") \
                    .withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint"))
-    version = ST.write_state(state_root, won_shards.unionByName(untouched(shards_all)),
-                             won_files.unionByName(untouched(files_all)),
-                             plan_rows.unionByName(untouched(stored_all)), mark)
+    version = ST.write_state(state_root, won_shards, won_files, plan_rows, mark, corpora)
     return {"decisions": dec, "version": version, "plan": plan_rows}

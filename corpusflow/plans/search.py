@@ -128,8 +128,7 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
 
 
 def _save_state(state_root, files, dec, old_shards, old_files, new_shards, new_files, snapshot_ts):
-    """A9 upsert, A11 prune, A10 plan write, as one new state version."""
-    spark = files.sparkSession
+    """A9 upsert, A11 prune, A10 plan write, as one new state version of these corpora."""
     corpora = files.select("corpus_id").distinct()
     won_shards, won_files = ST.upsert_base(old_shards, new_shards, old_files, new_files)
     won_shards, won_files = ST.prune_base(won_shards, dec), ST.prune_base(won_files, dec)
@@ -137,6 +136,4 @@ def _save_state(state_root, files, dec, old_shards, old_files, new_shards, new_f
     plan_rows = dec.select("corpus_id", "shard_id", "prefix", "shard_ord") \
         .join(hashes.select("corpus_id", "plan_hash"), "corpus_id") \
         .withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint"))
-    keep = {t: ST.read_state(spark, state_root, t).join(corpora, "corpus_id", "left_anti") for t in ST.TABLES}
-    ST.write_state(state_root, won_shards.unionByName(keep["base_shards"]),
-                   won_files.unionByName(keep["base_files"]), plan_rows.unionByName(keep["shard_plan"]))
+    ST.write_state(state_root, won_shards, won_files, plan_rows, corpora=corpora)

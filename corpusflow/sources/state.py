@@ -1,10 +1,14 @@
 """Saved state as versioned parquet tables.
 
-State lives under one root on shared storage, one directory per version:
-``<root>/v=<n>/{base_shards,base_files,shard_plan}``. A version is complete
-when all three tables carry Spark's ``_SUCCESS`` marker; readers take the
-newest complete version, so a crashed writer leaves the previous state in
-force. One writer per corpus set; conflicting bases resolve newest-wins (A9).
+State lives under one root on shared storage. A write makes one folder
+``<root>/v=<n>.<tag>/`` with the tables below and ``corpora``, the corpora that it
+replaces; it holds those corpora and no others, so a refresh of one corpus writes
+only that corpus. A version counts once all its tables carry Spark's ``_SUCCESS``
+marker. A corpus's state is that of its newest version, so a crashed writer leaves
+the previous state in force, and writers of different corpora don't disturb each
+other (the random tag keeps their folders apart even with the same number; of two
+writers of one corpus with the same number, the one with the greater tag counts,
+as a whole). Superseded versions go with :func:`drop_superseded`.
 
 Tables:
 * ``base_shards``: corpus_id, shard_id, base_token_count, base_text, snapshot_ts
@@ -14,6 +18,8 @@ Tables:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,55 +39,92 @@ def _fs(spark: SparkSession, root: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions under ``root`` (directory metadata only)."""
+def _complete(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, folder name) of the complete versions under ``root``, in order (folder metadata only)."""
     fs, p, jvm = _fs(spark, root)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         name = st.getPath().getName()
-        if not name.startswith("v="):
-            continue
-        ok = all(fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), f"{t}/_SUCCESS")) for t in TABLES)
-        if ok:
-            out.append(int(name[2:]))
+        if name.startswith("v=") and all(fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), f"{t}/_SUCCESS"))
+                                         for t in (*TABLES, "corpora")):
+            out.append((int(name[2:].partition(".")[0]), name))
     return sorted(out)
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the complete versions under ``root``."""
+    return [n for n, _ in _complete(spark, root)]
+
+
+def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
+    """Rows of a table in all complete versions, with the version as ``v``."""
+    root = root.rstrip("/")
+    paths = [f"{root}/{name}/{table}" for _, name in _complete(spark, root)]
+    return spark.read.schema(schema + ", v string").option("basePath", root).parquet(*paths)
+
+
+def _newest(spark: SparkSession, root: str) -> DataFrame:
+    """(corpus_id, v): the version that holds each corpus's state."""
+    v = F.struct(F.split_part("v", F.lit("."), F.lit(1)).cast("bigint").alias("n"), F.col("v").alias("v"))
+    return _read(spark, root, "corpora", "corpus_id string").groupBy("corpus_id").agg(F.max(v).alias("m")).select("corpus_id", "m.v")
+
+
 def read_state(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The newest complete version of a state table, or an empty
-    DataFrame of the fixed schema when there is none."""
-    vs = versions(spark, root)
-    if not vs:
+    """A state table, each corpus from its newest complete version; an
+    empty DataFrame of the fixed schema when there is none."""
+    if not _complete(spark, root):
         return spark.createDataFrame([], TABLES[table])
-    return spark.read.schema(TABLES[table]).parquet(f"{root.rstrip('/')}/v={vs[-1]}/{table}")
+    return _read(spark, root, table, TABLES[table]).join(_newest(spark, root), ["corpus_id", "v"], "left_semi").drop("v")
 
 
 def has_mark(spark: SparkSession, root: str, mark: str) -> bool:
     """Whether a complete version was written with ``mark``."""
     fs, _, jvm = _fs(spark, root)
-    return any(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/v={v}/_marks/{mark}"))
-               for v in versions(spark, root))
+    return any(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}/_marks/{mark}"))
+               for _, name in _complete(spark, root))
 
 
-def write_state(root: str, base_shards: DataFrame, base_files: DataFrame, plan: DataFrame, mark: str | None = None) -> int:
-    """Write a new version (A10 overwrite of the plan, bases as given). The
-    version becomes visible only when all three tables are committed; ``mark``
-    (a name) becomes visible with it."""
+def write_state(root: str, base_shards: DataFrame, base_files: DataFrame, plan: DataFrame, mark: str | None = None,
+                corpora: DataFrame | None = None) -> int:
+    """Write a version that replaces the state of ``corpora`` (corpus_id; by default
+    those that the tables name) by the given rows. It becomes visible only when all
+    tables are committed, and ``mark`` (a name) with it."""
     spark = base_shards.sparkSession
     vs = versions(spark, root)
     n = (vs[-1] + 1) if vs else 1
-    d = f"{root.rstrip('/')}/v={n}"
+    d = f"{root.rstrip('/')}/v={n}.{uuid.uuid4().hex[:8]}"
     if mark:
         fs, _, jvm = _fs(spark, root)
         fs.create(jvm.org.apache.hadoop.fs.Path(f"{d}/_marks/{mark}"), True).close()
-    for name, df in (("base_files", base_files), ("shard_plan", plan), ("base_shards", base_shards)):
+    tables = {"base_files": base_files, "shard_plan": plan, "base_shards": base_shards}
+    for name, df in tables.items():
         cols = [c.split()[0] for c in TABLES[name].split(", ")]
-        df.select(*cols).write.mode("overwrite").parquet(f"{d}/{name}")
+        df.select(*cols).write.mode("error").parquet(f"{d}/{name}")
+    if corpora is None:
+        corpora = spark.read.parquet(f"{d}/shard_plan").select("corpus_id")
+        for name in ("base_files", "base_shards"):
+            corpora = corpora.union(spark.read.parquet(f"{d}/{name}").select("corpus_id"))
+    corpora.select("corpus_id").distinct().write.mode("error").parquet(f"{d}/corpora")
     return n
 
 
+def drop_superseded(spark: SparkSession, root: str) -> int:
+    """Delete the versions of which no corpus's state is read any more (run it when
+    no reader of an older version is at work); the newest version stays for its
+    number and marks. Returns how many went."""
+    complete = _complete(spark, root)
+    if not complete:
+        return 0
+    used = {f"v={r.v}" for r in _newest(spark, root).select("v").distinct().collect()} | {complete[-1][1]}
+    fs, _, jvm = _fs(spark, root)
+    gone = [name for _, name in complete if name not in used]
+    for name in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}"), True)
+    return len(gone)
+
+
 def upsert_base(existing: DataFrame, new: DataFrame, existing_files: DataFrame | None = None,
                 new_files: DataFrame | None = None):
     """Keep the record with the newer ``snapshot_ts``; on a tie the existing

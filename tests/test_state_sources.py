@@ -99,6 +99,15 @@ def test_state_versions_and_import(spark, tmpdir_path):
     os.makedirs(os.path.join(root, "v=3", "base_files"))  # incomplete version is ignored
     assert ST.versions(spark, root) == [1, 2]
     assert ST.read_state(spark, root, "shard_plan").first().plan_hash == "abc"
+    # a writer of another corpus adds its own state and leaves the rest in force
+    other = [df.withColumn("corpus_id", F.lit("other")) for df in (b, f, p)]
+    assert ST.write_state(root, *other, mark="m1") == 3 and ST.has_mark(spark, root, "m1") and not ST.has_mark(spark, root, "m2")
+    assert sorted(r.corpus_id for r in ST.read_state(spark, root, "shard_plan").collect()) == ["k", "other"]
+    # a corpus that a version replaces by nothing is gone
+    ST.write_state(root, b.limit(0), f.limit(0), p.limit(0), corpora=b.select("corpus_id"))
+    assert [r.corpus_id for r in ST.read_state(spark, root, "base_shards").collect()] == ["other"]
+    assert ST.drop_superseded(spark, root) == 2 and ST.versions(spark, root) == [3, 4]
+    assert [r.corpus_id for r in ST.read_state(spark, root, "base_files").collect()] == ["other"]
     jd = os.path.join(tmpdir_path, "json", "proj")
     os.makedirs(jd)
     json.dump({"base_token_count": 7, "base_request_text": "t", "file_hashes": {"a/b.py": "h1", "c.py": "h2"},
