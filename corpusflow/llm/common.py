@@ -11,13 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["CHUNK_BYTES", "Words", "bitmap", "in_bitmap", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows", "with_key"]
+__all__ = ["CHUNK_BYTES", "Words", "bitmap", "may_match", "without", "in_bitmap", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows", "with_key"]
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
@@ -179,3 +180,26 @@ def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def may_match(rows: DataFrame, key: str, found: DataFrame, column: str, bits: int = 23) -> DataFrame:
+    """``rows`` with a boolean ``__may``: false only if no value of ``column`` in ``found`` equals the key.
+
+    A bitmap of the found values' hashes (2**bits bits, whatever their number) tells it without
+    a shuffle of the rows; it may be true for others, so a join has to follow."""
+    kind = rows.schema[key].dataType
+    map_ = rows.sparkSession.sparkContext.broadcast(bitmap(found.select(F.xxhash64(F.col(column).cast(kind)).alias("hash")), bits))
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(map_.value, hashes.to_numpy().view(np.uint64)))
+
+    return rows.withColumn("__may", test(F.xxhash64(F.col(key))))
+
+
+def without(rows: DataFrame, key: str, found: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose key is in no row of ``found``: only those that may be are shuffled."""
+    found = materialize(found.select(F.col(column).alias("__found")).where("__found IS NOT NULL").distinct(), "found", force=True)
+    flagged = may_match(rows, key, found, "__found")
+    doubtful = flagged.where("__may").join(found, F.col(key) == F.col("__found"), "left_anti")
+    return flagged.where("NOT __may").unionByName(doubtful).drop("__may")
