@@ -11,36 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import decontam, isolation, order_minhash, packing, pretoken, secrets
-from corpusflow.llm.common import materialize, with_key
+from corpusflow.llm.common import materialize, with_key, without
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _matched(docs: DataFrame, rows: DataFrame, key: str, found: DataFrame, column: str, how: str) -> DataFrame:
-    """The columns of ``docs`` of those ``rows`` whose key is (left_semi) or isn't (left_anti) in a column of ``found``."""
-    wanted = found.select(F.col(column).alias("__found"))
-    return rows.join(wanted, rows[key] == F.col("__found"), how).select(docs.columns)
-
-
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the isolation forest."""
-    rows, key = with_key(docs)
-    verdicts = isolation.judge(rows, _table(spark, sf_dir, "labels"), row_col=key)
-    return _matched(docs, rows, key, verdicts.where("kept"), "row", "left_semi")
+    fitted, _ = isolation.fit(docs, _table(spark, sf_dir, "labels"))
+    return isolation.keep(docs, fitted)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each near-duplicate class."""
     rows, key = with_key(docs)
-    return _matched(docs, rows, key, order_minhash.classes(rows, id_col=key).where("kept"), "doc_id", "left_semi")
+    copies = order_minhash.classes(rows, id_col=key).where("not kept")
+    return without(rows, key, copies, "doc_id").select(docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage that copies a benchmark item."""
     rows, key = with_key(docs)
-    return _matched(docs, rows, key, decontam.leaks(rows, _table(spark, sf_dir, "benchmark"), id_col=key), "doc_id", "left_anti")
+    leaks = decontam.leaks(rows, _table(spark, sf_dir, "benchmark"), id_col=key)
+    return without(rows, key, leaks, "doc_id").select(docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,23 +95,23 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row (of ``row_col``) and :data:`COUNTS` (long)."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id and :data:`COUNTS` (long)."""
     small_batches(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col, docs[row_col or id_col].alias("row"))
+    rows = keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column("text")):
                 found = rule_counts(data, offsets)
-                ids = batch.select(["doc_id", "row"]).slice(first, last - first)
-                yield pa.RecordBatch.from_arrays([*ids.columns, *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], ["doc_id", "row", *COUNTS])
+                ids = batch.column("doc_id").slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], ["doc_id", *COUNTS])
 
-    return rows.mapInArrow(run, _ids(rows) + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, _id(rows) + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def _ids(rows: DataFrame) -> str:
-    return "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in ("doc_id", "row"))
+def _id(rows: DataFrame) -> str:
+    return f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, "
 
 
 def features(c: dict[str, np.ndarray]) -> np.ndarray:
@@ -203,7 +203,7 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
             x = features({c: batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.value.scores(x))], [*batch.schema.names, "anomaly"])
 
-    return stats.select("doc_id", "row", *COUNTS).mapInArrow(run, _ids(stats) + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double")
+    return stats.select("doc_id", *COUNTS).mapInArrow(run, _id(stats) + ", ".join(f"{c} long" for c in COUNTS) + ", anomaly double")
 
 
 def base_failed() -> Column:
@@ -232,18 +232,43 @@ def threshold(rows: DataFrame, labels: DataFrame, keep_share: float) -> float:
     return float(BINS - np.argmax(gain[::-1])) / BINS
 
 
-def judge(
-    docs: DataFrame,
-    labels: DataFrame,
-    keep_share: float = 0.995,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    row_col: str | None = None,
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, row (of ``row_col``, the id if none is named), :data:`COUNTS`,
-    anomaly, base_failed, kept."""
-    stats = materialize(statistics(docs, id_col, text_col, row_col), "rule-statistics")
-    rows = scored(stats, grow(features(pool(stats))))
-    limit = threshold(rows, labels, keep_share)
+@dataclass
+class Judge:
+    """A fitted forest and the score from which a document is rejected."""
+
+    forest: Forest
+    limit: float
+
+    def kept(self, counts: dict[str, np.ndarray]) -> np.ndarray:
+        failed = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
+        return ~failed & (self.forest.scores(features(counts)) < self.limit)
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep_share: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> tuple[Judge, DataFrame]:
+    """(the judge, the scored rows of ``docs``)."""
+    stats = materialize(statistics(docs, id_col, text_col), "rule-statistics")
+    forest = grow(features(pool(stats)))
+    rows = scored(stats, forest)
+    return Judge(forest, threshold(rows, labels, keep_share)), rows
+
+
+def judge(docs: DataFrame, labels: DataFrame, keep_share: float = 0.995, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, :data:`COUNTS`, anomaly, base_failed, kept."""
+    fitted, rows = fit(docs, labels, keep_share, id_col, text_col)
     failed = base_failed()
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < limit))
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") < fitted.limit))
+
+
+def keep(docs: DataFrame, fitted: Judge, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the judge keeps: decided where they are read."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            for first, last, data, offsets in chunks(batch.column(text_col)):
+                kept[first:last] = shared.value.kept(rule_counts(data, offsets))
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

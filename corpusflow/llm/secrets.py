@@ -117,10 +117,19 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = None, repo: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every found span of their texts replaced by ``mark`` (overlapping spans once)."""
+    """``docs`` with every found span of their texts replaced by ``mark`` (overlapping spans once).
+
+    Base spans follow from the text alone; only texts that may hold a ``live`` value wait for the
+    corpus's verdict, so only these are joined."""
     rows, key = with_key(docs, id_col)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    may = text.rlike(LIVE)
+    base = F.array_sort(F.transform(F.concat(*(_found(text, k) for k in KINDS[:3])), lambda s: F.struct(s["start"], s["end"])))
     found = scan(rows, owner, repo, id_col=key, text_col=text_col).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("__key"), F.col("spans").alias("__spans"))
+    found = found.select(F.col("doc_id").alias("__key"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
+    plain = rows.where(~may).withColumn("__spans", base)
+    live = rows.where(may).join(found, rows[key] == F.col("__key"), "left").drop("__key")
+    live = live.withColumn("__spans", F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")))
     cut = F.aggregate(
         "__spans",
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -132,5 +141,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = None,
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))),
     )
-    both = rows.join(found, rows[key] == found["__key"], "left")
-    return both.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut)).select(docs.columns)
+    both = plain.unionByName(live)
+    return both.withColumn(text_col, F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(cut)).select(docs.columns)
