@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Entries of a generation of a worker's cache, of which there are two.
-CACHE = 400_000
+CACHE = 120_000
 _LIMIT = 0x180
 # Fixed value: the split pattern that the tokenizer's file names.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
