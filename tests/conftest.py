@@ -26,6 +26,3 @@ def spark():
 def tmpdir_path():
     return tempfile.mkdtemp(prefix="cf-test-")
 
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_MID = "/root/testdata/sf0.01"

@@ -88,7 +88,7 @@ def test_snippets_cut(spark):
 
 def test_chunked_running_totals_equal_plain_window(spark):
     from pyspark.sql import Window
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from corpusflow.fixtures import views as V
     from corpusflow.operators import usage as U
     u = V.usage(spark, SF_SMALL)

@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from corpusflow.fixtures import views as V
 from corpusflow.fixtures import responders as RS
 from corpusflow.operators import requests as R

@@ -84,7 +84,7 @@ def test_resolved_plans_over_generations(spark):
 
 def test_plan_invariants_and_metamorphic(spark):
     from corpusflow.fixtures import views as V
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     f = V.files(spark, SF_SMALL)
     sf = S.plan_shards(f, 1500)
     # every file in exactly one shard

@@ -139,7 +139,7 @@ def test_ignore_case_is_a_parameter(spark):
 
 
 def test_refresh_twice_is_stable(spark, tmpdir_path):
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     from corpusflow.fixtures import views as V
     root = os.path.join(tmpdir_path, "st")
     v1 = V.files(spark, SF_SMALL, "v1")

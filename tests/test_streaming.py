@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from corpusflow.fixtures import views as V
 from corpusflow.operators import requests as R
 from corpusflow.sources import state as ST
