@@ -15,8 +15,12 @@ them becomes the region's pivot, and all others' exact Jaccard distances to it a
 Sets within the radius are linked. The region is then cut into rings of that radius around
 the pivot; by the triangle inequality linked sets lie in one ring or in neighbouring ones, so
 each set is replicated into the next ring, and each ring is a region of the next round. Regions
-whose sets are all in one component are finished, and small ones are joined pair by pair. So a
-cluster of thousands of near copies costs a measurement a set, not one a pair.
+whose sets are all in one component are finished, and what is left of small ones is joined pair
+by pair. So a cluster of thousands of near copies costs a measurement a set, not one a pair.
+
+In small regions a pair is measured only if signatures allow a link: a signature is the parity
+of the set's shingles in each of SIGN_BITS classes, and two differ in at most as many bits as
+the sets differ in shingles.
 
 Equal sets are one set from the start. A shingle is the 64-bit hash of its three words; two
 different shingles of a measured pair count as one with probability 2**-64.
@@ -43,9 +47,10 @@ CLASS_BITS = 20
 SLICES = 64
 #: Words of more bytes are hashed one by one: their polynomial hashes may be alike by construction.
 LONG = 32
-#: A region of at most this many sets is joined pair by pair in the first round; twice as many in each further one.
+#: A region of at most this many sets is small in the first round; twice as many in each further one.
 SMALL = 16
 MOST_SMALL = 1024
+SIGN_BITS = 1024
 #: Sets that one task compares with a pivot.
 SPOKES = 256
 
@@ -77,16 +82,22 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each class of their low bits."""
+    classes = (s & np.uint64(SIGN_BITS - 1)).astype(np.int64)
+    return np.packbits(np.bincount(classes, minlength=SIGN_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def _texts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
     return keyed(docs, key, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def set_rows(texts: DataFrame) -> DataFrame:
-    """Of (doc_id, text): a row (doc_id, n, same) per document, n the set's size and same its digest, and
-    per task rows (slice, counts): documents with a shingle of each class."""
+    """Of (doc_id, text): a row (doc_id, n, same, sign) per document, n the set's size, same its digest and
+    sign its signature, and per task rows (slice, counts): documents with a shingle of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "same", "slice", "counts"]
+        names = ["doc_id", "n", "same", "sign", "slice", "counts"]
         seen = None
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column("text")):
@@ -100,16 +111,18 @@ def set_rows(texts: DataFrame) -> DataFrame:
                     batch.column("doc_id").slice(first, size),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([signature(s) for s in sets], pa.binary()),
                     pa.nulls(size, pa.int32()),
                     pa.nulls(size, pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if seen is not None:
             parts = np.split(seen, SLICES)
-            columns = [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
+            none = [pa.nulls(SLICES, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            columns = [*none, pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.mapInArrow(run, "doc_id long, n long, same binary, slice int, counts binary")
+    return texts.mapInArrow(run, "doc_id long, n long, same binary, sign binary, slice int, counts binary")
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
@@ -129,14 +142,14 @@ def rarity(counts: DataFrame) -> np.ndarray:
 
 
 def pivots(texts: DataFrame, powers: np.ndarray, percent: int) -> DataFrame:
-    """(pivot, doc_id, n): the outer pivots that each set's window reaches."""
+    """(pivot, doc_id, n, place): the outer pivots that each set's window reaches, by place in their order."""
     table = texts.sparkSession.sparkContext.broadcast(powers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in chunks(batch.column("text")):
                 ids = batch.column("doc_id").slice(first, last - first).to_numpy(zero_copy_only=False)
-                some, owner, sizes = [], [], []
+                some, owner, sizes, places = [], [], [], []
                 for i, s in enumerate(shingles(data, offsets)):
                     if not len(s):
                         continue
@@ -145,11 +158,30 @@ def pivots(texts: DataFrame, powers: np.ndarray, percent: int) -> DataFrame:
                     some.append(s[order[:reach]])
                     owner.append(np.full(reach, ids[i], np.int64))
                     sizes.append(np.full(reach, len(s), np.int32))
+                    places.append(np.arange(reach, dtype=np.int32))
                 if some:
-                    columns = [np.concatenate(some).view(np.int64), np.concatenate(owner), np.concatenate(sizes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pivot", "doc_id", "n"])
+                    columns = [np.concatenate(some).view(np.int64), *map(np.concatenate, (owner, sizes, places))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pivot", "doc_id", "n", "place"])
 
-    return texts.mapInArrow(run, "pivot long, doc_id long, n int")
+    return texts.mapInArrow(run, "pivot long, doc_id long, n int, place int")
+
+
+def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, spoke) whose sizes and signatures (doc_id, n, sign) allow a link."""
+    hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("spokes")).join(signs.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_hub"), F.col("sign").alias("sign_hub")), "hub")
+    rows = spread_join(pairs, hubs, "hub", "spokes", "spoke").join(signs.withColumnRenamed("doc_id", "spoke"), "spoke")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("sign_hub", "sign"))
+            n, m = (batch.column(c).to_numpy() for c in ("n_hub", "n"))
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            allowed = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+            yield batch.select(["hub", "spoke"]).filter(pa.array(allowed))
+
+    return rows.select("hub", "spoke", "n_hub", "n", "sign_hub", "sign").mapInArrow(run, "hub long, spoke long")
 
 
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -193,18 +225,23 @@ def _regions(members: DataFrame, roots: DataFrame | None, round_: int) -> DataFr
     return found.where("low < high").select("region", "pivot", "size")
 
 
-def linked(texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """(node, root) of linked sets: the least doc_id of each component of more than one.
 
-    ``found``: rows of :func:`pivots`, stored; ``texts``: one document a set."""
+    ``found``: rows of :func:`pivots`, stored; ``texts``: one document a set; ``signs``: (doc_id, n, sign)."""
+    t = percent / 100.0
     # outer regions with one set are done; the others fall into overlapping bands of size
     shared = found.groupBy("pivot").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("pivot", "size")
     shared = materialize(shared, "jaccard-pivots", force=True)
     met = spread_join(may_match(found, "pivot", shared, "pivot").where("__may").drop("__may"), shared, "pivot", "size", "doc_id")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100.0) * (1 + 1e-9))).cast("long")
-    members = met.select("doc_id", "n", F.explode(F.array(F.xxhash64("pivot", band), F.xxhash64("pivot", band + 1))).alias("region"))
-    members = materialize(members, "jaccard-members", force=True)
-    width = (1 - percent / 100.0) * (1 + 1e-9)
+    step = -float(np.log(t)) * (1 + 1e-9)
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long")
+    met = met.select("pivot", "doc_id", "n", "place", F.explode(F.array(band, band + 1)).alias("band"))
+    # of the first pivot that two sets share, at most n - place more follow: enough for a link with a set of the band?
+    other = F.greatest(F.col("n") * F.lit(t), F.exp((F.col("band") - 1) * F.lit(step)))
+    met = met.where(F.col("n") - F.col("place") >= (F.col("n") + other) * F.lit(t / (1 + t)) - 1e-6)
+    members = materialize(met.select("doc_id", "n", F.xxhash64("pivot", "band").alias("region")), "jaccard-members", force=True)
+    width = (1 - t) * (1 + 1e-9)
     known, links, roots, round_ = None, None, None, 0
     while True:
         regions = materialize(_regions(members, roots, round_), "jaccard-regions", force=True)
@@ -212,26 +249,28 @@ def linked(texts: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             return members.limit(0).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")) if roots is None else roots
         limit = min(SMALL << round_, MOST_SMALL)
         rows = materialize(spread_join(members, regions, "region", "size", "doc_id"), "jaccard-round", force=True)
-        small = rows.where(F.col("size") <= limit).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("doc_id", "n"))).alias("sets"))  # limit sets at most
-        each = F.flatten(F.transform("sets", lambda a: F.transform(F.filter("sets", lambda b: (b["doc_id"] > a["doc_id"]) & (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"]))), lambda b: F.struct(a["doc_id"].alias("hub"), b["doc_id"].alias("spoke")))))
-        small = small.select(F.explode(each).alias("p")).select("p.hub", "p.spoke")
-        large = rows.where((F.col("size") > limit) & (F.col("doc_id") != F.col("pivot")))
-        pairs = small.unionByName(large.select(F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke"))).distinct()
+        star = rows.where("doc_id <> pivot").select("region", "doc_id", "n", "size", "pivot", F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke"))
+        small, large = star.where(F.col("size") <= limit).select("hub", "spoke"), star.where(F.col("size") > limit)
+        if roots is not None:  # most of a region's sets are in one component by now: pairs of the others
+            sets = rows.where(F.col("size") <= limit).groupBy("region").agg(F.collect_list("doc_id").alias("sets"))  # limit sets at most
+            each = F.flatten(F.transform("sets", lambda a: F.transform(F.filter("sets", lambda b: b > a), lambda b: F.struct(a.alias("hub"), b.alias("spoke")))))
+            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+            small = sets.select(F.explode(each).alias("p")).select("p.hub", "p.spoke").distinct()
+            small = small.join(side("hub"), "hub", "left").join(side("spoke"), "spoke", "left").where("coalesce(hub_root, hub) <> coalesce(spoke_root, spoke)").select("hub", "spoke")
+        pairs = screened(materialize(small.distinct(), "jaccard-small", force=True), signs, percent).unionByName(large.select("hub", "spoke")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["hub", "spoke"], "left_anti")
-        if roots is not None:  # only rings need the distances within a component
-            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            apart = pairs.join(side("hub"), "hub", "left").join(side("spoke"), "spoke", "left").where("coalesce(hub_root, hub) <> coalesce(spoke_root, spoke)")
-            pairs = apart.select("hub", "spoke").unionByName(pairs.join(large.select(F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke")), ["hub", "spoke"], "left_semi")).distinct()
         new = materialize(measured(materialize(pairs, "jaccard-pairs", force=True), texts), "jaccard-measured", force=True)
         known = new if known is None else materialize(known.unionByName(new), "jaccard-known", force=True)
         more = new.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("hub").alias("a"), F.col("spoke").alias("b"))
         links = more if links is None else links.unionByName(more)
         roots = components(links)
-        # rings around the pivots of the large regions
-        rings = large.join(known, (F.col("pivot") == F.col("hub")) & (F.col("doc_id") == F.col("spoke")))
+        # rings around the pivots of the large regions; a small region is done once its pairs were tried
+        rings = large.select("region", "doc_id", "n", "hub", "spoke").join(known, ["hub", "spoke"])
         ring = F.floor((F.col("either") - F.col("both")) / F.col("either") / F.lit(width)).cast("long")
         members = rings.select("doc_id", "n", F.explode(F.array(F.xxhash64("region", ring), F.xxhash64("region", ring + 1))).alias("region"))
+        if round_ == 0:
+            members = members.unionByName(rows.where(F.col("size") <= limit).select("doc_id", "n", "region"))
         members = materialize(members, "jaccard-members", force=True)
         round_ += 1
 
@@ -254,7 +293,7 @@ def join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     powers = rarity(rows.where("slice IS NOT NULL").select("slice", "counts"))
     one = without(texts, "doc_id", members.where("doc_id <> first"), "doc_id")
     found = materialize(pivots(one, powers, percent), "jaccard-windows", force=True)
-    roots = linked(texts, found, percent)
+    roots = linked(texts, found, rows.where("slice IS NULL AND n > 0").select("doc_id", "n", "sign"), percent)
     named = sets.join(roots, sets["first"] == roots["node"], "left").select("first", "copies", F.coalesce("root", "first").alias("root"))
     out = spread_join(members, named, "first", "copies", "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
     out = out.unionByName(rows.where("slice IS NULL AND n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
