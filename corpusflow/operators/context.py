@@ -1,9 +1,10 @@
 """Context assembly (D7-D10, B7-B9, J1): the texts a request is built from.
 
-Ordered string aggregation is ``array_sort(collect_list(struct(order keys...,
-text)))`` per group. Groups are shards, whose content is bounded by the token
-budget; a shard that cannot be split further (a single directory of direct
-files over budget) is flagged ``oversize`` instead of being silently truncated.
+What a shard is shown is a table of ordered rows, a block per file (:func:`base_blocks`,
+:func:`change_blocks`); requests stream them, so no task holds a shard's text. Where the
+text itself is the result (a stored base), :func:`base_context` builds it by an ordered
+string aggregation per shard; a shard that cannot be split further (a single directory
+of direct files over budget) is flagged ``oversize`` instead of being truncated.
 """
 
 from __future__ import annotations
@@ -48,8 +49,44 @@ def file_blocks(files: DataFrame, tag: Column | None = None) -> DataFrame:
     return files.withColumn("block", T.render_file("path", "content", "n_lines", tag))
 
 
+#: Parts of what a request's shard is shown, in order.
+BASE, CHANGE = 1, 2
+
+
+def without_excluded(files: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """``files`` but those that ``excluded`` (corpus_id, path) names: read as updates, so not shown twice."""
+    if excluded is None:
+        return files
+    return files.join(excluded.select("corpus_id", "path").distinct(), ["corpus_id", "path"], "left_anti")
+
+
+def base_blocks(shard_files: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """D7 as rows: (corpus_id, shard_id, part, ord, path, block), a row per file, oldest commit first by
+    (ord, path). Whoever needs them in order sorts within partitions; no text of a shard is built."""
+    f = file_blocks(without_excluded(shard_files, excluded))
+    return f.select("corpus_id", "shard_id", F.lit(BASE).alias("part"), F.col("commit_time").cast("bigint").alias("ord"), "path", "block")
+
+
+def change_blocks(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """D8 as rows like :func:`base_blocks`: updated files (modified, then added), then markers of deleted ones."""
+    ch = changes.where(F.col("status").isin(MODIFIED, ADDED, DELETED)).select("corpus_id", "shard_id", "path", "status")
+    live = files.select("corpus_id", "path", "content", "n_lines")
+    shown = ch.where(F.col("status") != DELETED).join(live, ["corpus_id", "path"])
+    shown = shown.withColumn("block", T.render_file("path", "content", "n_lines", F.lit(O.TAG_UPDATED)))
+    gone = ch.where(F.col("status") == DELETED).withColumn("block", T.deleted_marker("path"))
+    out = shown.drop("content", "n_lines").unionByName(gone)
+    return out.select("corpus_id", "shard_id", F.lit(CHANGE).alias("part"), status_rank("status").cast("bigint").alias("ord"), "path", "block")
+
+
+def stored_blocks(base_shards: DataFrame) -> DataFrame:
+    """A stored base text (corpus_id, shard_id, base_text) as the one base block of its shard."""
+    return base_shards.select("corpus_id", "shard_id", F.lit(BASE).alias("part"), F.lit(0).cast("bigint").alias("ord"),
+                              F.lit("").alias("path"), F.coalesce("base_text", F.lit("")).alias("block"))
+
+
 def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "shard_id"),
-                 budget: int | None = None, shard_tokens: DataFrame | None = None) -> DataFrame:
+                 budget: int | None = None, shard_tokens: DataFrame | None = None,
+                 excluded: DataFrame | None = None) -> DataFrame:
     """All file blocks of a shard, oldest commit first (ties by path),
     separated by a blank line.
 
@@ -61,8 +98,9 @@ def base_context(shard_files: DataFrame, keys: Sequence[str] = ("corpus_id", "sh
     assembled like any other: it is one message of one model call, so some task
     has to hold it, and only the model's own answer says that it is too long.
     ``shard_tokens`` (keys + tokens, n_files), when the plan already has them,
-    saves a second pass over the content-bearing rows."""
+    saves a second pass over the content-bearing rows. Files of ``excluded`` are left out."""
     k = list(keys)
+    shard_files = without_excluded(shard_files, excluded)
     if shard_tokens is not None:
         sizes = shard_tokens.select(*k, F.col("tokens").cast("bigint").alias("base_token_count"),
                                     F.col("n_files").cast("bigint").alias("n_files"))

@@ -1,10 +1,9 @@
 """Requests as table jobs.
 
-The model call is batch inference over a table of (request, shard) rows. The
-shard text travels once per group: requests of a shard are cogrouped with that
-shard's context row, and a shard with very many requests is split into several
-groups (hash buckets of ``requests_per_group`` requests), each receiving its
-own copy of the bounded shard text. Failures are a column, never a task failure.
+The model call is batch inference over a table of (request, shard) rows. A
+shard's blocks are streamed in order in front of its requests, once per group: a
+shard with very many requests is split into several groups (hash buckets of about
+``requests_per_group`` requests). Failures are a column, never a task failure.
 """
 
 from __future__ import annotations
@@ -14,16 +13,20 @@ import random
 import time
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from corpusflow import options as O
 from corpusflow.functions import text as T
 from corpusflow.operators.joins import salted_join
-from corpusflow.operators.context import SHARDED_INSTRUCTIONS, SINGLE_INSTRUCTIONS
+from corpusflow.operators.context import BASE, CHANGE, SHARDED_INSTRUCTIONS, SINGLE_INSTRUCTIONS
 
 TREE_MARK = "\u0000TREE\u0000"
+#: What follows a shard's blocks (context.BASE and CHANGE) in its task.
+TREE, REQUEST = 3, 4
 
 
 # -- C10 -----------------------------------------------------------------------
@@ -181,58 +184,126 @@ RESPONSE_SCHEMA = ("query_id long, corpus_id string, shard_id string, shard_ord
 USAGE_NAMES = ("prompt_tokens", "prompt_cache_hit_tokens", "prompt_cache_miss_tokens", "completion_tokens")
 
 
-def _make_group_fn(responder: Responder, max_attempts: int, sleep: bool):
-    def fn(reqs: pd.DataFrame, ctx: pd.DataFrame) -> pd.DataFrame:
-        if reqs.empty or ctx.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in RESPONSE_SCHEMA.split(", ")])
-        c = ctx.iloc[0]
-        instr = SHARDED_INSTRUCTIONS if bool(c["sharded"]) else SINGLE_INSTRUCTIONS
-        shared = [{"role": "user", "content": instr},
-                  {"role": "user", "content": c["base_text"] if isinstance(c["base_text"], str) else ""}]
-        if isinstance(c["change_text"], str) and c["change_text"]:
-            shared.append({"role": "user", "content": c["change_text"]})
-        tree = c["tree"] if isinstance(c["tree"], str) else ""
-        rows = []
-        for r in reqs.sort_values("query_id").itertuples(index=False):
-            msgs = shared + [{"role": "user", "content": r.turn.replace(TREE_MARK, tree)}]
-            out = call_with_retries(responder, msgs, max_attempts, sleep, random.Random(f"{r.query_id}/{r.shard_id}"))
-            u = out["usage"] if isinstance(out["usage"], dict) else {}
-            det = u.get("completion_tokens_details")
-            det = {**u, **det} if isinstance(det, dict) else u
-            rows.append((r.query_id, r.corpus_id, r.shard_id, r.shard_ord, out["attempts"], out["arguments"],
-                         out["error"], *(_counter(u, n) for n in USAGE_NAMES), _counter(det, "reasoning_tokens")))
-        cols = [c.split()[0] for c in RESPONSE_SCHEMA.split(", ")]
-        return pd.DataFrame(rows, columns=cols)
-    return fn
-
-
-def run_requests(request_shards: DataFrame, contexts: DataFrame, trees: DataFrame,
-                 responder: Responder, max_attempts: int = O.MAX_ATTEMPTS,
+class Collected:
+    """A session for a plain responder: it collects the blocks and sends them whole with each turn."""
+
+    def __init__(self, responder: Responder, instructions: str):
+        self.responder, self.instructions, self.blocks = responder, instructions, {BASE: [], CHANGE: []}
+
+    def feed(self, part: int, block: str) -> None:
+        self.blocks[part].append(block)
+
+    def ask(self, turn: str) -> dict:
+        texts = [self.instructions, "\n\n".join(self.blocks[BASE])]
+        if self.blocks[CHANGE]:
+            texts.append("\n\n".join(self.blocks[CHANGE]))
+        return self.responder([{"role": "user", "content": t} for t in (*texts, turn)])
+
+
+class _Shown:
+    """A session that is being fed; what fails while it is opened or fed fails its requests, not the task."""
+
+    def __init__(self, responder, instructions: str):
+        self.error = self.session = None
+        self._do(lambda: setattr(self, "session", responder.open(instructions) if hasattr(responder, "open") else Collected(responder, instructions)))
+
+    def _do(self, step) -> None:
+        try:
+            step()
+        except Exception as e:
+            self.error = e
+
+    def feed(self, part: int, block: str) -> None:
+        if self.error is None:
+            self._do(lambda: self.session.feed(part, block))
+
+    def ask(self, turn: str) -> dict:
+        if self.error is not None:
+            raise self.error
+        return self.session.ask(turn)
+
+
+def _answer_shards(responder, max_attempts: int, sleep: bool):
+    """Task body: sorted rows of shards (blocks, tree, then requests) to responses; one row is held at a time."""
+    schema = to_arrow_schema(StructType.fromDDL(RESPONSE_SCHEMA))
+
+    def run(batches):
+        key = shown = None
+        for batch in batches:
+            out = []
+            for i in range(len(batch)):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                if (r["corpus_id"], r["shard_id"], r["bucket"]) != key:
+                    key, tree = (r["corpus_id"], r["shard_id"], r["bucket"]), ""
+                    shown = _Shown(responder, SINGLE_INSTRUCTIONS if r["shard_id"] == O.ALL_SHARD else SHARDED_INSTRUCTIONS)
+                if r["part"] in (BASE, CHANGE):
+                    shown.feed(r["part"], r["block"])
+                elif r["part"] == TREE:
+                    tree = r["block"] or ""
+                else:
+                    out.append(_response(r, shown, tree, max_attempts, sleep))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+    return run
+
+
+def _response(r: dict, shown: _Shown, tree: str, max_attempts: int, sleep: bool) -> dict:
+    turn = r["block"].replace(TREE_MARK, tree)
+    rng = random.Random(f"{r['query_id']}/{r['shard_id']}")
+    out = call_with_retries(lambda _: shown.ask(turn), [], max_attempts, sleep, rng)
+    u = out["usage"] if isinstance(out["usage"], dict) else {}
+    det = u.get("completion_tokens_details")
+    det = {**u, **det} if isinstance(det, dict) else u
+    return {**{c: r[c] for c in ("query_id", "corpus_id", "shard_id", "shard_ord")}, "attempts": out["attempts"],
+            "arguments": out["arguments"], "error": out["error"], **{n: _counter(u, n) for n in USAGE_NAMES},
+            "reasoning_tokens": _counter(det, "reasoning_tokens")}
+
+
+def run_requests(request_shards: DataFrame, blocks: DataFrame, trees: DataFrame,
+                 responder, max_attempts: int = O.MAX_ATTEMPTS,
                  requests_per_group: int = 64, sleep: bool = True) -> DataFrame:
     """One model call per (request, shard), all shards in parallel.
 
     ``request_shards`` from :func:`prune_by_scope` (query_id, corpus_id,
-    shard_id, shard_ord, n_shards, query, scope, file_types); ``contexts``:
-    corpus_id, shard_id, sharded, base_text, change_text; ``trees``: corpus_id,
-    shard_id, tree. The query turn is rendered JVM-side with a tree marker that
-    the Python side fills from the shard row, so the tree is not copied per request.
-    The result is not repeatable (external calls): materialize it before reuse."""
+    shard_id, shard_ord, n_shards, query, scope, file_types); ``blocks``: rows of
+    :func:`context.base_blocks` and :func:`context.change_blocks`; ``trees``:
+    corpus_id, shard_id, tree. The query turn is rendered JVM-side with a tree marker
+    that the Python side fills from the shard's tree, so it is not copied per request.
+
+    A shard's blocks are sorted by Spark and streamed through its task in front of its
+    requests. ``responder`` is a plain one (messages to reply), for which the blocks
+    are collected, or has ``open(instructions)``: its session gets each block by
+    ``feed(part, block)`` and each turn by ``ask(turn)``, and decides itself what to
+    keep, so a shard of any size is answered with the memory of one block. The
+    result is not repeatable (external calls): materialize it before reuse."""
     sharded = F.col("n_shards").isNotNull()
     rs = request_shards.select(
         "query_id", "corpus_id", "shard_id", F.col("shard_ord").cast("int").alias("shard_ord"),
         T.render_query_turn(F.lit(TREE_MARK), "query", "scope", "file_types",
-                            F.when(sharded, F.col("shard_id")), "n_shards").alias("turn"))
+                            F.when(sharded, F.col("shard_id")), "n_shards").alias("block"))
     counts = rs.groupBy("corpus_id", "shard_id").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_c") / F.lit(requests_per_group))))
-    rs = salted_join(rs, counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"], spread="query_id") \
+    counts = counts.select("corpus_id", "shard_id", F.ceil(F.col("_c") / F.lit(requests_per_group)).alias("_nb"))
+    rs = salted_join(rs, counts, ["corpus_id", "shard_id"], spread="query_id") \
         .withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.col("_nb")).cast("int")).drop("_nb")
-    ctx = (contexts.select("corpus_id", "shard_id", "sharded", "base_text", "change_text")
-           .join(trees.select("corpus_id", "shard_id", "tree"), ["corpus_id", "shard_id"], "left")
-           .join(counts.select("corpus_id", "shard_id", "_nb"), ["corpus_id", "shard_id"])
-           .withColumn("bucket", F.explode(F.sequence(F.lit(0), (F.col("_nb") - 1).cast("int"))))
-           .drop("_nb"))
-    keys = ["corpus_id", "shard_id", "bucket"]
-    # both sides usually descend from the same plan table: fresh column ids keep the cogroup unambiguous
-    ctx = ctx.select(*[F.col(c).alias(c) for c in ctx.columns])
-    fn = _make_group_fn(responder, max_attempts, sleep)
-    return rs.groupBy(*keys).cogroup(ctx.groupBy(*keys)).applyInPandas(fn, RESPONSE_SCHEMA)
+    none = lambda t, name: F.lit(None).cast(t).alias(name)
+    keys = ["corpus_id", "shard_id"]
+    shown = blocks.select(*keys, "part", "ord", "path", "block").unionByName(
+        trees.select(*keys, F.lit(TREE).alias("part"), none("bigint", "ord"), none("string", "path"), F.col("tree").alias("block")))
+    # both sides usually descend from the same plan table: fresh column ids keep the join unambiguous
+    shown = shown.select(*[F.col(c).alias(c) for c in shown.columns]).join(counts, keys)
+    shown = shown.withColumn("bucket", F.explode(F.sequence(F.lit(0), (F.col("_nb") - 1).cast("int")))).drop("_nb") \
+        .withColumn("query_id", F.lit(None).cast("bigint")).withColumn("shard_ord", F.lit(None).cast("int"))
+    rows = shown.unionByName(rs.withColumn("part", F.lit(REQUEST)).withColumn("ord", F.lit(None).cast("bigint"))
+                             .withColumn("path", F.lit(None).cast("string")))
+    _small_batches(rows.sparkSession)
+    rows = rows.repartition(*keys, "bucket").sortWithinPartitions(*keys, "bucket", "part", "ord", "path", "query_id")
+    return rows.mapInArrow(_answer_shards(responder, max_attempts, sleep), RESPONSE_SCHEMA)
+
+
+#: Bytes of blocks that a task receives at once.
+BATCH_BYTES = 8 << 20
+
+
+def _small_batches(spark) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(BATCH_BYTES))

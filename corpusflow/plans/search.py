@@ -3,8 +3,8 @@
 Stages (each a Spark job boundary where marked):
 
 1. plan: fresh (D4) or resolved against the stored plan (D5); materialized.
-2. decision and contexts per shard: rebuilt base text (D7) or stored base
-   text plus the change context (D8); trees (D10, or D9 for one-shard corpora).
+2. decision and blocks per shard: those of its files (D7), or the stored base
+   text and the updates since (D8); trees (D10, or D9 for one-shard corpora).
 3. fan-out with scope pruning (C10) and the model calls (J2); materialized
    once, because the calls are not repeatable.
 4. answers: parse (I1-I3), own-file filter (C8), de-duplication (E3),
@@ -73,20 +73,14 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     members = S.restrict_to_shard(files, sf.drop("tokens"))
 
     rebuild = dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id")
-    rebuild_tokens = dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id", "tokens", "n_files")
-    fresh_ctx = X.base_context(members.join(rebuild, ["corpus_id", "shard_id"], "left_semi"), budget=budget,
-                               shard_tokens=rebuild_tokens) \
-        .select("corpus_id", "shard_id", "base_text", F.lit(None).cast("string").alias("change_text"))
+    rebuilt = members.join(rebuild, ["corpus_id", "shard_id"], "left_semi")
     reuse = dec.where(~F.col("needs_rebuild")).select("corpus_id", "shard_id")
     cur = members.select("corpus_id", "shard_id", "path", "hash", "tokens")
-    # narrow, read by the change context (count + join) and the tree labels
+    # narrow, read by the change blocks and the tree labels
     ch = materialize(C.detect_changes(cur, base_files.select("corpus_id", "shard_id", "path", "hash"))
                      .join(reuse, ["corpus_id", "shard_id"], "left_semi"), "changes")
-    cc = X.change_context(ch, files)
-    kept_ctx = base_shards.join(reuse, ["corpus_id", "shard_id"], "left_semi") \
-        .select("corpus_id", "shard_id", "base_text").join(cc.select("corpus_id", "shard_id", "change_text"),
-                                                           ["corpus_id", "shard_id"], "left")
-    ctx = fresh_ctx.unionByName(kept_ctx).withColumn("sharded", F.col("shard_id") != O.ALL_SHARD)
+    kept = base_shards.join(reuse, ["corpus_id", "shard_id"], "left_semi")
+    blocks = X.base_blocks(rebuilt).unionByName(X.stored_blocks(kept)).unionByName(X.change_blocks(ch, files))
 
     single = dec.where(F.col("shard_id") == O.ALL_SHARD).select("corpus_id", "shard_id")
     single_files = files.join(single.select("corpus_id"), "corpus_id", "left_semi")
@@ -99,7 +93,7 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
 
     plan = dec.select("corpus_id", "shard_id", "prefix", "shard_ord")
     rs = R.prune_by_scope(requests, plan)
-    responses = materialize(R.run_requests(rs, ctx, trees, responder, max_attempts, requests_per_group, sleep),
+    responses = materialize(R.run_requests(rs, blocks, trees, responder, max_attempts, requests_per_group, sleep),
                             "responses", force=True)
     # an answer that I1 can't read is an error, not an empty result
     unread = F.col("arguments").isNotNull() & F.try_parse_json("arguments").isNull()
@@ -120,7 +114,10 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     answers = H.render_outcome(outcome, n_merged, snips)
     usage = U.usage_summary(responses, ["query_id"])
     ok = responses.where(F.col("error").isNull()).select("corpus_id", "shard_id").distinct()
-    new_shards, new_files = ST.base_record(members, fresh_ctx, dec, ok, snapshot_ts)
+    # texts are built only here, for bases that are kept
+    rebuild_tokens = dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id", "tokens", "n_files")
+    fresh = X.base_context(rebuilt.join(ok, ["corpus_id", "shard_id"], "left_semi"), budget=budget, shard_tokens=rebuild_tokens)
+    new_shards, new_files = ST.base_record(members, fresh, dec, ok, snapshot_ts)
     if state_root is not None:
         _save_state(state_root, files, dec, base_shards, base_files, new_shards, new_files, snapshot_ts)
     return {"answers": answers, "plan": dec, "responses": responses, "ranges": ranges, "usage": usage,

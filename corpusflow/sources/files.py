@@ -58,8 +58,11 @@ def _read_bodies(root: str):
         top = top.rstrip("/")
         for batch in batches:
             for i, path in enumerate(batch.column("path").to_pylist()):  # one body at a time
-                with system.open_input_stream(f"{top}/{path}") as f:
-                    body = pa.array([f.read()], pa.binary())
+                try:
+                    with system.open_input_stream(f"{top}/{path}") as f:
+                        body = pa.array([f.read()], pa.binary())
+                except FileNotFoundError:
+                    continue  # deleted since the folder was listed
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, body], [*batch.schema.names, "content"])
     return run
 
@@ -89,6 +92,15 @@ def scan_files(spark: SparkSession, root: str, corpus_id: str | None = None,
                         *files.columns[1:])
 
 
+def read_files(listing: DataFrame, root: str) -> DataFrame:
+    """``listing`` (path, ..) of files under ``root`` with their bytes as ``content``; a file that has
+    vanished since it was listed is left out. Bodies are read in tasks, one at a time."""
+    columns = listing.columns
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema) + ", content binary"
+    spread = listing.repartition("path")  # the walk's own tasks may hold very different numbers of changed files
+    return spread.select(*columns).mapInArrow(_read_bodies(root), schema)
+
+
 def snapshot(raw: DataFrame, counter: Column | None = None) -> DataFrame:
     """Normalized content, SHA-256, token count and line count.
 
