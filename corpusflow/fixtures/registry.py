@@ -8,6 +8,7 @@ and runs the library operators over whole tables.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,9 @@ from corpusflow.operators import usage as U
 from corpusflow.sources import commit_log as CL
 from corpusflow.sources import files as SF
 from corpusflow.sources import ignore as IG
+from corpusflow.session import run_dir
 from corpusflow.sources import state as ST
+from corpusflow.sources import store as STORE
 
 SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -221,6 +224,22 @@ def reused_metadata(spark, sf):
     return C.reuse_metadata(raw, cache).select("corpus_id", "path", "hash", "tokens", "n_lines", "reused")
 
 
+@query("incremental_snapshot", D.with_(D.files_cte("files_v1", "v1"), D.files_cte("files_v2", "v2")) +
+       """SELECT n.corpus_id, n.path, n.mtime_ms, n.size, coalesce(o.hash, n.hash) AS hash, coalesce(o.tokens, n.tokens) AS tokens,
+       coalesce(o.n_lines, n.n_lines) AS n_lines, o.path IS NOT NULL AS reused, sha256(coalesce(o.content, n.content)) AS text_hash
+       FROM files_v2 n LEFT JOIN files_v1 o ON n.corpus_id = o.corpus_id AND n.path = o.path
+            AND n.mtime_ms = o.mtime_ms AND n.size = o.size""")
+def incremental_snapshot(spark, sf):
+    """A snapshot of files_v2 over a store that holds files_v1; texts looked up by the rows' folders."""
+    root = f"{run_dir(spark)}/store-{uuid.uuid4().hex}"
+    for version in ("v1", "v2"):
+        f = V.files(spark, sf, version)
+        texts = f.select("corpus_id", "path", "content")
+        rows = STORE.snapshot(f.select("corpus_id", "path", "mtime_ms", "size"), lambda m, t=texts: m.join(t, ["corpus_id", "path"]), root)
+    return STORE.with_content(rows, root).select("corpus_id", "path", "mtime_ms", "size", "hash", "tokens", "n_lines", "reused",
+                                                 F.sha2("content", 256).alias("text_hash"))
+
+
 # ============================================================================
 # C / D: changes
 # ============================================================================
@@ -430,6 +449,29 @@ def base_context_hash(spark, sf):
     return bc.select("corpus_id", "shard_id", *_hash_bytes("base_text", "text"), "base_token_count", "n_files")
 
 
+@query("base_blocks", D.with_(*_F, D.plan_ctes("sp", "files", 4000)) + f"""
+SELECT s.corpus_id, s.shard_id, CAST(1 AS INTEGER) AS part, CAST(floor(f.mtime_ms / 1000) AS BIGINT) AS ord, s.path,
+       sha256({D.render_file('f.path', 'f.content', 'f.n_lines')}) AS block_hash
+FROM sp s JOIN files f ON s.corpus_id = f.corpus_id AND s.path = f.path WHERE f.doc_id % 7 <> 0""")
+def base_blocks(spark, sf):
+    """D7 as ordered rows, without the files that are read as updates."""
+    f = V.files(spark, sf).withColumn("commit_time", F.floor(F.col("mtime_ms") / 1000))
+    members = S.restrict_to_shard(f, S.plan_shards(f, 4000))
+    b = X.base_blocks(members, excluded=f.where("doc_id % 7 = 0").select("corpus_id", "path"))
+    return b.select("corpus_id", "shard_id", "part", "ord", "path", F.sha2("block", 256).alias("block_hash"))
+
+
+@query("change_blocks", D.with_(*_V12, _CHANGES) + f"""
+SELECT c.corpus_id, c.shard_id, CAST(2 AS INTEGER) AS part, CAST(CASE c.status WHEN 'modified' THEN 0 WHEN 'added' THEN 1 ELSE 2 END AS BIGINT) AS ord,
+       c.path, sha256(CASE WHEN c.status = 'deleted' THEN '--- ' || c.path || ' [DELETED] ---'
+                           ELSE {D.render_file('f.path', 'f.content', 'f.n_lines', 'UPDATED')} END) AS block_hash
+FROM changes c LEFT JOIN files_v2 f ON c.corpus_id = f.corpus_id AND c.path = f.path WHERE c.status <> 'unchanged'""")
+def change_blocks(spark, sf):
+    """D8 as ordered rows."""
+    cur, base, ch = _corpus_changes(spark, sf)
+    return X.change_blocks(ch, cur).select("corpus_id", "shard_id", "part", "ord", "path", F.sha2("block", 256).alias("block_hash"))
+
+
 @query("dir_tree", D.with_(*_V12, _CHANGES) + f"""
 , ent AS (SELECT corpus_id, path, CASE WHEN status IN ('modified', 'added') THEN ' [CHANGED]'
                                       WHEN status = 'deleted' THEN ' [DELETED]' ELSE '' END AS label FROM changes),

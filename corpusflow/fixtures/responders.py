@@ -95,3 +95,29 @@ class FixedResponder:
 
     def __call__(self, messages):
         return {"arguments": self.text, "content": None, "usage": {"prompt_tokens": len(messages[1]["content"])}}
+
+
+class CountingResponder:
+    """A responder with sessions that keep of the blocks only their number and longest size, which
+    it reports as prompt and completion tokens. Blocks out of order, or with ``fail_on``, break a session."""
+
+    def __init__(self, fail_on: str | None = None):
+        self.fail_on = fail_on
+
+    def open(self, instructions: str):
+        return CountingSession(self.fail_on)
+
+
+class CountingSession:
+    def __init__(self, fail_on: str | None):
+        self.fail_on, self.n, self.longest, self.last = fail_on, 0, 0, (0, "")
+
+    def feed(self, part: int, block: str) -> None:
+        if (part, block) < self.last:
+            raise ValueError("blocks out of order")
+        if self.fail_on and self.fail_on in block:
+            raise ConnectionError("lost")
+        self.n, self.longest, self.last = self.n + 1, max(self.longest, len(block)), (part, block)
+
+    def ask(self, turn: str) -> dict:
+        return {"arguments": '{"results": []}', "content": None, "usage": {"prompt_tokens": self.n, "completion_tokens": self.longest}}

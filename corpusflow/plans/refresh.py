@@ -8,6 +8,8 @@ active plan (A11) and written as a new version together with the plan (A10).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,9 @@ from corpusflow.operators import context as X
 from corpusflow.operators import shards as S
 from corpusflow.session import materialize
 from corpusflow.sources import commit_log as CL
+from corpusflow.sources import manifest as M
 from corpusflow.sources import state as ST
+from corpusflow.sources import store as STORE
 
 
 def refresh_decisions(files: DataFrame, stored_plan: DataFrame, base_shards: DataFrame,
@@ -36,27 +40,45 @@ def refresh_decisions(files: DataFrame, stored_plan: DataFrame, base_shards: Dat
     return d.withColumn("is_new", is_new).withColumn("needs_rebuild", is_new | F.col("needs_rebuild"))
 
 
+#: Times that a refresh starts again because another writer replaced one of its corpora.
+TRIES = 5
+
+
 def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTEXT_TOKENS,
             threshold: float = O.DEFAULT_CHANGE_THRESHOLD, snapshot_ts: int = 0,
-            commit_times: DataFrame | None = None, mark: str | None = None) -> dict[str, DataFrame]:
+            commit_times: DataFrame | None = None, mark: str | None = None,
+            texts: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Run J8 against the state under ``state_root`` and write the next version.
 
-    ``files``: full snapshots of the corpora to refresh (corpus_id, path,
-    content, hash, tokens, n_lines[, mtime_ms]). State of corpora absent from
-    ``files`` is neither read nor written. ``mark``: a name that the version carries
-    (see ``state.has_mark``). Returns the decisions and the version."""
-    spark = files.sparkSession
+    ``files``: full snapshots of the corpora to refresh (corpus_id, path, hash, tokens,
+    n_lines[, content, mtime_ms, ..]). Plans and changes read no text; only files of rebuilt
+    shards get theirs, from ``files`` or by ``texts``, which adds ``content`` to such rows
+    (see :func:`refresh_store`). State of corpora absent from ``files`` is neither read nor
+    written. ``mark``: a name that the version is committed with (see ``state.has_mark``). If
+    another writer replaces one of the corpora meanwhile, the refresh starts again
+    from the new state. Returns the decisions and the version."""
     corpora = files.select("corpus_id").distinct()
-    stored_all = ST.read_state(spark, state_root, "shard_plan")
-    shards_all = ST.read_state(spark, state_root, "base_shards")
-    files_all = ST.read_state(spark, state_root, "base_files")
+    # the snapshot feeds five consumers: cut its lineage once, without the texts
+    snap = materialize(files.drop("content"), "snapshot")
+    if texts is None:
+        bodies = files.select("corpus_id", "path", "content")
+        texts = lambda rows: rows.join(bodies, ["corpus_id", "path"])
+    for left in reversed(range(TRIES)):
+        try:
+            return _refresh(snap, corpora, texts, state_root, budget, threshold, snapshot_ts, commit_times, mark)
+        except M.Conflict:
+            if not left or (mark is not None and ST.has_mark(files.sparkSession, state_root, mark)):
+                raise
+
 
-    def touched(df):
-        return df.join(corpora, "corpus_id", "left_semi")
+def _refresh(snap, corpora, texts, state_root, budget, threshold, snapshot_ts, commit_times, mark):
+    spark = snap.sparkSession
+    seen = M.read(spark, state_root)
 
-    stored, old_shards, old_files = touched(stored_all), touched(shards_all), touched(files_all)
-    # the snapshot feeds five consumers: cut its lineage once
-    snap = materialize(files, "snapshot")
+    def touched(table):
+        return ST.read_state(spark, state_root, table, seen).join(corpora, "corpus_id", "left_semi")
+
+    stored, old_shards, old_files = map(touched, ("shard_plan", "base_shards", "base_files"))
     sf = materialize(S.resolve_plan(snap, stored.select("corpus_id", "shard_id", "prefix", "shard_ord"), budget),
                      "shard_files")
     dec = materialize(refresh_decisions(snap, stored, old_shards, old_files, budget, threshold, shard_files=sf),
@@ -66,16 +88,24 @@ def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTE
                         if "mtime_ms" in snap.columns else F.lit(0).cast("bigint"))
     rebuild = dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id")
     members = S.restrict_to_shard(timed, sf.drop("tokens")).join(rebuild, ["corpus_id", "shard_id"], "left_semi")
-    ctx = X.base_context(members, budget=budget,
+    ctx = X.base_context(texts(members), budget=budget,
                          shard_tokens=dec.where(F.col("needs_rebuild")).select("corpus_id", "shard_id", "tokens",
                                                                                "n_files"))
-    success = rebuild  # a refresh has no model answer to wait for
-    new_shards, new_files = ST.base_record(members, ctx, dec, success, snapshot_ts)
+    new_shards, new_files = ST.base_record(members, ctx, dec, rebuild, snapshot_ts)  # no model answer to wait for
     won_shards, won_files = ST.upsert_base(old_shards, new_shards, old_files, new_files)
     won_shards, won_files = ST.prune_base(won_shards, dec), ST.prune_base(won_files, dec)
     hashes = S.plan_hash(dec)
     plan_rows = dec.select("corpus_id", "shard_id", "prefix", "shard_ord").join(hashes.select("corpus_id", "plan_hash"),
                                                                                "corpus_id") \
                    .withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint"))
-    version = ST.write_state(state_root, won_shards, won_files, plan_rows, mark, corpora)
+    version = ST.write_state(state_root, won_shards, won_files, plan_rows, mark, corpora, seen)
     return {"decisions": dec, "version": version, "plan": plan_rows}
+
+
+def refresh_store(listing: DataFrame, read_bodies: Callable[[DataFrame], DataFrame], store_root: str, state_root: str,
+                  **options) -> dict[str, DataFrame]:
+    """J8 on an incremental snapshot (A1, C2): bodies of changed files are read once into the store, and
+    texts are looked up there for rebuilt shards only. ``options`` as for :func:`refresh`."""
+    rows = STORE.snapshot(listing, read_bodies, store_root)
+    out = refresh(rows, state_root, texts=lambda members: STORE.with_content(members, store_root), **options)
+    return {**out, "rows": rows}

@@ -26,6 +26,7 @@ from corpusflow.operators import requests as R
 from corpusflow.operators import shards as S
 from corpusflow.operators import usage as U
 from corpusflow.session import materialize
+from corpusflow.sources import manifest as M
 from corpusflow.sources import state as ST
 
 
@@ -43,18 +44,20 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     given) and the next state version is written after the answers: the new
     plan always, new bases only for rebuilt shards that answered (newest wins),
     bases of shards no longer planned dropped; corpora not in ``files`` keep
-    their state."""
+    their state, and if another writer replaced one meanwhile, that one's stays."""
     from corpusflow.plans.refresh import refresh_decisions
     spark = files.sparkSession
+    seen = None
     if state_root is not None:
+        seen = M.read(spark, state_root)
         corpora = files.select("corpus_id").distinct()
         if stored_plan is None:
-            stored_plan = ST.read_state(spark, state_root, "shard_plan") \
+            stored_plan = ST.read_state(spark, state_root, "shard_plan", seen) \
                 .select("corpus_id", "shard_id", "prefix", "shard_ord").join(corpora, "corpus_id", "left_semi")
         if base_shards is None:
-            base_shards = ST.read_state(spark, state_root, "base_shards").join(corpora, "corpus_id", "left_semi")
+            base_shards = ST.read_state(spark, state_root, "base_shards", seen).join(corpora, "corpus_id", "left_semi")
         if base_files is None:
-            base_files = ST.read_state(spark, state_root, "base_files").join(corpora, "corpus_id", "left_semi")
+            base_files = ST.read_state(spark, state_root, "base_files", seen).join(corpora, "corpus_id", "left_semi")
     if "commit_time" not in files.columns:
         mtime = F.floor(F.col("mtime_ms") / 1000) if "mtime_ms" in files.columns else F.lit(0)
         files = files.withColumn("commit_time", mtime.cast("bigint"))
@@ -119,12 +122,12 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     fresh = X.base_context(rebuilt.join(ok, ["corpus_id", "shard_id"], "left_semi"), budget=budget, shard_tokens=rebuild_tokens)
     new_shards, new_files = ST.base_record(members, fresh, dec, ok, snapshot_ts)
     if state_root is not None:
-        _save_state(state_root, files, dec, base_shards, base_files, new_shards, new_files, snapshot_ts)
+        _save_state(state_root, files, dec, base_shards, base_files, new_shards, new_files, snapshot_ts, seen)
     return {"answers": answers, "plan": dec, "responses": responses, "ranges": ranges, "usage": usage,
             "new_base_shards": new_shards, "new_base_files": new_files}
 
 
-def _save_state(state_root, files, dec, old_shards, old_files, new_shards, new_files, snapshot_ts):
+def _save_state(state_root, files, dec, old_shards, old_files, new_shards, new_files, snapshot_ts, seen):
     """A9 upsert, A11 prune, A10 plan write, as one new state version of these corpora."""
     corpora = files.select("corpus_id").distinct()
     won_shards, won_files = ST.upsert_base(old_shards, new_shards, old_files, new_files)
@@ -133,4 +136,7 @@ def _save_state(state_root, files, dec, old_shards, old_files, new_shards, new_f
     plan_rows = dec.select("corpus_id", "shard_id", "prefix", "shard_ord") \
         .join(hashes.select("corpus_id", "plan_hash"), "corpus_id") \
         .withColumn("snapshot_ts", F.lit(snapshot_ts).cast("bigint"))
-    ST.write_state(state_root, won_shards, won_files, plan_rows, corpora=corpora)
+    try:
+        ST.write_state(state_root, won_shards, won_files, plan_rows, corpora=corpora, seen=seen)
+    except M.Conflict:
+        pass  # another search or refresh of the corpus was first; its state is as good a base for the next

@@ -98,12 +98,12 @@ def materialize(df: DataFrame, name: str, force: bool = False) -> DataFrame:
     if not force and _is_scan(df):
         return df
     spark = df.sparkSession
-    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _run_dir(spark: SparkSession) -> str:
+def run_dir(spark: SparkSession) -> str:
     """Folder of this application's materialized tables under the checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/corpusflow-{spark.sparkContext.applicationId}"
@@ -113,7 +113,7 @@ def cleanup_materialized(spark: SparkSession) -> None:
     """Delete this application's materialized tables (call when its jobs are done;
     DataFrames read from them become invalid)."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    p = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if fs.exists(p):
         fs.delete(p, True)

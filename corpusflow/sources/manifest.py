@@ -28,10 +28,21 @@ class Conflict(Exception):
 
 
 class Manifest:
-    """``entries``: corpus to folder; ``marks``: names that were committed, and with which number."""
+    """``entries``: corpus to folder; ``marks``: the last number of each marked series; ``old``: folders
+    that were replaced and not yet deleted."""
 
-    def __init__(self, number: int = 0, entries: dict[str, str] | None = None, marks: dict[str, int] | None = None):
-        self.number, self.entries, self.marks = number, entries or {}, marks or {}
+    def __init__(self, number: int = 0, entries: dict[str, str] | None = None, marks: dict[str, int] | None = None, old: list[str] | None = None):
+        self.number, self.entries, self.marks, self.old = number, entries or {}, marks or {}, old or []
+
+    def has(self, mark: str) -> bool:
+        """Whether ``mark`` was committed. Marks ``<series>-<number>`` are committed in order, so one number a series is kept."""
+        series, number = _series(mark)
+        return self.marks.get(series, -1) >= number
+
+
+def _series(mark: str) -> tuple[str, int]:
+    series, _, number = mark.rpartition("-")
+    return (series, int(number)) if series and number.isdigit() else (mark, 0)
 
 
 def _files(spark: SparkSession, root: str):
@@ -58,15 +69,16 @@ def read(spark: SparkSession, root: str) -> Manifest:
     finally:
         stream.close()
     found = json.loads(text)
-    return Manifest(numbers[-1], found["entries"], found["marks"])
+    return Manifest(numbers[-1], found["entries"], found["marks"], found["old"])
 
 
-def _try_commit(spark: SparkSession, root: str, number: int, entries: dict, marks: dict) -> bool:
+def _try_commit(spark: SparkSession, root: str, new: Manifest) -> bool:
+    number = new.number
     jvm, folder, fs, conf = _files(spark, root)
     draft = jvm.org.apache.hadoop.fs.Path(folder, f".{number}.{uuid.uuid4().hex}")
     out = fs.create(draft, False)
     try:
-        out.write(json.dumps({"entries": entries, "marks": marks}, sort_keys=True).encode())
+        out.write(json.dumps({"entries": new.entries, "marks": new.marks, "old": new.old}, sort_keys=True).encode())
     finally:
         out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), conf)
@@ -90,10 +102,20 @@ def commit(spark: SparkSession, root: str, changes: dict[str, str | None], seen:
     while True:
         now = read(spark, root)
         lost = [c for c in changes if now.entries.get(c) != seen.entries.get(c)]
-        if lost or (mark is not None and mark in now.marks):
+        if lost or (mark is not None and now.has(mark)):
             raise Conflict(lost or [mark])
         entries = {c: f for c, f in {**now.entries, **changes}.items() if f is not None}
-        number = now.number + 1
-        marks = now.marks if mark is None else {**now.marks, mark: number}
-        if _try_commit(spark, root, number, entries, marks):
-            return Manifest(number, entries, marks)
+        old = sorted({*now.old, *(set(now.entries.values()) - set(entries.values()))})
+        marks = now.marks if mark is None else {**now.marks, _series(mark)[0]: _series(mark)[1]}
+        new = Manifest(now.number + 1, entries, marks, old)
+        if _try_commit(spark, root, new):
+            return new
+
+
+def forget(spark: SparkSession, root: str, folders: Iterable[str]) -> None:
+    """Take deleted folders off the list of old ones."""
+    folders = set(folders)
+    while folders:
+        now = read(spark, root)
+        if _try_commit(spark, root, Manifest(now.number + 1, now.entries, now.marks, [f for f in now.old if f not in folders])):
+            return

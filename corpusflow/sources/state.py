@@ -1,14 +1,14 @@
 """Saved state as versioned parquet tables.
 
 State lives under one root on shared storage. A write makes one folder
-``<root>/v=<n>.<tag>/`` with the tables below and ``corpora``, the corpora that it
-replaces; it holds those corpora and no others, so a refresh of one corpus writes
-only that corpus. A version counts once all its tables carry Spark's ``_SUCCESS``
-marker. A corpus's state is that of its newest version, so a crashed writer leaves
-the previous state in force, and writers of different corpora don't disturb each
-other (the random tag keeps their folders apart even with the same number; of two
-writers of one corpus with the same number, the one with the greater tag counts,
-as a whole). Superseded versions go with :func:`drop_superseded`.
+``<root>/v=<n>.<tag>/`` with the tables below for the corpora that it replaces, and no
+others, so a refresh of one corpus writes only that corpus. Then the store's manifest
+(:mod:`corpusflow.sources.manifest`) names the folder for these corpora: from there on it is
+their state. A writer that crashes before leaves the previous state in force. Writers of
+different corpora all get through; of two writers of one corpus that read the same state,
+one succeeds and the other gets a ``Conflict`` and starts again from the new state. Reading
+costs one manifest, and the folders that it names. Marks live in the manifest, so they
+outlast the folders; replaced folders go with :func:`drop_superseded`.
 
 Tables:
 * ``base_shards``: corpus_id, shard_id, base_token_count, base_text, snapshot_ts
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
+from corpusflow.sources import manifest as M
 
 BASE_SHARDS_SCHEMA = ("corpus_id string, shard_id string, base_token_count bigint, base_text string, "
                       "snapshot_ts bigint")
@@ -39,90 +40,63 @@ def _fs(spark: SparkSession, root: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _complete(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """(number, folder name) of the complete versions under ``root``, in order (folder metadata only)."""
-    fs, p, jvm = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and all(fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), f"{t}/_SUCCESS"))
-                                         for t in (*TABLES, "corpora")):
-            out.append((int(name[2:].partition(".")[0]), name))
-    return sorted(out)
-
-
 def versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the complete versions under ``root``."""
-    return [n for n, _ in _complete(spark, root)]
+    """Numbers of the committed versions whose folders exist, old ones included."""
+    now = M.read(spark, root)
+    return sorted({_number(f) for f in (*now.entries.values(), *now.old)})
 
 
-def _read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
-    """Rows of a table in all complete versions, with the version as ``v``."""
-    root = root.rstrip("/")
-    paths = [f"{root}/{name}/{table}" for _, name in _complete(spark, root)]
-    return spark.read.schema(schema + ", v string").option("basePath", root).parquet(*paths)
-
+def _number(folder: str) -> int:
+    return int(folder[2:].partition(".")[0])
 
-def _newest(spark: SparkSession, root: str) -> DataFrame:
-    """(corpus_id, v): the version that holds each corpus's state."""
-    v = F.struct(F.split_part("v", F.lit("."), F.lit(1)).cast("bigint").alias("n"), F.col("v").alias("v"))
-    return _read(spark, root, "corpora", "corpus_id string").groupBy("corpus_id").agg(F.max(v).alias("m")).select("corpus_id", "m.v")
 
-
-def read_state(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A state table, each corpus from its newest complete version; an
-    empty DataFrame of the fixed schema when there is none."""
-    if not _complete(spark, root):
+def read_state(spark: SparkSession, root: str, table: str, seen: M.Manifest | None = None) -> DataFrame:
+    """A state table, each corpus from the folder that the manifest (``seen``, by default
+    the current one) names; an empty DataFrame of the fixed schema when there is none."""
+    entries = (seen or M.read(spark, root)).entries
+    if not entries:
         return spark.createDataFrame([], TABLES[table])
-    return _read(spark, root, table, TABLES[table]).join(_newest(spark, root), ["corpus_id", "v"], "left_semi").drop("v")
+    root = root.rstrip("/")
+    paths = [f"{root}/{folder}/{table}" for folder in sorted(set(entries.values()))]
+    rows = spark.read.schema(TABLES[table] + ", v string").option("basePath", root).parquet(*paths)
+    current = spark.createDataFrame([(c, f[2:]) for c, f in sorted(entries.items())], "corpus_id string, v string")
+    return rows.join(current, ["corpus_id", "v"], "left_semi").drop("v")
 
 
 def has_mark(spark: SparkSession, root: str, mark: str) -> bool:
-    """Whether a complete version was written with ``mark``."""
-    fs, _, jvm = _fs(spark, root)
-    return any(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}/_marks/{mark}"))
-               for _, name in _complete(spark, root))
+    """Whether a version was committed with ``mark``."""
+    return M.read(spark, root).has(mark)
 
 
 def write_state(root: str, base_shards: DataFrame, base_files: DataFrame, plan: DataFrame, mark: str | None = None,
-                corpora: DataFrame | None = None) -> int:
-    """Write a version that replaces the state of ``corpora`` (corpus_id; by default
-    those that the tables name) by the given rows. It becomes visible only when all
-    tables are committed, and ``mark`` (a name) with it."""
+                corpora: DataFrame | None = None, seen: M.Manifest | None = None) -> int:
+    """Write a version that replaces the state of ``corpora`` (corpus_id; by default those that the
+    tables name) by the given rows, and commit it with ``mark`` (a name). ``seen``: the manifest that
+    the rows were computed from (by default: now); raises ``manifest.Conflict`` if one of the corpora
+    was replaced since."""
     spark = base_shards.sparkSession
-    vs = versions(spark, root)
-    n = (vs[-1] + 1) if vs else 1
-    d = f"{root.rstrip('/')}/v={n}.{uuid.uuid4().hex[:8]}"
-    if mark:
-        fs, _, jvm = _fs(spark, root)
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{d}/_marks/{mark}"), True).close()
-    tables = {"base_files": base_files, "shard_plan": plan, "base_shards": base_shards}
-    for name, df in tables.items():
-        cols = [c.split()[0] for c in TABLES[name].split(", ")]
-        df.select(*cols).write.mode("error").parquet(f"{d}/{name}")
+    seen = seen or M.read(spark, root)
+    folder = f"v={seen.number + 1}.{uuid.uuid4().hex[:8]}"
+    d = f"{root.rstrip('/')}/{folder}"
+    for name, df in {"base_files": base_files, "shard_plan": plan, "base_shards": base_shards}.items():
+        df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("error").parquet(f"{d}/{name}")
     if corpora is None:
         corpora = spark.read.parquet(f"{d}/shard_plan").select("corpus_id")
         for name in ("base_files", "base_shards"):
             corpora = corpora.union(spark.read.parquet(f"{d}/{name}").select("corpus_id"))
-    corpora.select("corpus_id").distinct().write.mode("error").parquet(f"{d}/corpora")
-    return n
+    names = [r.corpus_id for r in corpora.select("corpus_id").distinct().collect()]  # of corpora, not of files
+    return M.commit(spark, root, {c: folder for c in names}, seen, mark).number
 
 
 def drop_superseded(spark: SparkSession, root: str) -> int:
-    """Delete the versions of which no corpus's state is read any more (run it when
-    no reader of an older version is at work); the newest version stays for its
-    number and marks. Returns how many went."""
-    complete = _complete(spark, root)
-    if not complete:
-        return 0
-    used = {f"v={r.v}" for r in _newest(spark, root).select("v").distinct().collect()} | {complete[-1][1]}
+    """Delete the folders that were replaced for all their corpora (run it when no reader of
+    an older version is at work). Folders of writers at work are not touched. Returns how many went."""
+    old = M.read(spark, root).old
     fs, _, jvm = _fs(spark, root)
-    gone = [name for _, name in complete if name not in used]
-    for name in gone:
+    for name in old:
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}"), True)
-    return len(gone)
+    M.forget(spark, root, old)
+    return len(old)
 
 
 def upsert_base(existing: DataFrame, new: DataFrame, existing_files: DataFrame | None = None,

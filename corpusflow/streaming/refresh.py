@@ -5,9 +5,10 @@ every micro-batch holds complete snapshots of the corpora it names (a corpus of
 which a batch holds a part is read as if its other files were deleted, so a
 producer publishes a corpus in one file or one atomic folder). Each batch runs
 the batch refresh (J8) through ``foreachBatch``. A batch is idempotent: the
-state version that it writes carries a mark of the stream (its checkpoint
-folder) and the batch id, and becomes visible with it; a replayed batch finds
-the mark and is skipped, and another stream's batch of the same id is not.
+state version that it writes is committed with a mark of the stream (its checkpoint
+folder) and the batch id; a replayed batch finds the mark in the manifest and is
+skipped, and another stream's batch of the same id is not. Marks stay when replaced
+folders are deleted.
 The snapshot time of a batch is one more than the newest in the state, so a
 batch is always newer than what it replaces.
 """
@@ -25,8 +26,9 @@ from corpusflow.sources import state as ST
 from corpusflow.sources.files import snapshot
 
 
-def refresh_batch(state_root: str, budget: int, threshold: float, stream: str = ""):
-    """The ``foreachBatch`` body: skip replayed batches, else refresh. ``stream`` tells streams apart."""
+def refresh_batch(state_root: str, budget: int, threshold: float, stream: str = "", keep_old: bool = True):
+    """The ``foreachBatch`` body: skip replayed batches, else refresh. ``stream`` tells streams apart;
+    without ``keep_old``, folders that a batch replaced are deleted after it (no one may be reading them)."""
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         mark = f"{hashlib.sha256(stream.encode()).hexdigest()[:16]}-{batch_id}"
@@ -35,14 +37,16 @@ def refresh_batch(state_root: str, budget: int, threshold: float, stream: str =
         files = df if "hash" in df.columns else snapshot(df)
         newest = max((ST.read_state(spark, state_root, t).agg(F.max("snapshot_ts")).first()[0] or 0 for t in ST.TABLES))
         refresh(files, state_root, budget=budget, threshold=threshold, snapshot_ts=newest + 1, mark=mark)
+        if not keep_old:
+            ST.drop_superseded(spark, state_root)
     return run
 
 
 def refresh_stream(arrivals: DataFrame, state_root: str, checkpoint: str,
                    budget: int = O.DEFAULT_MAX_CONTEXT_TOKENS,
-                   threshold: float = O.DEFAULT_CHANGE_THRESHOLD, available_now: bool = False):
+                   threshold: float = O.DEFAULT_CHANGE_THRESHOLD, available_now: bool = False, keep_old: bool = True):
     """Start the stream; returns the StreamingQuery."""
-    w = arrivals.writeStream.foreachBatch(refresh_batch(state_root, budget, threshold, checkpoint)) \
+    w = arrivals.writeStream.foreachBatch(refresh_batch(state_root, budget, threshold, checkpoint, keep_old)) \
                             .option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
