@@ -3,7 +3,7 @@
 **Outer pivots.** Most documents share nothing, so they are at distance 1 from every document
 that could serve as a pivot, and no window around such pivots separates them. The outermost
 pivots are therefore single shingles, in one order over the corpus, rare ones first. Under
-the metric \\|x ∆ y\\| a set's nearest pivot is the first one that it contains: that is the
+the metric |x ∆ y| a set's nearest pivot is the first one that it contains: that is the
 Voronoi region which is its home. Linked sets differ in few shingles (x has at most n - ceil(t n)
 that y lacks), so a set's window reaches exactly that many pivots beyond its home: linked sets
 meet in the region of the first pivot that they share. The order comes from document
@@ -11,16 +11,16 @@ frequencies in a table of fixed size; any order is exact, and rare ones first ke
 passages from making large regions.
 
 **Inner pivots.** A region's sets, in overlapping bands of size, are joined recursively. One of
-them becomes the region's pivot, and all others' exact Jaccard distances to it are measured.
-Sets within the radius are linked. The region is then cut into rings of that radius around
-the pivot; by the triangle inequality linked sets lie in one ring or in neighbouring ones, so
-each set is replicated into the next ring, and each ring is a region of the next round. Regions
-whose sets are all in one component are finished, and what is left of small ones is joined pair
-by pair. So a cluster of thousands of near copies costs a measurement a set, not one a pair.
+them becomes the region's pivot and all others are compared with it. Regions whose sets are then
+all in one component are finished, so a cluster of thousands of near copies costs a comparison
+a set, not one a pair; what is left of small regions is joined pair by pair. Other regions are
+cut into rings around the pivot, as wide as linked sets of the region's sizes can be apart: by
+the triangle inequality these lie in one ring or in neighbouring ones, so each set is replicated
+into the next ring, and each ring is a region of the next round.
 
-In small regions a pair is measured only if signatures allow a link: a signature is the parity
-of the set's shingles in each of SIGN_BITS classes, and two differ in at most as many bits as
-the sets differ in shingles.
+Rings are cut, and pairs screened, by *signatures*: the parity of a set's shingles in each of
+SIGN_BITS classes. Their Hamming distance is a metric and at most |x ∆ y|. A pair that it
+doesn't rule out is decided by the texts' shingles.
 
 Equal sets are one set from the start. A shingle is the 64-bit hash of its three words; two
 different shingles of a measured pair count as one with probability 2**-64.
@@ -166,24 +166,49 @@ def pivots(texts: DataFrame, powers: np.ndarray, percent: int) -> DataFrame:
     return texts.mapInArrow(run, "pivot long, doc_id long, n int, place int")
 
 
+def _apart(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Hamming distances of signatures."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (a, b))
+    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+
+
 def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """The pairs (hub, spoke) whose sizes and signatures (doc_id, n, sign) allow a link."""
     hubs = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("spokes")).join(signs.select(F.col("doc_id").alias("hub"), F.col("n").alias("n_hub"), F.col("sign").alias("sign_hub")), "hub")
     rows = spread_join(pairs, hubs, "hub", "spokes", "spoke").join(signs.withColumnRenamed("doc_id", "spoke"), "spoke")
+    rows = rows.where(100 * F.least("n", "n_hub") >= percent * F.greatest("n", "n_hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("sign_hub", "sign"))
-            n, m = (batch.column(c).to_numpy() for c in ("n_hub", "n"))
-            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-            allowed = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
-            yield batch.select(["hub", "spoke"]).filter(pa.array(allowed))
+            if len(batch):
+                both = batch.column("n_hub").to_numpy() + batch.column("n").to_numpy()
+                allowed = (100 + percent) * _apart(batch.column("sign_hub"), batch.column("sign")) <= (100 - percent) * both
+                yield batch.select(["hub", "spoke"]).filter(pa.array(allowed))
 
     return rows.select("hub", "spoke", "n_hub", "n", "sign_hub", "sign").mapInArrow(run, "hub long, spoke long")
 
 
+def rings(rows: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Members (doc_id, n, most, region) of the next round: the sets (with region, pivot, size) of
+    each region but its pivot, in rings around it."""
+    pivots_ = rows.groupBy("region").agg(F.first("pivot").alias("doc_id"), F.count(F.lit(1)).alias("in_region"))
+    pivots_ = pivots_.join(signs.select("doc_id", F.col("sign").alias("sign_hub")), "doc_id").drop("doc_id")
+    met = spread_join(rows.where("doc_id <> pivot").select("doc_id", "n", "most", "region"), pivots_, "region", "in_region", "doc_id")
+    met = met.join(signs.select("doc_id", "sign"), "doc_id").select("doc_id", "n", "most", "region", "sign_hub", "sign")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                away = pa.array(_apart(batch.column("sign_hub"), batch.column("sign")))
+                yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "n", "most", "region"]).columns, away], ["doc_id", "n", "most", "region", "away"])
+
+    met = met.mapInArrow(run, "doc_id long, n int, most double, region long, away long")
+    width = F.col("most") * F.lit(2 * (100 - percent) / (100 + percent)) + 1e-6
+    ring = F.floor(F.col("away") / width).cast("long")
+    each = F.when(width >= SIGN_BITS, F.array(F.lit(0).cast("long"))).otherwise(F.array(ring, ring + 1))
+    return met.select("doc_id", "n", "most", F.col("region").alias("within"), F.explode(each).alias("ring")).select("doc_id", "n", "most", F.xxhash64("within", "ring").alias("region"))
+
+
 def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(hub, spoke, both, either): sizes of intersection and union of the pairs (hub, spoke).
 
@@ -240,37 +265,35 @@ def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -
     # of the first pivot that two sets share, at most n - place more follow: enough for a link with a set of the band?
     other = F.greatest(F.col("n") * F.lit(t), F.exp((F.col("band") - 1) * F.lit(step)))
     met = met.where(F.col("n") - F.col("place") >= (F.col("n") + other) * F.lit(t / (1 + t)) - 1e-6)
-    members = materialize(met.select("doc_id", "n", F.xxhash64("pivot", "band").alias("region")), "jaccard-members", force=True)
-    width = (1 - t) * (1 + 1e-9)
-    known, links, roots, round_ = None, None, None, 0
+    members = met.select("doc_id", "n", F.exp((F.col("band") + 1) * F.lit(step)).alias("most"), F.xxhash64("pivot", "band").alias("region"))
+    members = materialize(members, "jaccard-members", force=True)
+    links, roots, round_ = None, None, 0
     while True:
         regions = materialize(_regions(members, roots, round_), "jaccard-regions", force=True)
         if regions.isEmpty():
             return members.limit(0).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")) if roots is None else roots
         limit = min(SMALL << round_, MOST_SMALL)
         rows = materialize(spread_join(members, regions, "region", "size", "doc_id"), "jaccard-round", force=True)
-        star = rows.where("doc_id <> pivot").select("region", "doc_id", "n", "size", "pivot", F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke"))
-        small, large = star.where(F.col("size") <= limit).select("hub", "spoke"), star.where(F.col("size") > limit)
+        pairs = rows.where("doc_id <> pivot").select(F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke"), "size")
         if roots is not None:  # most of a region's sets are in one component by now: pairs of the others
             sets = rows.where(F.col("size") <= limit).groupBy("region").agg(F.collect_list("doc_id").alias("sets"))  # limit sets at most
             each = F.flatten(F.transform("sets", lambda a: F.transform(F.filter("sets", lambda b: b > a), lambda b: F.struct(a.alias("hub"), b.alias("spoke")))))
             side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            small = sets.select(F.explode(each).alias("p")).select("p.hub", "p.spoke").distinct()
-            small = small.join(side("hub"), "hub", "left").join(side("spoke"), "spoke", "left").where("coalesce(hub_root, hub) <> coalesce(spoke_root, spoke)").select("hub", "spoke")
-        pairs = screened(materialize(small.distinct(), "jaccard-small", force=True), signs, percent).unionByName(large.select("hub", "spoke")).distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["hub", "spoke"], "left_anti")
-        new = materialize(measured(materialize(pairs, "jaccard-pairs", force=True), texts), "jaccard-measured", force=True)
-        known = new if known is None else materialize(known.unionByName(new), "jaccard-known", force=True)
+            small = sets.select(F.explode(each).alias("p")).select("p.hub", "p.spoke")
+            pairs = pairs.where(F.col("size") > limit).select("hub", "spoke").unionByName(small).distinct()
+            pairs = pairs.join(side("hub"), "hub", "left").join(side("spoke"), "spoke", "left").where("coalesce(hub_root, hub) <> coalesce(spoke_root, spoke)")
+        pairs = materialize(pairs.select("hub", "spoke").distinct(), "jaccard-tried", force=True)
+        pairs = materialize(screened(pairs, signs, percent), "jaccard-pairs", force=True)
+        new = materialize(measured(pairs, texts), "jaccard-measured", force=True)
         more = new.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("hub").alias("a"), F.col("spoke").alias("b"))
         links = more if links is None else links.unionByName(more)
         roots = components(links)
-        # rings around the pivots of the large regions; a small region is done once its pairs were tried
-        rings = large.select("region", "doc_id", "n", "hub", "spoke").join(known, ["hub", "spoke"])
-        ring = F.floor((F.col("either") - F.col("both")) / F.col("either") / F.lit(width)).cast("long")
-        members = rings.select("doc_id", "n", F.explode(F.array(F.xxhash64("region", ring), F.xxhash64("region", ring + 1))).alias("region"))
+        # a small region is done once its pairs were tried; the others go on if they hold several components still
+        unsettled = _regions(members, roots, round_).select("region", F.col("size").alias("left"))
+        rows = spread_join(rows, materialize(unsettled, "jaccard-unsettled", force=True), "region", "left", "doc_id").drop("left")
+        members = rings(rows.where(F.col("size") > limit), signs, percent)
         if round_ == 0:
-            members = members.unionByName(rows.where(F.col("size") <= limit).select("doc_id", "n", "region"))
+            members = members.unionByName(rows.where(F.col("size") <= limit).select("doc_id", "n", "most", "region"))
         members = materialize(members, "jaccard-members", force=True)
         round_ += 1
 
