@@ -13,14 +13,16 @@ passages from making large regions.
 **Inner pivots.** A region's sets, in overlapping bands of size, are joined recursively. One of
 them becomes the region's pivot and all others are compared with it. Regions whose sets are then
 all in one component are finished, so a cluster of thousands of near copies costs a comparison
-a set, not one a pair; what is left of small regions is joined pair by pair. Other regions are
-cut into rings around the pivot, as wide as linked sets of the region's sizes can be apart: by
+a set, not one a pair; what is left of a small region is joined by signatures in one task. Other
+regions are cut into rings around the pivot, as wide as linked sets of the region's sizes can be apart: by
 the triangle inequality these lie in one ring or in neighbouring ones, so each set is replicated
 into the next ring, and each ring is a region of the next round.
 
 Rings are cut, and pairs screened, by *signatures*: the parity of a set's shingles in each of
-SIGN_BITS classes. Their Hamming distance is a metric and at most |x ∆ y|. A pair that it
-doesn't rule out is decided by the texts' shingles.
+SIGN_BITS classes or, in long texts, of a larger power of two (half of which is folded out of it
+by xor). Their Hamming distance is a metric and at most |x ∆ y|. A pair that it doesn't rule
+out is decided by the texts' shingles. Regions that hold the same sets (the pivots of one
+passage make many) are joined once.
 
 Equal sets are one set from the start. A shingle is the 64-bit hash of its three words; two
 different shingles of a measured pair count as one with probability 2**-64.
@@ -29,6 +31,7 @@ different shingles of a measured pair count as one with probability 2**-64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +50,12 @@ CLASS_BITS = 20
 SLICES = 64
 #: Words of more bytes are hashed one by one: their polynomial hashes may be alike by construction.
 LONG = 32
-#: A region of at most this many sets is small in the first round; twice as many in each further one.
-SMALL = 16
-MOST_SMALL = 1024
+#: A region of at most this many sets is joined in one task; twice as many in each further round.
+SMALL = 1024
+MOST_SMALL = 1 << 15
+#: Classes of the smallest and the largest signatures.
 SIGN_BITS = 1024
+MOST_SIGN_BITS = 1 << 16
 #: Sets that one task compares with a pivot.
 SPOKES = 256
 
@@ -83,9 +88,18 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each class of their low bits."""
-    classes = (s & np.uint64(SIGN_BITS - 1)).astype(np.int64)
-    return np.packbits(np.bincount(classes, minlength=SIGN_BITS).astype(np.uint8) & 1).tobytes()
+    """Parity of the number of shingles in each class of their low bits; long sets have more classes."""
+    bits = min(max(SIGN_BITS, 1 << (len(s) // 2).bit_length()), MOST_SIGN_BITS)
+    classes = (s & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(classes, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(sign: bytes, size: int) -> np.ndarray:
+    """A signature of ``size`` bytes out of one with as many or more."""
+    x = np.frombuffer(sign, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
 
 
 def _texts(docs: DataFrame, key: str, text_col: str) -> DataFrame:
@@ -167,9 +181,49 @@ def pivots(texts: DataFrame, powers: np.ndarray, percent: int) -> DataFrame:
 
 
 def _apart(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Hamming distances of signatures."""
-    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (a, b))
-    return np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    """Hamming distances of signatures, each pair at the size of the smaller."""
+    out = np.zeros(len(a), np.int64)
+    for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist(), strict=True)):
+        size = min(len(x), len(y))
+        out[i] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+    return out
+
+
+def within(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (region, doc_id, n, root, sign), the pairs (hub, spoke) of sets of a region that are in
+    different components and that sizes and signatures allow to be linked. A region is one task's:
+    MOST_SMALL signatures at most."""
+
+    def joined(region: list[dict]) -> Iterator[tuple[int, int]]:
+        region.sort(key=lambda r: r["n"])
+        n, root, ids = (np.array([r[c] for r in region]) for c in ("n", "root", "doc_id"))
+        size = min(len(r["sign"]) for r in region)
+        signs = np.stack([folded(r["sign"], size) for r in region])
+        for i in range(len(region) - 1):
+            last = int(np.searchsorted(percent * n[i + 1 :], 100 * n[i], "right"))
+            some = np.arange(i + 1, i + 1 + last)
+            some = some[root[some] != root[i]]
+            if len(some):
+                apart = np.bitwise_count(signs[some] ^ signs[i]).sum(1, dtype=np.int64)
+                for j in some[(100 + percent) * apart <= (100 - percent) * (n[some] + n[i])]:
+                    yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for batch in batches for row in batch.to_pylist())
+        for _, region in groupby(every, key=lambda r: r["region"]):
+            found = list(joined(list(region)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["hub", "spoke"])
+
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "hub long, spoke long")
+
+
+def distinct_regions(members: DataFrame) -> DataFrame:
+    """``members`` of regions of two sets or more, one of the regions with the same sets each."""
+    one, other = (F.bit_xor(F.xxhash64("doc_id", F.lit(k))) for k in (1, 2))
+    kinds = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), one.alias("one"), other.alias("other")).where("size > 1")
+    kinds = kinds.groupBy("size", "one", "other").agg(F.min("region").alias("region")).select("region", "size")
+    return spread_join(members, materialize(kinds, "jaccard-kinds", force=True), "region", "size", "doc_id").drop("size")
 
 
 def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +320,7 @@ def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -
     other = F.greatest(F.col("n") * F.lit(t), F.exp((F.col("band") - 1) * F.lit(step)))
     met = met.where(F.col("n") - F.col("place") >= (F.col("n") + other) * F.lit(t / (1 + t)) - 1e-6)
     members = met.select("doc_id", "n", F.exp((F.col("band") + 1) * F.lit(step)).alias("most"), F.xxhash64("pivot", "band").alias("region"))
-    members = materialize(members, "jaccard-members", force=True)
+    members = materialize(distinct_regions(materialize(members, "jaccard-banded", force=True)), "jaccard-members", force=True)
     links, roots, round_ = None, None, 0
     while True:
         regions = materialize(_regions(members, roots, round_), "jaccard-regions", force=True)
@@ -274,27 +328,26 @@ def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -
             return members.limit(0).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("root")) if roots is None else roots
         limit = min(SMALL << round_, MOST_SMALL)
         rows = materialize(spread_join(members, regions, "region", "size", "doc_id"), "jaccard-round", force=True)
-        pairs = rows.where("doc_id <> pivot").select(F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke"), "size")
-        if roots is not None:  # most of a region's sets are in one component by now: pairs of the others
-            sets = rows.where(F.col("size") <= limit).groupBy("region").agg(F.collect_list("doc_id").alias("sets"))  # limit sets at most
-            each = F.flatten(F.transform("sets", lambda a: F.transform(F.filter("sets", lambda b: b > a), lambda b: F.struct(a.alias("hub"), b.alias("spoke")))))
-            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-            small = sets.select(F.explode(each).alias("p")).select("p.hub", "p.spoke")
-            pairs = pairs.where(F.col("size") > limit).select("hub", "spoke").unionByName(small).distinct()
-            pairs = pairs.join(side("hub"), "hub", "left").join(side("spoke"), "spoke", "left").where("coalesce(hub_root, hub) <> coalesce(spoke_root, spoke)")
-        pairs = materialize(pairs.select("hub", "spoke").distinct(), "jaccard-tried", force=True)
-        pairs = materialize(screened(pairs, signs, percent), "jaccard-pairs", force=True)
+        # first all sets with their region's pivot; then, most of a region being one component, the rest of small ones
+        star = rows if roots is None else rows.where(F.col("size") > limit)
+        pairs = star.where("doc_id <> pivot").select(F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke")).distinct()
+        pairs = screened(materialize(pairs, "jaccard-tried", force=True), signs, percent)
+        if roots is not None:
+            small = rows.where(F.col("size") <= limit).select("region", "doc_id").join(signs, "doc_id")
+            small = small.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            pairs = pairs.unionByName(within(small.select("region", "doc_id", "n", "root", "sign"), percent)).distinct()
+        pairs = materialize(pairs, "jaccard-pairs", force=True)
         new = materialize(measured(pairs, texts), "jaccard-measured", force=True)
         more = new.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("hub").alias("a"), F.col("spoke").alias("b"))
         links = more if links is None else links.unionByName(more)
-        roots = components(links)
+        new_roots = components(links)
         # a small region is done once its pairs were tried; the others go on if they hold several components still
-        unsettled = _regions(members, roots, round_).select("region", F.col("size").alias("left"))
-        rows = spread_join(rows, materialize(unsettled, "jaccard-unsettled", force=True), "region", "left", "doc_id").drop("left")
-        members = rings(rows.where(F.col("size") > limit), signs, percent)
-        if round_ == 0:
-            members = members.unionByName(rows.where(F.col("size") <= limit).select("doc_id", "n", "most", "region"))
-        members = materialize(members, "jaccard-members", force=True)
+        rest = rows if roots is None else rows.where(F.col("size") > limit)
+        roots = new_roots
+        unsettled = materialize(_regions(rest.select("region", "doc_id"), roots, round_).select("region", F.col("size").alias("left")), "jaccard-unsettled", force=True)
+        rest = spread_join(rest, unsettled, "region", "left", "doc_id").drop("left")
+        members = rings(rest.where(F.col("size") > limit), signs, percent).unionByName(rest.where(F.col("size") <= limit).select("doc_id", "n", "most", "region"))
+        members = materialize(distinct_regions(materialize(members, "jaccard-rest", force=True)), "jaccard-members", force=True)
         round_ += 1
 
 

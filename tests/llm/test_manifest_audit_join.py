@@ -214,9 +214,9 @@ def join_rows(corpus):
     return rows
 
 
-@pytest.mark.parametrize("small", [2, 16])
+@pytest.mark.parametrize("small", [8, 1024])
 def test_join_equals_all_pairs(spark, corpus, monkeypatch, small):
-    """With SMALL = 2 all regions go through pivots and rings."""
+    """With SMALL = 8 regions go through pivots and rings for several rounds."""
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "SPOKES", 8)
     rows = join_rows(corpus)
