@@ -298,10 +298,13 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _regions(members: DataFrame, roots: DataFrame | None, round_: int) -> DataFrame:
     """(region, pivot, size) of the regions that hold sets of different components."""
-    rows = members.withColumn("root", F.col("doc_id")) if roots is None else members.join(roots, members["doc_id"] == roots["node"], "left").select(members["*"], F.coalesce("root", "doc_id").alias("root"))
     least = F.min_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(round_)), "doc_id")).alias("pivot")
-    found = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), least, F.min("root").alias("low"), F.max("root").alias("high"))
-    return found.where("low < high").select("region", "pivot", "size")
+    found = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), least).where("size > 1")
+    if roots is None:
+        return found
+    # only linked sets meet their roots: a region is settled if all its sets have one and the same
+    same = members.join(roots, members["doc_id"] == roots["node"]).groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return found.join(same.where("low = high").select("region", "size"), ["region", "size"], "left_anti")
 
 
 def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -342,7 +345,7 @@ def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -
         links = more if links is None else links.unionByName(more)
         new_roots = components(links)
         # a small region is done once its pairs were tried; the others go on if they hold several components still
-        rest = rows if roots is None else rows.where(F.col("size") > limit)
+        rest = rows.where("size > 2") if roots is None else rows.where(F.col("size") > limit)  # a pair was one with its pivot
         roots = new_roots
         unsettled = materialize(_regions(rest.select("region", "doc_id"), roots, round_).select("region", F.col("size").alias("left")), "jaccard-unsettled", force=True)
         rest = spread_join(rest, unsettled, "region", "left", "doc_id").drop("left")
