@@ -514,6 +514,43 @@ def shard_tree(spark, sf):
     return t.select("corpus_id", "shard_id", *_hash_bytes("tree", "tree"))
 
 
+@query("tree_rows", D.with_(*_V12, _CHANGES) + f"""
+, ent AS (SELECT corpus_id, path, {D.dir_of()} AS dir, {D.base_name()} ||
+                 CASE WHEN status IN ('modified', 'added') THEN ' [CHANGED]' WHEN status = 'deleted' THEN ' [DELETED]' ELSE '' END AS line
+          FROM changes),
+ranks AS (SELECT corpus_id, dir, row_number() OVER (PARTITION BY corpus_id ORDER BY dir) AS r FROM (SELECT DISTINCT corpus_id, dir FROM ent))
+SELECT corpus_id, CAST(3 AS INTEGER) AS part, CAST(r * 4 AS BIGINT) AS ord, '' AS path, dir || '/' AS block FROM ranks
+UNION ALL
+SELECT e.corpus_id, CAST(3 AS INTEGER), CAST(r * 4 + 1 AS BIGINT), e.path, '  ' || e.line FROM ent e JOIN ranks k ON e.corpus_id = k.corpus_id AND e.dir = k.dir""")
+def tree_rows(spark, sf):
+    """D9 as ordered rows, with change labels (files_v2 against files_v1)."""
+    cur, base, ch = _corpus_changes(spark, sf)
+    return X.tree_rows(cur, ch)
+
+
+@query("shard_tree_lines", D.with_(*_F, D.plan_ctes("sp", "files", 4000)) + f"""
+, tot AS (SELECT *, row_number() OVER (PARTITION BY corpus_id ORDER BY dir) AS r FROM (
+            SELECT corpus_id, {D.dir_of()} AS dir, count(*) AS total FROM files GROUP BY ALL)),
+mine AS (SELECT corpus_id, shard_id, path, {D.dir_of()} AS dir, {D.base_name()} AS name FROM sp),
+cnt AS (SELECT corpus_id, shard_id, dir, count(*) AS n_own FROM mine GROUP BY ALL),
+grid AS (SELECT s.corpus_id, s.shard_id, t.dir, t.r, t.total, c.n_own FROM (SELECT DISTINCT corpus_id, shard_id FROM sp) s
+         JOIN tot t ON s.corpus_id = t.corpus_id
+         LEFT JOIN cnt c ON c.corpus_id = s.corpus_id AND c.shard_id = s.shard_id AND c.dir = t.dir)
+SELECT corpus_id, shard_id, CAST(r * 4 AS BIGINT) AS ord, '' AS path,
+       CASE WHEN n_own IS NULL THEN dir || '/ (' || CAST(total AS VARCHAR) || ' files, other shards)' ELSE dir || '/' END AS line FROM grid
+UNION ALL
+SELECT corpus_id, shard_id, CAST(r * 4 + 2 AS BIGINT), '', '  (' || CAST(total - n_own AS VARCHAR) || ' more files, other shards)'
+FROM grid WHERE total > n_own
+UNION ALL
+SELECT m.corpus_id, m.shard_id, CAST(t.r * 4 + 1 AS BIGINT), m.path, '  ' || m.name FROM mine m JOIN tot t ON m.corpus_id = t.corpus_id AND m.dir = t.dir""")
+def shard_tree_lines(spark, sf):
+    """D10 as ordered rows; rows of several lines are taken apart, each line at its own directory's rank."""
+    f = V.files(spark, sf)
+    rows = X.shard_tree_rows(f, S.plan_shards(f, 4000))
+    lines = rows.select("corpus_id", "shard_id", "ord", "path", F.posexplode(F.split("block", "\n")).alias("i", "line"))
+    return lines.select("corpus_id", "shard_id", (F.col("ord") + F.col("i") * 4).cast("bigint").alias("ord"), "path", "line")
+
+
 # ============================================================================
 # requests
 # ============================================================================
@@ -597,7 +634,7 @@ SELECT a.request_id, a.attempt AS final_attempt, a.status_code,
        CASE WHEN a.status_code = 200 THEN 'ok' ELSE 'failed' END AS outcome,
        CASE WHEN a.status_code = 200 THEN NULL
             WHEN g.t IS NOT NULL THEN 'API error ' || CAST(a.status_code AS VARCHAR) || ': ' || a.message
-            ELSE 'Failed after 3 retries: ' || a.message END AS error,
+            ELSE 'Failed after ' || CAST(a.attempt AS VARCHAR) || ' retries: ' || a.message END AS error,
        g.t IS NULL AND coalesce(a.status_code <> 200, TRUE) AS exhausted
 FROM a JOIN g ON a.request_id = g.request_id AND a.attempt = coalesce(g.t, g.last)""")
 def attempt_outcome(spark, sf):
@@ -605,6 +642,28 @@ def attempt_outcome(spark, sf):
     return R.resolve_attempts(V.attempts(spark, sf))
 
 
+@query("attempt_kinds", D.with_(D.attempts_cte()) + """
+, a AS (SELECT *, CASE WHEN status_code = 200 THEN CASE (request_id + attempt) % 4 WHEN 0 THEN 'no_tool_call' WHEN 1 THEN 'missing_usage'
+                                                    WHEN 2 THEN 'parse_error' ELSE 'ok' END END AS kind
+        FROM attempts WHERE attempt <= 3),
+ranked AS (SELECT *, kind = 'ok' OR (status_code IS NOT NULL AND status_code NOT IN (200, 429, 500, 503)) AS stops FROM a),
+final AS (SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN stops THEN 0 ELSE 1 END,
+                                                          CASE WHEN stops THEN attempt ELSE -attempt END) = 1)
+SELECT request_id, attempt AS final_attempt, status_code, CASE WHEN kind = 'ok' THEN 'ok' ELSE 'failed' END AS outcome,
+       CASE WHEN kind = 'ok' THEN NULL
+            WHEN kind = 'no_tool_call' THEN 'no tool call after ' || CAST(attempt AS VARCHAR) || ' attempts'
+            WHEN kind = 'missing_usage' THEN 'Failed after ' || CAST(attempt AS VARCHAR) || ' retries: """ + O.MSG_NO_USAGE.replace("'", "''") + """'
+            WHEN stops THEN 'API error ' || CAST(status_code AS VARCHAR) || ': ' || message
+            ELSE 'Failed after ' || CAST(attempt AS VARCHAR) || ' retries: ' || message END AS error,
+       NOT coalesce(stops, FALSE) AS exhausted
+FROM final""")
+def attempt_kinds(spark, sf):
+    """J3 over J4's kinds: an answered attempt without a readable tool call or usage is tried again."""
+    at = (F.col("request_id") + F.col("attempt")) % 4
+    kind = F.when(at == 0, "no_tool_call").when(at == 1, "missing_usage").when(at == 2, "parse_error").otherwise("ok")
+    return R.resolve_attempts(V.attempts(spark, sf).withColumn("attempt_kind", F.when(F.col("status_code") == 200, kind)))
+
+
 @query("backoff", D.with_(D.attempts_cte()) + """
 SELECT request_id, attempt, status_code IS NULL OR status_code IN (429, 500, 503) AS retryable,
        CAST(floor(least(1000 * pow(2, attempt - 1), 8000) * (1 + ((request_id % 100) / 100.0) * 0.5) + 0.5) AS BIGINT) AS backoff_ms

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from corpusflow import options as O
 from corpusflow.functions import text as T
 from corpusflow.operators.changes import ADDED, DELETED, MODIFIED, status_rank
+from corpusflow.operators.joins import block_join, salted_join
+from corpusflow.operators.order import ranked
 
 # Our own instruction wording for the first message of every request.
 SINGLE_INSTRUCTIONS = (
@@ -50,7 +52,7 @@ def file_blocks(files: DataFrame, tag: Column | None = None) -> DataFrame:
 
 
 #: Parts of what a request's shard is shown, in order.
-BASE, CHANGE = 1, 2
+BASE, CHANGE, TREE = 1, 2, 3
 
 
 def without_excluded(files: DataFrame, excluded: DataFrame | None) -> DataFrame:
@@ -136,54 +138,108 @@ def _dir_and_name(df: DataFrame) -> DataFrame:
     return df.withColumn("dir", T.dir_of("path")).withColumn("name", T.base_name("path"))
 
 
-def directory_tree(files: DataFrame, changes: DataFrame | None = None,
-                   keys: Sequence[str] = ("corpus_id",)) -> DataFrame:
-    """Sorted directories, each with its sorted file names and
-    change labels (deleted files listed in their directory).
+#: Directories of a corpus whose lines travel as one row into the trees of its shards.
+PAGE = 256
+#: A tree row's ``ord`` is its directory's rank in the corpus times ``_STEP`` plus the row's kind.
+_STEP = 4
+_HEAD, _NAME, _MORE = 0, 1, 2
 
-    Two-level aggregation: names into a directory block, blocks into a tree.
-    Returns keys + tree, n_dirs."""
-    k = list(keys)
-    f = files.select(*k, "path", F.lit(None).cast("string").alias("status"))
+
+def _ord(rank, kind: int) -> Column:
+    return (F.col(rank) if isinstance(rank, str) else rank).cast("bigint") * _STEP + kind
+
+
+def _ranked_directories(entries: DataFrame) -> DataFrame:
+    """The directories of each corpus with their files and their ``rank`` by name."""
+    dirs = entries.groupBy("corpus_id", "dir").agg(F.count(F.lit(1)).alias("_total"))
+    return ranked(dirs, ["corpus_id"], [F.col("dir")], "rank")
+
+
+def _name_line(status: Column | None = None) -> Column:
+    line = F.concat(F.lit("  "), F.col("name"))
+    return line if status is None else F.concat(line, T.tree_status(status))
+
+
+def _tree_entries(files: DataFrame, changes: DataFrame | None) -> DataFrame:
+    """(corpus_id, path, status, dir, name) of the files of a tree, deleted ones included."""
+    f = files.select("corpus_id", "path", F.lit(None).cast("string").alias("status"))
     if changes is not None:
-        st = changes.select(*k, "path", "status").where(F.col("status").isin(MODIFIED, ADDED, DELETED))
-        live = f.drop("status").join(st.where(F.col("status") != DELETED), k + ["path"], "left")
-        gone = st.where(F.col("status") == DELETED)
-        f = live.unionByName(gone)
-    f = _dir_and_name(f)
-    line = F.concat(F.lit("  "), F.col("name"), T.tree_status("status"))
-    per_dir = f.groupBy(*k, "dir").agg(_ordered_join(line, "\n", F.col("path")).alias("_lines"))
-    block = F.concat(F.col("dir"), F.lit("/\n"), F.col("_lines"))
-    per_dir = per_dir.withColumn("_block", block)
-    return per_dir.groupBy(*k).agg(_ordered_join(F.col("_block"), "\n", F.col("dir")).alias("tree"),
-                                   F.count(F.lit(1)).cast("bigint").alias("n_dirs"))
+        st = changes.select("corpus_id", "path", "status").where(F.col("status").isin(MODIFIED, ADDED, DELETED))
+        live = f.drop("status").join(st.where(F.col("status") != DELETED), ["corpus_id", "path"], "left")
+        f = live.unionByName(st.where(F.col("status") == DELETED))
+    return _dir_and_name(f)
+
+
+def tree_rows(files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """D9, B9, F2 as rows (corpus_id, part, ord, path, block), a row per directory and file; in order of
+    (ord, path) they are the corpus's tree: sorted directories, each with its sorted file names and change
+    labels (deleted files in their directory). Neither a directory nor a corpus is held by a task."""
+    entries = _tree_entries(files, changes)
+    dirs = _ranked_directories(entries)
+    heads = dirs.select("corpus_id", _ord("rank", _HEAD).alias("ord"), F.lit("").alias("path"),
+                        F.concat("dir", F.lit("/")).alias("block"))
+    names = salted_join(entries, dirs, ["corpus_id", "dir"]).select(
+        "corpus_id", _ord("rank", _NAME).alias("ord"), "path", _name_line(F.col("status")).alias("block"))
+    return heads.unionByName(names).select("corpus_id", F.lit(TREE).alias("part"), "ord", "path", "block")
+
+
+def tree_text(rows: DataFrame, keys: Sequence[str] = ("corpus_id",)) -> DataFrame:
+    """The rows of each tree as one text, for readers that want it whole. Returns keys + tree, n_dirs
+    (directories with a row of their own)."""
+    return rows.groupBy(*keys).agg(_ordered_join(F.col("block"), "\n", F.col("ord"), F.col("path")).alias("tree"),
+                                   F.count_if(F.col("ord") % _STEP == _HEAD).cast("bigint").alias("n_dirs"))
+
+
+def directory_tree(files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """D9 as one text per corpus: :func:`tree_rows` joined. Returns corpus_id, tree, n_dirs."""
+    return tree_text(tree_rows(files, changes))
+
+
+def shard_tree_rows(files: DataFrame, shard_files: DataFrame) -> DataFrame:
+    """D10 as rows (corpus_id, shard_id, part, ord, path, block): in order of (ord, path) a shard's tree
+    lists every directory of the corpus; own files by name, other files only as counts (``N files, other
+    shards`` for a directory without own files, ``(N more files, other shards)`` after own names).
+
+    Two ordered streams are merged by the rank of their directories: the corpus's own, kept as pages of
+    ``PAGE`` lines, and the shard's entries. Where a shard has nothing, a page (or what lies between two of
+    its directories there) is one row, so no row per shard and directory of others is made."""
+    sk = ["corpus_id", "shard_id"]
+    dirs = _ranked_directories(_dir_and_name(files.select("corpus_id", "path")))
+    page = F.floor((F.col("rank") - 1) / PAGE).cast("bigint")
+    dirs = dirs.withColumn("page", page)
+    other_line = F.format_string(O.FMT_OTHER_SHARDS_DIR, F.col("dir"), F.col("_total").cast("string"))
+    pages = dirs.groupBy("corpus_id", "page").agg(F.transform(F.array_sort(F.collect_list(
+        F.struct("rank", other_line.alias("line")))), lambda x: x["line"]).alias("lines"))
+
+    own = _dir_and_name(shard_files.select(*sk, "path"))
+    own_dirs = own.groupBy(*sk, "dir").agg(F.count(F.lit(1)).alias("_own")).join(dirs, ["corpus_id", "dir"])
+    others = F.col("_total") - F.col("_own")
+    heads = own_dirs.select(*sk, _ord("rank", _HEAD).alias("ord"), F.lit("").alias("path"),
+                            F.concat("dir", F.lit("/")).alias("block"))
+    more = own_dirs.where(others > 0).select(*sk, _ord("rank", _MORE).alias("ord"), F.lit("").alias("path"),
+                                             F.format_string(O.FMT_OTHER_SHARDS_MORE, others.cast("string")).alias("block"))
+    names = salted_join(own, own_dirs.select(*sk, "dir", "rank"), [*sk, "dir"]).select(
+        *sk, _ord("rank", _NAME).alias("ord"), "path", _name_line().alias("block"))
+
+    holes = own_dirs.groupBy(*sk, "page").agg(F.sort_array(F.collect_list("rank")).alias("holes"))
+    shards = own.select(*sk).distinct()
+    shown = block_join(shards, pages.select("corpus_id", "page"), ["corpus_id"], "shard_id", "page")
+    shown = shown.join(holes, [*sk, "page"], "left").join(pages, ["corpus_id", "page"])
+    first = F.col("page") * PAGE + 1
+    ends = F.coalesce("holes", F.array().cast("array<bigint>"))
+    runs = F.arrays_zip(F.concat(F.array(first), F.transform(ends, lambda r: r + 1)).alias("start"),
+                        F.concat(ends, F.array(first + F.size("lines"))).alias("stop"))
+    shown = shown.select(*sk, "page", "lines", F.explode(runs).alias("run")).where("run.start < run.stop")
+    lines = F.slice("lines", (F.col("run.start") - first + 1).cast("int"), (F.col("run.stop") - F.col("run.start")).cast("int"))
+    rest = shown.select(*sk, _ord(F.col("run.start"), _HEAD).alias("ord"), F.lit("").alias("path"),
+                        F.array_join(lines, "\n").alias("block"))
+    rows = heads.unionByName(names).unionByName(more).unionByName(rest)
+    return rows.select(*sk, F.lit(TREE).alias("part"), "ord", "path", "block")
 
 
 def shard_directory_tree(files: DataFrame, shard_files: DataFrame) -> DataFrame:
-    """One tree per shard listing every directory of the corpus; own files
-    by name, other files only as counts (``N files, other shards`` for a
-    directory without own files, ``(N more files, other shards)`` after own names).
-
-    Per-directory totals are a small rollup; each shard's text has one line per
-    corpus directory, so (shard, directory) rows are the output itself.
-    Returns corpus_id, shard_id, tree."""
-    d = _dir_and_name(files.select("corpus_id", "path"))
-    totals = d.groupBy("corpus_id", "dir").agg(F.count(F.lit(1)).alias("_total"))
-    own = _dir_and_name(shard_files.select("corpus_id", "shard_id", "path"))
-    own_dirs = own.groupBy("corpus_id", "shard_id", "dir").agg(
-        _ordered_join(F.concat(F.lit("  "), F.col("name")), "\n", F.col("path")).alias("_names"),
-        F.count(F.lit(1)).alias("_own"))
-    shards = shard_files.select("corpus_id", "shard_id").distinct()
-    grid = shards.join(totals, "corpus_id") \
-                 .join(own_dirs, ["corpus_id", "shard_id", "dir"], "left")
-    other = F.col("_total") - F.coalesce(F.col("_own"), F.lit(0))
-    block = (F.when(F.col("_own").isNull(),
-                    F.format_string(O.FMT_OTHER_SHARDS_DIR, F.col("dir"), other.cast("string")))
-             .otherwise(F.concat(F.col("dir"), F.lit("/\n"), F.col("_names"),
-                                 F.when(other > 0, F.concat(F.lit("\n"), F.format_string(
-                                     O.FMT_OTHER_SHARDS_MORE, other.cast("string"))))
-                                 .otherwise(F.lit("")))))
-    return grid.groupBy("corpus_id", "shard_id").agg(_ordered_join(block, "\n", F.col("dir")).alias("tree"))
+    """D10 as one text per shard: :func:`shard_tree_rows` joined. Returns corpus_id, shard_id, tree."""
+    return tree_text(shard_tree_rows(files, shard_files), ["corpus_id", "shard_id"]).drop("n_dirs")
 
 
 def query_turns(request_shards: DataFrame, trees: DataFrame) -> DataFrame:

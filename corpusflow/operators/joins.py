@@ -20,3 +20,34 @@ def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", salt
     sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return b.join(sm, list(keys) + ["_salt"], how).drop("_salt")
 
+
+
+#: Rows of one key that may meet the other side's in one task, and the most keys that are split.
+BLOCK_ROWS = 1024
+HOT_KEYS = 4096
+
+
+def block_join(left: DataFrame, right: DataFrame, keys, left_tie: str, right_tie: str) -> DataFrame:
+    """Inner equi-join of two sides that both may have many rows a key, so that a hot
+    key's pairs are made by many tasks.
+
+    The rows of each key are counted. A key with more than ``BLOCK_ROWS`` rows of a side
+    (and more than a ``HOT_KEYS``-th part of that side, which bounds the number of such
+    keys and hence their broadcast) is cut into blocks of that many: its rows of either
+    side are dealt over their side's blocks by a hash of the side's tie column and copied
+    to each block of the other side."""
+    k = list(keys)
+    sizes = [side.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")) for side in (left, right)]
+    most = [max(BLOCK_ROWS, (s.agg(F.sum("_n")).first()[0] or 0) // HOT_KEYS) for s in sizes]
+    cuts = [s.where(F.col("_n") > m).select(*k, F.ceil(F.col("_n") / m).cast("int").alias(c))
+            for s, m, c in zip(sizes, most, ("_lefts", "_rights"))]
+    hot = F.broadcast(cuts[0].join(cuts[1], k, "full"))
+
+    def dealt(side: DataFrame, own: str, other: str, tie: str, i: str, j: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(tie), F.coalesce(own, F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return side.join(hot, k, "left").withColumn(i, block).withColumn(j, copies).drop(own, other)
+
+    a = dealt(left, "_lefts", "_rights", left_tie, "_i", "_j")
+    b = dealt(right, "_rights", "_lefts", right_tie, "_j", "_i")
+    return a.join(b, [*k, "_i", "_j"]).drop("_i", "_j")

@@ -21,48 +21,83 @@ from pyspark.sql.types import StructType
 
 from corpusflow import options as O
 from corpusflow.functions import text as T
-from corpusflow.operators.joins import salted_join
-from corpusflow.operators.context import BASE, CHANGE, SHARDED_INSTRUCTIONS, SINGLE_INSTRUCTIONS
+from corpusflow.operators.joins import block_join, salted_join
+from corpusflow.operators.context import BASE, CHANGE, SHARDED_INSTRUCTIONS, SINGLE_INSTRUCTIONS, TREE
 
 TREE_MARK = "\u0000TREE\u0000"
-#: What follows a shard's blocks (context.BASE and CHANGE) in its task.
-TREE, REQUEST = 3, 4
+#: What follows a shard's blocks and tree (context.BASE, CHANGE, TREE) in its task.
+REQUEST = 4
 
 
 # -- C10 -----------------------------------------------------------------------
 
+def _folders(text: Column) -> Column:
+    """Every part of a path up to and including one of its slashes, shortest first."""
+    parts = F.split(text, "/")
+    n = F.size(parts) - 1
+    upto = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))
+    return F.when(n > 0, upto).otherwise(F.array().cast("array<string>"))
+
+
+def _meets(how: str, paths: Column) -> Column:
+    return F.transform(paths, lambda p: F.struct(F.lit(how).alias("how"), p.alias("at")))
+
+
 def prune_by_scope(requests: DataFrame, plan: DataFrame) -> DataFrame:
-    """Request x shard fan-out restricted to shards meeting the scope
-    (equi-join on corpus_id, scope test as the residual condition). ``n_shards``
-    is the size of the whole plan, as shown to the model; NULL for a corpus
-    planned as one ``__all__`` shard (the single-shard path)."""
+    """Request x shard fan-out restricted to shards meeting the scope. ``n_shards``
+    is the size of the whole plan, as shown to the model; NULL for a corpus planned as one
+    ``__all__`` shard (the single-shard path).
+
+    ``requests``: query_id, corpus_id, scope and any others; ``plan`` prefixes are empty or end with
+    a slash, as all plans' do. Each test of B12 is an equality of exploded folders: a scope lies under
+    a shard whose prefix is one of its folders (or empty), a shard under a scope that is one of its
+    prefix's folders; a request without a scope meets every shard. A pair meets in one way only, and
+    only pairs of the result are made; pairs of a hot corpus or folder by many tasks."""
     n = plan.groupBy("corpus_id").agg(F.count(F.lit(1)).cast("bigint").alias("_n"),
                                       F.max(F.col("shard_id") == O.ALL_SHARD).alias("_single"))
     p = salted_join(plan.select("corpus_id", "shard_id", "prefix", "shard_ord"), n, ["corpus_id"], spread="shard_id")
-    j = requests.join(p, (requests["corpus_id"] == p["corpus_id"])
-                      & T.scope_matches(p["prefix"], requests["scope"]))
-    return j.select(requests["*"], p["shard_id"], p["prefix"], p["shard_ord"],
-                    F.when(~p["_single"], p["_n"]).alias("n_shards"))
+    scope, prefix = F.col("scope"), F.col("prefix")
+    under = F.when(F.endswith(scope, F.lit("/")), scope).otherwise(F.concat(scope, F.lit("/")))
+    asked = F.when(scope.isNull() | (scope == ""), _meets("any", F.array(F.lit("")))).otherwise(F.concat(
+        _meets("inside", F.concat(F.array(F.lit("")), _folders(under))), _meets("around", F.array(under))))
+    held = F.concat(_meets("any", F.array(F.lit(""))), _meets("inside", F.array(prefix)),
+                    _meets("around", F.filter(_folders(prefix), lambda f: f != prefix)))
+    key = ["corpus_id", "_how", "_at"]
+    r = requests.select("corpus_id", F.col("query_id").alias("_q"), F.struct("*").alias("_r"), F.explode(asked).alias("_m"))
+    s = p.select("corpus_id", "shard_id", F.struct("*").alias("_s"),
+                 F.explode(F.coalesce(held, _meets("any", F.array(F.lit(""))))).alias("_m"))
+    r, s = (d.withColumn("_how", F.col("_m.how")).withColumn("_at", F.col("_m.at")).drop("_m") for d in (r, s))
+    j = block_join(r, s, key, "_q", "shard_id")
+    return j.select("_r.*", "_s.shard_id", "_s.prefix", "_s.shard_ord", F.when(~F.col("_s._single"), F.col("_s._n")).alias("n_shards"))
 
 
 # -- J3, J4, B13 ---------------------------------------------------------------
 
 def resolve_attempts(attempts: DataFrame, max_attempts: int = O.MAX_ATTEMPTS) -> DataFrame:
-    """Outcome per request from an attempt log (request_id, attempt,
-    status_code, message; 200 = success, NULL = no code). Stops at the first
-    success or first non-retryable error; otherwise the last attempt's error
-    after ``max_attempts``."""
-    a = attempts.where(F.col("attempt") <= max_attempts)
-    terminal = (F.col("status_code") == 200) | ~T.is_retryable("status_code")
+    """Outcome per request from an attempt log (request_id, attempt, status_code, message; 200 =
+    success, NULL = no code). Stops at the first success or first non-retryable error; otherwise the
+    last attempt's error, with the number of attempts made, at most ``max_attempts``.
+
+    With a column ``attempt_kind`` (J4, :func:`validate_response`; NULL where the call itself failed) an
+    answered attempt succeeds only if it is ``ok``: any other kind is tried again, and a last attempt
+    without a tool call has its own error."""
+    kind = F.col("attempt_kind") if "attempt_kind" in attempts.columns else F.lit(None).cast("string")
+    answered = F.coalesce(F.col("status_code") == 200, F.lit(False))
+    a = attempts.where(F.col("attempt") <= max_attempts) \
+        .withColumn("_kind", F.when(answered, F.coalesce(kind, F.lit("ok"))))
+    terminal = (F.col("_kind") == "ok") | (~answered & ~T.is_retryable("status_code"))
     agg = a.groupBy("request_id").agg(
         F.min(F.when(terminal, F.col("attempt"))).alias("_t"),
         F.max("attempt").alias("_last"))
     j = a.join(agg, "request_id").where(F.col("attempt") == F.coalesce("_t", "_last"))
-    ok = F.coalesce(F.col("status_code") == 200, F.lit(False))
+    ok = F.coalesce(F.col("_kind") == "ok", F.lit(False))
+    made = F.col("attempt").cast("string")
+    reason = F.when(F.col("_kind") == "missing_usage", F.lit(O.MSG_NO_USAGE)).otherwise(F.col("message"))
     err = (F.when(ok, F.lit(None).cast("string"))
            .when(F.col("_t").isNotNull(), F.format_string(O.FMT_API_ERROR, F.col("status_code").cast("string"),
                                                           F.col("message")))
-           .otherwise(F.format_string(O.FMT_RETRIES_EXHAUSTED, F.lit(str(max_attempts)), F.col("message"))))
+           .when(F.col("_kind") == "no_tool_call", F.format_string(O.FMT_NO_TOOL_CALL, made))
+           .otherwise(F.format_string(O.FMT_RETRIES_EXHAUSTED, made, reason)))
     return j.select("request_id", F.col("attempt").alias("final_attempt"), "status_code",
                     F.when(ok, "ok").otherwise("failed").alias("outcome"), err.alias("error"),
                     F.when(F.col("_t").isNull() & ~ok, True).otherwise(False).alias("exhausted"))
@@ -234,14 +269,15 @@ def _answer_shards(responder, max_attempts: int, sleep: bool):
             for i in range(len(batch)):
                 r = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 if (r["corpus_id"], r["shard_id"], r["bucket"]) != key:
-                    key, tree = (r["corpus_id"], r["shard_id"], r["bucket"]), ""
+                    key, tree = (r["corpus_id"], r["shard_id"], r["bucket"]), []
                     shown = _Shown(responder, SINGLE_INSTRUCTIONS if r["shard_id"] == O.ALL_SHARD else SHARDED_INSTRUCTIONS)
                 if r["part"] in (BASE, CHANGE):
                     shown.feed(r["part"], r["block"])
                 elif r["part"] == TREE:
-                    tree = r["block"] or ""
+                    tree.append(r["block"])
                 else:
-                    out.append(_response(r, shown, tree, max_attempts, sleep))
+                    tree = ["\n".join(tree)]
+                    out.append(_response(r, shown, tree[0], max_attempts, sleep))
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
     return run
@@ -266,8 +302,8 @@ def run_requests(request_shards: DataFrame, blocks: DataFrame, trees: DataFrame,
 
     ``request_shards`` from :func:`prune_by_scope` (query_id, corpus_id,
     shard_id, shard_ord, n_shards, query, scope, file_types); ``blocks``: rows of
-    :func:`context.base_blocks` and :func:`context.change_blocks`; ``trees``:
-    corpus_id, shard_id, tree. The query turn is rendered JVM-side with a tree marker
+    :func:`context.base_blocks` and :func:`context.change_blocks`; ``trees``: rows of
+    :func:`context.shard_tree_rows`. The query turn is rendered JVM-side with a tree marker
     that the Python side fills from the shard's tree, so it is not copied per request.
 
     A shard's blocks are sorted by Spark and streamed through its task in front of its
@@ -285,10 +321,9 @@ def run_requests(request_shards: DataFrame, blocks: DataFrame, trees: DataFrame,
     counts = counts.select("corpus_id", "shard_id", F.ceil(F.col("_c") / F.lit(requests_per_group)).alias("_nb"))
     rs = salted_join(rs, counts, ["corpus_id", "shard_id"], spread="query_id") \
         .withColumn("bucket", F.pmod(F.xxhash64("query_id"), F.col("_nb")).cast("int")).drop("_nb")
-    none = lambda t, name: F.lit(None).cast(t).alias(name)
     keys = ["corpus_id", "shard_id"]
-    shown = blocks.select(*keys, "part", "ord", "path", "block").unionByName(
-        trees.select(*keys, F.lit(TREE).alias("part"), none("bigint", "ord"), none("string", "path"), F.col("tree").alias("block")))
+    columns = [*keys, "part", "ord", "path", "block"]
+    shown = blocks.select(*columns).unionByName(trees.select(*columns))
     # both sides usually descend from the same plan table: fresh column ids keep the join unambiguous
     shown = shown.select(*[F.col(c).alias(c) for c in shown.columns]).join(counts, keys)
     shown = shown.withColumn("bucket", F.explode(F.sequence(F.lit(0), (F.col("_nb") - 1).cast("int")))).drop("_nb") \

@@ -24,11 +24,12 @@ Inputs: a ``files`` DataFrame with at least ``corpus_id, path, tokens``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import options as O
 from corpusflow.operators.joins import salted_join
+from corpusflow.operators.order import ranked
 from corpusflow.session import materialize
 
 #: Rank of the orphan group: after every stored shard.
@@ -129,8 +130,8 @@ def _finish(assigned: DataFrame) -> DataFrame:
     assigned = materialize(assigned, "assigned")
     key = (assigned.groupBy("corpus_id", "shard_id")
            .agg(F.min("grp_rank").alias("_r"), F.min("path").alias("_p")))
-    w = Window.partitionBy("corpus_id").orderBy("_r", "_p")
-    ords = key.select("corpus_id", "shard_id", F.row_number().over(w).cast("int").alias("shard_ord"))
+    ords = ranked(key, ["corpus_id"], [F.col("_r"), F.col("_p")], "shard_ord").select(
+        "corpus_id", "shard_id", F.col("shard_ord").cast("int").alias("shard_ord"))
     return salted_join(assigned, ords, ["corpus_id", "shard_id"]).select(
         "corpus_id", "shard_id", "prefix", "shard_ord", "path", "tokens")
 
@@ -159,9 +160,9 @@ def plan_shards(files: DataFrame, budget: int) -> DataFrame:
 
 def stored_claim_order(stored_plan: DataFrame) -> DataFrame:
     """stored shards by prefix length (longest first), then stored order."""
-    w = Window.partitionBy("corpus_id").orderBy(F.length("prefix").desc(), F.col("shard_ord"))
-    return stored_plan.select("corpus_id", "shard_id", "prefix",
-                              F.row_number().over(w).cast("long").alias("claim_rank"))
+    stored = stored_plan.select("corpus_id", "shard_id", "prefix", "shard_ord")
+    order = [F.length("prefix").desc(), F.col("shard_ord"), F.col("shard_id")]
+    return ranked(stored, ["corpus_id"], order, "claim_rank").drop("shard_ord")
 
 
 def claim_files(files: DataFrame, stored_plan: DataFrame) -> DataFrame:

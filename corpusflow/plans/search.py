@@ -25,6 +25,7 @@ from corpusflow.operators import hits as H
 from corpusflow.operators import requests as R
 from corpusflow.operators import shards as S
 from corpusflow.operators import usage as U
+from corpusflow.operators.joins import salted_join
 from corpusflow.session import materialize
 from corpusflow.sources import manifest as M
 from corpusflow.sources import state as ST
@@ -88,11 +89,10 @@ def search(requests: DataFrame, files: DataFrame, responder: R.Responder, budget
     single = dec.where(F.col("shard_id") == O.ALL_SHARD).select("corpus_id", "shard_id")
     single_files = files.join(single.select("corpus_id"), "corpus_id", "left_semi")
     labels = ch.join(single, ["corpus_id", "shard_id"], "left_semi")
-    single_tree = X.directory_tree(single_files, labels).join(single, "corpus_id").select(
-        "corpus_id", "shard_id", "tree")
+    single_tree = salted_join(X.tree_rows(single_files, labels), single, ["corpus_id"])
     multi_sf = sf.where(F.col("shard_id") != O.ALL_SHARD)
-    trees = X.shard_directory_tree(files.join(multi_sf.select("corpus_id").distinct(), "corpus_id", "left_semi"),
-                                   multi_sf).unionByName(single_tree)
+    trees = X.shard_tree_rows(files.join(multi_sf.select("corpus_id").distinct(), "corpus_id", "left_semi"),
+                              multi_sf).unionByName(single_tree)
 
     plan = dec.select("corpus_id", "shard_id", "prefix", "shard_ord")
     rs = R.prune_by_scope(requests, plan)

@@ -145,7 +145,7 @@ def test_refresh_starts_again_after_another_writer(spark, tmpdir_path, monkeypat
 def asked(spark, responder, blocks, n=5):
     requests = spark.createDataFrame([(i, "k", "s", 1, 2, f"q{i}", None, None) for i in range(n)],
                                      "query_id long, corpus_id string, shard_id string, shard_ord int, n_shards long, query string, scope string, file_types array<string>")
-    trees = spark.createDataFrame([("k", "s", "tree")], "corpus_id string, shard_id string, tree string")
+    trees = spark.createDataFrame([("k", "s", X.TREE, 4, "", "./")], "corpus_id string, shard_id string, part int, ord long, path string, block string")
     return R.run_requests(requests, blocks, trees, responder, requests_per_group=2, sleep=False).collect()
 
 
