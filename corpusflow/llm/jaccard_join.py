@@ -56,6 +56,8 @@ MOST_SMALL = 1 << 15
 #: Classes of the smallest and the largest signatures.
 SIGN_BITS = 1024
 MOST_SIGN_BITS = 1 << 16
+#: Bytes of text whose words and shingles a worker holds at once (one longer text is held alone).
+AT_ONCE = 1 << 18
 #: Sets that one task compares with a pivot.
 SPOKES = 256
 
@@ -114,7 +116,7 @@ def set_rows(texts: DataFrame) -> DataFrame:
         names = ["doc_id", "n", "same", "sign", "slice", "counts"]
         seen = None
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column("text")):
+            for first, last, data, offsets in chunks(batch.column("text"), AT_ONCE):
                 sets = shingles(data, offsets)
                 size = last - first
                 if seen is None:
@@ -161,7 +163,7 @@ def pivots(texts: DataFrame, powers: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column("text")):
+            for first, last, data, offsets in chunks(batch.column("text"), AT_ONCE):
                 ids = batch.column("doc_id").slice(first, last - first).to_numpy(zero_copy_only=False)
                 some, owner, sizes, places = [], [], [], []
                 for i, s in enumerate(shingles(data, offsets)):
@@ -280,7 +282,7 @@ def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = np.zeros(0, np.uint64)
         for batch in batches:
-            for first, last, data, offsets in chunks(batch.column("text")):
+            for first, last, data, offsets in chunks(batch.column("text"), AT_ONCE):
                 part = batch.slice(first, last - first)
                 out = []
                 for h, s, x in zip(part.column("hub").to_pylist(), part.column("spoke").to_pylist(), shingles(data, offsets), strict=True):
