@@ -372,7 +372,8 @@ def join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     sets = materialize(sets, "jaccard-distinct", force=True)
     members = materialize(spread_join(rows.where("slice IS NULL AND n > 0").select("doc_id", "n", "same"), sets, "same", "copies", "doc_id").select("doc_id", "n", "first"), "jaccard-copies", force=True)
     powers = rarity(rows.where("slice IS NOT NULL").select("slice", "counts"))
-    one = without(texts, "doc_id", members.where("doc_id <> first"), "doc_id")
+    # written, so that no task has both the filter's and the pivots' Python worker
+    one = materialize(without(texts, "doc_id", members.where("doc_id <> first"), "doc_id"), "jaccard-one", force=True)
     found = materialize(pivots(one, powers, percent), "jaccard-windows", force=True)
     roots = linked(texts, found, rows.where("slice IS NULL AND n > 0").select("doc_id", "n", "sign"), percent)
     named = sets.join(roots, sets["first"] == roots["node"], "left").select("first", "copies", F.coalesce("root", "first").alias("root"))
