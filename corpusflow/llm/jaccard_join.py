@@ -58,6 +58,8 @@ SIGN_BITS = 1024
 MOST_SIGN_BITS = 1 << 16
 #: Bytes of text whose words and shingles a worker holds at once (one longer text is held alone).
 AT_ONCE = 1 << 18
+#: Bytes of rows that Spark hands to a worker at once (one longer row is handed alone).
+BATCH_BYTES = 1 << 20
 #: Sets that one task compares with a pivot.
 SPOKES = 256
 
@@ -364,6 +366,7 @@ def join(docs: DataFrame, percent: int = 90, id_col: str = "doc_id", text_col: s
     without words have no shingles and no links. Repeated ids are documents of their own with one
     id; a null id is in no minimum, so a component of null ids alone has the id null."""
     small_batches(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     plain = docs.schema[id_col].dataType.simpleString()
     docs, key = with_key(docs, id_col, ordered=True)
     texts = _texts(docs, key, text_col)
