@@ -31,6 +31,8 @@ from .common import Words, bitmap, chunks, in_bitmap, keyed, materialize, small_
 
 SEED, RARE, LEAST = 3, 1e-8, 6
 BITS = 22
+#: Words of an item, and of a step through a text, that are aligned at once (packed cells hold 3 times as many).
+PART = 1 << 18
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -137,16 +139,33 @@ def _passages(rows: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
     return materialize(found.withColumn("passage", F.monotonically_increasing_id()), "passages")
 
 
-def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
+def align(text: np.ndarray, item: np.ndarray, part: int = PART) -> tuple[int, int, int, int]:
     """Best local alignment: (score, first word, word after the last, matched words) in ``text``.
 
+    An alignment of n item words that scores at all spans under 2n words of the text, so a longer
+    text is aligned in windows that overlap by so many; the best of them (the first on ties) is
+    the text's. Items of more than ``part`` words are aligned ``part`` words at a time."""
+    best = (0, 0, 0, 0)
+    for i in range(0, max(1, len(item)), part):
+        words = item[i : i + part]
+        lap = 2 * len(words)
+        for at in range(0, max(1, len(text) - lap), part):
+            score, start, end, matched = _align(text[at : at + part + lap], words)
+            if (score, matched) > (best[0], best[3]):
+                best = (score, at + start, at + end, matched)
+    return best
+
+
+def _align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
+    """:func:`align` of texts and items whose numbers of words fit the packed cells.
+
     Row by row over the item; gaps within a row follow from a running maximum. Each cell
     carries the start of its alignment and its matches, packed behind its score.
     """
     n = len(text)
     columns = np.arange(n + 1, dtype=np.int64)
-    # packed: score, matches, then n - start (an earlier end for a later start wins ties)
-    shift_m, shift_s = 21, 42
+    # packed: score, matches, then the start (a later start wins ties)
+    shift_m, shift_s = 22, 42
     one = (1 << shift_s) + (1 << shift_m)
     gap = 1 << shift_s
     fresh = columns.copy()

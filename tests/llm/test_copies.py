@@ -174,6 +174,22 @@ def test_alignment_matches_the_full_table():
             assert local_score(text[start:end], item) == score and matched >= score
 
 
+def test_alignment_in_windows_matches_the_full_table():
+    rng = random.Random(4)
+    for _ in range(100):
+        text = [rng.randint(0, 6) for _ in range(rng.randint(0, 200))]
+        item = [rng.randint(0, 6) for _ in range(rng.randint(1, 12))]
+        score, start, end, _ = decontam.align(np.array(text, np.uint64), np.array(item, np.uint64), part=12)
+        assert score == local_score(text, item) and (not score or local_score(text[start:end], item) == score)
+
+
+def test_a_copy_behind_two_million_words_is_aligned():
+    item = np.arange(1, 13, dtype=np.uint64)
+    text = np.full((1 << 21) + 50, 99, np.uint64)
+    text[(1 << 21) + 5 : (1 << 21) + 17] = item
+    assert decontam.align(text, item) == (12, (1 << 21) + 5, (1 << 21) + 17, 12)
+
+
 @pytest.fixture(scope="module")
 def items(spark, corpus):
     rng = random.Random(9)
