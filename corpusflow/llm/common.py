@@ -3,12 +3,15 @@
 A *word* is a maximal run of bytes outside space, tab, LF, VT, FF and CR. Words
 are found and hashed with numpy over the Arrow buffer itself: no Python string is
 made. A hash is a 64-bit polynomial of the bytes, mixed; equal words always hash
-alike. Null text is empty text everywhere.
+alike. A polynomial modulo 2**64 takes some different strings of 1,024 bytes or more as
+equal (Thue-Morse strings), so a word of more than LONG bytes has a digest instead. Null
+text is empty text everywhere. Helper columns take names that the rows don't have.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,12 +21,14 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["CHUNK_BYTES", "Words", "bitmap", "may_match", "without", "in_bitmap", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows", "with_key"]
+__all__ = ["CHUNK_BYTES", "Words", "bitmap", "free_name", "may_match", "without", "in_bitmap", "chunks", "materialize", "mix", "keyed", "small_batches", "spans", "windows", "with_key"]
 
 #: Bytes of text that are handled at once; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
 #: Multiplier of the polynomial hash (odd, so it has an inverse modulo 2**64).
 MULT = 0x9E3779B97F4A7C15 | 1
+#: Bytes above which a slice is hashed by a digest: half the length of the first strings that collide.
+LONG = 512
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -45,6 +50,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFra
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *more)
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores behind it until no column has it (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_key(docs: DataFrame, id_col: str = "doc_id", ordered: bool = False) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column that tells all its rows apart: the id column if its
     values are distinct and none is null, else a row number that is written with the rows.
@@ -54,7 +67,8 @@ def with_key(docs: DataFrame, id_col: str = "doc_id", ordered: bool = False) ->
         return docs, id_col
     if ordered:
         docs = docs.orderBy(F.col(id_col).asc_nulls_first())
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered", force=True), "__row"
+    row = free_name(docs.columns, "__row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", force=True), row
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -114,6 +128,14 @@ class Prefix:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: Prefix | None = None) -> np.ndarray:
+    """Hashes of slices of the bytes; ``prefix``: the polynomial sums of the same bytes, if at hand."""
+    out = (prefix or Prefix(data)).of(start, end)
+    for i in np.flatnonzero(end - start > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def fold(data: np.ndarray) -> np.ndarray:
     """A-Z and the two-byte capitals U+00C0 to U+00DE as small letters."""
     out = LOWER[data]
@@ -151,7 +173,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        return Prefix(self.data).of(self.start, self.end)
+        return slice_hashes(self.data, self.start, self.end)
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,8 +204,8 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def may_match(rows: DataFrame, key: str, found: DataFrame, column: str, bits: int = 23) -> DataFrame:
-    """``rows`` with a boolean ``__may``: false only if no value of ``column`` in ``found`` equals the key.
+def may_match(rows: DataFrame, key: str, found: DataFrame, column: str, bits: int = 23, name: str = "__may") -> DataFrame:
+    """``rows`` with a boolean ``name``: false only if no value of ``column`` in ``found`` equals the key.
 
     A bitmap of the found values' hashes (2**bits bits, whatever their number) tells it without
     a shuffle of the rows; it may be true for others, so a join has to follow."""
@@ -194,12 +216,13 @@ def may_match(rows: DataFrame, key: str, found: DataFrame, column: str, bits: in
     def test(hashes: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(map_.value, hashes.to_numpy().view(np.uint64)))
 
-    return rows.withColumn("__may", test(F.xxhash64(F.col(key))))
+    return rows.withColumn(name, test(F.xxhash64(F.col(key))))
 
 
 def without(rows: DataFrame, key: str, found: DataFrame, column: str) -> DataFrame:
     """``rows`` whose key is in no row of ``found``: only those that may be are shuffled."""
-    found = materialize(found.select(F.col(column).alias("__found")).where("__found IS NOT NULL").distinct(), "found", force=True)
-    flagged = may_match(rows, key, found, "__found")
-    doubtful = flagged.where("__may").join(found, F.col(key) == F.col("__found"), "left_anti")
-    return flagged.where("NOT __may").unionByName(doubtful).drop("__may")
+    name, may = free_name(rows.columns, "__found"), free_name(rows.columns, "__may")
+    found = materialize(found.select(F.col(column).alias(name)).where(F.col(name).isNotNull()).distinct(), "found", force=True)
+    flagged = may_match(rows, key, found, name, name=may)
+    doubtful = flagged.where(F.col(may)).join(found, F.col(key) == F.col(name), "left_anti")
+    return flagged.where(~F.col(may)).unionByName(doubtful).drop(may)

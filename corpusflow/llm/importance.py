@@ -4,8 +4,9 @@ Words and pairs of neighbouring words (A-Z lowered) are hashed into ``BUCKETS``
 buckets. The raw model counts the buckets of all texts; the target model those of at
 most ``TARGETS`` labelled good rows, chosen by a hash of their ids (the documented
 bound of what is fitted). A text's weight is the sum over its buckets of the log ratio
-of the two smoothed models. Gumbel noise, drawn from a hash of id and text, turns the
-top k of weight plus noise into a sample without replacement with those weights.
+of the two smoothed models. Gumbel noise, drawn from a hash of id and text (and of a row
+number where ids repeat, so that equal rows are drawn one by one), turns the top k of
+weight plus noise into a sample without replacement with those weights.
 
 k is ``share`` of all rows (default: the share of good rows among the labelled). Rows
 that tie with the k-th key are all selected. Null text has weight 0; a null id is no
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, keyed, materialize, small_batches, windows
+from .common import Words, chunks, keyed, materialize, small_batches, windows, with_key
 
 BUCKETS = 1 << 16
 TARGETS = 20_000
@@ -103,7 +104,9 @@ def resample(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_features, log_weight, gumbel_key, selected."""
     small_batches(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col, F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("noise"))
+    docs, key = with_key(docs, id_col)
+    drawn_from = [docs[id_col], docs[text_col], F.lit(seed)] + ([] if key == id_col else [docs[key]])
+    rows = keyed(docs, id_col, text_col, F.xxhash64(*drawn_from).alias("noise"))
     labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
     n = labels.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("quality") > 0).cast("long")).alias("good")).first()
     good = labels.where("quality > 0 AND coalesce(toxic, 0) = 0").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("spread"))

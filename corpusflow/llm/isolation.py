@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, Prefix, Words, chunks, keyed, materialize, mix, small_batches, windows
+from .common import WHITE, Prefix, Words, chunks, keyed, materialize, mix, slice_hashes, small_batches, windows
 
 TREES, SAMPLE = 100, 256
 #: Rows that the trees' samples are drawn from: the bound of what is fitted on the driver.
@@ -76,12 +76,12 @@ def rule_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.cumsum(~white, out=spoken[1:])
     full = spoken[ends] > spoken[starts]
     prefix = Prefix(data)
-    order, same = _again(prefix.of(starts[full], ends[full]), doc[full])
+    order, same = _again(slice_hashes(data, starts[full], ends[full], prefix), doc[full])
     out["n_lines"] = np.bincount(doc[full], minlength=n)
     out["n_dup_lines"] = np.bincount(doc[full][order[same]], minlength=n)
     repeated = doubled = np.zeros(n, np.int64)
     if len(words.start):
-        each = prefix.of(words.start, words.end)
+        each = slice_hashes(data, words.start, words.end, prefix)
         doubled = np.bincount(words.doc[1:][(each[1:] == each[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=n)
         hashes, at = windows(each, words.doc, 5)
         order, same = _again(hashes, words.doc[at])

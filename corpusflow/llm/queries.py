@@ -63,7 +63,7 @@ e AS (SELECT r, rank, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap, unnest(ran
 p AS (SELECT r, rank, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS BIGINT) AS stop FROM e),
 v AS (SELECT r, rank, stop - length(m) AS start, stop, CASE WHEN rank = 0 THEN regexp_extract(m, {quoted[0]}, 2) ELSE m END AS v FROM p),
 c AS (SELECT * FROM v WHERE CASE rank WHEN 0 THEN length(v) >= 6 WHEN 1 THEN length(v) >= 20 WHEN 2 THEN length(v) >= 24
-  ELSE length(v) BETWEEN 20 AND 200 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') END),
+  ELSE length(v) >= 20 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') END),
 o AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) > 2 AS shared FROM c JOIN d USING (r) GROUP BY v),
 j AS (SELECT r, rank, start, ['assign', 'access', 'hex', 'live'][rank + 1] || ':' || start || ':' || stop AS s, shared
   FROM c JOIN o USING (v) WHERE rank < 3 OR NOT shared),

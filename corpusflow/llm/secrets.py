@@ -2,7 +2,7 @@
 
 Candidates are found per document by regular expressions; their places follow from
 the lengths of the pieces between the matches. Base kinds are assign, access and hex.
-The method's own kind, ``live``, is a candidate value (20 to 200 characters of the
+The method's own kind, ``live``, is a candidate value (20 characters or more of the
 credential alphabet with a lower-case letter, an upper-case letter and a digit) that
 the corpus holds as a credential would be held: by few owners. Values are hashed and
 pre-aggregated by (hash, owner, repository), then (hash, owner), then hash, so that a
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_key
+from .common import free_name, materialize, with_key
 
 # The patterns of the base kinds and the least length of what they match.
 ASSIGN = (
@@ -28,8 +28,7 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # runs of [0-9a-f]+ of 24 characters or more
-LIVE = r"[A-Za-z0-9+/_=-]{20,}"  # kept up to LIVE_MOST characters, with a digit, an upper- and a lower-case letter
-LIVE_MOST = 200
+LIVE = r"[A-Za-z0-9+/_=-]{20,}"  # kept with a digit, an upper- and a lower-case letter
 KINDS = ("assign", "access", "hex", "live")
 SPANS = "array<struct<start:int,end:int,rank:int,value:string>>"
 
@@ -46,10 +45,9 @@ def _found(text: Column, kind: str) -> Column:
         return F.regexp_extract(match, pattern, 2) if kind == "assign" else match
 
     def fits(v: Column) -> Column:
-        least = F.length(v) >= {"assign": 6, "access": 20, "hex": 24, "live": 20}[kind]
         if kind != "live":
-            return least
-        return (F.length(v) <= LIVE_MOST) & v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
+            return F.length(v) >= {"assign": 6, "access": 20, "hex": 24}[kind]
+        return v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
 
     def step(acc: Column, s: Column) -> Column:
         start, got = acc["at"] + s["gap"], value(s["match"])
@@ -126,12 +124,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = None,
     may = text.rlike(LIVE)
     base = F.array_sort(F.transform(F.concat(*(_found(text, k) for k in KINDS[:3])), lambda s: F.struct(s["start"], s["end"])))
     found = scan(rows, owner, repo, id_col=key, text_col=text_col).where(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("__key"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("__spans"))
-    plain = rows.where(~may).withColumn("__spans", base)
-    live = rows.where(may).join(found, rows[key] == F.col("__key"), "left").drop("__key")
-    live = live.withColumn("__spans", F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")))
+    same, spans = (free_name(rows.columns, name) for name in ("__key", "__spans"))
+    found = found.select(F.col("doc_id").alias(same), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias(spans))
+    plain = rows.where(~may).withColumn(spans, base)
+    live = rows.where(may).join(found, rows[key] == F.col(same), "left").drop(same)
+    live = live.withColumn(spans, F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")))
     cut = F.aggregate(
-        "__spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.struct(
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))
@@ -142,4 +141,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: Column | None = None,
         lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(F.col(text_col)))),
     )
     both = plain.unionByName(live)
-    return both.withColumn(text_col, F.when(F.size("__spans") == 0, F.col(text_col)).otherwise(cut)).select(docs.columns)
+    return both.withColumn(text_col, F.when(F.size(spans) == 0, F.col(text_col)).otherwise(cut)).select(docs.columns)

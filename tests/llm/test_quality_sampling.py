@@ -26,6 +26,20 @@ def test_rule_counts_match_brute_force(docs, corpus):
     assert got == {i: brute(t) for i, t, *_ in corpus}
 
 
+def thue_morse(k, a, b):
+    s = a
+    for _ in range(k):
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_strings_that_a_polynomial_takes_as_equal_are_told_apart(spark):
+    one, two = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    rows = [(1, f"{one}\n{two}"), (2, f"{one}\n{one}"), (3, f"{one} {two} " * 3)]
+    got = {r.doc_id: tuple(r[c] for c in isolation.COUNTS[:5]) for r in isolation.statistics(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute(t) for i, t in rows} and got[1][3] == 0 and got[2][3] == 1
+
+
 def labels_of(spark, good, bad):
     rows = [(i, 1, 0) for i in good] + [(i, 0, 0) for i in bad]
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
@@ -95,6 +109,13 @@ def test_kth_largest(spark, k):
     assert importance.kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
 
 
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    rows = [(1, "one and the same row")] * 6 + [(i, f"another row {i}") for i in range(2, 12)]
+    got = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), labels_of(spark, [1], []), share=3 / 16).collect()
+    assert len(got) == 16 and sum(r.selected for r in got) == 3
+    assert len({r.gumbel_key for r in got}) == 16
+
+
 def test_resampling_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert importance.resample(odd_docs, labels_of(spark, [7], [])).count() == 5
     rows = importance.resample(odd_docs, labels_of(spark, [], [])).collect()

@@ -37,7 +37,7 @@ def brute(rows, max_owners):
         for rank, (kind, pattern, least) in enumerate(kinds):
             for m in pattern.finditer(text or ""):
                 value = m[m.lastindex or 0]
-                if len(value) < least or kind == "live" and not (len(value) <= 200 and all(re.search(c, value) for c in ("[a-z]", "[A-Z]", "[0-9]"))):
+                if len(value) < least or kind == "live" and not all(re.search(c, value) for c in ("[a-z]", "[A-Z]", "[0-9]")):
                     continue
                 found[i].append((m.start(), rank, m.end(), f"{kind}:{m.start()}:{m.end()}", value))
                 owners[value].add(owner)
@@ -50,6 +50,7 @@ def test_spans_match_brute_force(spark, most):
     got = {r.doc_id: r for r in secrets.scan(df, owner=F.col("owner"), max_owners=most).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()}
     want = brute(ROWS, most)
     assert {i: r.s for i, r in got.items()} == {i: ",".join(s[3] for s in spans) for i, spans in want.items()}
+    assert [x[3] for x in want[8]] == ["live:0:240"]  # a key of any length
     assert want[1][0][3] == "assign:0:20" and any("hex" in s[3] for s in want[2])
 
 
@@ -155,6 +156,21 @@ def test_pipeline_stages(spark, folder, corpus):
         assert sum(p.length for p in pieces if p.doc_id == i) == next(p.doc_tokens for p in pieces if p.doc_id == i)
 
 
+def test_stages_leave_columns_of_any_name_alone(spark, folder, corpus):
+    item = " ".join(corpus[5][1].split()[:30])
+    texts = [(1, corpus[0][1]), (1, corpus[0][1]), (2, corpus[1][1]), (None, corpus[2][1]), (3, "x " * 30 + item), (4, f"{corpus[7][1]} {KEY}"), (5, None)]
+    names = ["__may", "__FOUND", "__row", "__key", "__spans", "__may_"]
+    rows = [(i, t, "en", "src0", 0, *[k] * len(names)) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, folder), "test-clash", force=True)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+    got = docs.collect()
+    kept = {tuple(r[n] for n in names) for r in got}
+    assert len(got) == len(kept) == 5 and kept <= {(k,) * len(names) for k in range(7)} and (4,) * len(names) not in kept
+    assert next(r.text for r in got if r.doc_id == 4).endswith("[SECRET]")
+
+
 def test_pipeline_of_an_empty_table(spark, folder, no_docs, tmp_path):
     d = str(tmp_path)
     no_docs.write.parquet(f"{d}/documents.parquet")
