@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never merges across pre-tokens, so a text's ids
 are those of its white-space runs in order, and a run's ids those of its pre-tokens.
-Both levels are cached in the worker. Whatever the small splitter here may see
+Both levels are cached in the worker; a run of ASCII letters is one pre-token and cached
+as a run only, and one with a full stop or the like behind it is made of the two. Whatever the small splitter here may see
 differently from the library (code points above U+017F, U+0130, the four separators
 U+001C to U+001F) is encoded by the library itself.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable
 
@@ -38,6 +40,8 @@ def _splitter() -> re.Pattern:
 SPLIT = _splitter()
 STRANGE = re.compile(f"[^\\x00-\\x1b\\x20-įı-{chr(_LIMIT - 1)}]")
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Marks that are pre-tokens of their own behind a run of letters, where nothing follows.
+STOPS = frozenset(".,;:!?")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -101,6 +105,7 @@ class Encoder:
         self.known = _drops_white_space(spec)
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.letters = _byte_letters()
+        self.model = self.library.model
         self.frequent = frequent or {}
         self.piece_ids = _Cache(self._piece_ids)
         self.run_ids = _Cache(self._run_ids)
@@ -111,12 +116,20 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _model_ids(self, piece: str) -> list[int]:
-        return [t.id for t in self.library.model.tokenize("".join(map(self.letters.__getitem__, piece.encode())))]
+        if not (piece.isascii() and piece.isprintable()):  # such bytes stand for themselves
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return [t.id for t in self.model.tokenize(piece)]
 
     def _piece_ids(self, piece: str) -> bytes:
-        return np.array(self._model_ids(piece), "<u4").tobytes()
+        ids = self._model_ids(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _run_ids(self, run: str) -> bytes:
+        if run.isascii():
+            if run.isalpha():
+                return self._piece_ids(run.lower())
+            if run[-1] in STOPS and run[:-1].isalpha():
+                return self.run_ids[run[:-1]] + self.piece_ids[run[-1]]
         pieces = pretokens(run)
         return self._library_ids(run) if pieces is None else b"".join(map(self.piece_ids.__getitem__, pieces))
 
@@ -124,6 +137,13 @@ class Encoder:
         return len(self._model_ids(piece))
 
     def _run_count(self, run: str) -> int:
+        if run.isascii():
+            if run.isalpha():
+                piece = run.lower()
+                n = self.frequent.get(piece)
+                return self._piece_count(piece) if n is None else n
+            if run[-1] in STOPS and run[:-1].isalpha():
+                return self.run_count[run[:-1]] + self.run_count[run[-1]]
         pieces = pretokens(run)
         if pieces is None:
             return len(self._library_ids(run)) // 4
