@@ -2,7 +2,7 @@
 
 The tokenizer drops white space and never merges across pre-tokens, so a text's ids
 are those of its white-space runs in order, and a run's ids those of its pre-tokens.
-Both levels are cached in the worker; a run of ASCII letters is one pre-token and cached
+Both levels are cached in the worker; a run of letters is one pre-token and cached
 as a run only, and one with a full stop or the like behind it is made of the two. Whatever the small splitter here may see
 differently from the library (code points above U+017F, U+0130, the four separators
 U+001C to U+001F) is encoded by the library itself.
@@ -18,8 +18,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Entries of a generation of a worker's cache, of which there are two.
-CACHE = 120_000
+#: Entries of a generation of a worker's caches of pre-tokens and of runs, of which there are two each.
+CACHE, RUNS = 60_000, 180_000
 _LIMIT = 0x180
 # Fixed value: the split pattern that the tokenizer's file names.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -82,6 +82,11 @@ class _Cache(dict):
         return value
 
 
+def _is_letters(run: str) -> bool:
+    """Whether a run is one pre-token of letters, as far as the splitter knows."""
+    return run.isalpha() and (run.isascii() or STRANGE.search(run) is None)
+
+
 def pretokens(run: str) -> list[str] | None:
     """Pre-tokens of a white-space run, or None if only the library may split it."""
     return None if STRANGE.search(run) else SPLIT.findall(run.lower())
@@ -108,9 +113,9 @@ class Encoder:
         self.model = self.library.model
         self.frequent = frequent or {}
         self.piece_ids = _Cache(self._piece_ids)
-        self.run_ids = _Cache(self._run_ids)
+        self.run_ids = _Cache(self._run_ids, RUNS)
         self.piece_count = _Cache(self._piece_count)
-        self.run_count = _Cache(self._run_count)
+        self.run_count = _Cache(self._run_count, RUNS)
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -125,11 +130,10 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _run_ids(self, run: str) -> bytes:
-        if run.isascii():
-            if run.isalpha():
-                return self._piece_ids(run.lower())
-            if run[-1] in STOPS and run[:-1].isalpha():
-                return self.run_ids[run[:-1]] + self.piece_ids[run[-1]]
+        if _is_letters(run):
+            return self._piece_ids(run.lower())
+        if run[-1] in STOPS and _is_letters(run[:-1]):
+            return self.run_ids[run[:-1]] + self.piece_ids[run[-1]]
         pieces = pretokens(run)
         return self._library_ids(run) if pieces is None else b"".join(map(self.piece_ids.__getitem__, pieces))
 
@@ -137,13 +141,12 @@ class Encoder:
         return len(self._model_ids(piece))
 
     def _run_count(self, run: str) -> int:
-        if run.isascii():
-            if run.isalpha():
-                piece = run.lower()
-                n = self.frequent.get(piece)
-                return self._piece_count(piece) if n is None else n
-            if run[-1] in STOPS and run[:-1].isalpha():
-                return self.run_count[run[:-1]] + self.run_count[run[-1]]
+        if _is_letters(run):
+            piece = run.lower()
+            n = self.frequent.get(piece)
+            return self._piece_count(piece) if n is None else n
+        if run[-1] in STOPS and _is_letters(run[:-1]):
+            return self.run_count[run[:-1]] + self.run_count[run[-1]]
         pieces = pretokens(run)
         if pieces is None:
             return len(self._library_ids(run)) // 4
