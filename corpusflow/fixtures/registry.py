@@ -698,6 +698,25 @@ def chunk_text(spark, sf):
                     F.col("usage.prompt_tokens").alias("prompt_tokens"), "error")
 
 
+@query("chunk_stream", SQL["chunk_text"])
+def chunk_stream(spark, sf):
+    """K1: the chunks as a stream of two batches (second chunks come last), with send times and a heartbeat."""
+    from corpusflow.streaming.chunks import OUTPUT_SCHEMA, reassemble_stream
+    root = f"{run_dir(spark)}/chunk-stream-{uuid.uuid4().hex}"
+    sent = V.chunks(spark, sf).withColumn("sent_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("chunk_no") % 50))
+    beat = spark.range(1).select(F.lit(None).cast("bigint").alias("request_id"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("sent_at"))
+    sent.where("chunk_no <> 1").repartition(8).write.parquet(f"{root}/in/a")
+    sent.where("chunk_no = 1").unionByName(beat, allowMissingColumns=True).repartition(8).write.parquet(f"{root}/in/b")
+    arrivals = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 8) \
+                    .option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    q = reassemble_stream(arrivals).writeStream.format("parquet").option("path", f"{root}/out") \
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    r = spark.read.schema(OUTPUT_SCHEMA).parquet(f"{root}/out")
+    return r.select("request_id", F.sha2("tool_text", 256).alias("tool_hash"), F.sha2("content_text", 256).alias("content_hash"),
+                    "n_chunks", "prompt_tokens", "error")
+
+
 # ============================================================================
 # Hits: I, C7, C8, B10, E1, E3, E5, C11, J5, J6, D14
 # ============================================================================
@@ -1004,6 +1023,30 @@ def refresh(spark, sf):
                     "change_ratio", "needs_rebuild")
 
 
+@query("stream_refresh", D.with_(D.files_cte("files", "v1"), D.plan_ctes("sp", "files", 4000)) + """
+SELECT sp.corpus_id, sp.shard_id, sp.path, f.hash FROM sp JOIN files f ON f.corpus_id = sp.corpus_id AND f.path = sp.path""")
+def stream_refresh(spark, sf):
+    """K2: the state after files_v1 came in two batches with its manifests in the second, and half
+    of files_v2 with all of its manifests."""
+    from corpusflow.streaming.refresh import announce, refresh_stream
+    root = f"{run_dir(spark)}/stream-refresh-{uuid.uuid4().hex}"
+    first = F.pmod(F.xxhash64("path"), F.lit(2)) == 0
+
+    def sent(version, number):
+        return V.files(spark, sf, version).select("corpus_id", F.lit(number).cast("bigint").alias("snapshot_id"), "path", "content", "mtime_ms")
+
+    v1, v2 = sent("v1", 1), sent("v2", 2)
+    told = announce(v1).unionByName(announce(v2))
+    one = v1.where(first).unionByName(told.limit(0), allowMissingColumns=True)
+    two = v1.where(~first).unionByName(v2.where(first)).unionByName(told, allowMissingColumns=True)
+    one.repartition(8).write.parquet(f"{root}/in/a")
+    two.repartition(8).write.parquet(f"{root}/in/b")
+    arrivals = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 8) \
+                    .option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    refresh_stream(arrivals, f"{root}/state", f"{root}/checkpoint", budget=4000, available_now=True).awaitTermination()
+    return ST.read_state(spark, f"{root}/state", "base_files").select("corpus_id", "shard_id", "path", "hash")
+
+
 @query("search_passages")
 def search_passages(spark, sf):
     """J2, J7, L2 (rows check): benchmark passages searched in their corpus with

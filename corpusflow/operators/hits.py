@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import options as O
 from corpusflow.functions import text as T
+from corpusflow.session import materialize
 
 _NUMERIC = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
 
@@ -116,20 +117,36 @@ def coalesce_ranges(valid: DataFrame, gap: int = O.RANGE_GAP) -> DataFrame:
 
 # -- C11, J5, D14 ---------------------------------------------------------------
 
+#: Ranges of one file that a row cuts, about: a file with more has several rows, each with the content once.
+RANGES_PER_ROW = 64
+
+
 def cut_snippets(ranges: DataFrame, files: DataFrame) -> DataFrame:
-    """C11: lines of each range, numbered, under a ``--- path:start-end ---``
-    header. Equi-join on the file; lines are sliced from the split content."""
-    # only the files named by a range are read into the shuffle
-    f = files.select("corpus_id", "path", "content")
-    j = ranges.join(f, ["corpus_id", "path"])
-    lines = F.slice(F.split("content", "\n"), F.col("start_line").cast("int"),
-                    (F.col("end_line") - F.col("start_line") + 1).cast("int"))
-    body = F.array_join(F.transform(lines, lambda x, i: F.concat((i + F.col("start_line")).cast("string"),
-                                                                F.lit("\t"), x)), "\n")
-    head = F.format_string(O.FMT_SNIPPET_HEADER, F.col("path"), F.col("start_line").cast("string"),
-                           F.col("end_line").cast("string"))
-    snip = F.concat(head, F.lit("\n"), body)
-    return j.withColumn("snippet", snip).drop("content")
+    """C11: lines of each range, numbered, under a ``--- path:start-end ---`` header.
+
+    The ranges of a file meet its content once and are cut from one split of it. A file that many
+    requests hit has a row for every :data:`RANGES_PER_ROW` of its ranges or so."""
+    key = ["corpus_id", "path"]
+    rest = [c for c in ranges.columns if c not in key]
+    ranges = materialize(ranges, "ranges")  # counted first, then grouped
+    crowded = ranges.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RANGES_PER_ROW)
+    part = F.pmod(F.xxhash64(*rest), F.coalesce(F.ceil(F.col("_n") / RANGES_PER_ROW), F.lit(1)))
+    groups = ranges.join(crowded, key, "left").groupBy(*key, part.alias("_part")) \
+                   .agg(F.collect_list(F.struct(*rest)).alias("_ranges"))
+
+    def cut(lines):
+        def one(r):
+            start, end = r["start_line"], r["end_line"]
+            numbered = F.transform(F.slice(lines, start.cast("int"), (end - start + 1).cast("int")),
+                                   lambda x, i: F.concat((i + start).cast("string"), F.lit("\t"), x))
+            head = F.format_string(O.FMT_SNIPPET_HEADER, F.col("path"), start.cast("string"), end.cast("string"))
+            return F.struct(*[r[c].alias(c) for c in rest],
+                            F.concat(head, F.lit("\n"), F.array_join(numbered, "\n")).alias("snippet"))
+        return F.transform("_ranges", one)
+
+    # a lambda's argument is evaluated once a row, so the content is split once
+    snippets = F.get(F.transform(F.array(F.split("content", "\n")), cut), F.lit(0))
+    return groups.join(files.select(*key, "content"), key).select(*key, F.explode(snippets).alias("_s")).select(*key, "_s.*")
 
 
 def _ordered_join(text, sep, *order):

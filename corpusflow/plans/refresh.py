@@ -47,17 +47,19 @@ TRIES = 5
 def refresh(files: DataFrame, state_root: str, budget: int = O.DEFAULT_MAX_CONTEXT_TOKENS,
             threshold: float = O.DEFAULT_CHANGE_THRESHOLD, snapshot_ts: int = 0,
             commit_times: DataFrame | None = None, mark: str | None = None,
-            texts: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+            texts: Callable[[DataFrame], DataFrame] | None = None,
+            corpora: DataFrame | None = None) -> dict[str, DataFrame]:
     """Run J8 against the state under ``state_root`` and write the next version.
 
     ``files``: full snapshots of the corpora to refresh (corpus_id, path, hash, tokens,
     n_lines[, content, mtime_ms, ..]). Plans and changes read no text; only files of rebuilt
     shards get theirs, from ``files`` or by ``texts``, which adds ``content`` to such rows
     (see :func:`refresh_store`). State of corpora absent from ``files`` is neither read nor
-    written. ``mark``: a name that the version is committed with (see ``state.has_mark``). If
+    written; ``corpora`` (corpus_id) names those to refresh if some may have no file left.
+    ``mark``: a name that the version is committed with (see ``state.has_mark``). If
     another writer replaces one of the corpora meanwhile, the refresh starts again
     from the new state. Returns the decisions and the version."""
-    corpora = files.select("corpus_id").distinct()
+    corpora = files.select("corpus_id").distinct() if corpora is None else corpora
     # the snapshot feeds five consumers: cut its lineage once, without the texts
     snap = materialize(files.drop("content"), "snapshot")
     if texts is None:

@@ -86,6 +86,21 @@ def test_snippets_cut(spark):
     assert H.cut_snippets(r, files).first().snippet == "--- a.py:2-3 ---\n2\tl2\n3\tl3"
 
 
+def test_snippets_of_a_crowded_file_are_cut_from_one_split(spark):
+    lines = [f"l{i}" for i in range(1, 401)]
+    files = spark.createDataFrame([("c", "a.py", "\n".join(lines)), ("c", "b.py", "x\ny")], "corpus_id string, path string, content string")
+    want = [(q, "a.py", 1 + q % 390, 1 + q % 390 + q % 5) for q in range(1000)] + [(5, "b.py", 1, 2), (6, "gone.py", 1, 1)]
+    r = spark.createDataFrame([(q, "c", p, s, e) for q, p, s, e in want], "query_id long, corpus_id string, path string, start_line long, end_line long")
+    cut = H.cut_snippets(r, files)
+    got = {(x.query_id, x.path): (x.start_line, x.end_line, x.snippet) for x in cut.collect()}
+    assert len(got) == 1001 and got[5, "b.py"][2] == "--- b.py:1-2 ---\n1\tx\n2\ty"
+    for q, p, s, e in want[:1000]:
+        body = "\n".join(f"{i}\t{lines[i - 1]}" for i in range(s, e + 1))
+        assert got[q, p] == (s, e, f"--- a.py:{s}-{e} ---\n{body}")
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(content") == 1 and set(cut.columns) == {*r.columns, "snippet"}
+
+
 def test_chunked_running_totals_equal_plain_window(spark):
     from pyspark.sql import Window
     from paths import SF_SMALL
