@@ -95,7 +95,7 @@ class Reassembly(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new, p, last = {}, None, None
         for frame in rows:
-            if pd.isna(key[0]):
+            if key[1]:
                 continue  # a heartbeat
             p = self._now() if p is None else p
             for r in frame.itertuples(index=False):
@@ -139,11 +139,13 @@ def reassemble_stream(chunks: DataFrame, timeout_ms: int | None = None, quiet: s
     """Streaming DataFrame of chunks to one row per finished response (see above for the clocks)."""
     use_keyed_state(chunks.sparkSession)
     clock = "processing" if timeout_ms is not None else "event" if "sent_at" in chunks.columns else None
-    columns = ["request_id", "chunk_no", "tool_delta", "content_delta", F.col("usage").isNotNull().alias("has_usage"),
+    # a null among the keys of a batch would turn the others into doubles, which the state store reads as null
+    columns = [F.coalesce("request_id", F.lit(0)).alias("request_id"), F.col("request_id").isNull().alias("beat"),
+               "chunk_no", "tool_delta", "content_delta", F.col("usage").isNotNull().alias("has_usage"),
                *[F.col(f"usage.{f}").alias(f) for f in USAGE_FIELDS]]
     if clock == "event":
         chunks = chunks.withWatermark("sent_at", quiet)
         columns += ["sent_at", F.unix_millis("sent_at").alias("sent_ms")]
-    return chunks.select(*columns).groupBy("request_id").transformWithStateInPandas(
+    return chunks.select(*columns).groupBy("request_id", "beat").transformWithStateInPandas(
         Reassembly(clock, max(1, timeout_ms or 1)), OUTPUT_SCHEMA, "append",
         {"event": "EventTime", "processing": "ProcessingTime", None: "None"}[clock])

@@ -91,7 +91,7 @@ def test_event_time_ends_quiet_requests_and_drops_repeats(spark, tmpdir_path):
     used = (7, 1, 2, 3, 4)
     batches = [
         [(1, 0, "a", None, None, 0), (2, 0, "x", None, None, 0), (3, 1, "d", "D", used, 1), (4, 0, "p", None, None, 2)],
-        [(1, 1, "b", "B", used, 5), (1, 0, "a", None, None, 0), (2, 0, "x", None, None, 0), (4, 2, "r", None, None, 6)],
+        [(1, 1, "b", "B", used, 5), (1, 0, "a", None, None, 0), (2, 0, "x", None, None, 0), (4, 2, "r", None, None, 6), (None, None, None, None, None, 6)],
         [(1, 1, "b", "B", used, 5), (3, 0, "c", None, None, 8)],  # request 1 was finished; 3 is now
         [(None, None, None, None, None, 500)],
     ]
