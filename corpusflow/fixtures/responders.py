@@ -5,46 +5,78 @@ Their token counters are made up by a fixed rule."""
 from __future__ import annotations
 
 import json
+import pickle
+import tempfile
+from collections.abc import Iterator
 
+from corpusflow.operators.context import BASE
 from corpusflow.operators.requests import Responder, ResponderError
 
 
-def _parse_blocks(text: str) -> dict[str, list[str]]:
-    files: dict[str, list[str]] = {}
-    if not text:
-        return files
+def _parse_blocks(text: str) -> Iterator[tuple[str, str | None]]:
+    """(path, content) of each file block of ``text`` in order; the content of a deletion marker is None."""
     for blk in ("\n\n" + text).split("\n\n--- ")[1:]:
         head, _, body = blk.partition("\n")
         if head.endswith(" [DELETED] ---") and not body:
-            files.pop(head[: -len(" [DELETED] ---")], None)
+            yield head[: -len(" [DELETED] ---")], None
             continue
         name = head.rsplit(" (lines 1-", 1)[0]
         if name.endswith(" [UPDATED]"):
             name = name[: -len(" [UPDATED]")]
-        files[name] = [ln.split("\t", 1)[1] if "\t" in ln else "" for ln in body.split("\n")]
-    return files
+        yield name, "\n".join(ln.split("\t", 1)[1] if "\t" in ln else "" for ln in body.split("\n"))
 
 
 class PassageLocator:
     """Finds the query text verbatim in the files of the context and answers
     with the line span of its first occurrence in each file."""
 
+    def open(self, instructions: str) -> PassageSession:
+        return PassageSession(instructions)
+
     def __call__(self, messages: list[dict]) -> dict:
-        files = _parse_blocks(messages[1]["content"])
-        if len(messages) == 4:
-            files.update(_parse_blocks(messages[2]["content"]))
-            for blk in ("\n\n" + messages[2]["content"]).split("\n\n--- ")[1:]:
-                if blk.endswith(" [DELETED] ---"):
-                    files.pop(blk[: -len(" [DELETED] ---")], None)
-        query = messages[-1]["content"].rsplit("\nQuery: ", 1)[-1]
-        results = []
-        for path in sorted(files):
-            content = "\n".join(files[path])
-            i = content.find(query) if query else -1
+        session = self.open(messages[0]["content"])
+        for part, m in enumerate(messages[1:-1], BASE):
+            session.feed(part, m["content"])
+        return session.ask(messages[-1]["content"])
+
+
+class PassageSession:
+    """The files of a shard in a scratch file, read one at a time for each turn; a block of a path
+    replaces its earlier ones. In memory are a block, and the results of a turn."""
+
+    #: Bytes from which the files lie on disk.
+    HELD = 1 << 20
+
+    def __init__(self, instructions: str):
+        self.spool, self.chars, self.parts = tempfile.SpooledTemporaryFile(self.HELD), len(instructions), set()
+
+    def feed(self, part: int, block: str) -> None:
+        self.chars += len(block) + (2 if part in self.parts else 0)  # blocks of a part are two newlines apart
+        self.parts.add(part)
+        self.spool.seek(0, 2)
+        for file in _parse_blocks(block):
+            pickle.dump(file, self.spool)
+
+    def _files(self) -> Iterator[tuple[str, str | None]]:
+        self.spool.seek(0)
+        while True:
+            try:
+                yield pickle.load(self.spool)
+            except EOFError:
+                return
+
+    def ask(self, turn: str) -> dict:
+        query = turn.rsplit("\nQuery: ", 1)[-1]
+        found = {}
+        for path, content in self._files() if query else ():
+            i = -1 if content is None else content.find(query)
             if i >= 0:
                 start = content.count("\n", 0, i) + 1
-                results.append({"file": path, "start_line": start, "end_line": start + query.count("\n")})
-        prompt = sum(len(m["content"]) for m in messages) // 4
+                found[path] = {"file": path, "start_line": start, "end_line": start + query.count("\n")}
+            else:
+                found.pop(path, None)
+        results = [found[path] for path in sorted(found)]
+        prompt = (self.chars + len(turn)) // 4
         usage = {"prompt_tokens": prompt, "prompt_cache_hit_tokens": (prompt // 2) // 128 * 128,
                  "prompt_cache_miss_tokens": prompt - (prompt // 2) // 128 * 128,
                  "completion_tokens": 10 + 20 * len(results),

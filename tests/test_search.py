@@ -157,3 +157,37 @@ def test_search_orders_bases_by_file_time_like_refresh(spark):
     req = spark.createDataFrame([(1, "k", "x", None, None)], "query_id long, corpus_id string, query string, scope string, file_types array<string>")
     text = search(req, files, RS.FixedResponder(ONE_HIT), budget=1000)["new_base_shards"].first().base_text
     assert text.index("b.py") < text.index("a.py")
+
+
+def test_passages_are_located_in_the_memory_of_a_block(spark):
+    import tracemalloc
+    import pyarrow as pa
+
+    n, text = 400, "\n".join("x" * 99 for _ in range(400))
+    needle = "\n".join(["one passage", "of two lines"])
+    block = lambda path, body, tag="": f"--- {path}{tag} (lines 1-{body.count(chr(10)) + 1}) ---\n" + "\n".join(
+        f"{i}\t{x}" for i, x in enumerate(body.split("\n"), 1))
+
+    def rows():
+        def row(part, ord_, path, text, query_id=None):
+            return {"corpus_id": "c", "shard_id": "s", "bucket": 0, "part": part, "ord": ord_, "path": path, "block": text,
+                    "query_id": query_id, "shard_ord": 1}
+        for i in range(n):
+            yield row(1, i, f"f{i:03}", block(f"f{i:03}", f"{text}\n{needle}" if i in (3, 7, 9) else text))
+        yield row(2, 0, "f007", block("f007", text, " [UPDATED]"))
+        yield row(2, 1, "g", block("g", needle, " [UPDATED]"))
+        yield row(2, 2, "f009", "--- f009 [DELETED] ---")
+        yield row(4, None, None, f"tree\nQuery: {needle}", 5)
+        yield row(4, None, None, "tree\nQuery: nowhere", 6)
+
+    kinds = pa.schema([(c, pa.int64() if c in ("bucket", "part", "ord", "query_id", "shard_ord") else pa.string())
+                       for c in ("corpus_id", "shard_id", "bucket", "part", "ord", "path", "block", "query_id", "shard_ord")])
+    tracemalloc.start()
+    out = [r for b in R._answer_shards(RS.PassageLocator(), 1, False)(pa.RecordBatch.from_pylist([r], schema=kinds) for r in rows())
+           for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["arguments"] for r in out] == [
+        '{"results": [{"file": "f003", "start_line": 401, "end_line": 402}, {"file": "g", "start_line": 1, "end_line": 2}]}',
+        '{"results": []}']
+    assert peak < 4 << 20  # the shard's blocks have 17 MB
