@@ -1039,11 +1039,10 @@ def stream_refresh(spark, sf):
     told = announce(v1).unionByName(announce(v2))
     one = v1.where(first).unionByName(told.limit(0), allowMissingColumns=True)
     two = v1.where(~first).unionByName(v2.where(first)).unionByName(told, allowMissingColumns=True)
-    one.repartition(8).write.parquet(f"{root}/in/a")
-    two.repartition(8).write.parquet(f"{root}/in/b")
-    arrivals = spark.readStream.schema(one.schema).option("maxFilesPerTrigger", 8) \
-                    .option("recursiveFileLookup", "true").parquet(f"{root}/in")
-    refresh_stream(arrivals, f"{root}/state", f"{root}/checkpoint", budget=4000, available_now=True).awaitTermination()
+    for name, rows in (("a", one), ("b", two)):
+        rows.write.parquet(f"{root}/in/{name}")
+        arrivals = spark.readStream.schema(one.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        refresh_stream(arrivals, f"{root}/state", f"{root}/checkpoint", budget=4000, available_now=True).awaitTermination()
     return ST.read_state(spark, f"{root}/state", "base_files").select("corpus_id", "shard_id", "path", "hash")
 
 

@@ -60,7 +60,8 @@ def read_state(spark: SparkSession, root: str, table: str, seen: M.Manifest | No
     paths = [f"{root}/{folder}/{table}" for folder in sorted(set(entries.values()))]
     rows = spark.read.schema(TABLES[table] + ", v string").option("basePath", root).parquet(*paths)
     current = spark.createDataFrame([(c, f[2:]) for c, f in sorted(entries.items())], "corpus_id string, v string")
-    return rows.join(current, ["corpus_id", "v"], "left_semi").drop("v")
+    # the manifest's rows: a local table has no known size, and a corpus's state must not meet in one task
+    return rows.join(F.broadcast(current), ["corpus_id", "v"], "left_semi").drop("v")
 
 
 def has_mark(spark: SparkSession, root: str, mark: str) -> bool:

@@ -130,7 +130,7 @@ def complete_batch(state_root: str, budget: int, threshold: float, stream: str =
                         mark=mark, corpora=newest.select("corpus_id"))
                 if not keep_old:
                     ST.drop_superseded(spark, state_root)
-            both = applied.unionByName(newest).groupBy("corpus_id").agg(F.max("snapshot_id").alias("snapshot_id"))
+            both = (newest if applied is None else applied.unionByName(newest)).groupBy("corpus_id").agg(F.max("snapshot_id").alias("snapshot_id"))
             both.coalesce(1).write.mode("overwrite").parquet(f"{base}/applied/b={batch_id}")  # a row a corpus
         finished = _numbers(spark, f"{base}/applied")
         left = {r.b for r in _newer(rows, _applied(spark, base, finished)).select("b").distinct().collect()}  # batches
@@ -139,14 +139,18 @@ def complete_batch(state_root: str, budget: int, threshold: float, stream: str =
     return run
 
 
-def _applied(spark: SparkSession, base: str, numbers: list[int]) -> DataFrame:
+def _applied(spark: SparkSession, base: str, numbers: list[int]) -> DataFrame | None:
+    """(corpus_id, snapshot_id) refreshed last, a row a corpus; None before the first."""
     if not numbers:
-        return spark.createDataFrame([], APPLIED_SCHEMA)
+        return None
     return spark.read.schema(APPLIED_SCHEMA).parquet(f"{base}/applied/b={numbers[-1]}")
 
 
-def _newer(rows: DataFrame, applied: DataFrame) -> DataFrame:
-    """Rows of snapshots newer than the applied one of their corpus."""
+def _newer(rows: DataFrame, applied: DataFrame | None) -> DataFrame:
+    """Rows of snapshots newer than the applied one of their corpus. Those rows hold texts, so they are not
+    dealt by corpus: without ``applied`` there is no join, else it has the size of a file."""
+    if applied is None:
+        return rows
     done = applied.withColumnRenamed("snapshot_id", "_done")
     return rows.join(done, "corpus_id", "left").where("_done IS NULL OR snapshot_id > _done").drop("_done")
 

@@ -9,7 +9,7 @@ from corpusflow.fixtures import views as V
 from corpusflow.operators import requests as R
 from corpusflow.sources import state as ST
 from corpusflow.streaming.chunks import reassemble_stream
-from corpusflow.streaming.refresh import announce, complete_batch, refresh_batch, refresh_stream
+from corpusflow.streaming.refresh import _applied, _newer, announce, complete_batch, refresh_batch, refresh_stream
 
 
 def test_stream_equals_batch(spark, tmpdir_path):
@@ -144,3 +144,16 @@ def test_a_snapshot_waits_until_it_is_complete(spark, tmpdir_path):
     assert os.listdir(os.path.join(root, "_arrivals"))
     waiting = [d for _, ds, _ in os.walk(os.path.join(root, "_arrivals")) for d in ds if d.startswith("b=")]
     assert len(waiting) <= 3  # what was refreshed or is out of date waits no more
+
+
+def test_texts_are_not_dealt_by_corpus(spark, tmpdir_path):
+    rows = spark.createDataFrame([("a", 1, "x.py", "one"), ("b", 1, "y.py", "two")], "corpus_id string, snapshot_id long, path string, content string")
+    newer = _newer(rows, _applied(spark, tmpdir_path, []))  # nothing applied yet
+    root = os.path.join(tmpdir_path, "state")
+    shards = rows.selectExpr("corpus_id", "'s' AS shard_id", "1L AS base_token_count", "content AS base_text", "1L AS snapshot_ts")
+    ST.write_state(root, shards, rows.selectExpr("corpus_id", "'s' AS shard_id", "path", "'h' AS hash", "1L AS snapshot_ts"),
+                   rows.selectExpr("corpus_id", "'s' AS shard_id", "'' AS prefix", "1 AS shard_ord", "'p' AS plan_hash", "1L AS snapshot_ts"))
+    saved = ST.read_state(spark, root, "base_shards")
+    assert sorted(r.content for r in newer.collect()) == sorted(r.base_text for r in saved.collect()) == ["one", "two"]
+    for df in (newer, saved):
+        assert "hashpartitioning(corpus_id" not in df._jdf.queryExecution().executedPlan().toString()
