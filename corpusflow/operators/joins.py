@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets for joins whose small side has one row per corpus or per shard while
-#: one key may hold a large share of the files.
+#: Buckets of a key that holds a large share of the files.
 SALTS = 32
 
 
+#: Rows of a key in the big side from which it is spread over buckets.
+HOT_ROWS = 1 << 16
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", salts: int = SALTS,
                 spread: str = "path") -> DataFrame:
-    """Join ``big`` (many rows per key) to ``small`` (one row per key) when a key
-    may be hot: ``big`` rows are spread over ``salts`` buckets by a hash of the
-    ``spread`` column and the small side is replicated to every bucket
-    (``salts`` times its own size), so no single key's rows meet in one task."""
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(sm, list(keys) + ["_salt"], how).drop("_salt")
+    """Join ``big`` (many rows per key) to ``small`` (few rows per key) when a key may be hot.
 
+    The rows of each key of ``big`` are counted. Those of a key with more than ``HOT_ROWS`` are
+    spread over ``salts`` buckets by a hash of the ``spread`` column and its rows of the small side
+    are copied to every bucket, so no single key's rows meet in one task. Other keys are not
+    copied: a small side with a row per shard stays as large as it is. Of hot keys there are at
+    most as many as the big side has rows, divided by ``HOT_ROWS``, so they are broadcast."""
+    k = list(keys)
+    sizes = big.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(sizes.where(F.col("_n") > HOT_ROWS).select(*k, F.lit(salts).alias("_salts")))
+    no_key = F.lit(False)
+    for c in k:
+        no_key = no_key | F.col(c).isNull()
+    salt = F.when(F.col("_salts").isNotNull() | no_key, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0)
+    b = big.join(hot, k, "left").withColumn("_salt", salt.cast("int")).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    sm = small.join(hot, k, "left").withColumn("_salt", copies).drop("_salts")
+    return b.join(sm, [*k, "_salt"], how).drop("_salt")
 
 
 #: Rows of one key that may meet the other side's in one task, and the most keys that are split.
