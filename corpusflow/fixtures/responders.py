@@ -9,7 +9,7 @@ import pickle
 import tempfile
 from collections.abc import Iterator
 
-from corpusflow.operators.context import BASE
+from corpusflow.operators.context import BASE, CHANGE
 from corpusflow.operators.requests import Responder, ResponderError
 
 
@@ -48,11 +48,14 @@ class PassageSession:
     HELD = 1 << 20
 
     def __init__(self, instructions: str):
-        self.spool, self.chars, self.parts = tempfile.SpooledTemporaryFile(self.HELD), len(instructions), set()
+        self.spool, self.chars, self.parts = tempfile.SpooledTemporaryFile(self.HELD), len(instructions), {BASE: 0, CHANGE: 0}
 
     def feed(self, part: int, block: str) -> None:
-        self.chars += len(block) + (2 if part in self.parts else 0)  # blocks of a part are two newlines apart
-        self.parts.add(part)
+        before = self.parts[part]
+        if block is None:  # a file without a text; what joining the blocks would say
+            raise TypeError(f"sequence item {before}: expected str instance, NoneType found")
+        self.chars += len(block) + (2 if before else 0)  # blocks of a part are two newlines apart
+        self.parts[part] += 1
         self.spool.seek(0, 2)
         for file in _parse_blocks(block):
             pickle.dump(file, self.spool)

@@ -191,3 +191,14 @@ def test_passages_are_located_in_the_memory_of_a_block(spark):
         '{"results": [{"file": "f003", "start_line": 401, "end_line": 402}, {"file": "g", "start_line": 1, "end_line": 2}]}',
         '{"results": []}']
     assert peak < 4 << 20  # the shard's blocks have 17 MB
+
+
+def test_a_file_without_text_fails_its_requests_only(spark):
+    session = RS.PassageLocator().open("")
+    session.feed(1, "--- a (lines 1-1) ---\n1\tq")
+    try:
+        session.feed(1, None)
+    except TypeError as e:
+        assert str(e) == "sequence item 1: expected str instance, NoneType found"
+    else:
+        raise AssertionError("a block without a text was read")
