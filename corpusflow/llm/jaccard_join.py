@@ -62,6 +62,10 @@ AT_ONCE = 1 << 18
 BATCH_BYTES = 1 << 20
 #: Sets that one task compares with a pivot.
 SPOKES = 256
+#: A region of at most this many sets loses, before the first round, those that no other can be linked with.
+FEW = 32
+#: Steps of the rarity of shingles to a doubling of their documents.
+STEPS = 8
 
 
 def word_hashes(words: Words) -> np.ndarray:
@@ -144,7 +148,8 @@ def set_rows(texts: DataFrame) -> DataFrame:
 
 
 def rarity(counts: DataFrame) -> np.ndarray:
-    """Power of two of the documents with a shingle of each class (2**CLASS_BITS bytes, whatever the rows)."""
+    """STEPS times the power of two of the documents with a shingle of each class (2**CLASS_BITS bytes,
+    whatever the rows). Large tables have hundreds in every class: whole powers would all be alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -152,7 +157,7 @@ def rarity(counts: DataFrame) -> np.ndarray:
             for at, some in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 sums[at] = sums.get(at, 0) + np.frombuffer(some, np.int64)
         if sums:
-            powers = [np.log2(np.maximum(s, 1)).astype(np.uint8).tobytes() for s in sums.values()]
+            powers = [np.minimum(STEPS * np.log2(np.maximum(s, 1)), 255).astype(np.uint8).tobytes() for s in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(powers, pa.binary())], ["slice", "powers"])
 
     rows = counts.repartition("slice").mapInArrow(run, "slice int, powers binary").collect()  # SLICES rows
@@ -193,41 +198,80 @@ def _apart(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
+def _by_region(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each region in turn, of rows sorted by region."""
+    every = (row for batch in batches for row in batch.to_pylist())
+    for _, region in groupby(every, key=lambda r: r["region"]):
+        yield list(region)
+
+
+def _allowed(region: list[dict], percent: int, apart_only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, j's) of the rows (n, sign) of a region, sorted by n: the j > i that sizes and signatures allow to
+    be linked with i, of those with another value of ``apart_only``."""
+    n = np.array([r["n"] for r in region])
+    size = min(len(r["sign"]) for r in region)
+    signs = np.stack([folded(r["sign"], size) for r in region])
+    for i in range(len(region) - 1):
+        last = int(np.searchsorted(percent * n[i + 1 :], 100 * n[i], "right"))
+        some = np.arange(i + 1, i + 1 + last)
+        if apart_only is not None:
+            some = some[apart_only[some] != apart_only[i]]
+        if len(some):
+            apart = np.bitwise_count(signs[some] ^ signs[i]).sum(1, dtype=np.int64)
+            yield i, some[(100 + percent) * apart <= (100 - percent) * (n[some] + n[i])]
+
+
 def within(rows: DataFrame, percent: int) -> DataFrame:
-    """Of (region, doc_id, n, root, sign), the pairs (hub, spoke) of sets of a region that are in
+    """Of (region, doc_id, n, root, sign, others), the pairs (hub, spoke) of sets of a region that are in
     different components and that sizes and signatures allow to be linked. A region is one task's:
-    MOST_SMALL signatures at most."""
+    MOST_SMALL signatures at most. ``others`` are a set's regions of lesser number: two sets that
+    share one of them are a pair there, so that a pair is made once, not in each region of both."""
 
     def joined(region: list[dict]) -> Iterator[tuple[int, int]]:
         region.sort(key=lambda r: r["n"])
-        n, root, ids = (np.array([r[c] for r in region]) for c in ("n", "root", "doc_id"))
-        size = min(len(r["sign"]) for r in region)
-        signs = np.stack([folded(r["sign"], size) for r in region])
-        for i in range(len(region) - 1):
-            last = int(np.searchsorted(percent * n[i + 1 :], 100 * n[i], "right"))
-            some = np.arange(i + 1, i + 1 + last)
-            some = some[root[some] != root[i]]
-            if len(some):
-                apart = np.bitwise_count(signs[some] ^ signs[i]).sum(1, dtype=np.int64)
-                for j in some[(100 + percent) * apart <= (100 - percent) * (n[some] + n[i])]:
-                    yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
+        others = [set(r["others"]) for r in region]
+        for i, some in _allowed(region, percent, np.array([r["root"] for r in region])):
+            for j in some:
+                if others[i].isdisjoint(others[j]):
+                    yield tuple(sorted((region[i]["doc_id"], region[j]["doc_id"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (row for batch in batches for row in batch.to_pylist())
-        for _, region in groupby(every, key=lambda r: r["region"]):
-            found = list(joined(list(region)))
+        for region in _by_region(batches):
+            found = list(joined(region))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["hub", "spoke"])
 
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "hub long, spoke long")
 
 
+def hopeful(members: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Members (doc_id, n, most, region) out of those with ``size``, that of their region: regions of more than
+    FEW sets whole, of others the sets that size and signature allow to be linked with another one there.
+
+    Sets that share a pivot by chance, whose number grows faster than the rows', end here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for region in _by_region(batches):
+            region.sort(key=lambda r: r["n"])
+            kept = np.zeros(len(region), bool)
+            for i, some in _allowed(region, percent):
+                kept[some] = True
+                kept[i] |= len(some) > 0
+            if kept.any():
+                yield pa.RecordBatch.from_pylist([{c: region[i][c] for c in schema.names} for i in np.flatnonzero(kept)], schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("most", pa.float64()), ("region", pa.int64())])
+    rows = members.where(F.col("size") <= FEW).join(signs.select("doc_id", "sign"), "doc_id").select(*schema.names, "sign")
+    rows = rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "doc_id long, n int, most double, region long")
+    return rows.unionByName(members.where(F.col("size") > FEW).drop("size"))
+
+
 def distinct_regions(members: DataFrame) -> DataFrame:
-    """``members`` of regions of two sets or more, one of the regions with the same sets each."""
+    """``members`` of regions of two sets or more, one of the regions with the same sets each, with the region's ``size``."""
     one, other = (F.bit_xor(F.xxhash64("doc_id", F.lit(k))) for k in (1, 2))
     kinds = members.groupBy("region").agg(F.count(F.lit(1)).alias("size"), one.alias("one"), other.alias("other")).where("size > 1")
     kinds = kinds.groupBy("size", "one", "other").agg(F.min("region").alias("region")).select("region", "size")
-    return spread_join(members, materialize(kinds, "jaccard-kinds", force=True), "region", "size", "doc_id").drop("size")
+    return spread_join(members, materialize(kinds, "jaccard-kinds", force=True), "region", "size", "doc_id")
 
 
 def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -327,7 +371,8 @@ def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -
     other = F.greatest(F.col("n") * F.lit(t), F.exp((F.col("band") - 1) * F.lit(step)))
     met = met.where(F.col("n") - F.col("place") >= (F.col("n") + other) * F.lit(t / (1 + t)) - 1e-6)
     members = met.select("doc_id", "n", F.exp((F.col("band") + 1) * F.lit(step)).alias("most"), F.xxhash64("pivot", "band").alias("region"))
-    members = materialize(distinct_regions(materialize(members, "jaccard-banded", force=True)), "jaccard-members", force=True)
+    members = hopeful(distinct_regions(materialize(members, "jaccard-banded", force=True)), signs, percent)
+    members = materialize(members, "jaccard-members", force=True)
     links, roots, round_ = None, None, 0
     while True:
         regions = materialize(_regions(members, roots, round_), "jaccard-regions", force=True)
@@ -340,9 +385,11 @@ def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -
         pairs = star.where("doc_id <> pivot").select(F.col("pivot").alias("hub"), F.col("doc_id").alias("spoke")).distinct()
         pairs = screened(materialize(pairs, "jaccard-tried", force=True), signs, percent)
         if roots is not None:
-            small = rows.where(F.col("size") <= limit).select("region", "doc_id").join(signs, "doc_id")
-            small = small.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            pairs = pairs.unionByName(within(small.select("region", "doc_id", "n", "root", "sign"), percent)).distinct()
+            small = rows.where(F.col("size") <= limit).select("region", "doc_id")
+            sets = small.groupBy("doc_id").agg(F.collect_list("region").alias("regions")).join(signs, "doc_id")  # a set has few regions: its window's
+            sets = sets.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            small = sets.withColumn("region", F.explode("regions")).withColumn("others", F.filter("regions", lambda r: r < F.col("region")))
+            pairs = pairs.unionByName(within(small.select("region", "doc_id", "n", "root", "sign", "others"), percent)).distinct()
         pairs = materialize(pairs, "jaccard-pairs", force=True)
         new = materialize(measured(pairs, texts), "jaccard-measured", force=True)
         more = new.where(100 * F.col("both") >= percent * F.col("either")).select(F.col("hub").alias("a"), F.col("spoke").alias("b"))
@@ -354,7 +401,7 @@ def linked(texts: DataFrame, found: DataFrame, signs: DataFrame, percent: int) -
         unsettled = materialize(_regions(rest.select("region", "doc_id"), roots, round_).select("region", F.col("size").alias("left")), "jaccard-unsettled", force=True)
         rest = spread_join(rest, unsettled, "region", "left", "doc_id").drop("left")
         members = rings(rest.where(F.col("size") > limit), signs, percent).unionByName(rest.where(F.col("size") <= limit).select("doc_id", "n", "most", "region"))
-        members = materialize(distinct_regions(materialize(members, "jaccard-rest", force=True)), "jaccard-members", force=True)
+        members = materialize(distinct_regions(materialize(members, "jaccard-rest", force=True)).drop("size"), "jaccard-members", force=True)
         round_ += 1
 
 

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from corpusflow.llm import audit, jaccard_join, merkle
 from pyspark.sql import functions as F
@@ -224,6 +225,34 @@ def test_join_equals_all_pairs(spark, corpus, monkeypatch, small):
     assert joined(df) == plain_join(rows)
 
 
+def test_a_pair_of_many_regions_is_made_once(spark):
+    """Sets 1, 2 and 3 meet in nine regions, 1 and 4 in another: a region makes the pairs that have no lesser one."""
+    sign = bytes(jaccard_join.SIGN_BITS // 8)
+    regions = {1: list(range(10)), 2: list(range(9)), 3: list(range(9)), 4: [9]}
+    rows = [(r, i, 50, i, sign, [x for x in own if x < r]) for i, own in regions.items() for r in own]
+    df = spark.createDataFrame(rows, "region long, doc_id long, n int, root long, sign binary, others array<long>")
+    assert sorted(map(tuple, jaccard_join.within(df.repartition(4), 90).collect())) == [(1, 2), (1, 3), (1, 4), (2, 3)]
+
+
+def test_sets_that_meet_by_chance_leave_before_the_first_round(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
+    sign = lambda k: bytes([255 * (j // 16 == k) for j in range(jaccard_join.SIGN_BITS // 8)])
+    signs = spark.createDataFrame([(i, 100, sign(k)) for i, k in enumerate([0, 1, 2, 2, 3])], "doc_id long, n int, sign binary")
+    rows = [(1, [0, 1]), (2, [0, 1, 2, 3]), (3, [0, 1, 2, 3, 4])]
+    members = spark.createDataFrame([(i, 100, 111.0, r, len(some)) for r, some in rows for i in some], "doc_id long, n int, most double, region long, size long")
+    found = jaccard_join.hopeful(members, signs, 90)
+    assert sorted((r.region, r.doc_id) for r in found.collect()) == [(2, 2), (2, 3), *((3, i) for i in range(5))]
+
+
+def test_rarity_tells_crowded_classes_apart(spark):
+    """100 and 120 documents a class are not one rank, as they are by whole powers of two."""
+    each = (1 << jaccard_join.CLASS_BITS) // jaccard_join.SLICES
+    parts = [np.full(each, 100 + 20 * (k == 3), np.int64).tobytes() for k in range(jaccard_join.SLICES)]
+    counts = spark.createDataFrame([(k, p) for k, p in enumerate(parts)], "slice int, counts binary")
+    powers = jaccard_join.rarity(counts)
+    assert len(powers) == 1 << jaccard_join.CLASS_BITS and powers[0] < powers[3 * each] and powers[0] == powers[-1]
+
+
 def test_join_at_another_threshold(spark, corpus):
     rows = join_rows(corpus)
     df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
