@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from corpusflow.llm import decontam, order_minhash, run_index
+from corpusflow.llm import common, decontam, order_minhash, run_index
 
 
 def distance(a, b):
@@ -116,6 +116,19 @@ def check_repeats(df, rows):
         assert [(s.start, s.end) for s in got[i].spans] == list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
+def test_keys_are_looked_up_without_a_python_worker(spark):
+    """A worker beside that of a function over the rows doubles what an executor's workers hold."""
+    rows = spark.range(5000).selectExpr("IF(id = 0, NULL, id) AS k", "id AS __at", "CAST(id AS string) AS __word")
+    some = spark.range(0, 5000, 7).selectExpr("CAST(id AS int) AS x").where("x > 0").unionByName(spark.sql("SELECT CAST(NULL AS int) AS x"))
+    flagged = common.may_match(rows, "k", some, "x", name="may")
+    assert flagged.columns == ["k", "__at", "__word", "may"]
+    assert "Python" not in flagged._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r.may for r in flagged.collect()}
+    assert len(got) == 5000 and all(got[k] for k in range(7, 5000, 7)) and got[None]
+    assert sum(got.values()) < 720 + 20  # 715 keys and a few that share a bit
+    assert not common.may_match(rows, "k", some.limit(0), "x").where("__may").count()
+
+
 def test_repeats_match_brute_force(docs, corpus):
     check_repeats(docs, [(i, t) for i, t, *_ in corpus])
 
