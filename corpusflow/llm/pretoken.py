@@ -6,6 +6,9 @@ Both levels are cached in the worker; a run of letters is one pre-token and cach
 as a run only, and one with a full stop or the like behind it is made of the two. Whatever the small splitter here may see
 differently from the library (code points above U+017F, U+0130, the four separators
 U+001C to U+001F) is encoded by the library itself.
+
+Counts of a column are taken a block of texts at a time: Arrow splits the block at ASCII white
+space and gives each run a number, so a run is looked up once a block, however often it occurs.
 """
 
 from __future__ import annotations
@@ -17,9 +20,17 @@ import unicodedata
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import chunks
 
 #: Entries of a generation of a worker's caches of pre-tokens and of runs, of which there are two each.
 CACHE, RUNS = 60_000, 180_000
+#: The same for counts of runs, and characters of the longest run kept there: longer ones seldom come back.
+COUNTS, KEPT = 400_000, 64
+#: Bytes of texts whose runs are numbered at once; one longer text is handled alone.
+BLOCK = 1 << 22
 _LIMIT = 0x180
 # Fixed value: the split pattern that the tokenizer's file names.
 FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -82,6 +93,21 @@ class _Cache(dict):
         return value
 
 
+class _ShortCache(_Cache):
+    """A cache that keeps keys of at most ``KEPT`` characters."""
+
+    def __missing__(self, key):
+        return super().__missing__(key) if len(key) <= KEPT else self.make(key)
+
+
+def white_space_runs(texts: pa.Array) -> pa.ListArray:
+    """Runs of each text between ASCII white space, those of ASCII texts in small letters.
+
+    An empty run stands where a text begins or ends with white space.
+    """
+    return pc.ascii_split_whitespace(pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts))
+
+
 def _is_letters(run: str) -> bool:
     """Whether a run is one pre-token of letters, as far as the splitter knows."""
     return run.isalpha() and (run.isascii() or STRANGE.search(run) is None)
@@ -115,7 +141,7 @@ class Encoder:
         self.piece_ids = _Cache(self._piece_ids)
         self.run_ids = _Cache(self._run_ids, RUNS)
         self.piece_count = _Cache(self._piece_count)
-        self.run_count = _Cache(self._run_count, RUNS)
+        self.run_count = _ShortCache(self._run_count, COUNTS)
 
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -168,6 +194,23 @@ class Encoder:
             return len(self._library_ids(text)) // 4
         return sum(map(self.run_count.__getitem__, text.split()))
 
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """``count`` of each text of a column without nulls."""
+        pattern = SEPARATORS.pattern + (f"|{self.special.pattern}" if self.special else "")
+        odd = pc.match_substring_regex(texts, pattern) if self.known else pa.array(np.ones(len(texts), bool))
+        out = np.zeros(len(texts), np.int64)
+        plain = pc.if_else(odd, "", texts)
+        for i, j, *_ in chunks(plain, BLOCK):
+            runs = white_space_runs(plain[i:j])
+            found = runs.flatten().dictionary_encode()
+            each = np.array([self.run_count[run] if run else 0 for run in found.dictionary.to_numpy(zero_copy_only=False)], np.int64)
+            total = np.zeros(len(found) + 1, np.int64)
+            np.cumsum(each[found.indices.to_numpy()], out=total[1:])
+            out[i:j] = np.diff(total[runs.offsets.to_numpy()])
+        for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[row] = len(self._library_ids(texts[int(row)].as_py())) // 4
+        return out
+
 
 _encoders: dict[str, tuple[object, Encoder]] = {}
 

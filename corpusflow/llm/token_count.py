@@ -3,9 +3,11 @@
 Tier one is a broadcast table of the most frequent pre-tokens and their numbers of
 ids: at most ``TABLE`` entries of at most ``LONGEST`` characters, whatever the input.
 It is filled from a pass over all texts: each task keeps a bounded summary of its
-counts, and summaries (not pre-tokens) are merged by a tree of map tasks. Tier two
-is the worker's cache, filled by the library on a miss. The table only saves work:
-counts are exact whatever is in it.
+counts (lossy counting: a run found once in ``HELD`` bytes of runs adds nothing to it),
+and summaries (not pre-tokens) are merged by a tree of map tasks. Tier two
+is the worker's cache, filled by the library on a miss; a run between white space meets it
+once a block of texts, which Arrow splits. The table only saves work: counts are exact
+whatever is in it.
 
 Null text counts as empty (0 bytes, 0 tokens); repeated rows and ids give a row
 each; an empty table gives no row; further columns are ignored.
@@ -18,16 +20,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretoken
-from .common import keyed, small_batches
+from .common import chunks, keyed, small_batches
 
 TABLE = 1 << 16
 LONGEST = 40
-#: Entries of one task's summary, and distinct runs that it holds at once.
-SUMMARY, HELD = 1 << 14, 200_000
+#: Entries of one task's summary, pre-tokens that it holds at once, and bytes of runs that are counted at once.
+SUMMARY, DISTINCT, HELD = 1 << 14, 800_000, 1 << 24
 #: Summaries that one merging task reads.
 FAN_IN = 32
 
@@ -43,23 +46,29 @@ def _rows(counts: Counter) -> pa.RecordBatch:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, runs = Counter(), Counter()
+    total, held, size = Counter(), [], 0
 
     def fold() -> None:
-        for run, n in runs.items():
-            for p in pretoken.pretokens(run) or ():
+        found = pc.value_counts(pa.chunked_array(held))
+        found, counts = found.filter(pc.greater(found.field("counts"), 1)).flatten()
+        for run, n in zip(found.to_numpy(zero_copy_only=False), counts.to_numpy().tolist(), strict=True):
+            for p in (run.lower(),) if run.isascii() and run.isalpha() else pretoken.pretokens(run) or ():
                 if len(p) <= LONGEST:
                     total[p] += n
-        runs.clear()
+        held.clear()
 
     for batch in batches:
-        for text in batch.column("text"):
-            runs.update(text.as_py().split())
-            if len(runs) > HELD:
+        texts = batch.column("text")
+        for i, j, *_ in chunks(texts, pretoken.BLOCK):
+            held.append(pretoken.white_space_runs(texts[i:j]).flatten())
+            size += held[-1].nbytes
+            if size > HELD:
                 fold()
-                if len(total) > 4 * HELD:
-                    total = _trim(total, HELD)
-    fold()
+                size = 0
+                if len(total) > DISTINCT:
+                    total = _trim(total, DISTINCT // 4)
+    if held:
+        fold()
     yield _rows(_trim(total, SUMMARY))
 
 
@@ -99,7 +108,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, id
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = pretoken.encoder(path, tag, table.value)
         for batch in batches:
-            n = pa.array([encode.count(t.as_py()) for t in batch.column("text")], pa.int64())
+            n = pa.array(encode.counts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = keyed(docs, id_col, text_col)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpusflow.llm import chat, packing, pretoken, token_count
 
@@ -45,6 +46,32 @@ def test_token_counts_of_odd_and_empty_tables(odd_docs, no_docs):
     assert token_count.token_counts(no_docs, PATH).count() == 0
 
 
+def test_counts_of_a_column(corpus, monkeypatch):
+    texts = [t or "" for _, t, *_ in corpus]
+    texts += [" a  b\t", "\n", "A\x85B\xa0c", "I\u0307 i\u0307 E\u0301", "x<|endoftext|>Y", "\x1f", "Don't STOP... (now), 12%", "é É, É.", "q" * 70]
+    expected = [len(library_ids(t)) for t in texts]
+    column = pa.array(["sliced off", *texts])[1:]
+    for size in (1, 500, pretoken.BLOCK):
+        monkeypatch.setattr(pretoken, "BLOCK", size)
+        encode = pretoken.Encoder(PATH)
+        assert encode.counts(column).tolist() == expected
+        assert "q" * 70 not in encode.run_count and "stop..." in encode.run_count
+    assert encode.counts(column[:0]).tolist() == []
+
+
+def test_a_run_is_looked_up_once_a_block(spark):
+    made = []
+    encode = pretoken.Encoder(PATH)
+    encode.run_count.size, own = 50, encode.run_count.make
+    encode.run_count.make = lambda run: (made.append(run), own(run))[1]
+    words = [a + b for a in "abcdefghijklmnopqrst" for b in ("an", "in", "on", "en", "er", "or", "ar", "ir", "at", "et")]
+    texts = [" ".join(words), " ".join(words).upper()] * 20
+    assert encode.counts(pa.array(texts)).tolist() == [len(library_ids(t)) for t in texts]
+    assert len(made) == len(words)  # a cache of 50 runs alone has 8,000 misses here
+    table = token_count.frequent_lengths(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), PATH)
+    assert table == {w: len(library_ids(w)) for w in words}
+
+
 def check_pieces(pieces, expected, size):
     """Every id lies in one piece, pieces lie gapless in sequences of ``size`` at most."""
     by_doc, by_sequence = {}, {}
